@@ -65,13 +65,13 @@ DIRTY_ORDERS_COLUMNS = [
 ]
 
 
-def numeric_strings(lineitem: DataFrame) -> DataFrame:
+def numeric_strings(lineitem: DataFrame, *extra: str) -> DataFrame:
     """lineitem quantities as strings; one in twenty replaced by 'n/a'."""
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return lineitem.select(
         "l_orderkey", "l_linenumber",
         F.when(k % 20 == 0, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string")).alias("qty_str"),
-        "l_returnflag")
+        "l_returnflag", *extra)
 
 
 NUMERIC_STRINGS_SQL = """

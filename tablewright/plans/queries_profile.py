@@ -8,7 +8,7 @@ from ..operators import profile as P
 from ..operators import quality as Q
 from .derived import DIRTY_ORDERS_COLUMNS, DIRTY_ORDERS_SQL, TABLES, dirty_orders, table
 from .registry import query
-from .sqlgen import TABLE_COLUMNS, column_profile_sql, per_column
+from .sqlgen import TABLE_COLUMNS, column_profile_sql, families_sql as _families_sql, per_column
 
 D = DIRTY_ORDERS_SQL
 DCP = column_profile_sql(D, DIRTY_ORDERS_COLUMNS)
@@ -106,21 +106,6 @@ def profile_size_bucket(spark, d):
     return out
 
 
-def _families_sql(src: str, cols: list[tuple[str, str]]) -> str:
-    from ..functions.columns import sql_parse_datetime, sql_word_count
-    parts = []
-    for name, base in cols:
-        c = f'"{name}"'
-        if base in ("numeric", "datetime"):
-            parts.append(f"SELECT '{name}' AS column_name, '{base}' AS family")
-            continue
-        else:
-            fam = (f"CASE WHEN count({sql_parse_datetime(c)}) / count(*) > 0.8 THEN 'datetime' "
-                   f"WHEN sum({sql_word_count(c)}) / count({c}) > 5 THEN 'text' ELSE 'categorical' END")
-        parts.append(f"SELECT '{name}' AS column_name, {fam} AS family FROM {src} AS t")
-    return "\nUNION ALL\n".join(parts)
-
-
 @query("profile_column_families",
        "SELECT 'dirty_orders' AS table_name, * FROM (" + _families_sql(D, DIRTY_ORDERS_COLUMNS) + ")"
        "\nUNION ALL\nSELECT 'documents' AS table_name, * FROM ("

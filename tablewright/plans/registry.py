@@ -32,3 +32,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import queries_profile  # noqa: F401
+    from . import queries_clean  # noqa: F401

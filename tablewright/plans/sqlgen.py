@@ -46,3 +46,18 @@ def column_profile_sql(src: str, columns: list[tuple[str, str]]) -> str:
                       "count({c}) AS n_non_null, count(DISTINCT {c}) AS n_unique, "
                       "CASE WHEN count(*) > 0 THEN (count(*) - count({c})) / count(*) ELSE 0.0 END AS missing_frac")
     return f"({body})"
+
+
+def families_sql(src: str, cols: list[tuple[str, str]]) -> str:
+    from ..functions.columns import sql_parse_datetime, sql_word_count
+    parts = []
+    for name, base in cols:
+        c = f'"{name}"'
+        if base in ("numeric", "datetime"):
+            parts.append(f"SELECT '{name}' AS column_name, '{base}' AS family")
+            continue
+        else:
+            fam = (f"CASE WHEN count({sql_parse_datetime(c)}) / count(*) > 0.8 THEN 'datetime' "
+                   f"WHEN sum({sql_word_count(c)}) / count({c}) > 5 THEN 'text' ELSE 'categorical' END")
+        parts.append(f"SELECT '{name}' AS column_name, {fam} AS family FROM {src} AS t")
+    return "\nUNION ALL\n".join(parts)
