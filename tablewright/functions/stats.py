@@ -106,9 +106,11 @@ def ordered_codes(values: DataFrame, column: str, code: str = "code") -> DataFra
     """
     d = values.select(column).where(F.col(column).isNotNull()).distinct()
     n_parts = max(1, values.sparkSession.sparkContext.defaultParallelism)
+    from ..session import checkpoint_dir
+    checkpoint_dir(values.sparkSession)
+    # Partition ids are used twice (sizes and row numbers); checkpointing fixes them.
     ranged = (d.repartitionByRange(n_parts, column)
-              .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))

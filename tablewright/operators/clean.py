@@ -62,7 +62,7 @@ def drop_flagged(df: DataFrame, target: str | None = None) -> DataFrame:
 
 def missing_decisions(df: DataFrame, threshold: float = HIGH_MISSING_THRESHOLD) -> DataFrame:
     """CLN4 decisions: keep a column iff non-null >= int(rows * (1 - threshold))."""
-    cp = column_profile(df)
+    cp = column_profile(df, text_stats=False)
     need = F.floor(F.col("n_rows") * F.lit(1 - threshold))
     return cp.select("pos", "column_name", "n_non_null", need.cast("long").alias("min_non_null"),
                      (F.col("n_non_null") >= need).alias("keep"))

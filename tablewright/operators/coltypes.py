@@ -84,7 +84,7 @@ def task_from_target(cp_target_base: Column, n_unique: Column) -> Column:
 
 def detect_task(df: DataFrame, target: str) -> DataFrame:
     """TYP4 on one table: (target, base, n_unique, task_type)."""
-    cp = column_profile(df, [target])
+    cp = column_profile(df, [target], text_stats=False)
     return cp.select(F.col("column_name").alias("target"), "base", "n_unique",
                      task_from_target(F.col("base"), F.col("n_unique")).alias("task_type"))
 
@@ -120,7 +120,7 @@ def detect_target(df: DataFrame, task_hint: str = "classification") -> DataFrame
     5. lowest-cardinality numeric column -> low; else no target.
     """
     spark = df.sparkSession
-    cp = column_profile(df).withColumn("lname", F.lower("column_name"))
+    cp = column_profile(df, text_stats=False).withColumn("lname", F.lower("column_name"))
     hints = F.broadcast(hint_table(spark))
     n_cols = len(df.columns)
     name_hits = (cp.join(hints, F.col("lname").contains(F.col("hint")))

@@ -41,7 +41,7 @@ _PASS_A_FIELDS = [
 ]
 
 
-def _pass_a_struct(i: int, name: str, dtype: T.DataType) -> Column:
+def _pass_a_struct(i: int, name: str, dtype: T.DataType, text_stats: bool = True) -> Column:
     fam = base_family(dtype)
     v = clean_value(name, dtype)
     nulls = {f: F.lit(None).cast(t) for f, t in _PASS_A_FIELDS}
@@ -51,7 +51,7 @@ def _pass_a_struct(i: int, name: str, dtype: T.DataType) -> Column:
         d = v.cast("double")
         fields.update(v_min=F.min(d), v_max=F.max(d), v_mean=F.avg(d),
                       skew_pop=F.skewness(d), var_pop=F.var_pop(d))
-    elif fam == "string":
+    elif fam == "string" and text_stats:
         s = F.col(name)
         fields.update(n_date=F.count_if(parse_datetime(s).isNotNull()),
                       n_numeric_like=F.count_if(numeric_like(s)),
@@ -66,21 +66,24 @@ def _columns(df: DataFrame, columns: list[str] | None) -> list[tuple[int, str, T
     return [(i, c, types[c]) for i, c in enumerate(names)]
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def column_profile(df: DataFrame, columns: list[str] | None = None,
+                   text_stats: bool = True) -> DataFrame:
     """One row per column with everything the reference derives per column.
 
     Columns: pos, column_name, dtype, base, n_rows, n_non_null, n_null, missing_frac, n_unique,
     mode, mode_count, v_min, v_max, v_mean, skew, n_date, n_numeric_like, avg_words, avg_len.
     ``skew`` is bias-corrected (the pandas / DuckDB definition); NULL below 3 values and 0
-    for a constant column.
+    for a constant column.  ``text_stats=False`` skips the date/number parse rates and word
+    counts (the costly per-string expressions) when only counts and distincts are needed.
     """
     cols = _columns(df, columns)
-    meta = df.sparkSession.createDataFrame(
-        [(i, c, t.simpleString(), base_family(t)) for i, c, t in cols],
-        "pos int, column_name string, dtype string, base string")
+    meta = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column_name"),
+                 F.lit(t.simpleString()).alias("dtype"), F.lit(base_family(t)).alias("base"))
+        for i, c, t in cols])))
 
     # Pass A: one aggregation, one row, then one row per column.
-    structs = [_pass_a_struct(i, c, t) for i, c, t in cols]
+    structs = [_pass_a_struct(i, c, t, text_stats) for i, c, t in cols]
     one = df.agg(F.count(F.lit(1)).alias("n_rows"), *structs)
     pass_a = one.select("n_rows", F.inline(F.array(*[F.col(f"c{i}") for i, _, _ in cols])))
 
@@ -204,35 +207,35 @@ def profile_shape(df: DataFrame) -> DataFrame:
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """PROF2: missing percentage per column, rounded half-even to 2 places."""
-    return column_profile(df).select(
+    return column_profile(df, text_stats=False).select(
         "column_name", F.bround(F.col("missing_frac") * 100, 2).alias("missing_pct"))
 
 
 def missing_ratio(df: DataFrame) -> DataFrame:
     """PROF3: mean of the per-column missing fractions, plus the >0.5 warning flag."""
-    return column_profile(df).agg(F.avg("missing_frac").alias("r")).select(
+    return column_profile(df, text_stats=False).agg(F.avg("missing_frac").alias("r")).select(
         F.bround("r", 4).alias("missing_value_ratio"), (F.col("r") > 0.5).alias("high_missing"))
 
 
 def distinct_by_column(df: DataFrame) -> DataFrame:
     """PROF5: exact distinct count per column, NULLs (and NaN) excluded."""
-    return column_profile(df).select("column_name", "n_unique")
+    return column_profile(df, text_stats=False).select("column_name", "n_unique")
 
 
 def column_stats(df: DataFrame) -> DataFrame:
     """PROF6: per-column storage family, distinct count and missing percentage."""
-    return column_profile(df).select(
+    return column_profile(df, text_stats=False).select(
         "column_name", "base", "n_unique", F.bround(F.col("missing_frac") * 100, 2).alias("missing_pct"))
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
     """PROF7: columns with at most one distinct value (an all-NULL column counts)."""
-    return column_profile(df).where(F.col("n_unique") <= 1).select("column_name", "n_unique")
+    return column_profile(df, text_stats=False).where(F.col("n_unique") <= 1).select("column_name", "n_unique")
 
 
 def skewed_columns(df: DataFrame) -> DataFrame:
     """PROF8: bias-corrected skewness of every numeric column and the |skew| > 2 flag."""
-    return (column_profile(df).where(F.col("base") == "numeric")
+    return (column_profile(df, text_stats=False).where(F.col("base") == "numeric")
             .select("column_name", "skew", (F.abs(F.col("skew")) > SKEW_LIMIT).alias("skewed")))
 
 
@@ -243,7 +246,7 @@ def feature_flags(df: DataFrame) -> DataFrame:
     needs high cardinality and a name containing "id" or "index" (plain substring, so
     "width" matches too, as in the reference).  Skew is tested for numeric columns.
     """
-    cp = column_profile(df)
+    cp = column_profile(df, text_stats=False)
     lname = F.lower(F.col("column_name"))
     constant = F.col("n_unique") <= 1
     high = ~constant & (F.col("n_unique") / F.col("n_rows") > HIGH_CARDINALITY_RATIO)
@@ -270,7 +273,7 @@ def value_summary(df: DataFrame, columns: list[str] | None = None, max_options:
     w = F.row_number().over(Window.partitionBy("pos").orderBy("v"))
     firsts = (long.withColumn("rk", w).where(F.col("rk") <= max_options + 1)
               .groupBy("pos").agg(F.array_sort(F.collect_list("v")).alias("vals")))
-    cp = column_profile(df, [c for _, c, _ in cols])
+    cp = column_profile(df, [c for _, c, _ in cols], text_stats=False)
     return (cp.join(firsts, "pos", "left").select(
         "column_name",
         F.when(F.col("base") == "numeric", F.bround("v_min", 2)).alias("min"),

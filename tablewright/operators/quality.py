@@ -61,7 +61,7 @@ def quality_report(df: DataFrame, target: str | None = None) -> DataFrame:
     missing_value_ratio, duplicate_ratio, class_imbalance_ratio, zero_variance_columns,
     usable_features.  Issues and warnings are comma-joined codes in the reference's order.
     """
-    cp = column_profile(df)
+    cp = column_profile(df, text_stats=False)
     tgt = F.lit(target) if target else F.lit(None).cast("string")
     is_t = F.col("column_name") == tgt
     zero_var = F.col("n_unique") <= 1

@@ -33,3 +33,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import queries_profile  # noqa: F401
     from . import queries_clean  # noqa: F401
+    from . import queries_features  # noqa: F401
