@@ -126,3 +126,19 @@ def join_dictionary(df: DataFrame, dictionary: DataFrame, on: str, how: str = "l
         n_keys = dictionary.count()
     right = F.broadcast(dictionary) if n_keys <= BROADCAST_MAX_KEYS else dictionary
     return df.join(right, on, how)
+
+
+def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k: int,
+                    rank_col: str = "_rank", salt_buckets: int = 32) -> DataFrame:
+    """The first ``k`` rows of every group in ``order_cols`` order, with their rank.
+
+    Two phases so that a hot group never sorts in one task: rows are first ranked inside
+    (group, salt) where salt = hash(row) mod ``salt_buckets``; only the k best of each salt
+    survive (at most k x buckets rows per group) and are ranked again per group.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salt_buckets))
+    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
+    first = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
+             .where(F.col("_r1") <= k).drop("_r1", "_salt"))
+    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols) if group_cols else Window.orderBy(*order_cols)
+    return first.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)

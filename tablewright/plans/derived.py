@@ -80,3 +80,56 @@ NUMERIC_STRINGS_SQL = """
    l_returnflag
  FROM lineitem)
 """.strip()
+
+
+def pages_with_links(pages: DataFrame) -> DataFrame:
+    """pages with dataset-file links appended to the html (the raw pages contain none):
+    raw GitHub CSV links on every third page, a relative machine-learning-databases file on
+    every fifth, a download link on even pages, and a huggingface viewer link on every fourth."""
+    pid = F.col("page_id").cast("string")
+    extra = F.concat(
+        F.when(F.col("page_id") % 3 == 0, F.concat(
+            F.lit('<a href="https://raw.githubusercontent.com/o'), (F.col("page_id") % 7).cast("string"),
+            F.lit("/r/main/d"), pid, F.lit('.csv">d</a>'))).otherwise(F.lit("")),
+        F.when(F.col("page_id") % 5 == 0, F.concat(
+            F.lit("<a href=ml/machine-learning-databases/x"), pid, F.lit(".data>x</a>"))).otherwise(F.lit("")),
+        F.when(F.col("page_id") % 2 == 0, F.concat(
+            F.lit('<a href="/files/download?f=t'), pid, F.lit('.tsv">t</a>'))).otherwise(F.lit("")),
+        F.when(F.col("page_id") % 4 == 0, F.concat(
+            F.lit("<a href='https://huggingface.co/datasets/u"), pid,
+            F.lit("/blob/main/blob/d.csv'>h</a>"))).otherwise(F.lit("")))
+    return pages.select("page_id", "url", F.concat(F.col("html"), extra).alias("html"))
+
+
+PAGES_WITH_LINKS_SQL = """
+(SELECT page_id, url, html
+   || CASE WHEN page_id % 3 = 0 THEN '<a href="https://raw.githubusercontent.com/o' || CAST(page_id % 7 AS VARCHAR)
+        || '/r/main/d' || CAST(page_id AS VARCHAR) || '.csv">d</a>' ELSE '' END
+   || CASE WHEN page_id % 5 = 0 THEN '<a href=ml/machine-learning-databases/x' || CAST(page_id AS VARCHAR) || '.data>x</a>' ELSE '' END
+   || CASE WHEN page_id % 2 = 0 THEN '<a href="/files/download?f=t' || CAST(page_id AS VARCHAR) || '.tsv">t</a>' ELSE '' END
+   || CASE WHEN page_id % 4 = 0 THEN '<a href=''https://huggingface.co/datasets/u' || CAST(page_id AS VARCHAR)
+        || '/blob/main/blob/d.csv''>h</a>' ELSE '' END AS html
+ FROM pages)
+""".strip()
+
+
+def data_link_results(pages: DataFrame) -> DataFrame:
+    """Search-result rows for direct data-file links derived from pages (FIXTURES recipe),
+    with junk hosts on every eleventh page."""
+    pid = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 11 == 0,
+                 F.concat(F.lit("https://export-jrc.example.org/catalogue/d"), pid, F.lit(".csv"))
+                 ).otherwise(F.concat(F.lit("https://raw.githubusercontent.com/o"),
+                                      (F.col("page_id") % 7).cast("string"), F.lit("/r/main/d"), pid, F.lit(".csv")))
+    return pages.select((F.col("page_id") + 1_000_000).alias("pos"),
+                        F.concat(F.lit("d"), pid, F.lit(".csv")).alias("title"), url.alias("url"),
+                        F.lit("csv data file").alias("snippet"))
+
+
+DATA_LINK_RESULTS_SQL = """
+(SELECT page_id + 1000000 AS pos, 'd' || CAST(page_id AS VARCHAR) || '.csv' AS title,
+   CASE WHEN page_id % 11 = 0 THEN 'https://export-jrc.example.org/catalogue/d' || CAST(page_id AS VARCHAR) || '.csv'
+        ELSE 'https://raw.githubusercontent.com/o' || CAST(page_id % 7 AS VARCHAR) || '/r/main/d' || CAST(page_id AS VARCHAR) || '.csv' END AS url,
+   'csv data file' AS snippet
+ FROM pages)
+""".strip()
