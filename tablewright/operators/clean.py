@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (base_family, guarded_double, nonfinite_to_zero, strip_quotes,
                                  strip_quotes_fill)
-from ..functions.stats import column_modes, exact_median, ordered_codes
+from ..functions.stats import column_modes, exact_medians, ordered_codes
 from .profile import column_profile, feature_flags
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -111,7 +111,7 @@ def fill_median(df: DataFrame, columns: list[str] | None = None,
                                          if isinstance(types[c], (T.FloatType, T.DoubleType))
                                          else F.lit(False))).alias(c) for c in cols]).first()
             cols = [c for c in cols if nulls[c] > 0]
-        medians = {c: exact_median(df, c) for c in cols}
+        medians = exact_medians(df, cols)
     out = []
     for c in df.columns:
         if c in cols:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import base_family, guarded_double, parse_datetime, strip_quotes
-from ..functions.stats import column_modes, exact_median, join_dictionary, ordered_codes
+from ..functions.stats import column_modes, exact_medians, join_dictionary, ordered_codes
 
 # ---- fixed values -------------------------------------------------------------------------
 MAX_OHE_CATEGORIES = 50          # pipeline: one-hot up to this many categories, else ordinal
@@ -86,7 +86,7 @@ class ScalerFit:
 
 def fit_standard_scaler(train: DataFrame, columns: list[str]) -> ScalerFit:
     """Exact median for imputation, then mean and *population* std of the imputed column."""
-    med = {c: exact_median(train, c) for c in columns}
+    med = exact_medians(train, columns)
     med = {c: (0.0 if v is None else v) for c, v in med.items()}
     imputed = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in columns])
     row = imputed.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
