@@ -329,3 +329,15 @@ def set_union_first_by_url(spark, d):
     s2 = pages.select(F.lit(2).alias("priority"), F.col("page_id").alias("pos"), "url",
                       CA.page_title(F.col("html")).alias("title"))
     return CA.union_first_by_url([s0, s1, s2]).select("url", "priority", "pos", "title")
+
+
+# ---- streaming ---------------------------------------------------------------------------
+
+@query("stream_rule_classify", f"""
+SELECT doc_id, {_sql_rule_chain("lower(text)", TR.TASK_RULES, "classification")} AS task_type,
+  {_sql_rule_chain("lower(text)", TR.DOMAIN_RULES, "general")} AS domain FROM documents""")
+def stream_rule_classify(spark, d):
+    from ..streaming import rowwise as SW
+    stream = SW.read_stream(spark, f"{d.rstrip('/')}/documents.parquet")
+    path = SW.run_to_table(SW.classify_texts(stream, ["doc_id"]).drop("keywords"), "rule-classify")
+    return spark.read.parquet(path)
