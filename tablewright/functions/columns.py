@@ -27,6 +27,10 @@ DATETIME_FORMATS = [
     ("dd.MM.yyyy", "%d.%m.%Y"),
 ]
 
+# Every format above starts with digits, separator, digits, separator, digits; values without
+# that shape cannot parse, so they skip the (exception-driven) parser attempts.
+DATE_SHAPE = r"^[+-]?\d+[-/.]\d+[-/.]\d+"
+
 # Characters stripped by the two quote-stripping steps.
 QUOTE_CHARS = "'\""
 # -------------------------------------------------------------------------------------------
@@ -83,7 +87,8 @@ def guarded_double(col: Column) -> Column:
 
 def parse_datetime(col: Column) -> Column:
     """First successful parse over ``DATETIME_FORMATS``; NULL when none applies."""
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(fmt)) for fmt, _ in DATETIME_FORMATS])
+    return F.when(col.rlike(DATE_SHAPE),
+                  F.coalesce(*[F.try_to_timestamp(col, F.lit(fmt)) for fmt, _ in DATETIME_FORMATS]))
 
 
 def word_count(col: Column) -> Column:

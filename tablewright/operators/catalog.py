@@ -230,24 +230,29 @@ def extract_dataset_link(pages: DataFrame, id_col: str = "page_id", url_col: str
     quoted = F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)href=[\"']([^\"']+)[\"']"), 1)
     bare = F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)href=([^\s>]+)"), 1)
     hrefs = pages.select(id_col, url_col, F.posexplode(F.concat(quoted, bare)).alias("i", "href"))
-    h = F.regexp_replace(F.col("href"), r"^\s+|\s+$", "")
     page = F.col(url_col)
-    base = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    page_dir = F.regexp_extract(F.regexp_replace(page, r"[?#].*$", ""), r"^(.*/)", 1)
-    full = (F.when(h.startswith("http"), h).when(h.startswith("/"), F.concat(base, h))
-            .otherwise(F.concat(F.when(page_dir == "", F.concat(base, F.lit("/"))).otherwise(page_dir), h)))
-    low = F.lower(full)
-    has_ext_end = _any(low, PAGE_LINK_EXTENSIONS, "endswith")
+    staged = hrefs.select(
+        id_col, "i", F.regexp_replace(F.col("href"), r"^\s+|\s+$", "").alias("h"),
+        F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1).alias("base"),
+        F.regexp_extract(F.regexp_replace(page, r"[?#].*$", ""), r"^(.*/)", 1).alias("page_dir"))
+    h = F.col("h")
+    skip = h.startswith("#") | h.startswith("javascript:") | h.startswith("mailto:")
+    full = (F.when(h.startswith("http"), h).when(h.startswith("/"), F.concat("base", h))
+            .otherwise(F.concat(F.when(F.col("page_dir") == "", F.concat("base", F.lit("/")))
+                                .otherwise(F.col("page_dir")), h)))
+    resolved = staged.where(~skip).select(id_col, "i", full.alias("link")).select(
+        id_col, "i", "link", F.lower("link").alias("low"))
+    low = F.col("low")
+    alt = "|".join(e.lstrip(".").replace(".", r"\.") for e in PAGE_LINK_EXTENSIONS)
+    has_ext_end = low.rlike(rf"\.({alt})$")
     uci = low.contains("machine-learning-databases")
     kind = (F.when(uci & has_ext_end, 0).when(uci, 1).when(has_ext_end, 1)
-            .when(low.contains("download") & _any(low, PAGE_LINK_EXTENSIONS), 1))
+            .when(low.contains("download") & low.rlike(rf"\.({alt})"), 1))
     order = F.when(kind == 0, -F.col("i")).otherwise(F.col("i"))
     pref = F.lit(len(PREFERRED_LINK_EXTENSIONS))
     for j, ext in reversed(list(enumerate(PREFERRED_LINK_EXTENSIONS))):
         pref = F.when(low.endswith(ext), F.lit(j)).otherwise(pref)
-    skip = h.startswith("#") | h.startswith("javascript:") | h.startswith("mailto:")
-    cands = (hrefs.where(~skip).select(id_col, full.alias("link"), kind.alias("kind"),
-                                       order.alias("ord"), pref.alias("pref"))
+    cands = (resolved.select(id_col, "link", kind.alias("kind"), order.alias("ord"), pref.alias("pref"))
              .where(F.col("kind").isNotNull()))
     best = cands.groupBy(id_col).agg(
         F.min(F.struct("pref", "kind", "ord", "link")).alias("b"))
