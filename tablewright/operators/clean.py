@@ -86,10 +86,10 @@ def numeric_string_columns(df: DataFrame, share: float = NUMERIC_STRING_SHARE) -
     strs = _string_columns(df)
     if not strs:
         return []
-    rows = (column_profile(df, strs)
-            .where(F.col("n_numeric_like") / F.col("n_non_null") > share)
-            .select("column_name").collect())
-    return [r[0] for r in rows]
+    from ..functions.columns import numeric_like
+    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(strs)],
+                 *[F.count_if(numeric_like(F.col(c))).alias(f"k{i}") for i, c in enumerate(strs)]).first()
+    return [c for i, c in enumerate(strs) if row[f"n{i}"] and row[f"k{i}"] / row[f"n{i}"] > share]
 
 
 def coerce_numeric(df: DataFrame, columns: list[str] | None = None,
@@ -161,7 +161,11 @@ def clean_dataset(df: DataFrame, drop_columns: list[str] | None = None,
     if drop_columns:
         out = out.drop(*[c for c in drop_columns if c in out.columns])
     out = drop_high_missing(out, protect=protect)
-    out = dedup_rows(out)
+    # The de-duplicated table feeds several statistics jobs below; it is written once to
+    # the shared checkpoint folder so the dedup shuffle is not repeated (and lineage is cut).
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    out = dedup_rows(out).checkpoint(eager=True)
     out = coerce_numeric(out)
     out = fill_median(out)
     return fill_mode(out)

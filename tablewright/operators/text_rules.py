@@ -174,6 +174,27 @@ def keywords(text: Column, variant: str = "idea") -> Column:
     return kept
 
 
+def keyword_columns(df, text_col: str, variants: list[str], keep: list[str]):
+    """Several keyword variants of one text column, extracting the word runs only once per
+    casing (a staged projection keeps the shared arrays from being recomputed per variant)."""
+    t = F.col(text_col)
+    need_raw = any(not KEYWORD_VARIANTS[v][0] for v in variants)
+    staged = df.select(*keep, ascii_words(t, True).alias("__w_low"),
+                       *( [ascii_words(t, False).alias("__w_raw")] if need_raw else []))
+    cols = []
+    for v in variants:
+        lower_first, stops, cap, distinct = KEYWORD_VARIANTS[v]
+        words = F.col("__w_low") if lower_first else F.col("__w_raw")
+        stop_arr = F.array(*[F.lit(s) for s in stops])
+        kept = F.filter(words, lambda w: ~F.array_contains(stop_arr, w))
+        if distinct:
+            kept = F.array_distinct(kept)
+        if cap is not None:
+            kept = F.slice(kept, 1, cap)
+        cols.append(kept.alias(v))
+    return staged.select(*keep, *cols)
+
+
 def problem_understanding(text: Column) -> Column:
     """TXT3: struct(task_type, domain, data_type, use_case, n_hits) of the best rule."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -27,10 +27,11 @@ def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return exploded.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES) -> DataFrame:
+def fit_vocabulary(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES,
+                   tc: DataFrame | None = None) -> DataFrame:
     """(term, idf, term_index) for the ``max_features`` most frequent terms."""
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    tc = term_counts(docs, doc_id, text)
+    tc = tc if tc is not None else term_counts(docs, doc_id, text)
     stats = tc.groupBy("term").agg(F.sum("tf").alias("ttf"), F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.col("ttf").desc(), F.col("term")).limit(max_features)
     from .profile import attach
@@ -40,9 +41,16 @@ def fit_vocabulary(docs: DataFrame, doc_id: str, text: str, max_features: int =
                     idx.alias("term_index"))
 
 
-def transform(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, term, term_index, weight) - L2-normalised tf-idf of vocabulary terms."""
-    tc = term_counts(docs, doc_id, text)
+def transform(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame,
+              tc: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, term_index, weight) - L2-normalised tf-idf of vocabulary terms.
+
+    Without precomputed counts, exploded terms are semi-joined with the broadcast vocabulary
+    before the (doc, term) aggregation, so only vocabulary terms are shuffled."""
+    if tc is None:
+        exploded = docs.select(doc_id, F.explode(with_bigrams(tokens(F.col(text)))).alias("term"))
+        kept = exploded.join(F.broadcast(vocabulary.select("term")), "term", "left_semi")
+        tc = kept.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
     x = tc.join(F.broadcast(vocabulary), "term").withColumn("x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(doc_id)))
     return x.select(doc_id, "term", "term_index", (F.col("x") / norm).alias("weight"))
@@ -50,8 +58,16 @@ def transform(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame) ->
 
 def tfidf(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES,
           fit_on: DataFrame | None = None) -> DataFrame:
-    """Fit the vocabulary on ``fit_on`` (default: ``docs``) and transform ``docs``."""
-    vocab = fit_vocabulary(fit_on if fit_on is not None else docs, doc_id, text, max_features)
+    """Fit the vocabulary on ``fit_on`` (default: ``docs``) and transform ``docs``.
+
+    When fitting and transforming the same corpus, the (doc, term) counts are computed once
+    and persisted for both steps."""
+    if fit_on is None:
+        from pyspark import StorageLevel
+        tc = term_counts(docs, doc_id, text).persist(StorageLevel.MEMORY_AND_DISK)
+        vocab = fit_vocabulary(docs, doc_id, text, max_features, tc=tc)
+        return transform(docs, doc_id, text, vocab, tc=tc)
+    vocab = fit_vocabulary(fit_on, doc_id, text, max_features)
     return transform(docs, doc_id, text, vocab)
 
 

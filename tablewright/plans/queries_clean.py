@@ -258,8 +258,8 @@ def clean_nonfinite_to_zero(spark, d):
 
 
 def _safe_float_input(li):
-    return numeric_strings(li.withColumn("part_code", F.concat(F.lit("c"), F.col("l_partkey").cast("string"))),
-                           "part_code")
+    code = F.concat(F.lit("c"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    return numeric_strings(li.withColumn("part_code", code), "part_code")
 
 
 @query("clean_safe_to_float", f"""

@@ -76,16 +76,15 @@ LEFT JOIN {_kw_sql_variant('semantic')} c USING (doc_id)
 LEFT JOIN {_kw_sql_variant('core')} e USING (doc_id)
 LEFT JOIN {_kw_sql_variant('entities')} f USING (doc_id)""")
 def text_keywords(spark, d):
-    t = F.col("text")
-    core = TR.keywords(t, "core")
-    ents = TR.keywords(t, "entities")
-    return table(spark, d, "documents").select(
+    kw = TR.keyword_columns(table(spark, d, "documents"), "text",
+                            ["idea", "concept", "semantic", "core", "entities"], ["doc_id"])
+    return kw.select(
         "doc_id",
-        F.array_join(TR.keywords(t, "idea"), ",").alias("kw_idea"),
-        F.array_join(TR.keywords(t, "concept"), ",").alias("kw_concept"),
-        F.array_join(TR.keywords(t, "semantic"), ",").alias("kw_semantic"),
-        F.size(core).cast("long").alias("n_core"), F.md5(F.array_join(core, ",")).alias("core_md5"),
-        F.size(ents).cast("long").alias("n_entities"), F.md5(F.array_join(ents, ",")).alias("entities_md5"))
+        F.array_join("idea", ",").alias("kw_idea"),
+        F.array_join("concept", ",").alias("kw_concept"),
+        F.array_join("semantic", ",").alias("kw_semantic"),
+        F.size("core").cast("long").alias("n_core"), F.md5(F.array_join("core", ",")).alias("core_md5"),
+        F.size("entities").cast("long").alias("n_entities"), F.md5(F.array_join("entities", ",")).alias("entities_md5"))
 
 
 # ---- TXT3 --------------------------------------------------------------------------------
@@ -182,7 +181,8 @@ _SOURCE_SQL = ("CASE WHEN starts_with(coalesce(title, ''), 'Known:') THEN 'Known
                + " ".join(f"WHEN contains(lower(url), {_q(n)}) THEN {_q(lab)}" for n, lab in CA.SOURCE_LABELS)
                + " ELSE 'Web' END")
 
-_LANG_SPARK = F.regexp_extract(F.col("url"), r"/(en|fr|de|es)/", 1)
+def _lang_spark():
+    return F.regexp_extract(F.col("url"), r"/(en|fr|de|es)/", 1)
 _LANG_SQL = r"regexp_extract(url, '/(en|fr|de|es)/', 1)"
 
 
@@ -201,7 +201,7 @@ SELECT lang, rank, pos, url, owner, {_SOURCE_SQL} AS source FROM r WHERE rank <=
 
 @query("catalog_rank_diverse", _rank_sql())
 def catalog_rank_diverse(spark, d):
-    scored = CA.score_results(_results(spark, d), IDEA_KEYWORDS).withColumn("lang", _LANG_SPARK)
+    scored = CA.score_results(_results(spark, d), IDEA_KEYWORDS).withColumn("lang", _lang_spark())
     ranked = CA.rank_diverse(scored, top_n=5, per_owner=2, group_cols=["lang"])
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "pos", "url", "owner", "source")
 
