@@ -24,10 +24,14 @@ def tokens(col: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(TOKEN_PATTERN), 0)
 
 
+# Bigrams from the space-joined tokens: at the start and at every space, look ahead for
+# "token token" (tokens never contain spaces).  One regex pass, no per-element lambda.
+BIGRAM_PATTERN = r"(?:^| )(?=([^ ]+ [^ ]+))"
+
+
 def with_bigrams(toks: Column) -> Column:
     """Unigrams followed by the bigrams of consecutive tokens ('a b')."""
-    nxt = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0)))
-    bi = F.array_compact(F.zip_with(toks, nxt, lambda a, b: F.concat(a, F.lit(" "), b)))
+    bi = F.regexp_extract_all(F.array_join(toks, " "), F.lit(BIGRAM_PATTERN), 1)
     return F.concat(toks, bi)
 
 

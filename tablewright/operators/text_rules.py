@@ -116,6 +116,8 @@ PROBLEM_DEFAULTS = ("classification", "general", "tabular", "prediction")
 # A word run: letters, digits, underscore (Python's Unicode \w without marks).
 WORD_RUN = r"[\p{L}\p{N}_]+"
 ASCII_WORD3 = r"^[a-zA-Z]{3,}$"
+# A whole word run made of >= 3 ASCII letters (Unicode word boundaries on both sides).
+ASCII_WORD_IN_TEXT = r"(?<![\p{L}\p{N}_])[a-zA-Z]{3,}(?![\p{L}\p{N}_])"
 # -------------------------------------------------------------------------------------------
 
 # keyword variants: (lower-case first, stop words, cap or None, distinct)
@@ -157,18 +159,24 @@ def ascii_words(text: Column, lower_first: bool) -> Column:
     """Whole word runs made only of >= 3 ASCII letters, lower-cased, in text order."""
     src = F.coalesce(text, F.lit(""))
     if lower_first:
-        src = F.lower(src)
-    runs = F.regexp_extract_all(src, F.lit(WORD_RUN), 0)
-    return F.transform(F.filter(runs, lambda w: w.rlike(ASCII_WORD3)), lambda w: F.lower(w))
+        return F.regexp_extract_all(F.lower(src), F.lit(ASCII_WORD_IN_TEXT), 0)
+    words = F.regexp_extract_all(src, F.lit(ASCII_WORD_IN_TEXT), 0)
+    # lower-case the words without a per-element lambda: join, lower, split
+    return F.when(F.size(words) == 0, words).otherwise(F.split(F.lower(F.array_join(words, " ")), " "))
 
 
 def keywords(text: Column, variant: str = "idea") -> Column:
     """TXT2: keyword list of a text (order of first appearance, stop words removed, capped)."""
     lower_first, stops, cap, distinct = KEYWORD_VARIANTS[variant]
+    return _drop_stops(ascii_words(text, lower_first), stops, cap, distinct)
+
+
+def _drop_stops(words: Column, stops: list[str], cap: int | None, distinct: bool) -> Column:
     stop_arr = F.array(*[F.lit(s) for s in stops])
-    kept = F.filter(ascii_words(text, lower_first), lambda w: ~F.array_contains(stop_arr, w))
-    if distinct:
-        kept = F.array_distinct(kept)
+    if distinct:   # array_except keeps first occurrences in order and drops duplicates
+        kept = F.array_except(words, stop_arr)
+    else:
+        kept = F.filter(words, lambda w: ~F.array_contains(stop_arr, w))
     if cap is not None:
         kept = F.slice(kept, 1, cap)
     return kept
@@ -185,33 +193,43 @@ def keyword_columns(df, text_col: str, variants: list[str], keep: list[str]):
     for v in variants:
         lower_first, stops, cap, distinct = KEYWORD_VARIANTS[v]
         words = F.col("__w_low") if lower_first else F.col("__w_raw")
-        stop_arr = F.array(*[F.lit(s) for s in stops])
-        kept = F.filter(words, lambda w: ~F.array_contains(stop_arr, w))
-        if distinct:
-            kept = F.array_distinct(kept)
-        if cap is not None:
-            kept = F.slice(kept, 1, cap)
-        cols.append(kept.alias(v))
+        cols.append(_drop_stops(words, stops, cap, distinct).alias(v))
     return staged.select(*keep, *cols)
 
 
-def problem_understanding(text: Column) -> Column:
-    """TXT3: struct(task_type, domain, data_type, use_case, n_hits) of the best rule."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def _best_rule(low: Column) -> Column:
+    """struct(hits, neg_rule) of the rule with most trigger hits (earliest on ties)."""
     scored = []
-    for i, (triggers, task, dom, dtype, use) in enumerate(PROBLEM_RULES):
+    for i, (triggers, *_rest) in enumerate(PROBLEM_RULES):
         hits = sum((F.when(low.contains(t), 1).otherwise(0) for t in triggers), F.lit(0))
-        scored.append(F.struct(hits.alias("hits"), F.lit(-i).alias("neg_rule"), F.lit(task).alias("task_type"),
-                               F.lit(dom).alias("domain"), F.lit(dtype).alias("data_type"),
-                               F.lit(use).alias("use_case")))
-    best = F.greatest(*scored)
-    d = PROBLEM_DEFAULTS
-    return F.when(best["hits"] > 0, F.struct(
-        best["task_type"].alias("task_type"), best["domain"].alias("domain"),
-        best["data_type"].alias("data_type"), best["use_case"].alias("use_case"),
-        best["hits"].alias("n_hits"))).otherwise(F.struct(
-        F.lit(d[0]).alias("task_type"), F.lit(d[1]).alias("domain"), F.lit(d[2]).alias("data_type"),
-        F.lit(d[3]).alias("use_case"), F.lit(0).alias("n_hits")))
+        scored.append(F.struct(hits.alias("hits"), F.lit(-i).alias("neg_rule")))
+    return F.greatest(*scored)
+
+
+def _rule_fields(best: Column) -> list[Column]:
+    idx = -best["neg_rule"] + 1
+    hit = best["hits"] > 0
+    out = []
+    for j, name in enumerate(["task_type", "domain", "data_type", "use_case"]):
+        values = F.array(*[F.lit(r[j + 1]) for r in PROBLEM_RULES])
+        out.append(F.when(hit, F.element_at(values, idx)).otherwise(F.lit(PROBLEM_DEFAULTS[j])).alias(name))
+    out.append(F.when(hit, best["hits"]).otherwise(F.lit(0)).alias("n_hits"))
+    return out
+
+
+def problem_table(df, text_col: str, keep: list[str]):
+    """TXT3 over a table.  Staged projections: the text is lower-cased once, all rules are
+    scored into one struct column, and the rule's fields are looked up by index - so no
+    trigger scan runs more than once per row."""
+    low = df.select(*keep, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__low"))
+    best = low.select(*keep, _best_rule(F.col("__low")).alias("__best"))
+    return best.select(*keep, *_rule_fields(F.col("__best")))
+
+
+def problem_understanding(text: Column) -> Column:
+    """TXT3 as one column: struct(task_type, domain, data_type, use_case, n_hits)."""
+    best = _best_rule(F.lower(F.coalesce(text, F.lit(""))))
+    return F.struct(*_rule_fields(best))
 
 
 def slug(text: Column, max_len: int = 40) -> Column:

@@ -5,75 +5,104 @@ unigrams and bigrams, vocabulary = the ``max_features`` terms with the highest t
 the fitting corpus (ties by term), idf = ln((1 + n_docs) / (1 + df)) + 1, raw term counts,
 rows L2-normalised.  Output is sparse: one row per (document, vocabulary term present).
 
-Scale: tokens are exploded and counted per (doc, term) with map-side combining; the
-vocabulary is a top-k (bounded by ``max_features``) and is broadcast; per-document norms use
-a window over one document's at most ``max_features`` rows.
+Two passes over the text, each a map-side-combined aggregation:
+
+1. total count per term (``groupBy(term)``; a frequent term costs one row per task) and the
+   top ``max_features`` of it - a bounded top-k;
+2. terms outside the (broadcast, bounded) vocabulary are dropped *before* the per-(doc, term)
+   aggregation, so only vocabulary terms are shuffled; document frequencies and idf come
+   from that small result, and per-document norms from a window over at most
+   ``max_features`` rows of one document.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens, with_bigrams
+from .profile import attach
 
 MAX_FEATURES = 200   # fixed value: terms kept per text column
 
 
+def _terms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(doc_id, F.explode(with_bigrams(tokens(F.col(text)))).alias("term"))
+
+
 def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf) for unigrams and bigrams of every document."""
-    exploded = docs.select(doc_id, F.explode(with_bigrams(tokens(F.col(text)))).alias("term"))
-    return exploded.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf) for every unigram and bigram of every document."""
+    return _terms(docs, doc_id, text).groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES,
-                   tc: DataFrame | None = None) -> DataFrame:
-    """(term, idf, term_index) for the ``max_features`` most frequent terms."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    tc = tc if tc is not None else term_counts(docs, doc_id, text)
-    stats = tc.groupBy("term").agg(F.sum("tf").alias("ttf"), F.count(F.lit(1)).alias("df"))
-    top = stats.orderBy(F.col("ttf").desc(), F.col("term")).limit(max_features)
-    from .profile import attach
-    v = attach(top, n_docs)
-    idx = F.row_number().over(Window.orderBy("term")) - 1   # at most max_features rows
+def top_terms(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES) -> DataFrame:
+    """Pass 1: the ``max_features`` terms with the highest total count (ties by term)."""
+    ttf = _terms(docs, doc_id, text).groupBy("term").agg(F.count(F.lit(1)).alias("ttf"))
+    return ttf.orderBy(F.col("ttf").desc(), F.col("term")).limit(max_features).select("term")
+
+
+def vocab_counts(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
+    """Pass 2: (doc_id, term, tf) for vocabulary terms only (bounded broadcast semi-join)."""
+    kept = _terms(docs, doc_id, text).join(F.broadcast(terms), "term", "left_semi")
+    return kept.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _idf(counts: DataFrame, terms: DataFrame, n_docs: DataFrame) -> DataFrame:
+    df_ = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    v = attach(terms.join(df_, "term", "left").fillna(0, ["df"]), n_docs)
+    idx = F.row_number().over(Window.orderBy("term")) - 1        # at most max_features rows
     return v.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"),
                     idx.alias("term_index"))
 
 
-def transform(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame,
-              tc: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, term_index, weight) - L2-normalised tf-idf of vocabulary terms.
+def _materialise(terms: DataFrame) -> DataFrame:
+    """The vocabulary is a top-k of at most ``max_features`` rows: collect it once and reuse it
+    as a literal frame, instead of re-running the term totals for every consumer."""
+    rows = [(r[0],) for r in terms.collect()]
+    return terms.sparkSession.createDataFrame(rows, "term string")
 
-    Without precomputed counts, exploded terms are semi-joined with the broadcast vocabulary
-    before the (doc, term) aggregation, so only vocabulary terms are shuffled."""
-    if tc is None:
-        exploded = docs.select(doc_id, F.explode(with_bigrams(tokens(F.col(text)))).alias("term"))
-        kept = exploded.join(F.broadcast(vocabulary.select("term")), "term", "left_semi")
-        tc = kept.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
-    x = tc.join(F.broadcast(vocabulary), "term").withColumn("x", F.col("tf") * F.col("idf"))
+
+def fit_vocabulary(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(term, idf, term_index) for the ``max_features`` most frequent terms."""
+    terms = _materialise(top_terms(docs, doc_id, text, max_features))
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    return _idf(vocab_counts(docs, doc_id, text, terms), terms, n_docs)
+
+
+def _weights(counts: DataFrame, doc_id: str, vocabulary: DataFrame) -> DataFrame:
+    x = counts.join(F.broadcast(vocabulary), "term").withColumn("x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(doc_id)))
     return x.select(doc_id, "term", "term_index", (F.col("x") / norm).alias("weight"))
 
 
+def transform(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, term, term_index, weight) - L2-normalised tf-idf of vocabulary terms."""
+    return _weights(vocab_counts(docs, doc_id, text, vocabulary.select("term")), doc_id, vocabulary)
+
+
 def tfidf(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATURES,
           fit_on: DataFrame | None = None) -> DataFrame:
     """Fit the vocabulary on ``fit_on`` (default: ``docs``) and transform ``docs``.
 
-    When fitting and transforming the same corpus, the (doc, term) counts are computed once
-    and persisted for both steps."""
-    if fit_on is None:
-        from pyspark import StorageLevel
-        tc = term_counts(docs, doc_id, text).persist(StorageLevel.MEMORY_AND_DISK)
-        vocab = fit_vocabulary(docs, doc_id, text, max_features, tc=tc)
-        return transform(docs, doc_id, text, vocab, tc=tc)
-    vocab = fit_vocabulary(fit_on, doc_id, text, max_features)
-    return transform(docs, doc_id, text, vocab)
+    On one corpus the vocabulary counts of pass 2 serve both the idf and the weights."""
+    if fit_on is not None:
+        return transform(docs, doc_id, text, fit_vocabulary(fit_on, doc_id, text, max_features))
+    # one tokenisation: exploded terms are persisted (memory, spilling to disk) and feed both
+    # the term totals of pass 1 and the vocabulary-filtered counts of pass 2
+    exploded = _terms(docs, doc_id, text).persist(StorageLevel.MEMORY_AND_DISK)
+    ttf = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("ttf"))
+    terms = _materialise(ttf.orderBy(F.col("ttf").desc(), F.col("term")).limit(max_features).select("term"))
+    counts = (exploded.join(F.broadcast(terms), "term", "left_semi")
+              .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    vocab = _idf(counts, terms, docs.agg(F.count(F.lit(1)).alias("n_docs")))
+    return _weights(counts, doc_id, vocab)
 
 
 def to_vectors(weights: DataFrame, doc_id: str, size: int = MAX_FEATURES, out: str = "tfidf") -> DataFrame:
     """Pack (doc, term_index, weight) rows into one sparse vector per document."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401  (dense path not used)
     from pyspark.ml.linalg import VectorUDT
     grouped = weights.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("e"))
     vec = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),

@@ -111,9 +111,7 @@ FROM b WHERE rk = 1"""
 
 @query("text_problem_rules", _problem_sql())
 def text_problem_rules(spark, d):
-    pu = TR.problem_understanding(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", pu.alias("p")).select(
-        "doc_id", "p.task_type", "p.domain", "p.data_type", "p.use_case", "p.n_hits")
+    return TR.problem_table(table(spark, d, "documents"), "text", ["doc_id"])
 
 
 @query("text_slug", r"""
