@@ -239,3 +239,67 @@ def slug(text: Column, max_len: int = 40) -> Column:
     s = F.regexp_replace(F.lower(src), r"[^a-zA-Z0-9\s]", "")
     s = F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+", "_")
     return F.concat(F.substring(s, 1, max_len), F.lit("_"), F.substring(F.md5(src), 1, 6))
+
+
+# ---- TXT5: structural term expansion --------------------------------------------------------
+
+# ---- fixed values -------------------------------------------------------------------------
+# (suffix, replacement) tried in order; the first suffix that fits decides the stem.
+EXPANSION_SUFFIXES = [("tion", ""), ("sion", ""), ("ment", ""), ("ness", ""), ("ity", ""),
+                      ("ing", ""), ("ance", "ant")]
+TASK_SUFFIX_WORDS = {
+    "classification": ["measurement", "feature"], "regression": ["measurement", "feature"],
+    "time_series": ["signal", "sensor"], "nlp": ["text", "review"],
+}
+EXPANSION_TERMS_USED = 4
+MAX_EXPANDED = 8
+MAX_VARIATIONS = 6
+# -------------------------------------------------------------------------------------------
+
+
+def _stem(t: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for suffix, rep in reversed(EXPANSION_SUFFIXES):
+        cond = t.endswith(suffix) & (F.length(t) > len(suffix) + 2)
+        stem = F.concat(F.substring(t, F.lit(1), F.length(t) - len(suffix)), F.lit(rep))
+        out = F.when(cond, stem).otherwise(out)
+    stops = F.array(*[F.lit(s) for s in EXPANSION_STOP_WORDS])
+    return F.when((F.length(out) > 2) & ~F.array_contains(stops, out), out)
+
+
+def expand_terms(core: Column, task_type: Column) -> Column:
+    """TXT5: struct(expanded, variations) from core terms and a task type (structural rules:
+    suffix stems and task phrases of the first 4 core terms; cleaned, capped at 8 / 6)."""
+    first = F.slice(core, 1, EXPANSION_TERMS_USED)
+
+    def per_term(t):
+        a, b = F.lit(""), F.lit("")
+        for task, (w1, w2) in TASK_SUFFIX_WORDS.items():
+            a = F.when(task_type == task, F.concat(t, F.lit(" " + w1))).otherwise(a)
+            b = F.when(task_type == task, F.concat(t, F.lit(" " + w2))).otherwise(b)
+        return F.array(_stem(t), F.when(a != "", a), F.when(b != "", b))
+
+    raw = F.array_compact(F.flatten(F.transform(first, per_term)))
+    structural = F.slice(F.array_except(raw, core), 1, MAX_EXPANDED)
+    stops = F.array(*[F.lit(s) for s in EXPANSION_STOP_WORDS])
+    cleaned = F.filter(F.array_except(F.transform(structural, lambda x: F.lower(strip_text(x))),
+                                      F.array_union(core, stops)), lambda x: F.length(x) > 2)
+    expanded = F.slice(cleaned, 1, MAX_EXPANDED)
+    concept = F.array_join(F.slice(core, 1, 3), " ")
+    has_core = F.size(core) > 0
+    has_exp = F.size(expanded) > 0
+    parts = F.array(
+        F.when(has_core, F.concat(concept, F.lit(" dataset csv"))),
+        F.when(has_core, F.concat(concept, F.lit(" data"))),
+        *[F.when(F.size(expanded) > i, F.concat(F.element_at(expanded, i + 1), F.lit(" dataset csv")))
+          for i in range(3)],
+        F.when(has_core & has_exp, F.concat(F.element_at(core, 1), F.lit(" "), F.element_at(expanded, 1),
+                                            F.lit(" dataset"))),
+        *[F.when(F.size(expanded) > i, F.concat(F.element_at(expanded, i + 1), F.lit(" data records")))
+          for i in range(2)])
+    variations = F.slice(F.array_distinct(F.array_compact(parts)), 1, MAX_VARIATIONS)
+    return F.struct(expanded.alias("expanded"), variations.alias("variations"))
+
+
+def strip_text(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")

@@ -372,3 +372,60 @@ def catalog_semantic_match(spark, d):
     out = SM.semantic_match(table(spark, d, "conversations"), ["conv_id", "turn"], "text")
     return out.select("conv_id", "turn", "dataset_key", F.round("score", 6).alias("score"),
                       F.round("confidence", 6).alias("confidence"))
+
+
+# ---- TXT5: structural term expansion --------------------------------------------------------
+
+def _expand_sql() -> str:
+    lower_first, stops, cap, _ = TR.KEYWORD_VARIANTS["concept"]
+    stop_list = "[" + ", ".join(_q(s) for s in stops) + "]"
+    exp_stops = "[" + ", ".join(_q(s) for s in TR.EXPANSION_STOP_WORDS) + "]"
+    stem = "CASE " + " ".join(
+        f"WHEN ends_with(t, {_q(s)}) AND length(t) > {len(s) + 2} THEN substr(t, 1, length(t) - {len(s)}) || {_q(r)}"
+        for s, r in TR.EXPANSION_SUFFIXES) + " END"
+    stem_ok = f"CASE WHEN length({stem}) > 2 AND NOT list_contains({exp_stops}, {stem}) THEN {stem} END"
+    task_a = "CASE " + " ".join(f"WHEN task_type = {_q(k)} THEN t || {_q(' ' + v[0])}"
+                                for k, v in TR.TASK_SUFFIX_WORDS.items()) + " END"
+    task_b = "CASE " + " ".join(f"WHEN task_type = {_q(k)} THEN t || {_q(' ' + v[1])}"
+                                for k, v in TR.TASK_SUFFIX_WORDS.items()) + " END"
+    words = f"""
+  (SELECT doc_id, lower(w) AS w, i FROM (
+     SELECT doc_id, unnest(r) AS w, generate_subscripts(r, 1) AS i
+     FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TR.WORD_RUN}') AS r FROM documents))
+   WHERE regexp_full_match(w, '[a-zA-Z]{{3,}}') AND NOT list_contains({stop_list}, lower(w)))"""
+    first = f"(SELECT doc_id, w, min(i) AS i FROM {words} GROUP BY doc_id, w)"
+    core = (f"(SELECT doc_id, list(w ORDER BY rn) AS core FROM (SELECT doc_id, w, row_number() OVER "
+            f"(PARTITION BY doc_id ORDER BY i) AS rn FROM {first}) WHERE rn <= {cap} GROUP BY doc_id)")
+    return f"""
+WITH base AS (
+  SELECT d.doc_id, {_sql_rule_chain("lower(d.text)", TR.TASK_RULES, "classification")} AS task_type,
+         coalesce(c.core, []) AS core
+  FROM documents d LEFT JOIN {core} c USING (doc_id)),
+r AS (SELECT *, list_filter(flatten(list_transform(list_slice(core, 1, 4),
+        lambda t: [{stem_ok}, {task_a}, {task_b}])), lambda x: x IS NOT NULL) AS raw FROM base),
+s AS (SELECT *, list_slice(list_filter(raw, lambda x, i: list_position(raw, x) = i AND NOT list_contains(core, x)), 1, 8) AS st FROM r),
+l AS (SELECT *, list_transform(st, lambda x: lower(trim(x))) AS lo FROM s),
+e AS (SELECT *, list_slice(list_filter(lo, lambda x, i: list_position(lo, x) = i AND NOT list_contains(core, x)
+        AND NOT list_contains({exp_stops}, x) AND length(x) > 2), 1, 8) AS expanded FROM l),
+v AS (SELECT *, list_filter([
+        CASE WHEN len(core) > 0 THEN array_to_string(list_slice(core, 1, 3), ' ') || ' dataset csv' END,
+        CASE WHEN len(core) > 0 THEN array_to_string(list_slice(core, 1, 3), ' ') || ' data' END,
+        CASE WHEN len(expanded) > 0 THEN expanded[1] || ' dataset csv' END,
+        CASE WHEN len(expanded) > 1 THEN expanded[2] || ' dataset csv' END,
+        CASE WHEN len(expanded) > 2 THEN expanded[3] || ' dataset csv' END,
+        CASE WHEN len(core) > 0 AND len(expanded) > 0 THEN core[1] || ' ' || expanded[1] || ' dataset' END,
+        CASE WHEN len(expanded) > 0 THEN expanded[1] || ' data records' END,
+        CASE WHEN len(expanded) > 1 THEN expanded[2] || ' data records' END], lambda x: x IS NOT NULL) AS va FROM e)
+SELECT doc_id, task_type, array_to_string(core, ',') AS core_terms, array_to_string(expanded, ',') AS expanded_terms,
+       array_to_string(list_slice(list_filter(va, lambda x, i: list_position(va, x) = i), 1, 6), '|') AS variations
+FROM v"""
+
+
+@query("text_expand_terms", _expand_sql())
+def text_expand_terms(spark, d):
+    kw = TR.keyword_columns(table(spark, d, "documents"), "text", ["concept"], ["doc_id", "text"])
+    staged = kw.select("doc_id", TR.rule_task(F.col("text")).alias("task_type"), F.col("concept").alias("core"))
+    ex = staged.select("doc_id", "task_type", "core", TR.expand_terms(F.col("core"), F.col("task_type")).alias("x"))
+    return ex.select("doc_id", "task_type", F.array_join("core", ",").alias("core_terms"),
+                     F.array_join("x.expanded", ",").alias("expanded_terms"),
+                     F.array_join("x.variations", "|").alias("variations"))
