@@ -429,3 +429,102 @@ def text_expand_terms(spark, d):
     return ex.select("doc_id", "task_type", F.array_join("core", ",").alias("core_terms"),
                      F.array_join("x.expanded", ",").alias("expanded_terms"),
                      F.array_join("x.variations", "|").alias("variations"))
+
+
+# ---- QUAL9 / QUAL11: candidate tables scored against an idea -------------------------------
+
+RELEVANCE_IDEA = "classify the sentiment of customer review text documents"
+# problem understanding the text rules derive from RELEVANCE_IDEA (checked in the builder)
+RELEVANCE_PU = ("sentiment", "text", ["the", "sentiment", "customer", "review", "text", "documents"])
+_CANDIDATES = ["documents", "conversations", "orders", "lineitem", "customer", "region", "events", "pages",
+               "part", "benchmark", "labels", "supplier", "nation"]
+_ALL_COLS = {
+    "pages": [("page_id", "numeric"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "numeric"), ("text", "string")],
+}
+
+
+def _idea_pu(spark):
+    one = spark.range(1).select(F.lit(RELEVANCE_IDEA).alias("idea"))
+    pu = TR.problem_table(one, "idea", []).first()
+    ents = TR.keyword_columns(one, "idea", ["entities"], []).first()["entities"]
+    return pu["domain"], pu["data_type"], list(ents)
+
+
+def _signals(spark, d):
+    from ..operators import relevance as RV
+    out = None
+    for i, t in enumerate(_CANDIDATES):
+        row = RV.table_signals(table(spark, d, t), t).withColumn("candidate_order", F.lit(i))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _relevance_sql() -> str:
+    from ..operators import relevance as RV
+    from .sqlgen import TABLE_COLUMNS, column_profile_sql
+    domain, dtype, ents = RELEVANCE_PU
+    parts = []
+    for i, t in enumerate(_CANDIDATES):
+        cols = TABLE_COLUMNS.get(t) or _ALL_COLS[t]
+        names = [c for c, _ in cols]
+        ct = RV.column_text(names)
+        row = "concat_ws(' ', " + ", ".join(f"CAST(\"{c}\" AS VARCHAR)" for c in names) + ")"
+        order = ", ".join(f'"{c}"' for c in names)
+        text_cols = " + ".join(f"(SELECT CASE WHEN avg(length(\"{c}\")) > 20 THEN 1 ELSE 0 END FROM {t})"
+                               for c, b in cols if b == "string") or "0"
+        parts.append(f"""
+SELECT '{t}' AS table_name, {i} AS candidate_order, {len(names)} AS n_cols, '{ct}' AS col_text,
+  (SELECT avg(missing_frac) FROM {column_profile_sql(t, cols)}) AS missing,
+  (SELECT count(*) FROM {t}) AS n_rows,
+  ((SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t}))) / greatest((SELECT count(*) FROM {t}), 1) AS duplicate_ratio,
+  (SELECT lower(string_agg(r, ' ' ORDER BY {order})) FROM (SELECT *, {row} AS r FROM {t} ORDER BY {order} LIMIT 5)) AS sample_text,
+  {text_cols} AS n_text_cols""")
+    sig = RV.DOMAIN_SIGNATURES.get(domain, [])
+
+    def cnt(expr, needles):
+        return "(" + " + ".join(f"CAST(contains({expr}, {_q(n)}) AS INTEGER)" for n in needles) + ")"
+    junk = "CASE " + " ".join(f"WHEN {cnt('col_text', pats)} >= 2 THEN {_q(why)}" for pats, why in RV.JUNK_SCHEMA_PATTERNS) + " END"
+    s = ("0.50 + CASE WHEN n_rows >= 50000 THEN 0.20 WHEN n_rows >= 10000 THEN 0.15 WHEN n_rows >= 1000 THEN 0.10 "
+         "WHEN n_rows >= 100 THEN 0.05 ELSE -0.10 END - least(0.25, coalesce(missing, 0.0) * 1.5) "
+         "- least(0.15, duplicate_ratio)")
+    if sig:
+        s += f" + CASE WHEN {cnt('col_text', sig)} > 0 THEN least(0.20, 0.05 * {cnt('col_text', sig)}) ELSE 0.0 END"
+    if ents:
+        tot = f"({cnt('col_text', ents[:6])} + {cnt(chr(99) + 'oalesce(sample_text, ' + chr(39) * 2 + ')', ents[:6])})"
+        s += f" + CASE WHEN {tot} >= 2 THEN 0.15 WHEN {tot} = 1 THEN 0.05 ELSE 0.0 END"
+    if dtype == "text":
+        s += " + CASE WHEN n_text_cols > 0 THEN 0.15 ELSE -0.20 END"
+    return f"""
+WITH sg AS ({' UNION ALL '.join(parts)}),
+sc AS (SELECT table_name, candidate_order, {junk} AS junk, n_rows, n_cols,
+              greatest(0.0, least(1.0, round_even(CAST({s} AS DOUBLE), 3))) AS raw_score FROM sg)
+SELECT table_name, NOT (junk IS NOT NULL OR n_rows < 20 OR n_cols < 2) AS is_relevant,
+       CASE WHEN junk IS NOT NULL OR n_rows < 20 OR n_cols < 2 THEN 0.0 ELSE raw_score END AS score,
+       CASE WHEN junk IS NOT NULL THEN 'junk: ' || junk WHEN n_rows < 20 THEN 'too small'
+            WHEN n_cols < 2 THEN 'too few columns' ELSE 'scored' END AS reason
+FROM sc"""
+
+
+_REL_SQL = _relevance_sql()
+
+
+@query("quality_relevance_score", _REL_SQL)
+def quality_relevance_score(spark, d):
+    from ..operators import relevance as RV
+    domain, dtype, ents = _idea_pu(spark)
+    return RV.relevance(_signals(spark, d), domain, dtype, ents)
+
+
+@query("quality_pick_best", f"""
+WITH s AS ({_REL_SQL}), o AS (SELECT s.*, c.i AS candidate_order FROM s JOIN
+  (SELECT * FROM (VALUES {", ".join(f"('{t}', {i})" for i, t in enumerate(_CANDIDATES))}) AS v(t, i)) c ON s.table_name = c.t)
+SELECT table_name, score, score >= 0.70 AS early_accept FROM o WHERE is_relevant AND score > 0
+ORDER BY CASE WHEN score >= 0.70 THEN 0 ELSE 1 END, CASE WHEN score >= 0.70 THEN candidate_order ELSE -score END,
+         candidate_order LIMIT 1""")
+def quality_pick_best(spark, d):
+    from ..operators import relevance as RV
+    domain, dtype, ents = _idea_pu(spark)
+    sig = _signals(spark, d)
+    scored = RV.relevance(sig, domain, dtype, ents).join(sig.select("table_name", "candidate_order"), "table_name")
+    return RV.pick_best(scored)
