@@ -307,8 +307,10 @@ def union_first_by_url(sources: list[DataFrame]) -> DataFrame:
 
 def junk_schema(schemas: DataFrame, columns_col: str = "columns") -> DataFrame:
     """Flag schemas (array of column names) that look like catalogs/indexes: two or more
-    substrings of one pattern in the space-joined lower-case names."""
-    text = F.lower(F.array_join(F.col(columns_col), " "))
+    substrings of one pattern in the space-joined names, each lower-cased with spaces and
+    slashes turned into underscores."""
+    text = F.array_join(F.transform(F.col(columns_col),
+                                    lambda c: F.regexp_replace(F.lower(c), "[ /]", "_")), " ")
     reason = F.lit(None).cast("string")
     for pats, why in reversed(JUNK_SCHEMA_PATTERNS):
         reason = F.when(_count_contains(text, pats) >= 2, F.lit(why)).otherwise(reason)

@@ -9,7 +9,7 @@ jobs regardless of its size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import JUNK_SCHEMA_PATTERNS
@@ -43,6 +43,24 @@ DOMAIN_SIGNATURES = {
     "salary": ["experience", "education", "age", "job", "role", "department", "company", "skill",
                "years_experience", "senior"],
 }
+# target-column name patterns of the same domains (with the column names above, the columns a
+# problem of the domain is expected to have)
+DOMAIN_TARGET_PATTERNS = {
+    "sentiment": ["sentiment", "label", "class", "rating", "positive", "negative", "score"],
+    "nlp": ["label", "class", "category", "sentiment", "tag"],
+    "text_classification": ["label", "class", "category", "spam", "ham"],
+    "mental_health": ["depression", "anxiety", "treatment", "diagnosis", "label", "class", "status", "condition"],
+    "diabetes": ["outcome", "diabetes", "class", "label"],
+    "heart_disease": ["target", "output", "heart", "disease", "label"],
+    "cancer": ["diagnosis", "label", "class", "target"],
+    "parkinson": ["status", "label", "class", "diagnosis"],
+    "medical": ["diagnosis", "outcome", "label", "disease", "status"],
+    "churn": ["churn", "exited", "label", "target", "left"],
+    "fraud": ["class", "fraud", "is_fraud", "label", "target"],
+    "loan": ["loan_status", "status", "approved", "label"],
+    "house_price": ["price", "saleprice", "value", "cost"],
+    "salary": ["salary", "wage", "income", "compensation", "pay"],
+}
 MIN_ROWS = 20
 MIN_COLUMNS = 2
 ACCEPT_SCORE = 0.70
@@ -62,15 +80,20 @@ def table_signals(df: DataFrame, name: str) -> DataFrame:
     per_col = cp.agg(F.avg("missing_frac").alias("missing"),
                      F.count_if((F.col("base") == "string") & (F.col("avg_len") > TEXT_MEAN_LENGTH)).alias("n_text_cols"))
     dup = duplicate_stats(df).select("n_rows", "duplicate_ratio")
-    # the first rows in a deterministic order (all columns, left to right): a bounded top-k
-    row_txt = F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])
-    sample = (df.orderBy(*df.columns).limit(SAMPLE_ROWS)
-              .select(F.struct(*df.columns).alias("__k"), row_txt.alias("t"))
-              .agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "t"))),
-                                                    lambda s: s["t"]), " ")).alias("sample_text")))
     return attach(attach(attach(df.sparkSession.range(1).select(
         F.lit(name).alias("table_name"), F.lit(len(df.columns)).alias("n_cols"),
-        F.lit(column_text(df.columns)).alias("col_text")), per_col), dup), sample)
+        F.lit(column_text(df.columns)).alias("col_text")), per_col), dup), sample_text(df))
+
+
+def sample_text(df: DataFrame) -> DataFrame:
+    """One row: the values of the first rows in a deterministic order (all columns, left to
+    right), space-joined and lower-cased.  ``orderBy(...).limit`` plans as a top-k: one pass,
+    a bounded buffer per task."""
+    row_txt = F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])
+    return (df.orderBy(*df.columns).limit(SAMPLE_ROWS)
+            .select(F.struct(*df.columns).alias("__k"), row_txt.alias("t"))
+            .agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "t"))),
+                                                  lambda s: s["t"]), " ")).alias("sample_text")))
 
 
 def _count_in(col, needles):
@@ -118,3 +141,131 @@ def pick_best(scored: DataFrame, order_col: str = "candidate_order") -> DataFram
                    F.col(order_col).alias("o"), F.col("table_name").alias("t"), F.col("score").alias("s"))
     return scored.where(ok).agg(F.min(key).alias("b")).select(
         F.col("b.t").alias("table_name"), F.col("b.s").alias("score"), (F.col("b.tier") == 0).alias("early_accept"))
+
+
+# ---- QUAL8 / QUAL10: hard rejects and idea-vs-data keyword check -------------------------
+
+# ---- fixed values -------------------------------------------------------------------------
+# catalog/index files: >= 3 of one set among the exact (lower-cased, stripped) column names
+CATALOG_SIGNAL_SETS = [
+    ["rows", "cols", "package"],
+    ["rows", "cols", "n_binary"],
+    ["package", "item", "title"],
+    ["dataset", "rows", "variables"],
+    ["name", "rows", "columns", "source"],
+    ["dataset_name", "num_rows", "num_cols"],
+]
+CATALOG_SIGNAL_MIN = 3
+# known wrong datasets: >= 2 of one pattern as substrings of the joined lower-case names
+WRONG_COLUMN_PATTERNS = [
+    ["hallucination", "appropriateness", "prompt category"],
+    ["hallucination/accuracy", "bias", "interesting?"],
+    ["shape reported", "colors reported"],
+    ["longitude", "latitude", "elevation"],
+]
+WRONG_PATTERN_MIN = 2
+IDEA_MATCH_STOP_WORDS = [
+    "predict", "classify", "detect", "build", "create", "make",
+    "model", "system", "that", "will", "from", "with", "using",
+    "based", "whether", "data", "dataset", "machine", "learning",
+    "train", "test", "deep", "neural", "want", "need", "help",
+    "find", "show", "give", "make", "also", "like", "just",
+]
+IDEA_WORD_MIN_CHARS = 4
+# warnings for an irrelevant table: a topic whose flag columns (>= 2) appear in the names
+# while the idea does not mention the topic; else no idea word in the names (>= 2 words)
+RED_FLAG_COLUMNS = [
+    ("ufo", ["city", "shape reported", "colors reported", "duration"]),
+    ("weather", ["temperature", "humidity", "wind_speed", "precipitation"]),
+    ("earthquake", ["magnitude", "depth", "latitude", "longitude"]),
+    ("covid", ["confirmed", "deaths", "recovered", "province"]),
+]
+RED_FLAG_MIN = 2
+WARN_STOP_WORDS = [
+    "predict", "classify", "detect", "build", "create",
+    "make", "model", "system", "that", "will", "from",
+    "with", "using", "based", "whether", "patient", "data",
+]
+WARN_MIN_WORDS = 2
+# -------------------------------------------------------------------------------------------
+
+
+def schema_signals(df: DataFrame, name: str, with_sample: bool = True) -> DataFrame:
+    """One row per table: name, row count, column count, the column names as given and
+    (optionally) the lower-cased text of its first rows (``sample_text``)."""
+    out = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_cols"),
+        F.array(*[F.lit(c) for c in df.columns]).cast("array<string>").alias("col_names"))
+    return attach(out, sample_text(df)) if with_sample else out
+
+
+def _idea_words(idea: Column, stops: list[str]) -> Column:
+    from .verified import PY_WHITESPACE
+    return F.filter(F.split(F.lower(idea), PY_WHITESPACE),
+                    lambda w: (F.length(w) >= IDEA_WORD_MIN_CHARS)
+                    & ~F.array_contains(F.array(*[F.lit(x) for x in stops]), w))
+
+
+def _catalog_and_wrong(names: Column) -> tuple[Column, Column]:
+    """(catalog file, wrong-dataset pattern) flags of an array of column names."""
+    col_set = F.transform(names, lambda c: F.trim(F.lower(c)))
+    col_text = F.lower(F.array_join(names, " "))
+    catalog = F.lit(False)
+    for sig in CATALOG_SIGNAL_SETS:
+        hits = sum((F.array_contains(col_set, x).cast("int") for x in sig), F.lit(0))
+        catalog = catalog | (hits >= CATALOG_SIGNAL_MIN)
+    wrong = F.lit(False)
+    for pats in WRONG_COLUMN_PATTERNS:
+        wrong = wrong | (_count_in(col_text, pats) >= WRONG_PATTERN_MIN)
+    return catalog, wrong
+
+
+def hard_rejects(signals: DataFrame) -> DataFrame:
+    """QUAL8 over ``schema_signals`` rows: the scorer's junk patterns (then < 20 rows, < 2
+    columns) and the main pipeline's catalog signal sets and wrong-dataset patterns."""
+    from .catalog import junk_schema
+    catalog, wrong = _catalog_and_wrong(F.col("col_names"))
+    j = junk_schema(signals, "col_names")
+    reason = (F.when(F.col("is_junk"), F.concat(F.lit("junk: "), F.col("junk_reason")))
+              .when(F.col("n_rows") < MIN_ROWS, F.lit("too small"))
+              .when(F.col("n_cols") < MIN_COLUMNS, F.lit("too few columns")))
+    return j.select("table_name", "n_rows", "n_cols", "is_junk", "junk_reason",
+                    catalog.alias("catalog_file"), wrong.alias("wrong_pattern"),
+                    reason.isNotNull().alias("rejected"), reason.alias("reject_reason"))
+
+
+def keyword_match(signals: DataFrame, idea: str) -> DataFrame:
+    """QUAL10 over ``schema_signals`` rows (with sample): is the table relevant to ``idea``?
+    Catalog files and wrong-dataset patterns are rejected; otherwise any idea word (> 3
+    characters, not a pipeline word) in the joined names or in the sample values accepts, and
+    an idea with no such word accepts.  Irrelevant tables carry the warning the pipeline
+    would log: a red-flag topic, or that no idea word names a column."""
+    idea_c = F.lit(idea)
+    names = F.col("col_names")
+    col_text = F.lower(F.array_join(names, " "))
+    sample = F.coalesce(F.col("sample_text"), F.lit(""))
+    words = _idea_words(idea_c, IDEA_MATCH_STOP_WORDS)
+    catalog, wrong = _catalog_and_wrong(names)
+    in_cols = F.exists(words, lambda w: col_text.contains(w))
+    in_vals = F.exists(words, lambda w: sample.contains(w))
+    verdict = (F.when((F.length(idea_c) == 0) | (F.col("n_cols") == 0), F.lit("no idea or columns"))
+               .when(catalog, F.lit("catalog file")).when(wrong, F.lit("wrong dataset pattern"))
+               .when(F.size(words) == 0, F.lit("no idea keywords"))
+               .when(in_cols, F.lit("keyword in columns")).when(in_vals, F.lit("keyword in values"))
+               .otherwise(F.lit("no keyword match")))
+    relevant = ~verdict.isin("catalog file", "wrong dataset pattern", "no keyword match")
+    idea_low = F.lower(idea_c)
+    flag = F.lit(None).cast("string")
+    for topic, cols in reversed(RED_FLAG_COLUMNS):
+        flag = F.when((_count_in(col_text, cols) >= RED_FLAG_MIN) & ~idea_low.contains(topic),
+                      F.lit(topic)).otherwise(flag)
+    warn_words = _idea_words(idea_c, WARN_STOP_WORDS)
+    no_kw = ((F.size(warn_words) >= WARN_MIN_WORDS)
+             & ~F.exists(warn_words, lambda w: col_text.contains(w)))
+    warning = (F.when(relevant, F.lit(None))
+               .when(flag.isNotNull(), F.concat(F.lit("looks like a "), flag, F.lit(" dataset")))
+               .when(no_kw, F.lit("no idea keyword in columns")))
+    return signals.select("table_name", F.array_join(words, " ").alias("idea_words"),
+                          catalog.alias("catalog_file"), wrong.alias("wrong_pattern"),
+                          in_cols.alias("in_columns"), in_vals.alias("in_values"),
+                          relevant.alias("is_relevant"), verdict.alias("verdict"), warning.alias("warning"))

@@ -112,6 +112,7 @@ PROBLEM_RULES = [
      "regression", "salary", "tabular", "price_prediction"),
 ]
 PROBLEM_DEFAULTS = ("classification", "general", "tabular", "prediction")
+QUERY_ENTITIES = 4
 
 # A word run: letters, digits, underscore (Python's Unicode \w without marks).
 WORD_RUN = r"[\p{L}\p{N}_]+"
@@ -232,6 +233,43 @@ def problem_understanding(text: Column) -> Column:
     return F.struct(*_rule_fields(best))
 
 
+def expected_columns(domain: Column) -> Column:
+    """TXT3: the column names a problem of ``domain`` is expected to have (signature columns,
+    then target patterns); empty for a domain without a signature."""
+    from .relevance import DOMAIN_SIGNATURES, DOMAIN_TARGET_PATTERNS
+    m = F.create_map(*[x for d, cols in DOMAIN_SIGNATURES.items()
+                       for x in (F.lit(d), F.array(*[F.lit(c) for c in cols + DOMAIN_TARGET_PATTERNS.get(d, [])]))])
+    return F.coalesce(F.try_element_at(m, domain), F.array().cast("array<string>"))
+
+
+def search_queries(entities: Column, task: Column, domain: Column, data_type: Column, use_case: Column) -> Column:
+    """TXT3: the distinct search queries of a problem, in generation order: entities (first
+    four) with task; domain with task; a data-type or use-case specific one; a kaggle one."""
+    ents = F.array_join(F.slice(entities, 1, QUERY_ENTITIES), " ")
+    specific = (F.when(data_type == "text", F.concat(ents, F.lit(" text dataset nlp")))
+                .when(use_case == "diagnosis", F.concat(ents, F.lit(" clinical dataset diagnosis")))
+                .when(use_case == "price_prediction", F.concat(ents, F.lit(" regression dataset csv"))))
+    qs = F.array(F.concat(ents, F.lit(" dataset "), task, F.lit(" csv")),
+                 F.concat(F.regexp_replace(domain, "_", " "), F.lit(" "), task, F.lit(" dataset csv")),
+                 specific, F.concat(ents, F.lit(" kaggle dataset")))
+    return F.array_distinct(F.filter(qs, lambda q: q.isNotNull()))
+
+
+def problem_queries(df, text_col: str, keep: list[str]):
+    """TXT3 complete: rule fields, key entities (count), expected columns and search queries
+    of every text; one staged projection (text lower-cased once, rules scored once)."""
+    low = df.select(*keep, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__low"))
+    best = low.select(*keep, _best_rule(F.col("__low")).alias("__best"),
+                      keywords(F.col("__low"), "entities").alias("__ents"))
+    pu = best.select(*keep, *_rule_fields(F.col("__best")), "__ents")
+    c = F.col
+    return pu.select(*keep, "task_type", "domain", "data_type", "use_case", "n_hits",
+                     F.size("__ents").cast("long").alias("n_entities"),
+                     F.array_join(expected_columns(c("domain")), ",").alias("relevant_columns"),
+                     F.array_join(search_queries(c("__ents"), c("task_type"), c("domain"), c("data_type"),
+                                                 c("use_case")), "|").alias("search_queries"))
+
+
 def slug(text: Column, max_len: int = 40) -> Column:
     """Text slug: lower-case, keep [a-z0-9] and whitespace, trim, whitespace runs to '_',
     first ``max_len`` characters, then '_' and the first 6 hex digits of md5(text)."""

@@ -133,3 +133,27 @@ DATA_LINK_RESULTS_SQL = """
    'csv data file' AS snippet
  FROM pages)
 """.strip()
+
+
+# search-idea phrases appended to every third document (the invented prose names no dataset)
+IDEA_PHRASES = [
+    "predict heart disease from patient records", "customer churn at a telecom company",
+    "house prices in boston", "classify iris flower species", "titanic passenger survival",
+    "movie review sentiment", "red wine quality", "salary from years of experience",
+    "breast cancer diagnosis", "parkinsons voice measurements", "penguin species size",
+    "diamond prices and tips", "spam email detection",
+]
+
+
+def documents_with_ideas(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): every third document ends with one of ``IDEA_PHRASES`` (by doc_id)."""
+    phrase = F.element_at(F.array(*[F.lit(p) for p in IDEA_PHRASES]),
+                          (F.col("doc_id") % len(IDEA_PHRASES) + 1).cast("int"))
+    return documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit(" "), phrase))
+                            .otherwise(F.col("text")).alias("text"))
+
+
+DOCUMENTS_WITH_IDEAS_SQL = ("(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' ' || list_extract(["
+                            + ", ".join("'" + p + "'" for p in IDEA_PHRASES)
+                            + f"], CAST(doc_id % {len(IDEA_PHRASES)} + 1 AS INTEGER)) ELSE text END AS text"
+                            " FROM documents)")

@@ -48,14 +48,14 @@ def text_rule_classify(spark, d):
 
 # ---- TXT2 --------------------------------------------------------------------------------
 
-def _kw_sql_variant(name: str) -> str:
+def _kw_sql_variant(name: str, src: str = "documents") -> str:
     lower_first, stops, cap, distinct = TR.KEYWORD_VARIANTS[name]
-    src = "lower(coalesce(text, ''))" if lower_first else "coalesce(text, '')"
+    text = "lower(coalesce(text, ''))" if lower_first else "coalesce(text, '')"
     stop_list = "[" + ", ".join(_q(s) for s in stops) + "]"
     words = f"""
   (SELECT doc_id, lower(w) AS w, i FROM (
      SELECT doc_id, unnest(r) AS w, generate_subscripts(r, 1) AS i
-     FROM (SELECT doc_id, regexp_extract_all({src}, '{TR.WORD_RUN}') AS r FROM documents))
+     FROM (SELECT doc_id, regexp_extract_all({text}, '{TR.WORD_RUN}') AS r FROM {src}))
    WHERE regexp_full_match(w, '[a-zA-Z]{{3,}}') AND NOT list_contains({stop_list}, lower(w)))"""
     if distinct:
         words = f"(SELECT doc_id, w, min(i) AS i FROM {words} GROUP BY doc_id, w)"
@@ -89,12 +89,12 @@ def text_keywords(spark, d):
 
 # ---- TXT3 --------------------------------------------------------------------------------
 
-def _problem_sql() -> str:
+def _problem_sql(src: str = "documents") -> str:
     parts = []
     for i, (trig, task, dom, dtype, use) in enumerate(TR.PROBLEM_RULES):
         hits = " + ".join(f"CAST(contains(lower(coalesce(text, '')), {_q(t)}) AS INTEGER)" for t in trig)
         parts.append(f"SELECT doc_id, {i} AS rule, {hits} AS hits, {_q(task)} AS task_type, {_q(dom)} AS domain, "
-                     f"{_q(dtype)} AS data_type, {_q(use)} AS use_case FROM documents")
+                     f"{_q(dtype)} AS data_type, {_q(use)} AS use_case FROM {src}")
     body = "\nUNION ALL\n".join(parts)
     dt, dd, ddt, du = TR.PROBLEM_DEFAULTS
     return f"""

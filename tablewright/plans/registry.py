@@ -37,3 +37,4 @@ def load_all() -> None:
     from . import queries_eval  # noqa: F401
     from . import queries_text  # noqa: F401
     from . import queries_io_models  # noqa: F401
+    from . import queries_checks  # noqa: F401
