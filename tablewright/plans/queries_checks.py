@@ -1,5 +1,6 @@
 """Checked queries for candidate-table hard rejects (QUAL8), the idea-vs-data keyword check
-(QUAL10), the curated catalog lookup (CAT2) and the rest of problem understanding (TXT3)."""
+(QUAL10), the curated catalog lookup (CAT2), the rest of problem understanding (TXT3) and the
+knowledge-base payload of the semantic match (CAT1)."""
 
 from __future__ import annotations
 
@@ -170,3 +171,41 @@ FROM q"""
 def text_problem_queries(spark, d):
     from ..operators import text_rules as TR
     return TR.problem_queries(documents_with_ideas(table(spark, d, "documents")), "text", ["doc_id"])
+
+
+# ---- CAT1 complete: knowledge-base match with its payload and search queries ----------------
+
+def _semantic_intent_sql() -> str:
+    from ..operators import semantic as SM
+    from .queries_text import _kw_sql_variant, _semantic_sql
+
+    def lst(xs):
+        return "CAST([" + ", ".join(_q(x) for x in xs) + "] AS VARCHAR[])"
+    pay = ", ".join(f"({_q(k)}, {_q(task)}, {_q(canon)}, {lst(cols)}, {lst(urls)}, {lst(qs)})"
+                    for k, (task, canon, _desc, cols, urls, qs) in SM.SEMANTIC_PAYLOAD.items())
+    src = DOCUMENTS_WITH_IDEAS_SQL
+    return f"""
+WITH m AS ({_semantic_sql(src, ("doc_id",))}),
+k AS {_kw_sql_variant('semantic', src)},
+p AS (SELECT * FROM (VALUES {pay}) AS v(key, task, canonical_name, cols, urls, qs)),
+j AS (SELECT m.*, p.task, p.canonical_name, p.cols, p.urls, p.qs, coalesce(k.n, 0) AS nc,
+             string_split(coalesce(k.s, ''), ',') AS c
+      FROM m JOIN p ON m.dataset_key = p.key LEFT JOIN k USING (doc_id)),
+q AS (SELECT *, list_filter(list_concat(qs, [
+        CASE WHEN nc > 0 THEN array_to_string(list_slice(c, 1, 3), ' ') || ' dataset csv' END,
+        CASE WHEN nc > 0 THEN array_to_string(list_slice(c, 1, 2), ' ') || ' classification dataset' END]),
+        lambda x: x IS NOT NULL AND x <> '') AS aq FROM j)
+SELECT doc_id, dataset_key, score, confidence, task, canonical_name, array_to_string(urls, '|') AS direct_urls,
+       array_to_string(cols, ',') AS expected_cols,
+       array_to_string(list_slice(list_filter(aq, lambda x, i: list_position(aq, x) = i), 1, {SM.MAX_INTENT_QUERIES}), '|')
+         AS search_queries
+FROM q"""
+
+
+@query("catalog_semantic_intent", _semantic_intent_sql())
+def catalog_semantic_intent(spark, d):
+    from pyspark.sql import functions as F
+
+    from ..operators import semantic as SM
+    out = SM.semantic_intent(documents_with_ideas(table(spark, d, "documents")), ["doc_id"], "text")
+    return out.withColumn("score", F.round("score", 6)).withColumn("confidence", F.round("confidence", 6))

@@ -343,27 +343,32 @@ def stream_rule_classify(spark, d):
 
 # ---- CAT1: semantic knowledge-base match ---------------------------------------------------
 
-def _semantic_sql() -> str:
+def _semantic_sql(src: str = "conversations", ids: tuple[str, ...] = ("conv_id", "turn")) -> str:
     from ..operators import semantic as SM
     idx = ", ".join(f"({p}, {_q(t)}, {_q(k)}, {w})" for p, t, k, w in SM.index_rows())
     words = ", ".join(f"({_q(w)}, {_q(k)}, {n}, {o})" for w, k, n, o in SM.word_rows())
     n_index = len(SM.index_rows())
+    il = ", ".join(ids)
+    ho = ", ".join(f"coalesce(h.{i}, o.{i}) AS {i}" for i in ids)
+    on_ho = " AND ".join(f"h.{i} = o.{i}" for i in ids)
+    on_cb = " AND ".join(f"c.{i} = best.{i}" for i in ids)
+    cl = ", ".join(f"c.{i}" for i in ids)
     return f"""
-WITH low AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS l FROM conversations),
+WITH low AS (SELECT {il}, lower(coalesce(text, '')) AS l FROM {src}),
 idx AS (SELECT * FROM (VALUES {idx}) AS v(pos, trig, key, weight)),
 wd AS (SELECT * FROM (VALUES {words}) AS v(word, key, n, key_order)),
-hits AS (SELECT conv_id, turn, key, sum(weight) AS s1, min(pos) AS first_pos
+hits AS (SELECT {il}, key, sum(weight) AS s1, min(pos) AS first_pos
          FROM low JOIN idx ON contains(l, trig) GROUP BY ALL),
-w AS (SELECT DISTINCT conv_id, turn, r AS word FROM (SELECT conv_id, turn, unnest(regexp_extract_all(l, '[\\p{{L}}\\p{{N}}_]+')) AS r FROM low)
+w AS (SELECT DISTINCT {il}, r AS word FROM (SELECT {il}, unnest(regexp_extract_all(l, '[\\p{{L}}\\p{{N}}_]+')) AS r FROM low)
       WHERE regexp_full_match(r, '[a-z]{{4,}}')),
-ov AS (SELECT conv_id, turn, key, sum(n) * 0.3 AS s2, min(key_order) AS key_order FROM w JOIN wd USING (word) GROUP BY ALL),
-bo AS (SELECT coalesce(h.conv_id, o.conv_id) AS conv_id, coalesce(h.turn, o.turn) AS turn, coalesce(h.key, o.key) AS key,
+ov AS (SELECT {il}, key, sum(n) * 0.3 AS s2, min(key_order) AS key_order FROM w JOIN wd USING (word) GROUP BY ALL),
+bo AS (SELECT {ho}, coalesce(h.key, o.key) AS key,
               coalesce(s1, 0.0) + coalesce(s2, 0.0) AS score, coalesce(first_pos, key_order + {n_index}) AS ord
-       FROM hits h FULL JOIN ov o ON h.conv_id = o.conv_id AND h.turn = o.turn AND h.key = o.key),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ord, key) AS rn FROM bo) WHERE rn = 1)
-SELECT c.conv_id, c.turn, coalesce(best.key, 'generic_tabular') AS dataset_key, round(coalesce(best.score, 0.0), 6) AS score,
+       FROM hits h FULL JOIN ov o ON {on_ho} AND h.key = o.key),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {il} ORDER BY score DESC, ord, key) AS rn FROM bo) WHERE rn = 1)
+SELECT {cl}, coalesce(best.key, 'generic_tabular') AS dataset_key, round(coalesce(best.score, 0.0), 6) AS score,
        round(least(1.0, coalesce(best.score, 0.0) / 3.0), 6) AS confidence
-FROM conversations c LEFT JOIN best ON c.conv_id = best.conv_id AND c.turn = best.turn"""
+FROM {src} c LEFT JOIN best ON {on_cb}"""
 
 
 @query("catalog_semantic_match", _semantic_sql())

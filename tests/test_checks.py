@@ -1,4 +1,5 @@
-"""Hard rejects (QUAL8), idea-vs-data keyword check (QUAL10) and curated lookup (CAT2) against
+"""Hard rejects (QUAL8), idea-vs-data keyword check (QUAL10), curated lookup (CAT2) and the
+knowledge-base intent (CAT1) against
 direct re-statements of their rules on small literal inputs."""
 
 from __future__ import annotations
@@ -112,3 +113,57 @@ def test_keyword_match(spark):
     w = keyword_match(sig2, "predict weather knee pain").first()
     assert w["warning"] == "no idea keyword in columns"
     assert keyword_match(sig2, "predict the model").first()["verdict"] == "no idea keywords"
+
+
+def _brute_intent(idea: str):
+    """Knowledge-base match of one idea, stated directly (no LLM enrichment)."""
+    import re
+
+    from tablewright.operators.semantic import (MAX_INTENT_QUERIES, SEMANTIC_PAYLOAD, SEMANTIC_TRIGGERS,
+                                                index_rows)
+    from tablewright.operators.text_rules import SEMANTIC_STOP_WORDS
+    low = idea.lower()
+    scores: dict[str, float] = {}
+    for _, trig, key, w in index_rows():
+        if trig in low:
+            scores[key] = scores.get(key, 0) + w
+    words = set(re.findall(r"\b[a-z]{4,}\b", low))
+    for key, triggers in SEMANTIC_TRIGGERS:
+        for t in triggers:
+            ov = len(words & set(t.split()))
+            if ov:
+                scores[key] = scores.get(key, 0) + ov * 0.3
+    key = max(scores, key=scores.__getitem__) if scores else "generic_tabular"
+    task, canon, _, cols, urls, qs = SEMANTIC_PAYLOAD[key]
+    concepts = []
+    for w in re.findall(r"\b[a-zA-Z]{3,}\b", low):
+        if w not in SEMANTIC_STOP_WORDS and w not in concepts:
+            concepts.append(w)
+    concepts = concepts[:6]
+    queries = list(qs)
+    if concepts:
+        queries += [" ".join(concepts[:3]) + " dataset csv", " ".join(concepts[:2]) + " classification dataset"]
+    uniq = []
+    for q in queries:
+        if q and q not in uniq:
+            uniq.append(q)
+    return key, task, "|".join(urls), ",".join(cols), "|".join(uniq[:MAX_INTENT_QUERIES])
+
+
+IDEAS = [
+    "predict heart disease from patient records",
+    "will it rain tomorrow given temperature humidity wind",
+    "classify iris flower species by petal and sepal",
+    "spam detection for sms messages",
+    "a text about nothing in particular",
+    "",
+    "titanic survival and fare cabin embarked",
+]
+
+
+def test_semantic_intent_matches_brute_force(spark):
+    from tablewright.operators.semantic import semantic_intent
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(IDEAS)], "id long, text string")
+    got = {r["id"]: (r["dataset_key"], r["task"], r["direct_urls"], r["expected_cols"], r["search_queries"])
+           for r in semantic_intent(df, ["id"], "text").collect()}
+    assert got == {i: _brute_intent(t) for i, t in enumerate(IDEAS)}
