@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (base_family, guarded_double, nonfinite_to_zero, strip_quotes,
-                                 strip_quotes_fill)
+from ..functions.columns import (base_family, clean_value, guarded_double, nonfinite_to_zero,
+                                 strip_quotes, strip_quotes_fill)
 from ..functions.stats import column_modes, exact_medians, ordered_codes
 from .profile import column_profile, feature_flags
 
@@ -61,11 +61,18 @@ def drop_flagged(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def missing_decisions(df: DataFrame, threshold: float = HIGH_MISSING_THRESHOLD) -> DataFrame:
-    """CLN4 decisions: keep a column iff non-null >= int(rows * (1 - threshold))."""
-    cp = column_profile(df, text_stats=False)
+    """CLN4 decisions: keep a column iff non-null >= int(rows * (1 - threshold)).
+
+    One counting aggregate (partial per task, one row out), then one row per column."""
+    cols = [(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                 *[F.count(clean_value(c, t)).alias(f"c{i}") for i, c, t in cols])
+    per_col = one.select("n_rows", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column_name"), F.col(f"c{i}").alias("n_non_null"))
+        for i, c, _ in cols])))
     need = F.floor(F.col("n_rows") * F.lit(1 - threshold))
-    return cp.select("pos", "column_name", "n_non_null", need.cast("long").alias("min_non_null"),
-                     (F.col("n_non_null") >= need).alias("keep"))
+    return per_col.select("pos", "column_name", "n_non_null", need.cast("long").alias("min_non_null"),
+                          (F.col("n_non_null") >= need).alias("keep"))
 
 
 def drop_high_missing(df: DataFrame, threshold: float = HIGH_MISSING_THRESHOLD,
@@ -166,9 +173,38 @@ def clean_dataset(df: DataFrame, drop_columns: list[str] | None = None,
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     out = dedup_rows(out).checkpoint(eager=True)
-    out = coerce_numeric(out)
-    out = fill_median(out)
-    return fill_mode(out)
+    # every later decision (which strings to coerce, which columns hold NULLs before and after
+    # coercion) comes from one counting pass over the de-duplicated table
+    coerce, med_cols, mode_cols = _fill_decisions(out)
+    out = coerce_numeric(out, coerce)
+    out = fill_median(out, med_cols, medians=exact_medians(out, med_cols))
+    modes = {r[0]: r[1] for r in column_modes(out, mode_cols).collect()} if mode_cols else {}
+    return fill_mode(out, mode_cols, modes=modes)
+
+
+def _fill_decisions(df: DataFrame, share: float = NUMERIC_STRING_SHARE) -> tuple[list[str], list[str], list[str]]:
+    """(strings to coerce, numeric columns to median-fill after coercion, strings to mode-fill),
+    with the same rules as ``coerce_numeric``, ``fill_median`` and ``fill_mode`` run one after
+    another - from one aggregate."""
+    from ..functions.columns import numeric_like
+    types = {f.name: f.dataType for f in df.schema.fields}
+    strs = _string_columns(df)
+    nums = [c for c, t in types.items() if base_family(t) == "numeric"]
+
+    def null_or_nan(v, t):
+        return v.isNull() | F.isnan(v) if isinstance(t, (T.FloatType, T.DoubleType)) else v.isNull()
+    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(strs)],
+                 *[F.count_if(numeric_like(F.col(c))).alias(f"k{i}") for i, c in enumerate(strs)],
+                 *[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(strs)],
+                 *[F.count_if(null_or_nan(guarded_double(F.col(c)), T.DoubleType())).alias(f"g{i}")
+                   for i, c in enumerate(strs)],
+                 *[F.count_if(null_or_nan(F.col(c), types[c])).alias(f"m{j}") for j, c in enumerate(nums)],
+                 F.count(F.lit(1)).alias("__rows")).first()
+    coerce = [c for i, c in enumerate(strs) if row[f"n{i}"] and row[f"k{i}"] / row[f"n{i}"] > share]
+    med = set(c for j, c in enumerate(nums) if row[f"m{j}"] > 0)
+    med |= {c for i, c in enumerate(strs) if c in coerce and row[f"g{i}"] > 0}
+    modes = [c for i, c in enumerate(strs) if c not in coerce and row[f"z{i}"] > 0]
+    return coerce, [c for c in df.columns if c in med], modes
 
 
 def safe_to_float(train: DataFrame, test: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, dict]:

@@ -129,3 +129,16 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         except Exception:  # noqa: BLE001 - parse failure: try ARFF as the reference does
             return read_arff(spark, path)
     raise ValueError(f"unsupported file type: {path}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has task slots.
+
+    A parquet file written as one row group cannot be split, so every per-row step after its
+    scan (tokenising, parsing, map-side aggregation) would run in a single task.  One
+    repartition spreads it over all slots; a scan of many files or row groups already has
+    enough partitions and is returned unchanged, so this costs nothing at cluster scale.
+    Round-robin repartitioning sorts rows first, so a retried task gets the same rows.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

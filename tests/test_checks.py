@@ -1,6 +1,5 @@
 """Hard rejects (QUAL8), idea-vs-data keyword check (QUAL10), curated lookup (CAT2) and the
-knowledge-base intent (CAT1) against
-direct re-statements of their rules on small literal inputs."""
+knowledge-base intent (CAT1) against direct re-statements of their rules on literal inputs."""
 
 from __future__ import annotations
 
