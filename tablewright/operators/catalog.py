@@ -161,12 +161,19 @@ def rank_diverse(scored: DataFrame, top_n: int = 5, per_owner: int = 2,
     """
     groups = group_cols or []
     url = F.lower(F.coalesce("url", F.lit("")))
-    junk = _any(url, RANKER_JUNK_SIGNALS)
-    has_clean = scored.where(~junk).limit(1).count() > 0
-    pool = scored.where(~junk) if has_clean else scored
-    pool = pool.withColumn("score", F.when(F.coalesce("title", F.lit("")).startswith(KNOWN_PREFIX),
-                                          F.least("score", F.lit(KNOWN_CAP))).otherwise(F.col("score")))
-    pool = pool.withColumn("owner", repo_owner(F.col("url")))
+    # the prepared results are read three times below (clean check, owner cap, refill): they
+    # are written once to the shared checkpoint folder, so the upstream text work (titles,
+    # snippets, scores) is not recomputed and lineage is cut
+    from ..session import checkpoint_dir
+    checkpoint_dir(scored.sparkSession)
+    prepared = scored.select(
+        *[c for c in scored.columns if c != "score"],
+        F.when(F.coalesce("title", F.lit("")).startswith(KNOWN_PREFIX),
+               F.least("score", F.lit(KNOWN_CAP))).otherwise(F.col("score")).alias("score"),
+        repo_owner(F.col("url")).alias("owner"), _any(url, RANKER_JUNK_SIGNALS).alias("_junk")
+    ).checkpoint(eager=True)
+    has_clean = prepared.where(~F.col("_junk")).limit(1).count() > 0
+    pool = (prepared.where(~F.col("_junk")) if has_clean else prepared).drop("_junk")
     order = [F.col("score").desc(), F.col("pos")]
     eligible = top_k_per_group(pool, groups + ["owner"], order, per_owner, "_orank").drop("_orank")
     both = (eligible.withColumn("_fill", F.lit(0))

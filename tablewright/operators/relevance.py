@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import JUNK_SCHEMA_PATTERNS
-from .profile import attach, column_profile, duplicate_stats
+from ..functions.columns import base_family, clean_value
+from .profile import attach, duplicate_stats
 
 # ---- fixed values -------------------------------------------------------------------------
 DOMAIN_SIGNATURES = {
@@ -76,9 +77,19 @@ def column_text(columns: list[str]) -> str:
 
 def table_signals(df: DataFrame, name: str) -> DataFrame:
     """One row of the table-side inputs of the relevance score."""
-    cp = column_profile(df)
-    per_col = cp.agg(F.avg("missing_frac").alias("missing"),
-                     F.count_if((F.col("base") == "string") & (F.col("avg_len") > TEXT_MEAN_LENGTH)).alias("n_text_cols"))
+    # one aggregate: non-null count per column and mean length per string column (no
+    # distinct counts are needed here, so no per-value shuffle)
+    fields = df.schema.fields
+    strs = [f.name for f in fields if base_family(f.dataType) == "string"]
+    one = df.agg(F.count(F.lit(1)).alias("__n"),
+                 *[F.count(clean_value(f.name, f.dataType)).alias(f"nn{i}") for i, f in enumerate(fields)],
+                 *[F.avg(F.length(c)).alias(f"len{j}") for j, c in enumerate(strs)])
+    n = F.col("__n")
+    missing = [F.when(n > 0, (n - F.col(f"nn{i}")) / n).otherwise(F.lit(0.0)) for i in range(len(fields))]
+    per_col = one.select(
+        (sum(missing, F.lit(0.0)) / len(fields) if fields else F.lit(None).cast("double")).alias("missing"),
+        sum((F.when(F.col(f"len{j}") > TEXT_MEAN_LENGTH, 1).otherwise(0) for j in range(len(strs))),
+            F.lit(0)).alias("n_text_cols"))
     dup = duplicate_stats(df).select("n_rows", "duplicate_ratio")
     return attach(attach(attach(df.sparkSession.range(1).select(
         F.lit(name).alias("table_name"), F.lit(len(df.columns)).alias("n_cols"),
@@ -127,8 +138,10 @@ def relevance(signals: DataFrame, domain: str, data_type: str, entities: list[st
     reason = (F.when(junk.isNotNull(), F.concat(F.lit("junk: "), junk))
               .when(n < MIN_ROWS, F.lit("too small")).when(F.col("n_cols") < MIN_COLUMNS, F.lit("too few columns"))
               .otherwise(F.lit("scored")))
+    passthrough = [c for c in ("candidate_order",) if c in signals.columns]
     return signals.select("table_name", (~rejected).alias("is_relevant"),
-                          F.when(rejected, F.lit(0.0)).otherwise(score).alias("score"), reason.alias("reason"))
+                          F.when(rejected, F.lit(0.0)).otherwise(score).alias("score"), reason.alias("reason"),
+                          *passthrough)
 
 
 def pick_best(scored: DataFrame, order_col: str = "candidate_order") -> DataFrame:

@@ -518,7 +518,7 @@ _REL_SQL = _relevance_sql()
 def quality_relevance_score(spark, d):
     from ..operators import relevance as RV
     domain, dtype, ents = _idea_pu(spark)
-    return RV.relevance(_signals(spark, d), domain, dtype, ents)
+    return RV.relevance(_signals(spark, d), domain, dtype, ents).drop("candidate_order")
 
 
 @query("quality_pick_best", f"""
@@ -530,6 +530,4 @@ ORDER BY CASE WHEN score >= 0.70 THEN 0 ELSE 1 END, CASE WHEN score >= 0.70 THEN
 def quality_pick_best(spark, d):
     from ..operators import relevance as RV
     domain, dtype, ents = _idea_pu(spark)
-    sig = _signals(spark, d)
-    scored = RV.relevance(sig, domain, dtype, ents).join(sig.select("table_name", "candidate_order"), "table_name")
-    return RV.pick_best(scored)
+    return RV.pick_best(RV.relevance(_signals(spark, d), domain, dtype, ents))
