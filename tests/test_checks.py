@@ -1,5 +1,6 @@
 """Hard rejects (QUAL8), idea-vs-data keyword check (QUAL10), curated lookup (CAT2) and the
-knowledge-base intent (CAT1) against direct re-statements of their rules on literal inputs."""
+knowledge-base intent (CAT1) against direct re-statements of their rules on literal inputs; and
+the scale rewrites (input spreading, one-pass cleaning decisions) against the plain forms."""
 
 from __future__ import annotations
 
@@ -166,3 +167,39 @@ def test_semantic_intent_matches_brute_force(spark):
     got = {r["id"]: (r["dataset_key"], r["task"], r["direct_urls"], r["expected_cols"], r["search_queries"])
            for r in semantic_intent(df, ["id"], "text").collect()}
     assert got == {i: _brute_intent(t) for i, t in enumerate(IDEAS)}
+
+
+def test_spread_only_when_short_of_slots(spark):
+    from tablewright.sources.readers import spread
+    slots = spark.sparkContext.defaultParallelism
+    few = spark.range(100).coalesce(1)
+    assert spread(few).rdd.getNumPartitions() == slots
+    many = spark.range(100).repartition(slots + 3)
+    assert spread(many).rdd.getNumPartitions() == slots + 3
+    assert sorted(r[0] for r in spread(few).collect()) == list(range(100))
+
+
+def test_missing_decisions_match_profile(spark):
+    from tablewright.operators import clean as C
+    from tablewright.operators.profile import column_profile
+    from tablewright.plans.derived import dirty_orders, table
+    from conftest import SF_SMALL
+    df = dirty_orders(table(spark, SF_SMALL, "orders"))
+    got = {r["column_name"]: (r["n_non_null"], r["keep"]) for r in C.missing_decisions(df).collect()}
+    cp = column_profile(df, text_stats=False).collect()
+    want = {r["column_name"]: (r["n_non_null"], r["n_non_null"] >= int(r["n_rows"] * (1 - 0.6))) for r in cp}
+    assert got == want
+
+
+def test_clean_dataset_equals_step_by_step(spark):
+    """The fused decisions give the same table as running the helpers one after another."""
+    from tablewright.operators import clean as C
+    from tablewright.plans.derived import dirty_orders, table
+    from conftest import SF_SMALL
+    df = dirty_orders(table(spark, SF_SMALL, "orders"))
+    fused = C.clean_dataset(df)
+    step = C.dedup_rows(C.drop_high_missing(C.strip_quotes_all(df)))
+    step = C.fill_mode(C.fill_median(C.coerce_numeric(step)))
+    assert fused.columns == step.columns
+    assert [f.dataType for f in fused.schema.fields] == [f.dataType for f in step.schema.fields]
+    assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, step.collect()))
