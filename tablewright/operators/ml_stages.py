@@ -170,6 +170,12 @@ class SmoothTfidf(Estimator, _TfidfParams, _Persist):
                                 vocabulary=[r["term"] for r in vocab], idf=[float(r["idf"]) for r in vocab])
 
 
+def _equals(term: str):
+    """A one-argument predicate for ``filter`` (a default argument would make PySpark pass the
+    element index as the second lambda argument)."""
+    return lambda x: x == F.lit(term)
+
+
 class SmoothTfidfModel(Model, _TfidfParams, _Persist):
     @keyword_only
     def __init__(self, inputCol=None, outputCol=None, vocabulary=None, idf=None, maxFeatures=200):
@@ -182,10 +188,16 @@ class SmoothTfidfModel(Model, _TfidfParams, _Persist):
         terms = with_bigrams(tokens(F.col(self.getInputCol())))
         if not vocab:
             return df.withColumn(self.getOutputCol(), array_to_vector(F.array(F.lit(0.0))))
-        vec = F.array(*[F.size(F.filter(terms, lambda x, t=t: x == F.lit(t))) * F.lit(w) for t, w in zip(vocab, idf)])
-        norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
-        scaled = F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-        return df.withColumn(self.getOutputCol(), array_to_vector(scaled))
+        # Staged columns: the terms, the weighted counts and their norm are each computed once
+        # per row.  Each is referenced more than once by the next projection, so the optimizer
+        # keeps them as columns instead of inlining them into the per-element lambdas (where
+        # the tokenising regex would otherwise run once per vocabulary term).
+        staged = df.withColumn("__terms", terms)
+        staged = staged.withColumn("__vec", F.array(*[
+            F.size(F.filter("__terms", _equals(t))) * F.lit(w) for t, w in zip(vocab, idf)]))
+        staged = staged.withColumn("__norm", F.sqrt(F.aggregate("__vec", F.lit(0.0), lambda a, x: a + x * x)))
+        scaled = F.transform("__vec", lambda x: F.when(F.col("__norm") > 0, x / F.col("__norm")).otherwise(0.0))
+        return staged.withColumn(self.getOutputCol(), array_to_vector(scaled)).drop("__terms", "__vec", "__norm")
 
 
 # ---- F-score selection ---------------------------------------------------------------------

@@ -203,3 +203,24 @@ def test_clean_dataset_equals_step_by_step(spark):
     assert fused.columns == step.columns
     assert [f.dataType for f in fused.schema.fields] == [f.dataType for f in step.schema.fields]
     assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, step.collect()))
+
+
+def test_pipeline_tfidf_stage_matches_relational(spark):
+    """The pipeline's TF-IDF stage (vector per row) equals the relational TF-IDF weights."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from tablewright.operators import tfidf as TF
+    from tablewright.operators.ml_stages import SmoothTfidf
+    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "Émile's café is open",
+             "", None, "cat cat cat dog"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = SmoothTfidf(inputCol="text", outputCol="v").fit(docs)
+    vocab = model.getOrDefault(model.vocabulary)
+    got = {}
+    for r in model.transform(docs).select("doc_id", vector_to_array("v").alias("a")).collect():
+        for i, w in enumerate(r["a"]):
+            if w != 0:
+                got[(r["doc_id"], vocab[i])] = round(w, 9)
+    rel = TF.tfidf(docs, "doc_id", "text").select("doc_id", "term", F.round("weight", 9).alias("w")).collect()
+    assert got == {(r["doc_id"], r["term"]): r["w"] for r in rel}
