@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Builder
 from ..session import scratch_path
-from . import mixture, packing, token_count, token_store
+from . import itq_dedup, mixture, packing, simhash, token_count, token_store
 
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.embedding_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
@@ -38,6 +43,11 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(load(spark, sf_dir, "documents"))
+
+
 @query
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.plan_mix(load(spark, sf_dir, "documents")).select(
