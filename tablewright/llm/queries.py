@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Builder
 from ..session import scratch_path
-from . import itq_dedup, mixture, packing, simhash, token_count, token_store
+from . import itq_dedup, langid, mixture, packing, quality, simhash, token_count, token_store, topk, toxicity
+from .text import held_out
 
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +21,10 @@ def query(fn: Builder) -> Builder:
     return fn
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -83,10 +88,66 @@ SELECT doc_id, size, source_size, target,
 FROM c"""
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """The rows a classifier may learn from: (doc_id, text, label), none held out."""
+    marks = load(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+    return texts(spark, sf_dir).join(marks, "doc_id").where(~held_out(F.col("doc_id")))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.learn(labelled(spark, sf_dir, "quality"))
+    scored = quality.score(texts(spark, sf_dir), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = load(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long"),
+        F.transform(F.col("embedding").cast("array<double>"), _scaled).alias("vec"))
+    return topk.exact_top_k(scaled, F.col("vec_id") % 50 == 0, k=5)
+
+
+def _scaled(x):
+    """floor(256 x), and a non-finite component as it is (floor is a whole number)."""
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x * 256).cast("double"))
+
+
+ORACLE["op6_exact_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.learn(load(spark, sf_dir, "documents").where(~held_out(F.col("doc_id"))))
+    return langid.identify(texts(spark, sf_dir), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(labelled(spark, sf_dir, "toxic"))
+    scored = toxicity.score(texts(spark, sf_dir), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_count.token_counts(load(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+    counted = token_count.token_counts(texts(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
 @query
@@ -94,3 +155,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from .components import connected_components
 from .hamming import BITS, buckets, distances, forest, per_bucket
+from .text import add_columns
 
 SEGMENTS = 2
 
@@ -48,13 +49,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``code`` (the fingerprint as a signed long) of every document."""
-    def run(batches):
-        for batch in batches:
-            codes = [fingerprint(t.as_py(), words, seed) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.int64())], ["doc_id", "code"])
+    """The documents with ``code``, the fingerprint as a signed long."""
+    def run(texts):
+        return [pa.array([fingerprint(t.as_py(), words, seed) for t in texts], pa.int64())]
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, code long")
+    return add_columns(docs, "code long", run)
 
 
 def near_codes(codes: DataFrame, max_distance: int = 3) -> DataFrame:
@@ -72,7 +71,8 @@ def simhash_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 3, s
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest doc_id
     reachable) of every document."""
     checkpoint_dir(docs.sparkSession)
-    marked = fingerprints(docs, words, seed).checkpoint()
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    marked = fingerprints(rows, words, seed).select("doc_id", "code").checkpoint()
     nodes = marked.groupBy("code").agg(F.min("doc_id").alias("id"))
     members = connected_components(near_codes(nodes.where("id IS NOT NULL"), max_distance))
     labelled = nodes.join(members, "id", "left").select("code", F.coalesce("component_id", "id").alias("component_id"))

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
 CACHE_WORDS = 800_000
@@ -33,6 +34,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             done, at = int(ends[to - 1]), to
 
 
+def add_columns(docs: DataFrame, schema: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """Every row of ``docs`` with all its columns and new ones computed from ``text``, slice by
+    slice; columns that have a new one's name are replaced."""
+    added = StructType.fromDDL(schema)
+    kept = docs.drop(*added.names).withColumn("text", F.col("text").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, *compute(part.column("text"))],
+                                             [*part.schema.names, *added.names])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *added.fields]))
+
+
 def split_words(texts: pa.Array, separator: str = " ") -> tuple[np.ndarray, list[str], np.ndarray]:
     """Split on one separator: (word count of each text, distinct words, word codes in order)."""
     lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), separator)

@@ -10,7 +10,8 @@ before the closing marks in ``ends``, so no merge crosses such places (checked w
 is loaded): texts are cut there, and each distinct chunk is merged once.
 
 Results: null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated results;
-a null ``doc_id`` is kept; other columns are ignored; an empty table gives an empty result.
+other columns (a null ``doc_id`` too) are kept, ones named
+like the added are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .text import CACHE_WORDS, row_sums, slices, split_words
+from .text import CACHE_WORDS, add_columns, row_sums, split_words
 
 MARK = "\u2581"
 
@@ -109,15 +109,9 @@ def merge_counter(path: str) -> MergeCounter:
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id``, ``n_bytes`` (UTF-8) and ``n_tokens`` of each document's whole text."""
-    def count(batches):
-        counter = merge_counter(model)
-        for part in slices(batches):
-            texts = part.column("text")
-            size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), size, pa.array(counter.counts(texts), pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    """The documents with ``n_bytes`` (UTF-8) and ``n_tokens`` of their whole texts."""
+    def count(texts):
+        size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+        return [size, pa.array(merge_counter(model).counts(texts), pa.int64())]
+
+    return add_columns(docs, "n_bytes long, n_tokens long", count)
