@@ -30,11 +30,14 @@ SEGMENTS, RADIUS = 4, 1
 
 
 def learn_rotation(sample: np.ndarray, rounds: int = 50, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection to 64 signs) of unit vectors: principal axes, turned round by round to
-    the rotation that best meets its own signs.  Shorter vectors get random further axes."""
+    """(centre, projection to 64 signs) of unit vectors: principal axes, turned round by round
+    to the rotation that best meets its own signs.  Shorter vectors get random further axes.
+    The centre is the mean where the vectors spread round it; a mean longer than 0.5 is left
+    in, for taking it out would widen the angles between near vectors and lose links."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     mean = sample.mean(0)
+    mean = mean * (np.linalg.norm(mean) <= 0.5)
     axes = np.linalg.eigh((sample - mean).T @ (sample - mean))[1][:, ::-1][:, :BITS]
     turn = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
     flat = (sample - mean) @ axes
