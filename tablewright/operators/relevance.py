@@ -17,50 +17,63 @@ from ..functions.columns import base_family, clean_value
 from .profile import attach, duplicate_stats
 
 # ---- fixed values -------------------------------------------------------------------------
-DOMAIN_SIGNATURES = {
-    "sentiment": ["text", "review", "comment", "tweet", "message", "content", "sentence", "description", "post", "body"],
-    "nlp": ["text", "review", "comment", "tweet", "message", "content", "sentence", "description", "post"],
-    "text_classification": ["text", "review", "content", "message", "tweet"],
-    "mental_health": ["mental", "depression", "anxiety", "stress", "treatment", "disorder", "therapy", "psychiatric",
-                      "symptom", "diagnosis", "age", "gender", "family_history", "work_interfere", "benefits",
-                      "statement", "status"],
-    "diabetes": ["glucose", "insulin", "bmi", "bloodpressure", "blood_pressure", "pregnancies", "age", "skinthickness",
-                 "diabetespedigree"],
-    "heart_disease": ["age", "sex", "cp", "trestbps", "chol", "fbs", "restecg", "thalach", "exang", "oldpeak",
-                      "cholesterol", "blood_pressure", "heart_rate"],
-    "cancer": ["radius", "texture", "perimeter", "area", "smoothness", "concavity", "symmetry", "tumor", "malignant",
-               "benign", "mass"],
-    "parkinson": ["mdvp", "jitter", "shimmer", "nhr", "hnr", "rpde", "dfa", "spread", "d2", "ppe", "vocal", "tremor",
-                  "frequency"],
-    "medical": ["age", "gender", "symptoms", "diagnosis", "treatment", "patient", "hospital", "doctor", "blood",
-                "pressure", "weight", "height"],
-    "churn": ["customerid", "tenure", "monthlycharges", "totalcharges", "contract", "paymentmethod", "customer",
-              "subscription", "account"],
-    "fraud": ["amount", "v1", "v2", "time", "transaction", "merchant", "category", "balance"],
-    "loan": ["income", "loan", "credit", "employment", "property", "coapplicant", "loanamount", "education",
-             "dependents", "self_employed"],
-    "house_price": ["bedrooms", "bathrooms", "sqft", "sqfeet", "rooms", "floors", "area", "location", "zipcode",
-                    "price", "lat", "long"],
-    "salary": ["experience", "education", "age", "job", "role", "department", "company", "skill",
-               "years_experience", "senior"],
-}
-# target-column name patterns of the same domains (with the column names above, the columns a
-# problem of the domain is expected to have)
-DOMAIN_TARGET_PATTERNS = {
-    "sentiment": ["sentiment", "label", "class", "rating", "positive", "negative", "score"],
-    "nlp": ["label", "class", "category", "sentiment", "tag"],
-    "text_classification": ["label", "class", "category", "spam", "ham"],
-    "mental_health": ["depression", "anxiety", "treatment", "diagnosis", "label", "class", "status", "condition"],
-    "diabetes": ["outcome", "diabetes", "class", "label"],
-    "heart_disease": ["target", "output", "heart", "disease", "label"],
-    "cancer": ["diagnosis", "label", "class", "target"],
-    "parkinson": ["status", "label", "class", "diagnosis"],
-    "medical": ["diagnosis", "outcome", "label", "disease", "status"],
-    "churn": ["churn", "exited", "label", "target", "left"],
-    "fraud": ["class", "fraud", "is_fraud", "label", "target"],
-    "loan": ["loan_status", "status", "approved", "label"],
-    "house_price": ["price", "saleprice", "value", "cost"],
-    "salary": ["salary", "wage", "income", "compensation", "pay"],
+# One entry per domain: its column names, and the name patterns of its target columns (together
+# the columns a problem of the domain is expected to have).
+DOMAIN_COLUMNS = {
+    "sentiment": dict(
+        columns=["text", "review", "comment", "tweet", "message", "content", "sentence", "description", "post",
+                 "body"],
+        targets=["sentiment", "label", "class", "rating", "positive", "negative", "score"]),
+    "nlp": dict(
+        columns=["text", "review", "comment", "tweet", "message", "content", "sentence", "description", "post"],
+        targets=["label", "class", "category", "sentiment", "tag"]),
+    "text_classification": dict(
+        columns=["text", "review", "content", "message", "tweet"],
+        targets=["label", "class", "category", "spam", "ham"]),
+    "mental_health": dict(
+        columns=["mental", "depression", "anxiety", "stress", "treatment", "disorder", "therapy", "psychiatric",
+                 "symptom", "diagnosis", "age", "gender", "family_history", "work_interfere", "benefits",
+                 "statement", "status"],
+        targets=["depression", "anxiety", "treatment", "diagnosis", "label", "class", "status", "condition"]),
+    "diabetes": dict(
+        columns=["glucose", "insulin", "bmi", "bloodpressure", "blood_pressure", "pregnancies", "age",
+                 "skinthickness", "diabetespedigree"],
+        targets=["outcome", "diabetes", "class", "label"]),
+    "heart_disease": dict(
+        columns=["age", "sex", "cp", "trestbps", "chol", "fbs", "restecg", "thalach", "exang", "oldpeak",
+                 "cholesterol", "blood_pressure", "heart_rate"],
+        targets=["target", "output", "heart", "disease", "label"]),
+    "cancer": dict(
+        columns=["radius", "texture", "perimeter", "area", "smoothness", "concavity", "symmetry", "tumor",
+                 "malignant", "benign", "mass"],
+        targets=["diagnosis", "label", "class", "target"]),
+    "parkinson": dict(
+        columns=["mdvp", "jitter", "shimmer", "nhr", "hnr", "rpde", "dfa", "spread", "d2", "ppe", "vocal", "tremor",
+                 "frequency"],
+        targets=["status", "label", "class", "diagnosis"]),
+    "medical": dict(
+        columns=["age", "gender", "symptoms", "diagnosis", "treatment", "patient", "hospital", "doctor", "blood",
+                 "pressure", "weight", "height"],
+        targets=["diagnosis", "outcome", "label", "disease", "status"]),
+    "churn": dict(
+        columns=["customerid", "tenure", "monthlycharges", "totalcharges", "contract", "paymentmethod", "customer",
+                 "subscription", "account"],
+        targets=["churn", "exited", "label", "target", "left"]),
+    "fraud": dict(
+        columns=["amount", "v1", "v2", "time", "transaction", "merchant", "category", "balance"],
+        targets=["class", "fraud", "is_fraud", "label", "target"]),
+    "loan": dict(
+        columns=["income", "loan", "credit", "employment", "property", "coapplicant", "loanamount", "education",
+                 "dependents", "self_employed"],
+        targets=["loan_status", "status", "approved", "label"]),
+    "house_price": dict(
+        columns=["bedrooms", "bathrooms", "sqft", "sqfeet", "rooms", "floors", "area", "location", "zipcode",
+                 "price", "lat", "long"],
+        targets=["price", "saleprice", "value", "cost"]),
+    "salary": dict(
+        columns=["experience", "education", "age", "job", "role", "department", "company", "skill",
+                 "years_experience", "senior"],
+        targets=["salary", "wage", "income", "compensation", "pay"]),
 }
 MIN_ROWS = 20
 MIN_COLUMNS = 2
@@ -123,7 +136,7 @@ def relevance(signals: DataFrame, domain: str, data_type: str, entities: list[st
              .when(n >= 100, 0.05).otherwise(-0.10))
     s = s - F.least(F.lit(0.25), F.coalesce("missing", F.lit(0.0)) * 1.5)
     s = s - F.least(F.lit(0.15), F.col("duplicate_ratio"))
-    sig = DOMAIN_SIGNATURES.get(domain, [])
+    sig = DOMAIN_COLUMNS.get(domain, {"columns": []})["columns"]
     if sig:
         m = _count_in(ct, sig)
         s = s + F.when(m > 0, F.least(F.lit(0.20), 0.05 * m)).otherwise(0.0)

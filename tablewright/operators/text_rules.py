@@ -236,9 +236,9 @@ def problem_understanding(text: Column) -> Column:
 def expected_columns(domain: Column) -> Column:
     """TXT3: the column names a problem of ``domain`` is expected to have (signature columns,
     then target patterns); empty for a domain without a signature."""
-    from .relevance import DOMAIN_SIGNATURES, DOMAIN_TARGET_PATTERNS
-    m = F.create_map(*[x for d, cols in DOMAIN_SIGNATURES.items()
-                       for x in (F.lit(d), F.array(*[F.lit(c) for c in cols + DOMAIN_TARGET_PATTERNS.get(d, [])]))])
+    from .relevance import DOMAIN_COLUMNS
+    m = F.create_map(*[x for d, names in DOMAIN_COLUMNS.items()
+                       for x in (F.lit(d), F.array(*[F.lit(c) for c in names["columns"] + names["targets"]]))])
     return F.coalesce(F.try_element_at(m, domain), F.array().cast("array<string>"))
 
 

@@ -147,8 +147,8 @@ def catalog_verified_lookup(spark, d):
 def _problem_queries_sql() -> str:
     from ..operators import text_rules as TR
     from .queries_text import _kw_sql_variant, _problem_sql
-    cols = " ".join(f"WHEN {_q(dom)} THEN {_q(','.join(sig + RV.DOMAIN_TARGET_PATTERNS.get(dom, [])))}"
-                    for dom, sig in RV.DOMAIN_SIGNATURES.items())
+    cols = " ".join(f"WHEN {_q(dom)} THEN {_q(','.join(names['columns'] + names['targets']))}"
+                    for dom, names in RV.DOMAIN_COLUMNS.items())
     return f"""
 WITH p AS ({_problem_sql(DOCUMENTS_WITH_IDEAS_SQL)}),
 e AS {_kw_sql_variant('entities', DOCUMENTS_WITH_IDEAS_SQL)},
@@ -181,8 +181,8 @@ def _semantic_intent_sql() -> str:
 
     def lst(xs):
         return "CAST([" + ", ".join(_q(x) for x in xs) + "] AS VARCHAR[])"
-    pay = ", ".join(f"({_q(k)}, {_q(task)}, {_q(canon)}, {lst(cols)}, {lst(urls)}, {lst(qs)})"
-                    for k, (task, canon, _desc, cols, urls, qs) in SM.SEMANTIC_PAYLOAD.items())
+    pay = ", ".join(f"({_q(k)}, {_q(e['task'])}, {_q(e['name'])}, {lst(e['columns'])}, {lst(e['urls'])}, {lst(e['queries'])})"
+                    for k, e in SM.KNOWLEDGE_BASE.items())
     src = DOCUMENTS_WITH_IDEAS_SQL
     return f"""
 WITH m AS ({_semantic_sql(src, ("doc_id",))}),

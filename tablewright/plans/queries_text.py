@@ -485,7 +485,7 @@ SELECT '{t}' AS table_name, {i} AS candidate_order, {len(names)} AS n_cols, '{ct
   ((SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t}))) / greatest((SELECT count(*) FROM {t}), 1) AS duplicate_ratio,
   (SELECT lower(string_agg(r, ' ' ORDER BY {order})) FROM (SELECT *, {row} AS r FROM {t} ORDER BY {order} LIMIT 5)) AS sample_text,
   {text_cols} AS n_text_cols""")
-    sig = RV.DOMAIN_SIGNATURES.get(domain, [])
+    sig = RV.DOMAIN_COLUMNS.get(domain, {"columns": []})["columns"]
 
     def cnt(expr, needles):
         return "(" + " + ".join(f"CAST(contains({expr}, {_q(n)}) AS INTEGER)" for n in needles) + ")"

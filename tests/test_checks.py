@@ -1,54 +1,35 @@
 """Hard rejects (QUAL8), idea-vs-data keyword check (QUAL10), curated lookup (CAT2) and the
-knowledge-base intent (CAT1) against direct re-statements of their rules on literal inputs; and
-the scale rewrites (input spreading, one-pass cleaning decisions) against the plain forms."""
+knowledge-base intent (CAT1) against rows worked by hand; and the scale rewrites (input spreading, one-pass cleaning decisions) against the plain forms."""
 
 from __future__ import annotations
 
 import pytest
 
 
-def _brute_lookup(text: str):
-    """Curated lookup of one keyword string, stated directly: shared words + 2 for the phrase,
-    best key first in catalog order, its first two links."""
-    from tablewright.operators.verified import MAX_LINKS, VERIFIED_CATALOG
-    low = text.lower()
-    words = set(low.split())
-    scored = [(len(set(k.lower().split()) & words) + (2 if k.lower() in low else 0), k, urls)
-              for k, urls in VERIFIED_CATALOG]
-    scored = sorted([s for s in scored if s[0] > 0], key=lambda s: s[0], reverse=True)
-    if not scored:
-        return []
-    score, key, urls = scored[0]
-    seen, out = set(), []
-    for u in urls[:MAX_LINKS]:
-        if u not in seen:
-            seen.add(u)
-            out.append((key, score, len(out) + 1, u))
-    return out
-
-
-TEXTS = [
-    "Predict HEART disease from records",        # phrase + 2 words beats "heart"
-    "heart disease",                          # no-break space splits words, phrase absent
-    "house prices in boston",                      # "house prices" 2+2 beats "house price" 2+2? tie -> first
-    "parkinsons voice data",                       # stem key loses to the exact key
-    "the customer, churn",                         # punctuation: "customer," is not a word
-    "nothing to see here",                         # no key
-    "",                                            # empty
-    None,                                          # null
-    "iris flower petals iris",                     # repeated words count once
-    "telecom churn customer churn",                # several keys, ties resolved by order
+# (text, best key, score, links) worked by hand: one point for each word of the key among the
+# text's space-separated words, two more if the key stands in the text as a phrase
+LOOKUPS = [
+    ("Predict HEART disease from records", "heart disease", 4, 2),      # 2 words + phrase; "heart" has 1 + 2
+    ("heart\u00a0disease", "heart", 3, 2),             # a no-break space divides words and breaks the phrase
+    ("house prices in boston", "house prices", 4, 2),
+    ("parkinsons voice data", "parkinsons", 3, 1),
+    ("the customer, churn", "churn", 3, 1),            # "customer," is no word, so "customer churn" has 1
+    ("nothing to see here", None, 0, 0),
+    ("", None, 0, 0),
+    (None, None, 0, 0),
+    ("iris flower petals iris", "iris", 3, 2),         # a repeated word counts once
+    ("telecom churn customer churn", "customer churn", 4, 1),
 ]
 
 
-def test_verified_lookup_matches_brute_force(spark):
-    from tablewright.operators.verified import verified_lookup
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
+def test_verified_lookup_of_worked_texts(spark):
+    from tablewright.operators.verified import VERIFIED_CATALOG, verified_lookup
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(LOOKUPS)], "id long, text string")
     got = sorted((r["id"], r["dataset_key"], r["match_score"], r["link_rank"], r["url"])
                  for r in verified_lookup(df, ["id"], "text").collect())
-    want = sorted((i, *x) for i, t in enumerate(TEXTS) for x in _brute_lookup(t or ""))
-    assert got == want
-    assert {r[0] for r in got} == {0, 1, 2, 3, 4, 8, 9}
+    urls = dict(VERIFIED_CATALOG)
+    assert got == [(i, key, score, at + 1, urls[key][at])
+                   for i, (_, key, score, links) in enumerate(LOOKUPS) for at in range(links)]
 
 
 def test_verified_lookup_fields(spark):
@@ -115,58 +96,45 @@ def test_keyword_match(spark):
     assert keyword_match(sig2, "predict the model").first()["verdict"] == "no idea keywords"
 
 
-def _brute_intent(idea: str):
-    """Knowledge-base match of one idea, stated directly (no LLM enrichment)."""
-    import re
-
-    from tablewright.operators.semantic import (MAX_INTENT_QUERIES, SEMANTIC_PAYLOAD, SEMANTIC_TRIGGERS,
-                                                index_rows)
-    from tablewright.operators.text_rules import SEMANTIC_STOP_WORDS
-    low = idea.lower()
-    scores: dict[str, float] = {}
-    for _, trig, key, w in index_rows():
-        if trig in low:
-            scores[key] = scores.get(key, 0) + w
-    words = set(re.findall(r"\b[a-z]{4,}\b", low))
-    for key, triggers in SEMANTIC_TRIGGERS:
-        for t in triggers:
-            ov = len(words & set(t.split()))
-            if ov:
-                scores[key] = scores.get(key, 0) + ov * 0.3
-    key = max(scores, key=scores.__getitem__) if scores else "generic_tabular"
-    task, canon, _, cols, urls, qs = SEMANTIC_PAYLOAD[key]
-    concepts = []
-    for w in re.findall(r"\b[a-zA-Z]{3,}\b", low):
-        if w not in SEMANTIC_STOP_WORDS and w not in concepts:
-            concepts.append(w)
-    concepts = concepts[:6]
-    queries = list(qs)
-    if concepts:
-        queries += [" ".join(concepts[:3]) + " dataset csv", " ".join(concepts[:2]) + " classification dataset"]
-    uniq = []
-    for q in queries:
-        if q and q not in uniq:
-            uniq.append(q)
-    return key, task, "|".join(urls), ",".join(cols), "|".join(uniq[:MAX_INTENT_QUERIES])
-
-
-IDEAS = [
-    "predict heart disease from patient records",
-    "will it rain tomorrow given temperature humidity wind",
-    "classify iris flower species by petal and sepal",
-    "spam detection for sms messages",
-    "a text about nothing in particular",
-    "",
-    "titanic survival and fare cabin embarked",
+# (idea, key, score, queries after the key's own) worked by hand: a trigger found in the idea
+# gives 1 (a mere 5-letter stem 0.5), 0.5 more if it has several words; each word of the idea
+# gives 0.3 for every trigger that holds it
+INTENTS = [
+    # "heart disease" 1.5, stem "heart" 0.5; "heart" in 2 triggers and "disease" in 1: 0.9
+    ("predict heart disease from patient records", "heart_disease", 2.9,
+     ["heart disease patient dataset csv", "heart disease classification dataset"]),
+    # nothing but "text" (stem of "text sentiment" is "text ": 1.0) and its word 0.3
+    ("a text about nothing in particular", "imdb_sentiment", 1.3,
+     ["text about nothing dataset csv", "text about classification dataset"]),
+    ("", "generic_tabular", 0.0, []),
+    (None, "generic_tabular", 0.0, []),
 ]
 
 
-def test_semantic_intent_matches_brute_force(spark):
-    from tablewright.operators.semantic import semantic_intent
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(IDEAS)], "id long, text string")
-    got = {r["id"]: (r["dataset_key"], r["task"], r["direct_urls"], r["expected_cols"], r["search_queries"])
-           for r in semantic_intent(df, ["id"], "text").collect()}
-    assert got == {i: _brute_intent(t) for i, t in enumerate(IDEAS)}
+def test_semantic_intent_of_worked_ideas(spark):
+    from tablewright.operators.semantic import KNOWLEDGE_BASE, semantic_intent
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(INTENTS)], "id long, text string")
+    got = {r["id"]: r for r in semantic_intent(df, ["id"], "text").collect()}
+    for i, (_, key, score, added) in enumerate(INTENTS):
+        entry, r = KNOWLEDGE_BASE[key], got[i]
+        assert (r["dataset_key"], round(r["score"], 9), r["task"]) == (key, score, entry["task"])
+        assert r["search_queries"] == "|".join([*entry["queries"], *added])
+        assert (r["direct_urls"], r["expected_cols"]) == ("|".join(entry["urls"]), ",".join(entry["columns"]))
+
+
+def test_semantic_index_places_and_owners():
+    from tablewright.operators.semantic import index_rows
+    rows = {term: (at, key, w) for at, term, key, w in index_rows()}
+    assert rows["parkinson"] == (0, "parkinson_disease", 1.0) and rows["parki"] == (1, "parkinson_disease", 0.5)
+    assert rows["heart disease"][1:] == ("heart_disease", 1.5) and rows["text "][1:] == ("imdb_sentiment", 1.0)
+    assert rows["churn"][1:] == ("customer_churn", 1.0)         # a trigger, though it is also a stem
+
+
+def test_semantic_match_needs_no_join(spark, capsys):
+    from tablewright.operators.semantic import semantic_match
+    semantic_match(spark.createDataFrame([(1, "x")], "id long, text string"), ["id"], "text").explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "Exchange" not in plan
 
 
 def test_spread_only_when_short_of_slots(spark):
