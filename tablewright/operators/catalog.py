@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.stats import top_k_per_group
 
 # ---- fixed values -------------------------------------------------------------------------
 DATASET_DOMAINS = [
@@ -97,10 +97,11 @@ def page_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^ | $", "")
 
 
-def page_results(pages: DataFrame, snippet_chars: int = 300) -> DataFrame:
-    """(pos, title, url, snippet) search-result rows derived from (page_id, url, html)."""
-    return pages.select(F.col("page_id").alias("pos"), page_title(F.col("html")).alias("title"),
-                        "url", F.substring(page_text(F.col("html")), 1, snippet_chars).alias("snippet"))
+def page_results(pages: DataFrame) -> DataFrame:
+    """(pos, title, url, snippet) search-result rows derived from (page_id, url, html); the
+    snippet is the page's whole text.  Pages take the even positions."""
+    return pages.select((F.col("page_id") * 2).alias("pos"), page_title(F.col("html")).alias("title"),
+                        "url", page_text(F.col("html")).alias("snippet"))
 
 
 # ---- CAT3: scoring -----------------------------------------------------------------------
@@ -161,9 +162,8 @@ def rank_diverse(scored: DataFrame, top_n: int = 5, per_owner: int = 2,
     """
     groups = group_cols or []
     url = F.lower(F.coalesce("url", F.lit("")))
-    # the prepared results are read three times below (clean check, owner cap, refill): they
-    # are written once to the shared checkpoint folder, so the upstream text work (titles,
-    # snippets, scores) is not recomputed and lineage is cut
+    # the prepared results are read twice below (is any clean, ranking): they are written once
+    # to the shared checkpoint folder, so the upstream text work is not recomputed
     from ..session import checkpoint_dir
     checkpoint_dir(scored.sparkSession)
     prepared = scored.select(
@@ -172,16 +172,16 @@ def rank_diverse(scored: DataFrame, top_n: int = 5, per_owner: int = 2,
                F.least("score", F.lit(KNOWN_CAP))).otherwise(F.col("score")).alias("score"),
         repo_owner(F.col("url")).alias("owner"), _any(url, RANKER_JUNK_SIGNALS).alias("_junk")
     ).checkpoint(eager=True)
-    has_clean = prepared.where(~F.col("_junk")).limit(1).count() > 0
-    pool = (prepared.where(~F.col("_junk")) if has_clean else prepared).drop("_junk")
+    clean = prepared.where(~F.col("_junk"))
+    pool = (prepared if clean.isEmpty() else clean).drop("_junk")
     order = [F.col("score").desc(), F.col("pos")]
-    eligible = top_k_per_group(pool, groups + ["owner"], order, per_owner, "_orank").drop("_orank")
-    both = (eligible.withColumn("_fill", F.lit(0))
-            .unionByName(pool.withColumn("_fill", F.lit(1))))
-    best = top_k_per_group(both, groups, [F.col("_fill")] + order, 2 * top_n, "_r")
-    dedup = top_k_per_group(best.drop("_r"), groups + ["pos"], [F.col("_fill")], 1, "_d").drop("_d")
-    final = top_k_per_group(dedup, groups, [F.col("_fill")] + order, top_n, "rank")
-    return final.drop("_fill").withColumn("source", source_label(F.col("url"), F.col("title")))
+    # an owner's results beyond its own places and all places of the group cannot appear, so
+    # both windows filter on a row number that Spark also applies before the shuffle
+    per = pool.withColumn("_owner", F.row_number().over(Window.partitionBy(*groups, "owner").orderBy(*order)))
+    per = per.where(F.col("_owner") <= per_owner + top_n).withColumn("_refill", F.col("_owner") > per_owner)
+    ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("_refill", *order)))
+    final = ranked.where(F.col("rank") <= top_n).drop("_owner", "_refill")
+    return final.withColumn("source", source_label(F.col("url"), F.col("title")))
 
 
 # ---- CAT4: link normalisation and filters ------------------------------------------------
@@ -236,34 +236,37 @@ def extract_dataset_link(pages: DataFrame, id_col: str = "page_id", url_col: str
     """
     quoted = F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)href=[\"']([^\"']+)[\"']"), 1)
     bare = F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)href=([^\s>]+)"), 1)
-    hrefs = pages.select(id_col, url_col, F.posexplode(F.concat(quoted, bare)).alias("i", "href"))
     page = F.col(url_col)
-    staged = hrefs.select(
-        id_col, "i", F.regexp_replace(F.col("href"), r"^\s+|\s+$", "").alias("h"),
+    staged = pages.select(
+        id_col, F.transform(F.concat(quoted, bare), lambda h, i: F.struct(
+            i.alias("i"), F.regexp_replace(h, r"^\s+|\s+$", "").alias("h"))).alias("hrefs"),
         F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1).alias("base"),
         F.regexp_extract(F.regexp_replace(page, r"[?#].*$", ""), r"^(.*/)", 1).alias("page_dir"))
-    h = F.col("h")
-    skip = h.startswith("#") | h.startswith("javascript:") | h.startswith("mailto:")
-    full = (F.when(h.startswith("http"), h).when(h.startswith("/"), F.concat("base", h))
-            .otherwise(F.concat(F.when(F.col("page_dir") == "", F.concat("base", F.lit("/")))
-                                .otherwise(F.col("page_dir")), h)))
-    resolved = staged.where(~skip).select(id_col, "i", full.alias("link")).select(
-        id_col, "i", "link", F.lower("link").alias("low"))
-    low = F.col("low")
     alt = "|".join(e.lstrip(".").replace(".", r"\.") for e in PAGE_LINK_EXTENSIONS)
-    has_ext_end = low.rlike(rf"\.({alt})$")
-    uci = low.contains("machine-learning-databases")
-    kind = (F.when(uci & has_ext_end, 0).when(uci, 1).when(has_ext_end, 1)
-            .when(low.contains("download") & low.rlike(rf"\.({alt})"), 1))
-    order = F.when(kind == 0, -F.col("i")).otherwise(F.col("i"))
-    pref = F.lit(len(PREFERRED_LINK_EXTENSIONS))
-    for j, ext in reversed(list(enumerate(PREFERRED_LINK_EXTENSIONS))):
-        pref = F.when(low.endswith(ext), F.lit(j)).otherwise(pref)
-    cands = (resolved.select(id_col, "link", kind.alias("kind"), order.alias("ord"), pref.alias("pref"))
-             .where(F.col("kind").isNotNull()))
-    best = cands.groupBy(id_col).agg(
-        F.min(F.struct("pref", "kind", "ord", "link")).alias("b"))
-    return pages.select(id_col).join(best, id_col, "left").select(id_col, F.col("b.link").alias("dataset_link"))
+
+    def is_link(x):
+        return ~(x["h"].startswith("#") | x["h"].startswith("javascript:") | x["h"].startswith("mailto:"))
+
+    def resolved(x):
+        h = x["h"]
+        folder = F.when(F.col("page_dir") == "", F.concat("base", F.lit("/"))).otherwise(F.col("page_dir"))
+        link = (F.when(h.startswith("http"), h).when(h.startswith("/"), F.concat("base", h)).otherwise(F.concat(folder, h)))
+        return F.struct(x["i"].alias("i"), link.alias("link"))
+
+    def rated(x):
+        low, i = F.lower(x["link"]), x["i"]
+        ends, uci = low.rlike(rf"\.({alt})$"), low.contains("machine-learning-databases")
+        kind = (F.when(uci & ends, 0).when(uci, 1).when(ends, 1)
+                .when(low.contains("download") & low.rlike(rf"\.({alt})"), 1))
+        pref = F.lit(len(PREFERRED_LINK_EXTENSIONS))
+        for j, ext in reversed(list(enumerate(PREFERRED_LINK_EXTENSIONS))):
+            pref = F.when(low.endswith(ext), F.lit(j)).otherwise(pref)
+        return F.struct(pref.alias("pref"), kind.alias("kind"), F.when(kind == 0, -i).otherwise(i).alias("ord"),
+                        x["link"].alias("link"))
+
+    links = F.transform(F.filter("hrefs", is_link), resolved)
+    best = F.array_min(F.filter(F.transform(links, rated), lambda x: x["kind"].isNotNull()))
+    return staged.select(id_col, best["link"].alias("dataset_link"))
 
 
 # ---- CAT7: content sniffing --------------------------------------------------------------

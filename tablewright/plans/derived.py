@@ -116,19 +116,19 @@ PAGES_WITH_LINKS_SQL = """
 
 def data_link_results(pages: DataFrame) -> DataFrame:
     """Search-result rows for direct data-file links derived from pages (FIXTURES recipe),
-    with junk hosts on every eleventh page."""
+    with junk hosts on every eleventh page.  Links take the odd positions."""
     pid = F.col("page_id").cast("string")
     url = F.when(F.col("page_id") % 11 == 0,
                  F.concat(F.lit("https://export-jrc.example.org/catalogue/d"), pid, F.lit(".csv"))
                  ).otherwise(F.concat(F.lit("https://raw.githubusercontent.com/o"),
                                       (F.col("page_id") % 7).cast("string"), F.lit("/r/main/d"), pid, F.lit(".csv")))
-    return pages.select((F.col("page_id") + 1_000_000).alias("pos"),
+    return pages.select((F.col("page_id") * 2 + 1).alias("pos"),
                         F.concat(F.lit("d"), pid, F.lit(".csv")).alias("title"), url.alias("url"),
                         F.lit("csv data file").alias("snippet"))
 
 
 DATA_LINK_RESULTS_SQL = """
-(SELECT page_id + 1000000 AS pos, 'd' || CAST(page_id AS VARCHAR) || '.csv' AS title,
+(SELECT page_id * 2 + 1 AS pos, 'd' || CAST(page_id AS VARCHAR) || '.csv' AS title,
    CASE WHEN page_id % 11 = 0 THEN 'https://export-jrc.example.org/catalogue/d' || CAST(page_id AS VARCHAR) || '.csv'
         ELSE 'https://raw.githubusercontent.com/o' || CAST(page_id % 7 AS VARCHAR) || '/r/main/d' || CAST(page_id AS VARCHAR) || '.csv' END AS url,
    'csv data file' AS snippet

@@ -128,8 +128,8 @@ def text_slug(spark, d):
 IDEA_KEYWORDS = ["the", "quality", "pages", "and", "documents", "data"]
 
 _PAGE_RESULTS_SQL = r"""
-(SELECT page_id AS pos, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, url,
-   substr(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g'), 1, 300) AS snippet
+(SELECT page_id * 2 AS pos, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, url,
+   regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS snippet
  FROM pages)"""
 
 _RESULTS_SQL = f"(SELECT * FROM {_PAGE_RESULTS_SQL} UNION ALL SELECT * FROM {DATA_LINK_RESULTS_SQL})"
