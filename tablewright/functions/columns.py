@@ -106,6 +106,17 @@ def strip_quotes_fill(col: Column) -> Column:
     return strip_ws(F.regexp_replace(F.coalesce(col, F.lit("")), r"^['\" ]+|['\" ]+$", ""))
 
 
+def strip_label(col: Column) -> Column:
+    """Class label image: quote characters and spaces stripped together from both ends."""
+    return F.regexp_replace(col, r"^['\" ]+|['\" ]+$", "")
+
+
+def finite_or_null(col: Column) -> Column:
+    """The number as a double; NaN and infinities are missing values."""
+    x = col.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
 def nonfinite_to_zero(col: Column) -> Column:
     return F.when(F.isnan(col) | (F.abs(col) == F.lit(float("inf"))), F.lit(0.0)).otherwise(col)
 
@@ -131,6 +142,10 @@ def sql_strip_quotes(expr: str) -> str:
     return f"regexp_replace({inner}, '^\\s+|\\s+$', '', 'g')"
 
 
+def sql_strip_label(expr: str) -> str:
+    return f"regexp_replace({expr}, '^[''\" ]+|[''\" ]+$', '', 'g')"
+
+
 def sql_strip_quotes_fill(expr: str) -> str:
     inner = f"regexp_replace(coalesce({expr}, ''), '^[''\" ]+|[''\" ]+$', '', 'g')"
     return f"regexp_replace({inner}, '^\\s+|\\s+$', '', 'g')"

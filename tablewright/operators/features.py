@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import base_family, guarded_double, parse_datetime, strip_quotes
+from ..functions.columns import base_family, finite_or_null, guarded_double, parse_datetime, strip_label
 from ..functions.stats import column_modes, exact_medians, join_dictionary, ordered_codes
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -29,25 +29,30 @@ DATETIME_SUFFIXES = ("year", "month", "day", "hour")
 # ---- target encoding (FEAT1 / FEAT2) -----------------------------------------------------
 
 def target_codes(df: DataFrame, target: str) -> DataFrame:
-    """Dictionary (label, code) for a string target: quote-stripped labels, sorted, 0-based."""
-    lab = df.select(strip_quotes(F.col(target).cast("string")).alias("label"))
+    """Dictionary (label, code) for a string target: stripped labels, sorted, 0-based."""
+    lab = df.select(strip_label(F.col(target).cast("string")).alias("label"))
     return ordered_codes(lab, "label", "code")
 
 
 def encode_target(df: DataFrame, target: str, task: str, codes: DataFrame | None = None,
                   out: str = "y") -> DataFrame:
-    """FEAT1: regression -> double (unparsable/NULL -> 0.0); numeric classification ->
-    integer (NULL -> 0, truncated); string classification -> sorted label code."""
+    """FEAT1: regression -> double (unparsable/NULL -> 0.0); numeric classification -> the
+    integer (NULL -> 0), or the rank of the value if any label has a fraction; string
+    classification -> sorted label code."""
     dtype = df.schema[target].dataType
     fam = base_family(dtype)
     if task == "regression":
         v = F.col(target).cast("double") if fam == "numeric" else guarded_double(F.col(target).cast("string"))
         return df.withColumn(out, F.coalesce(v, F.lit(0.0)))
     if fam in ("numeric", "boolean"):
-        return df.withColumn(out, F.coalesce(F.col(target).cast("double"), F.lit(0.0)).cast("long").cast("double"))
+        keyed = df.withColumn("__label", F.coalesce(finite_or_null(F.col(target)), F.lit(0.0)))
+        if keyed.where(F.col("__label") != F.floor("__label")).isEmpty():
+            return keyed.withColumn(out, F.col("__label")).drop("__label")
+        ranked = join_dictionary(keyed, ordered_codes(keyed, "__label", "code"), "__label")
+        return ranked.withColumn(out, F.col("code").cast("double")).drop("__label", "code")
     if codes is None:
         codes = target_codes(df, target)
-    lab = strip_quotes(F.col(target).cast("string"))
+    lab = strip_label(F.col(target).cast("string"))
     keyed = df.withColumn("__label", lab)
     joined = join_dictionary(keyed, codes.withColumnRenamed("label", "__label"), "__label")
     return joined.withColumn(out, F.col("code").cast("double")).drop("__label", "code")
@@ -85,20 +90,22 @@ class ScalerFit:
 
 
 def fit_standard_scaler(train: DataFrame, columns: list[str]) -> ScalerFit:
-    """Exact median for imputation, then mean and *population* std of the imputed column."""
-    med = exact_medians(train, columns)
+    """Exact median for imputation, then mean and *population* std of the imputed column; NaN
+    and infinities are missing values."""
+    usable = train.select(*[finite_or_null(F.col(c)).alias(c) for c in columns])
+    med = exact_medians(usable, columns)
     med = {c: (0.0 if v is None else v) for c, v in med.items()}
-    imputed = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in columns])
+    imputed = usable.select(*[F.coalesce(F.col(c), F.lit(med[c])).alias(c) for c in columns])
     row = imputed.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
                       *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     return ScalerFit(med, {c: row[f"m_{c}"] for c in columns}, {c: row[f"s_{c}"] for c in columns})
 
 
 def apply_standard_scaler(df: DataFrame, fit: ScalerFit, suffix: str = "") -> DataFrame:
-    """(x - mean) / std with NULL -> median; a zero std gives 0 (as the reference's scaler)."""
+    """(x - mean) / std, missing -> median; a zero std gives 0."""
     out = df
     for c in fit.means:
-        x = F.coalesce(F.col(c).cast("double"), F.lit(fit.medians[c]))
+        x = F.coalesce(finite_or_null(F.col(c)), F.lit(fit.medians[c]))
         s = fit.stds[c] or 0.0
         val = (x - F.lit(fit.means[c])) / F.lit(s) if s > 0 else (x - F.lit(fit.means[c]))
         out = out.withColumn(c + suffix, val)
@@ -112,14 +119,17 @@ def _cat_image(c: str) -> Column:
 
 
 def fit_categories(train: DataFrame, columns: list[str], limit: int = MAX_OHE_CATEGORIES) -> dict:
-    """Sorted category list per column (after mode imputation), for columns with at most
-    ``limit`` distinct values; one shuffle of (column, value) pairs."""
+    """Sorted category list per column; one shuffle of (column, value) pairs.  A column with
+    more than ``limit`` values raises: it needs an ordinal dictionary (``fit_ordinal``)."""
     long = train.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), _cat_image(c).alias("v")) for c in columns])))
     d = long.where(F.col("v").isNotNull()).distinct()
     w = Window.partitionBy("column_name").orderBy("v")
     firsts = (d.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit + 1)
               .groupBy("column_name").agg(F.array_sort(F.collect_list("v")).alias("vals")).collect())
+    wide = sorted(r["column_name"] for r in firsts if len(r["vals"]) > limit)
+    if wide:
+        raise ValueError(f"more than {limit} categories, use ordinal codes: {wide}")
     return {r["column_name"]: list(r["vals"]) for r in firsts}
 
 

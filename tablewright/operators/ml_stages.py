@@ -1,10 +1,14 @@
 """Custom ``pyspark.ml`` stages for semantics MLlib lacks; all persist with the pipeline.
 
+* ``KnownColumns``     - columns known from training that are missing become NULL (imputed)
+* ``NumericCoerce``    - numeric strings to doubles, unparsable and non-finite -> NULL
 * ``ExactScaler``      - exact-median imputation + population-std scaling (std 0 -> 0)
-* ``CategoryEncoder``  - mode imputation, sorted categories; one-hot (unknown -> zeros) or
+* ``CategoryEncoder``  - label stripping, mode imputation, sorted categories; one-hot (unknown -> zeros) or
                          ordinal (unknown -> -1)
 * ``DatetimeParts``    - year/month/day/hour columns, unparsed -> 0
 * ``QuoteStrip``       - NULL -> '' and quote/space stripping of string columns
+* ``LabelText``        - stripped image of a string target
+* ``FiniteVector``     - non-finite vector slots -> 0
 * ``SmoothTfidf``      - corpus-frequency vocabulary, idf = ln((1+n)/(1+df)) + 1, L2 rows
 * ``FScoreSelector``   - keep the k best vector slots by ANOVA F / F-regression
 
@@ -22,7 +26,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import parse_datetime, strip_quotes_fill
+from ..functions.columns import (base_family, finite_or_null, guarded_double, nonfinite_to_zero, parse_datetime,
+                                 strip_label, strip_quotes_fill)
 from ..functions.text import tokens, with_bigrams
 from . import features as FE
 
@@ -31,6 +36,67 @@ class _Persist(DefaultParamsReadable, DefaultParamsWritable):
     pass
 
 
+# ---- column recall, coercion, label text, finite vectors -----------------------------------
+
+class KnownColumns(Transformer, HasInputCols, _Persist):
+    """Columns the pipeline was trained on and a frame lacks are added as NULL strings; the
+    imputing stages fill them.  Columns it does not know are left alone and never assembled."""
+
+    @keyword_only
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.lit(None).cast("string") for c in self.getInputCols() if c not in df.columns})
+
+
+class NumericCoerce(Transformer, HasInputCols, HasOutputCols, _Persist):
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        def number(c):
+            numeric = base_family(df.schema[c].dataType) in ("numeric", "boolean")
+            return finite_or_null(F.col(c) if numeric else guarded_double(F.col(c).cast("string")))
+        return df.withColumns({o: number(c) for c, o in zip(self.getInputCols(), self.getOutputCols())})
+
+
+class LabelText(Transformer, HasInputCol, HasOutputCol, _Persist):
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        c = self.getInputCol()
+        source = F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+        return df.withColumn(self.getOutputCol(), strip_label(source))
+
+
+class FiniteVector(Transformer, HasInputCol, HasOutputCol, _Persist):
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        slots = F.transform(vector_to_array(self.getInputCol()), nonfinite_to_zero)
+        return df.withColumn(self.getOutputCol(), array_to_vector(slots))
+
+
+def validate_numeric(df: DataFrame, columns: list[str]) -> None:
+    """CLN15: every feature column is numeric, boolean or a vector of doubles, else TypeError."""
+    from pyspark.ml.linalg import VectorUDT
+    wrong = [f"{c}: {df.schema[c].dataType.simpleString()}" for c in columns
+             if base_family(df.schema[c].dataType) not in ("numeric", "boolean")
+             and not isinstance(df.schema[c].dataType, VectorUDT)]
+    if wrong:
+        raise TypeError("features must be numeric before training: " + ", ".join(wrong))
+
+
 # ---- scaling -------------------------------------------------------------------------------
 
 class _ScalerParams(HasInputCols, HasOutputCols):
@@ -64,7 +130,7 @@ class ExactScalerModel(Model, _ScalerParams, _Persist):
         out = df
         for c, o, med, m, s in zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault(self.medians),
                                    self.getOrDefault(self.means), self.getOrDefault(self.stds)):
-            x = F.coalesce(F.col(c).cast("double"), F.lit(med))
+            x = F.coalesce(finite_or_null(F.col(c)), F.lit(med))
             out = out.withColumn(o, (x - F.lit(m)) / F.lit(s) if s > 0 else x - F.lit(m))
         return out
 
@@ -86,9 +152,10 @@ class CategoryEncoder(Estimator, _CatParams, _Persist):
 
     def _fit(self, df: DataFrame) -> "CategoryEncoderModel":
         c = self.getInputCol()
-        fill = FE.category_modes(df, [c]).get(c) or ""
-        img = F.coalesce(F.col(c).cast("string"), F.lit(fill))
-        labels = [r[0] for r in df.select(img.alias("v")).distinct().orderBy("v").collect()]
+        text = df.select(strip_label(F.col(c).cast("string")).alias(c))
+        fill = FE.category_modes(text, [c]).get(c) or ""
+        img = F.coalesce(F.col(c), F.lit(fill))
+        labels = [r[0] for r in text.select(img.alias("v")).distinct().orderBy("v").collect()]
         return CategoryEncoderModel(inputCol=c, outputCol=self.getOutputCol(), mode=self.getOrDefault(self.mode),
                                     labels=labels, fill=fill)
 
@@ -101,7 +168,7 @@ class CategoryEncoderModel(Model, _CatParams, _Persist):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         labels = self.getOrDefault(self.labels)
-        v = F.coalesce(F.col(self.getInputCol()).cast("string"), F.lit(self.getOrDefault(self.fill)))
+        v = F.coalesce(strip_label(F.col(self.getInputCol()).cast("string")), F.lit(self.getOrDefault(self.fill)))
         lab = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
         pos = F.array_position(lab, v)               # 1-based, 0 when unseen
         if self.getOrDefault(self.mode) == "ordinal":

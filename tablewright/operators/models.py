@@ -8,7 +8,9 @@ rules are column expressions over profile rows, so many tables are decided in on
 from __future__ import annotations
 
 import logging
+import math
 import random
+import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
@@ -18,7 +20,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +60,43 @@ MEDIUM_ROWS = 10_000
 CATEGORICAL_SHARE = 0.4
 MIN_CATEGORICAL_COLUMNS = 3
 
-# random-search bounds (name -> param -> (kind, low, high[, log]))
+# model families that do not fit a task, and the tasks a deep family is made for
+INCOMPATIBLE = {
+    "time_series": ["LogisticRegression", "SVM", "SVR", "LinearRegression", "Ridge"],
+    "nlp": ["RandomForest", "XGBoost", "LightGBM", "CatBoost", "LogisticRegression", "SVM", "SVR",
+            "LinearRegression", "Ridge"],
+    "computer_vision": ["RandomForest", "XGBoost", "LightGBM", "CatBoost", "LogisticRegression", "SVM", "SVR",
+                        "LinearRegression", "Ridge"],
+}
+DEEP_TASKS = {
+    "LSTM": ["time_series", "classification", "regression"], "GRU": ["time_series", "classification", "regression"],
+    "MLP": ["classification", "regression"], "CNN1D": ["time_series", "classification"],
+    "BERT": ["nlp", "classification"], "DistilBERT": ["nlp", "classification"], "RoBERTa": ["nlp", "classification"],
+    "ResNet18": ["computer_vision"], "ResNet50": ["computer_vision"], "EfficientNet": ["computer_vision"],
+    "ViT": ["computer_vision"], "MobileNet": ["computer_vision"],
+}
+DEEP_MODELS = ["LSTM", "GRU", "MLP", "BERT", "DistilBERT", "RoBERTa", "ResNet18", "ResNet50", "EfficientNet", "ViT",
+               "MobileNet", "ARIMA", "Prophet"]
+NO_CHOICE = ["auto", "all", ""]
+
+# random-search bounds: family -> MLlib param -> (kind, low, high[, step])
 SEARCH_SPACES = {
     "RandomForest": {"numTrees": ("int_step", 50, 500, 50), "maxDepth": ("int", 3, 30),
                      "minInstancesPerNode": ("int", 1, 10),
                      "featureSubsetStrategy": ("choice", ["sqrt", "log2", "all"])},
-    "GBT": {"maxIter": ("int_step", 50, 500, 50), "stepSize": ("log", 1e-3, 0.3), "maxDepth": ("int", 3, 12),
-            "subsamplingRate": ("float", 0.5, 1.0)},
-    "LogisticRegression": {"regParam": ("inv_log", 1e-4, 1e2)},
+    "XGBoost": {"maxIter": ("int_step", 50, 500, 50), "stepSize": ("log", 1e-3, 0.3), "maxDepth": ("int", 3, 12),
+                "subsamplingRate": ("float", 0.5, 1.0)},
+    "LightGBM": {"maxIter": ("int_step", 50, 500, 50), "stepSize": ("log", 1e-3, 0.3), "maxDepth": ("int", 3, 15),
+                 "minInstancesPerNode": ("int", 5, 100), "subsamplingRate": ("float", 0.5, 1.0)},
+    "CatBoost": {"maxIter": ("int_step", 50, 500, 50), "stepSize": ("log", 1e-3, 0.3), "maxDepth": ("int", 3, 10)},
+    "LogisticRegression": {"C": ("log", 1e-4, 1e2)},
     "Ridge": {"regParam": ("log", 1e-4, 1e3)},
 }
+HIDDEN_LAYERS = (256, 128, 64)
+MLP_ITERATIONS = 100
+SVC_ITERATIONS = 100
+SEARCH_SECONDS = 120
+FALLBACK_FAMILY = "LightGBM"
 # -------------------------------------------------------------------------------------------
 
 # Spark-native estimator used for each family name (boosting libraries -> MLlib GBT;
@@ -81,9 +110,14 @@ ESTIMATOR_FOR = {
 
 
 def make_estimator(name: str, task: str, features: str = "features", label: str = "label",
-                   n_classes: int = 2, n_features: int | None = None, quick: bool = False):
-    """MOD1-MOD7: estimator for a family name; ``quick`` shrinks iteration counts for tests."""
-    trees = 10 if quick else N_TREES
+                   n_classes: int = 2, n_features: int | None = None, n_rows: int | None = None,
+                   trees: int = N_TREES, max_iter: int | None = None, hidden: tuple[int, ...] = HIDDEN_LAYERS):
+    """MOD1-MOD7: estimator for a family name.
+
+    ``trees``: trees or boosting rounds (200); ``max_iter``: iterations of the linear and
+    neural families (their own defaults if None); ``hidden``: hidden layer sizes of the MLP.
+    The logistic regression's penalty is C = 1, which MLlib states as 1 / rows (``n_rows``).
+    """
     kw = dict(featuresCol=features, labelCol=label)
     fam = ESTIMATOR_FOR.get(name, name)
     if task == "classification":
@@ -95,16 +129,16 @@ def make_estimator(name: str, task: str, features: str = "features", label: str
             gbt = GBTClassifier(maxIter=trees, seed=SEED, **kw)
             return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **kw)
         if fam == "LogisticRegression":
-            return LogisticRegression(maxIter=100 if quick else MAX_ITER_LR, regParam=0.0, elasticNetParam=0.0,
-                                      family="multinomial", **kw)
+            return LogisticRegression(maxIter=max_iter or MAX_ITER_LR, regParam=1.0 / n_rows if n_rows else 0.0,
+                                      standardization=False, elasticNetParam=0.0, family="multinomial", **kw)
         if fam == "LinearSVC":
-            svc = LinearSVC(maxIter=10 if quick else 100, **kw)
+            svc = LinearSVC(maxIter=max_iter or SVC_ITERATIONS, **kw)
             return svc if n_classes <= 2 else OneVsRest(classifier=svc, **kw)
         if fam == "MultilayerPerceptron":
             if n_features is None:
                 raise ValueError("MLP needs n_features")
-            layers = [n_features, 256, 128, 64, n_classes] if not quick else [n_features, 16, n_classes]
-            return MultilayerPerceptronClassifier(layers=layers, seed=SEED, maxIter=20 if quick else 100, **kw)
+            return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], seed=SEED,
+                                                  maxIter=max_iter or MLP_ITERATIONS, **kw)
     if task == "regression":
         if fam.startswith("RandomForest"):
             return RandomForestRegressor(numTrees=trees, seed=SEED,
@@ -132,18 +166,23 @@ def _joined(names: list[str]) -> Column:
     return F.lit(",".join(names))
 
 
-def strategy(profiles: DataFrame) -> DataFrame:
+def strategy(profiles: DataFrame, choice: str | None = None) -> DataFrame:
     """MOD10: per profile row (task_type, num_rows, n_numeric, n_categorical, n_text,
-    n_datetime) -> rule, models, use_automl, use_deep_learning, automl_time_budget."""
+    n_datetime) -> rule, models, use_automl, use_deep_learning, automl_time_budget.
+
+    ``choice`` names a column with the user's model; where it holds one (not NULL, empty,
+    'auto' or 'all'), that model alone is taken before any other rule."""
+    chosen = F.lit(None).cast("string") if choice is None else F.col(choice)
+    explicit = F.coalesce(~F.lower(chosen).isin(*NO_CHOICE), F.lit(False))
     total = F.greatest(F.col("n_categorical") + F.col("n_numeric") + F.col("n_text"), F.lit(1))
     cat_ratio = F.col("n_categorical") / total
     reg = F.col("task_type") == "regression"
     ts = (F.col("task_type") == "time_series") | (F.col("n_datetime") > 0)
-    rule = (F.when(ts, "time_series").when(F.col("n_text") > 0, "text")
+    rule = (F.when(explicit, "explicit").when(ts, "time_series").when(F.col("n_text") > 0, "text")
             .when((cat_ratio > CATEGORICAL_SHARE) & (F.col("n_categorical") > MIN_CATEGORICAL_COLUMNS), "categorical")
             .when(F.col("num_rows") > LARGE_ROWS, "large").when(F.col("num_rows") > MEDIUM_ROWS, "medium")
             .otherwise("small"))
-    models = (F.when(rule == "time_series", _joined(["LSTM", "GRU"]))
+    models = (F.when(rule == "explicit", chosen).when(rule == "time_series", _joined(["LSTM", "GRU"]))
               .when(rule == "text", _joined(["DistilBERT", "BERT"]))
               .when(rule == "categorical", F.when(reg, _joined(["CatBoost", "LightGBM", "XGBoost"]))
                     .otherwise(_joined(["CatBoost", "LightGBM", "XGBoost", "RandomForest"])))
@@ -156,7 +195,7 @@ def strategy(profiles: DataFrame) -> DataFrame:
     return profiles.select(
         "*", rule.alias("rule"), models.alias("models"),
         rule.isin("large", "medium", "small").alias("use_automl"),
-        rule.isin("time_series", "text").alias("use_deep_learning"),
+        (rule.isin("time_series", "text") | ((rule == "explicit") & chosen.isin(*DEEP_MODELS))).alias("use_deep_learning"),
         F.when(rule == "categorical", 60).when(rule == "large", 90).otherwise(120).alias("automl_time_budget"))
 
 
@@ -170,27 +209,46 @@ def recommend(profiles: DataFrame) -> DataFrame:
     return profiles.select("*", out.alias("models"))
 
 
+def compatibility(pairs: DataFrame, model: str = "model", task: str = "task_type") -> DataFrame:
+    """EVAL6: ``compatible`` and ``warning`` of (model, task) rows.  A deep family fits the tasks
+    it is made for, other families all tasks but those they are listed against; an unknown
+    model is let through."""
+    deep = F.create_map(*[x for m, tasks in DEEP_TASKS.items() for x in (F.lit(m), F.array(*map(F.lit, tasks)))])
+    barred = F.create_map(*[x for t, models in INCOMPATIBLE.items() for x in (F.lit(t), F.array(*map(F.lit, models)))])
+    made_for = F.element_at(deep, F.col(model))
+    fits = (F.when(made_for.isNotNull(), F.coalesce(F.array_contains(made_for, F.col(task)), F.lit(False)))
+            .otherwise(~F.coalesce(F.array_contains(F.element_at(barred, F.col(task)), F.col(model)), F.lit(False))))
+    warning = F.concat_ws(" ", F.col(model), F.lit("is not designed for"), F.col(task), F.lit("tasks"))
+    return pairs.select("*", fits.alias("compatible"), F.when(~fits, warning).alias("warning"))
+
+
 # ---- FEAT8: preparation pipeline ------------------------------------------------------------
 
 def build_preparation(type_rows: list, target: str, task: str, max_ohe: int = 50,
                       max_features: int = 500, select: bool = True):
-    """Stages from the column classification (rows of ``classify_columns``): datetime parts,
-    quote strip, exact scaler, category encoders (one-hot <= 50 categories, else ordinal),
-    TF-IDF per text column, assembler, optional F-score selector.  Label stage included."""
-    from .ml_stages import CategoryEncoder, DatetimeParts, ExactScaler, FScoreSelector, QuoteStrip, SmoothTfidf
+    """Stages from the column classification (rows of ``classify_columns``): column recall,
+    datetime parts, numeric coercion, exact scaler, category encoders (label stripping and
+    mode imputation; one-hot <= 50 categories, else ordinal), TF-IDF per text column,
+    assembler, non-finite -> 0, optional F-score selector."""
+    from .ml_stages import (CategoryEncoder, DatetimeParts, ExactScaler, FiniteVector, FScoreSelector, KnownColumns,
+                            NumericCoerce, QuoteStrip, SmoothTfidf)
     num = [r["column_name"] for r in type_rows if r["col_type"] == "numeric"]
     dts = [r["column_name"] for r in type_rows if r["col_type"] == "datetime"]
     cats = [r for r in type_rows if r["col_type"] == "categorical"]
     texts = [r["column_name"] for r in type_rows if r["col_type"] == "text"]
-    stages, vec_inputs = [], []
+    known = num + dts + [r["column_name"] for r in cats] + texts
+    if not known:
+        raise ValueError("no usable feature columns remain")
+    stages, vec_inputs = [KnownColumns(inputCols=known)], []
     if dts:
         stages.append(DatetimeParts(inputCols=dts))
         num += [f"{c}_{p}" for c in dts for p in ("year", "month", "day", "hour")]
-    if cats or texts:
-        stages.append(QuoteStrip(inputCols=[r["column_name"] for r in cats] + texts))
     if num:
-        stages.append(ExactScaler(inputCols=num, outputCols=[f"{c}__num" for c in num]))
+        stages.append(NumericCoerce(inputCols=num, outputCols=[f"{c}__double" for c in num]))
+        stages.append(ExactScaler(inputCols=[f"{c}__double" for c in num], outputCols=[f"{c}__num" for c in num]))
         vec_inputs += [f"{c}__num" for c in num]
+    if texts:
+        stages.append(QuoteStrip(inputCols=texts))
     for r in cats:
         c = r["column_name"]
         mode = "onehot" if r["n_unique"] <= max_ohe else "ordinal"
@@ -199,39 +257,74 @@ def build_preparation(type_rows: list, target: str, task: str, max_ohe: int = 50
     for c in texts:
         stages.append(SmoothTfidf(inputCol=c, outputCol=f"{c}__tfidf"))
         vec_inputs.append(f"{c}__tfidf")
-    if not vec_inputs:
-        raise ValueError("no usable feature columns remain")
     # every input is NULL-free by construction (imputing scaler and encoders)
-    stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features_raw"))
+    stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features_assembled"))
+    stages.append(FiniteVector(inputCol="features_assembled", outputCol="features_raw" if select else "features"))
     if select:
         stages.append(FScoreSelector(inputCol="features_raw", outputCol="features", labelCol="label",
                                      k=max_features, task=task))
     return stages
 
 
+def feature_names(prep: PipelineModel) -> list[str]:
+    """FEAT13: a ``branch__column`` name (with the category or term, where there is one) for
+    every slot of ``features``, after assembling and selecting."""
+    from .ml_stages import CategoryEncoderModel, FScoreSelectorModel, SmoothTfidfModel
+    slots, names = {}, []
+    for stage in prep.stages:
+        if isinstance(stage, CategoryEncoderModel):
+            c = stage.getInputCol()
+            onehot = stage.getOrDefault(stage.mode) == "onehot"
+            slots[stage.getOutputCol()] = [f"cat__{c}_{v}" for v in stage.getOrDefault(stage.labels)] if onehot else [f"cat__{c}"]
+        elif isinstance(stage, SmoothTfidfModel):
+            slots[stage.getOutputCol()] = [f"text__{stage.getInputCol()}_{t}" for t in stage.getOrDefault(stage.vocabulary)]
+        elif isinstance(stage, VectorAssembler):
+            for c in stage.getInputCols():
+                names += slots.get(c, [f"num__{c.removesuffix('__num')}"])
+        elif isinstance(stage, FScoreSelectorModel):
+            names = [names[i] for i in stage.getOrDefault(stage.indices)]
+    return names
+
+
 def label_stage(target: str, task: str, string_target: bool):
+    """Stage (or stages) that add ``label``; a missing or unseen class gets the code after the
+    last one, which training leaves out."""
     if task == "classification" and string_target:
-        return StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep")
+        from .ml_stages import LabelText
+        return Pipeline(stages=[
+            LabelText(inputCol=target, outputCol="__label_text"),
+            StringIndexer(inputCol="__label_text", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep")])
     from pyspark.ml.feature import SQLTransformer
     cast = "DOUBLE" if task == "regression" else "BIGINT"
     return SQLTransformer(statement=f"SELECT *, CAST(CAST(coalesce(`{target}`, 0) AS {cast}) AS DOUBLE) AS label FROM __THIS__")
 
 
+def labelled(prepared: DataFrame) -> DataFrame:
+    """Rows with a known class of a prepared training frame."""
+    return prepared.where(F.col("__label_text").isNotNull()) if "__label_text" in prepared.columns else prepared
+
+
+def _sizes(prepared: DataFrame, task: str) -> dict:
+    """Arguments of ``make_estimator`` that depend on the training frame."""
+    row = prepared.agg(F.max("label"), F.count("*")).first()
+    first = prepared.select("features").first()
+    return {"n_classes": int(row[0] or 0) + 1 if task == "classification" else 0, "n_rows": row[1],
+            "n_features": len(first["features"]) if first else 0}
+
+
 # ---- MOD9: train every candidate ------------------------------------------------------------
 
-def train_all(train: DataFrame, prep_stages: list, names: list[str], task: str, label_st,
-              quick: bool = False) -> dict:
-    """Fit one pipeline per candidate on the (cached) training frame; failures are logged
-    and skipped.  Returns name -> fitted PipelineModel."""
+def train_all(train: DataFrame, prep_stages: list, names: list[str], task: str, label_st, **settings) -> dict:
+    """Fit one pipeline per candidate on the (cached) training frame; a family that fails is
+    logged and skipped.  ``settings`` go to ``make_estimator``.  Returns name -> fitted
+    PipelineModel."""
     prep = Pipeline(stages=[label_st] + prep_stages).fit(train)
-    prepared = prep.transform(train).cache()
-    n_classes = int(prepared.agg(F.max("label")).first()[0] or 1) + 1 if task == "classification" else 0
-    n_feat = len(prepared.select("features").first()[0]) if prepared.take(1) else 0
+    prepared = labelled(prep.transform(train)).select("features", "label").cache()
+    sizes = _sizes(prepared, task)
     fitted = {}
     for name in names:
         try:
-            est = make_estimator(name, task, n_classes=n_classes, n_features=n_feat, quick=quick)
-            fitted[name] = PipelineModel(stages=[prep, est.fit(prepared)])
+            fitted[name] = PipelineModel(stages=[prep, make_estimator(name, task, **sizes, **settings).fit(prepared)])
         except Exception as e:  # noqa: BLE001 - one family failing must not stop the rest
             log.warning("training %s failed: %s", name, e)
     prepared.unpersist()
@@ -248,59 +341,77 @@ def evaluator(task: str):
 
 def sample_params(space: dict, n: int, seed: int = SEED) -> list[dict]:
     """Seeded random draws from the bounds of a search space."""
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        d = {}
-        for p, spec in space.items():
-            kind = spec[0]
-            if kind == "int":
-                d[p] = rng.randint(spec[1], spec[2])
-            elif kind == "int_step":
-                d[p] = rng.randrange(spec[1], spec[2] + 1, spec[3])
-            elif kind == "float":
-                d[p] = rng.uniform(spec[1], spec[2])
-            elif kind == "log":
-                import math
-                d[p] = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
-            elif kind == "inv_log":          # C in (lo, hi) -> regParam = 1 / C
-                import math
-                d[p] = 1.0 / math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
-            elif kind == "choice":
-                d[p] = rng.choice(spec[1])
-        out.append(d)
-    return out
-
-
-def cv_search(prepared: DataFrame, task: str, names: list[str], folds: int = CV_FOLDS,
-              trials: int = 1, quick: bool = False, parallelism: int = 2) -> DataFrame:
-    """MOD12/MOD13: per family a CrossValidator over ``trials`` seeded parameter draws;
-    returns (model, best_cv_metric, params) rows for a leaderboard."""
-    rows = []
-    n_classes = int(prepared.agg(F.max("label")).first()[0] or 1) + 1 if task == "classification" else 0
-    for name in names:
-        est = make_estimator(name, task, n_classes=n_classes, quick=quick)
-        fam = ESTIMATOR_FOR.get(name, name)
-        space_key = "GBT" if fam == "GBT" else ("Ridge" if "ridge" in fam else fam.split("(")[0])
-        grid = ParamGridBuilder()
-        draws = sample_params(SEARCH_SPACES.get(space_key, {}), trials) if space_key in SEARCH_SPACES else [{}]
-        maps = []
-        for dct in draws:
-            pm = {}
-            for p, v in dct.items():
-                if est.hasParam(p):
-                    pm[est.getParam(p)] = v
-            maps.append(pm)
-        maps = maps or grid.build()
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator(task), numFolds=folds,
-                            seed=SEED, parallelism=parallelism)
-        try:
-            m = cv.fit(prepared)
-            best = max(m.avgMetrics)
-            rows.append((name, float(best), str(draws[m.avgMetrics.index(best)] if draws else {})))
-        except Exception as e:  # noqa: BLE001
-            log.warning("search for %s failed: %s", name, e)
-    return prepared.sparkSession.createDataFrame(rows, "model string, cv_metric double, params string")
+    draw = random.Random(seed)
+    kinds = {
+        "int": lambda low, high: draw.randint(low, high),
+        "int_step": lambda low, high, step: draw.randrange(low, high + 1, step),
+        "float": lambda low, high: draw.uniform(low, high),
+        "log": lambda low, high: math.exp(draw.uniform(math.log(low), math.log(high))),
+        "choice": lambda values: draw.choice(values),
+    }
+    return [{name: kinds[kind](*bounds) for name, (kind, *bounds) in space.items()} for _ in range(n)]
+
+
+def with_params(estimator, params: dict, n_rows: int):
+    """A copy of the estimator with the drawn parameters, set on the inner classifier of a
+    one-vs-rest estimator; ``C`` is 1 / (rows * regParam)."""
+    values = {"regParam" if p == "C" else p: 1.0 / (v * n_rows) if p == "C" else v for p, v in params.items()}
+    inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    unknown = [p for p in values if not inner.hasParam(p)]
+    if unknown:
+        raise ValueError(f"{type(inner).__name__} has no parameter {unknown}")
+    changed = inner.copy({inner.getParam(p): v for p, v in values.items()})
+    if isinstance(estimator, OneVsRest):
+        return estimator.copy({estimator.classifier: changed})
+    return changed
+
+
+def search(train: DataFrame, test: DataFrame, task: str, names: list[str], trials: int = TUNE_TRIALS,
+           folds: int = CV_FOLDS, seconds: float | None = SEARCH_SECONDS, parallelism: int = 3,
+           **settings) -> tuple[DataFrame, object]:
+    """MOD12/MOD13 over prepared (features, label) frames: up to ``trials`` seeded draws per
+    family, each cross-validated; families take turns until ``seconds`` have passed (None: no
+    limit; every family gets one trial whatever the time).  The best draw of each family is
+    refitted on the whole training frame and measured on ``test``.
+
+    Returns (leaderboard of model, trials, cv_metric, test_metric, params, is_best; best
+    fitted model by cross-validation).  If every family fails, the fallback family is fitted
+    with its defaults and has no cv_metric.
+    """
+    began, measure = time.monotonic(), evaluator(task)
+    sizes = _sizes(train, task)
+    state = {name: {"draws": sample_params(SEARCH_SPACES.get(name, {}), trials if name in SEARCH_SPACES else 1),
+                    "tried": 0, "best": None} for name in names}
+    for turn in range(trials):
+        for name, of in state.items():
+            late = seconds is not None and time.monotonic() - began > seconds
+            if turn >= len(of["draws"]) or (turn and late):
+                continue
+            try:
+                estimator = with_params(make_estimator(name, task, **sizes, **settings), of["draws"][turn], sizes["n_rows"])
+                cv = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=measure, numFolds=folds,
+                                    seed=SEED, parallelism=parallelism)
+                metric = cv.fit(train).avgMetrics[0]
+            except Exception as e:  # noqa: BLE001 - one family failing must not stop the rest
+                log.warning("trial %d of %s failed: %s", turn, name, e)
+                continue
+            of["tried"] += 1
+            if of["best"] is None or metric > of["best"][0]:
+                of["best"] = (metric, of["draws"][turn], estimator)
+    rows, models = [], {}
+    for name, of in state.items():
+        if of["best"]:
+            metric, params, estimator = of["best"]
+            models[name] = estimator.fit(train)
+            rows.append([name, of["tried"], float(metric), float(measure.evaluate(models[name].transform(test))), str(params)])
+    if not rows:
+        models[FALLBACK_FAMILY] = make_estimator(FALLBACK_FAMILY, task, **sizes, **settings).fit(train)
+        rows.append([FALLBACK_FAMILY, 0, None, float(measure.evaluate(models[FALLBACK_FAMILY].transform(test))), "{}"])
+    best = max(rows, key=lambda r: r[2] if r[2] is not None else float("-inf"))[0]
+    board = train.sparkSession.createDataFrame(
+        [(*r, r[0] == best) for r in rows],
+        "model string, trials int, cv_metric double, test_metric double, params string, is_best boolean")
+    return board, models[best]
 
 
 # ---- MOD14: batch scoring -------------------------------------------------------------------

@@ -66,6 +66,33 @@ DIRTY_ORDERS_COLUMNS = [
 ]
 
 
+def dirty_features(orders: DataFrame) -> DataFrame:
+    """Training columns as they arrive: prices as strings with 'n/a' and NULL, customer numbers
+    with NaN and infinity, priorities with quotes, spaces and NULL, and on every eighth order
+    (never a training row) a category that training has not seen."""
+    k = F.col("o_orderkey")
+    priority = F.when(k % 8 == 0, F.lit("9-NEW")).otherwise(F.col("o_orderpriority"))
+    return orders.select(
+        "o_orderkey",
+        F.when(k % 7 != 0, F.when(k % 20 == 1, F.lit("n/a")).otherwise(
+            F.round("o_totalprice").cast("long").cast("string"))).alias("price"),
+        F.when(k % 11 == 0, F.lit(float("nan"))).when(k % 13 == 0, F.lit(float("inf")))
+         .otherwise(F.col("o_custkey").cast("double")).alias("custkey"),
+        F.when(k % 5 != 0, F.when(k % 3 == 0, F.concat(F.lit(" '"), priority, F.lit("\" "))).otherwise(priority)).alias("priority"))
+
+
+DIRTY_FEATURES_SQL = """
+(WITH p AS (SELECT *, CASE WHEN o_orderkey % 8 = 0 THEN '9-NEW' ELSE o_orderpriority END AS pr FROM orders)
+ SELECT o_orderkey,
+   CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 20 = 1 THEN 'n/a'
+        ELSE CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) END END AS price,
+   CASE WHEN o_orderkey % 11 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 13 = 0 THEN 'infinity'::DOUBLE
+        ELSE CAST(o_custkey AS DOUBLE) END AS custkey,
+   CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN concat(' ''', pr, '" ') ELSE pr END END AS priority
+ FROM p)
+""".strip()
+
+
 def numeric_strings(lineitem: DataFrame, *extra: str) -> DataFrame:
     """lineitem quantities as strings; one in twenty replaced by 'n/a'."""
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")

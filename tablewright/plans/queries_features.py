@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import sql_parse_datetime, sql_strip_quotes
+from ..functions.columns import sql_parse_datetime, sql_strip_label
 from ..functions.text import sql_tokens
 from ..operators import features as FE
 from ..operators import select as SEL
@@ -17,7 +17,7 @@ D = DIRTY_ORDERS_SQL
 
 
 @query("feat_target_encode", f"""
-SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY {sql_strip_quotes('o_orderstatus')}) - 1 AS DOUBLE) AS y
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY {sql_strip_label('o_orderstatus')}) - 1 AS DOUBLE) AS y
 FROM {D}""")
 def feat_target_encode(spark, d):
     df = dirty_orders(table(spark, d, "orders"))
@@ -31,7 +31,7 @@ def feat_target_encode_regression(spark, d):
     return FE.encode_target(df, "l_extendedprice", "regression").select("l_orderkey", "l_linenumber", "y")
 
 
-@query("feat_target_decode", f"SELECT o_orderkey, {sql_strip_quotes('o_orderstatus')} AS label FROM {D}")
+@query("feat_target_decode", f"SELECT o_orderkey, {sql_strip_label('o_orderstatus')} AS label FROM {D}")
 def feat_target_decode(spark, d):
     df = dirty_orders(table(spark, d, "orders"))
     codes = FE.target_codes(df, "o_orderstatus")
@@ -84,17 +84,19 @@ def feat_scale_standard(spark, d):
                       F.round("o_custkey", 6).alias("o_custkey"))
 
 
-def _pivot_onehot(col: str, train_filter: str, drop_first: bool = False) -> str:
-    cats = f"(SELECT DISTINCT {col} AS c FROM part WHERE {train_filter})"
-    if drop_first:
-        cats = f"(SELECT c FROM {cats} WHERE c > (SELECT min({col}) FROM part WHERE {train_filter}))"
-    return (f"(PIVOT (SELECT p_partkey, '{col}__' || c AS k, CASE WHEN {col} = c THEN 1.0 ELSE 0.0 END AS v "
-            f"FROM part, {cats}) ON k USING max(v) GROUP BY p_partkey)")
+def _long(df, key):
+    """(key, feature, value) rows of all other columns; text stays text."""
+    return df.select(key, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in df.columns if c != key])))
 
 
-@query("feat_onehot", f"""
-SELECT * FROM {_pivot_onehot('p_brand', "p_brand <> 'Brand#13'")} AS a
-JOIN {_pivot_onehot('p_type', "p_brand <> 'Brand#13'")} AS b USING (p_partkey)""")
+def _onehot_sql(col: str) -> str:
+    return f"""
+SELECT p_partkey, '{col}__' || c AS feature, CASE WHEN {col} = c THEN '1.0' ELSE '0.0' END AS value
+FROM part, (SELECT DISTINCT {col} AS c FROM part WHERE p_brand <> 'Brand#13')"""
+
+
+@query("feat_onehot", _onehot_sql("p_brand") + "\nUNION ALL" + _onehot_sql("p_type"))
 def feat_onehot(spark, d):
     part = table(spark, d, "part")
     train = part.where(F.col("p_brand") != "Brand#13")
@@ -103,7 +105,7 @@ def feat_onehot(spark, d):
     out = part.select("p_partkey", "p_brand", "p_type")
     for c in ["p_brand", "p_type"]:
         out = FE.onehot(out, c, cats[c], fill=modes.get(c))
-    return out
+    return _long(out, "p_partkey")
 
 
 @query("feat_ordinal", """
@@ -122,15 +124,29 @@ def feat_ordinal(spark, d):
 
 
 @query("feat_encode_standalone", """
-WITH oh AS (PIVOT (SELECT c_custkey, 'c_mktsegment__' || s AS k, CASE WHEN c_mktsegment = s THEN 1.0 ELSE 0.0 END AS v
-              FROM customer, (SELECT DISTINCT c_mktsegment AS s FROM customer
-                              WHERE c_mktsegment > (SELECT min(c_mktsegment) FROM customer)))
-           ON k USING max(v) GROUP BY c_custkey)
-SELECT c.c_custkey, CAST(dense_rank() OVER (ORDER BY c.c_name) - 1 AS BIGINT) AS c_name, c.c_nationkey,
-       c.c_acctbal, oh.* EXCLUDE (c_custkey)
-FROM customer c JOIN oh USING (c_custkey)""")
+WITH c AS (SELECT *, dense_rank() OVER (ORDER BY c_name) - 1 AS code FROM customer),
+s AS (SELECT DISTINCT c_mktsegment AS seg FROM customer
+      WHERE c_mktsegment > (SELECT min(c_mktsegment) FROM customer))
+SELECT c_custkey, 'c_name' AS feature, CAST(code AS VARCHAR) AS value FROM c
+UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM c
+UNION ALL SELECT c_custkey, 'c_mktsegment__' || seg, CASE WHEN c_mktsegment = seg THEN '1.0' ELSE '0.0' END FROM c, s""")
 def feat_encode_standalone(spark, d):
-    return FE.encode_standalone(table(spark, d, "customer"))
+    return _long(FE.encode_standalone(table(spark, d, "customer").drop("c_acctbal")), "c_custkey")
+
+
+@query("feat_target_encode_labels", """
+SELECT 'fraction' AS kind, c_custkey AS id, CAST(dense_rank() OVER (ORDER BY coalesce(x, 0.0)) - 1 AS DOUBLE) AS y
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey % 4) / 4.0 END AS x FROM customer)
+UNION ALL SELECT 'spaced', c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) FROM customer""")
+def feat_target_encode_labels(spark, d):
+    """Class labels with fractions (ranked, NULL as 0) and with mixed quotes and spaces."""
+    k = F.col("c_custkey")
+    customer = table(spark, d, "customer").select(
+        "c_custkey", F.when(k % 9 != 0, (k % 4) / 4.0).alias("x"),
+        F.when(k % 3 == 0, F.concat(F.lit(" ' "), "c_mktsegment", F.lit("\" '"))).otherwise(F.col("c_mktsegment")).alias("s"))
+    out = [FE.encode_target(customer, c, "classification").select(F.lit(kind).alias("kind"), k.alias("id"), "y")
+           for kind, c in (("fraction", "x"), ("spaced", "s"))]
+    return out[0].unionByName(out[1])
 
 
 @query("feat_datetime_parts", f"""

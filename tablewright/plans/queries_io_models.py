@@ -13,7 +13,9 @@ from ..operators import split as SP
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as S
-from .derived import table
+from ..functions.columns import sql_guarded_double, sql_strip_label
+from ..operators.ml_stages import validate_numeric
+from .derived import DIRTY_FEATURES_SQL, dirty_features, table
 from .registry import query
 from .sqlgen import TABLE_COLUMNS, families_sql
 
@@ -125,7 +127,7 @@ def _prepared_orders(spark, d):
 
 def _fit_one(spark, d, name):
     train, test, stages, lab = _prepared_orders(spark, d)
-    fitted = M.train_all(train, stages, [name], "classification", lab, quick=True)
+    fitted = M.train_all(train, stages, [name], "classification", lab)
     model = fitted[name]
     return model.transform(test).select("o_orderkey", "o_orderstatus", "label", "prediction")
 
@@ -157,8 +159,9 @@ def model_linear_regression(spark, d):
 @query("model_train_all")
 def model_train_all(spark, d):
     train, test, stages, lab = _prepared_orders(spark, d)
-    names = ["RandomForest", "ExtraTrees", "LogisticRegression", "XGBoost"]
-    fitted = M.train_all(train, stages, names, "classification", lab, quick=True)
+    # every distinct estimator: the three boosting names share one
+    names = ["RandomForest", "XGBoost", "LogisticRegression", "ExtraTrees", "SVM", "MLP"]
+    fitted = M.train_all(train, stages, names, "classification", lab)
     res = None
     for i, (name, model) in enumerate(fitted.items()):
         pred = model.transform(test)
@@ -252,35 +255,69 @@ def model_recommend(spark, d):
     return M.recommend(rows).select("table_name", "task_type", "size_bucket", "models")
 
 
+def _search(spark, d, names):
+    from pyspark.ml import Pipeline
+    train, test, stages, lab = _prepared_orders(spark, d)
+    prep = Pipeline(stages=[lab] + stages).fit(train)
+    ready, held = (M.labelled(prep.transform(x)).select("features", "label").cache() for x in (train, test))
+    board, _ = M.search(ready, held, "classification", names)
+    ready.unpersist(), held.unpersist()
+    return board
+
+
 @query("model_automl_search")
 def model_automl_search(spark, d):
-    train, _, stages, lab = _prepared_orders(spark, d)
-    from pyspark.ml import Pipeline
-    prepared = Pipeline(stages=[lab] + stages).fit(train).transform(train).select("features", "label").cache()
-    return M.cv_search(prepared, "classification", ["RandomForest", "LogisticRegression"], folds=3, trials=1, quick=True)
+    return _search(spark, d, ["LogisticRegression", "LightGBM"])
 
 
 @query("model_tune")
 def model_tune(spark, d):
-    train, _, stages, lab = _prepared_orders(spark, d)
-    from pyspark.ml import Pipeline
-    prepared = Pipeline(stages=[lab] + stages).fit(train).transform(train).select("features", "label").cache()
-    return M.cv_search(prepared, "classification", ["RandomForest"], folds=3, trials=2, quick=True)
+    return _search(spark, d, ["RandomForest"])
+
+
+_PAIR_MODELS = list(dict.fromkeys([*M.DEEP_TASKS, *[m for ms in M.INCOMPATIBLE.values() for m in ms], "ExtraTrees"]))
 
 
-@query("model_search_space")
-def model_search_space(spark, d):
-    # the drawn parameter sets, one row per (family, trial); sized by the training rows' splits
-    rows = [(fam, i, str(p)) for fam, space in M.SEARCH_SPACES.items()
-            for i, p in enumerate(M.sample_params(space, M.TUNE_TRIALS))]
-    n = table(spark, d, "orders").count()
-    return spark.createDataFrame(rows, "family string, trial int, params string").withColumn("n_rows", F.lit(n))
+def _compatibility_sql() -> str:
+    deep = ", ".join(f"('{m}', '{t}')" for m, ts in M.DEEP_TASKS.items() for t in ts)
+    barred = ", ".join(f"('{m}', '{t}')" for t, ms in M.INCOMPATIBLE.items() for m in ms)
+    models = ", ".join(f"('{m}')" for m in _PAIR_MODELS)
+    return f"""
+WITH t AS (SELECT DISTINCT task_type FROM ({_profile_rows_sql()}) UNION SELECT unnest(['nlp', 'time_series', 'computer_vision'])),
+deep AS (SELECT * FROM (VALUES {deep}) AS v(m, t)), barred AS (SELECT * FROM (VALUES {barred}) AS v(m, t)),
+p AS (SELECT m.model, t.task_type,
+        CASE WHEN model IN (SELECT m FROM deep) THEN EXISTS (SELECT 1 FROM deep d WHERE d.m = model AND d.t = task_type)
+             ELSE NOT EXISTS (SELECT 1 FROM barred b WHERE b.m = model AND b.t = task_type) END AS compatible
+      FROM (VALUES {models}) AS m(model), t)
+SELECT model, task_type, compatible,
+       CASE WHEN NOT compatible THEN model || ' is not designed for ' || task_type || ' tasks' END AS warning FROM p"""
+
+
+@query("eval_compatibility", _compatibility_sql())
+def eval_compatibility(spark, d):
+    """Every model name against the tasks found in the tables and the three that need other data."""
+    found = _profile_rows(spark, d).select("task_type")
+    more = found.limit(1).select(F.explode(F.array(*map(F.lit, ["nlp", "time_series", "computer_vision"]))).alias("task_type"))
+    tasks = found.unionByName(more).distinct()
+    return M.compatibility(tasks.select(F.explode(F.array(*map(F.lit, _PAIR_MODELS))).alias("model"), "task_type"))
+
+
+@query("model_strategy_choice", f"""
+WITH p AS ({_profile_rows_sql()})
+SELECT table_name, CASE table_name WHEN 'orders' THEN 'SVM' WHEN 'lineitem' THEN 'GRU' END AS models,
+       table_name = 'lineitem' AS use_deep_learning, false AS use_automl
+FROM p WHERE table_name IN ('orders', 'lineitem')""")
+def model_strategy_choice(spark, d):
+    """MOD10 with the user's choice: a named model wins over every other rule, 'Auto' does not."""
+    chosen = F.when(F.col("table_name") == "orders", "SVM").when(F.col("table_name") == "lineitem", "GRU").otherwise("Auto")
+    out = M.strategy(_profile_rows(spark, d).withColumn("choice", chosen), "choice")
+    return out.where(F.col("rule") == "explicit").select("table_name", "models", "use_deep_learning", "use_automl")
 
 
 @query("model_batch_score")
 def model_batch_score(spark, d):
     train, test, stages, lab = _prepared_orders(spark, d)
-    fitted = M.train_all(train, stages, ["RandomForest"], "classification", lab, quick=True)
+    fitted = M.train_all(train, stages, ["RandomForest"], "classification", lab)
     labels = sorted(r[0] for r in train.select("o_orderstatus").distinct().collect())
     scored = M.batch_score(fitted["RandomForest"], test, labels)
     return scored.select("o_orderkey", "predicted_label", "confidence", "probabilities")
@@ -295,10 +332,63 @@ def feat_pipeline_fit_transform(spark, d):
     return model.transform(test).select("o_orderkey", "label", F.size(vector_to_array("features")).alias("n_features"))
 
 
+def _dirty_sql(rows: str, custkey: str) -> str:
+    """Long-form features of the dirty orders: statistics of the training rows, the given rows
+    transformed, with the customer number as ``custkey`` has it."""
+    return f"""
+WITH n AS (SELECT o_orderkey, {sql_guarded_double('price')} AS p, CASE WHEN isfinite(custkey) THEN custkey END AS c,
+                  {sql_strip_label('priority')} AS pr FROM {DIRTY_FEATURES_SQL}),
+tr AS (SELECT * FROM n WHERE o_orderkey % 4 <> 0),
+f AS (SELECT median(p) AS mp, median(c) AS mc, (SELECT pr FROM tr WHERE pr IS NOT NULL GROUP BY pr
+             ORDER BY count(*) DESC, pr LIMIT 1) AS fill FROM tr),
+z AS (SELECT avg(coalesce(p, mp)) AS ap, stddev_pop(coalesce(p, mp)) AS sp,
+             avg(coalesce(c, mc)) AS ac, stddev_pop(coalesce(c, mc)) AS sc FROM tr, f),
+lab AS (SELECT DISTINCT coalesce(pr, fill) AS v FROM tr, f),
+x AS (SELECT o_orderkey, coalesce(p, mp) AS p, coalesce({custkey}, mc) AS c, coalesce(pr, fill) AS pr FROM n, f WHERE {rows})
+SELECT o_orderkey, 'num__price' AS feature, round((p - ap) / sp, 6) AS value FROM x, z
+UNION ALL SELECT o_orderkey, 'num__custkey', round((c - ac) / sc, 6) FROM x, z
+UNION ALL SELECT o_orderkey, 'cat__priority_' || v, CASE WHEN pr = v THEN 1.0 ELSE 0.0 END FROM x, lab"""
+
+
+def _dirty_pipeline(spark, d):
+    from pyspark.ml import Pipeline
+    rows = dirty_features(table(spark, d, "orders"))
+    types = [{"column_name": c, "col_type": t, "n_unique": n} for c, t, n in
+             (("price", "numeric", 0), ("custkey", "numeric", 0), ("priority", "categorical", 6))]
+    prep = Pipeline(stages=M.build_preparation(types, "o_orderkey", "regression", select=False))
+    return prep.fit(rows.where("o_orderkey % 4 <> 0")), rows
+
+
+def _long_features(model, rows):
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(rows)
+    validate_numeric(out, ["features"])
+    slots = F.arrays_zip(F.array(*map(F.lit, M.feature_names(model))).alias("feature"), vector_to_array("features").alias("value"))
+    return out.select("o_orderkey", F.inline(slots)).withColumn("value", F.round("value", 6))
+
+
+@query("feat_pipeline_dirty_orders", _dirty_sql("o_orderkey % 4 <> 0", "c"))
+def feat_pipeline_dirty_orders(spark, d):
+    """The fitted preparation over its own training rows: 'n/a', NaN, infinity, quotes, NULLs."""
+    model, rows = _dirty_pipeline(spark, d)
+    return _long_features(model, rows.where("o_orderkey % 4 <> 0"))
+
+
+@query("feat_inference_dirty", _dirty_sql("o_orderkey % 4 = 0", "NULL"))
+def feat_inference_dirty(spark, d):
+    """The saved and reloaded preparation over new rows: an unseen category, a column that is
+    missing (imputed) and one it does not know (left alone)."""
+    model, rows = _dirty_pipeline(spark, d)
+    path = scratch_path(spark, "prep")
+    S.save_pipeline(model, path)
+    new = rows.where("o_orderkey % 4 = 0").drop("custkey").withColumn("extra", F.lit("x"))
+    return _long_features(S.load_pipeline(path), new)
+
+
 @query("snk_pipeline_roundtrip")
 def snk_pipeline_roundtrip(spark, d):
     train, test, stages, lab = _prepared_orders(spark, d)
-    fitted = M.train_all(train, stages, ["LogisticRegression"], "classification", lab, quick=True)
+    fitted = M.train_all(train, stages, ["LogisticRegression"], "classification", lab)
     model = fitted["LogisticRegression"]
     path = scratch_path(spark, "pipeline")
     S.save_pipeline(model, path)
