@@ -60,20 +60,22 @@ def exact_median(df: DataFrame, column: str) -> float | None:
     dv = dv.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = dv.agg(F.sum("cnt")).first()[0]
-        if not n:
-            return None
-        n = int(n)
-        k = (n + 1) // 2
-        a = _kth_value(dv, "x", k)
-        if n % 2 == 1:
-            return a
-        upto_a = int(dv.where(F.col("x") <= a).agg(F.sum("cnt")).first()[0])
-        b = a if upto_a >= k + 1 else float(dv.where(F.col("x") > a).agg(F.min("x")).first()[0])
-        return (a + b) / 2
+        return _median_of(dv, int(n)) if n else None
     finally:
         dv.unpersist()
 
 
+def _median_of(dv: DataFrame, n: int) -> float:
+    """Median of ``n`` values given as (x, cnt) rows."""
+    k = (n + 1) // 2
+    a = _kth_value(dv, "x", k)
+    if n % 2 == 1:
+        return a
+    upto_a = int(dv.where(F.col("x") <= a).agg(F.sum("cnt")).first()[0])
+    b = a if upto_a >= k + 1 else float(dv.where(F.col("x") > a).agg(F.min("x")).first()[0])
+    return (a + b) / 2
+
+
 def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact medians of several columns with shared jobs.
 
@@ -106,7 +108,7 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
                 out[r["c"]] = (r["lo"] + r["hi"]) / 2 if sizes[r["c"]][0] % 2 == 0 else r["lo"]
         for c in columns:
             if c in sizes and c not in small:
-                out[c] = exact_median(df, c)
+                out[c] = _median_of(dv.where(F.col("c") == c).select("x", "cnt"), sizes[c][0])
         return out
     finally:
         dv.unpersist()
@@ -127,10 +129,6 @@ def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
     return best.select("column_name", F.col("m.v").alias("mode"), (-F.col("m.neg")).alias("mode_count"))
 
 
-# Dictionaries with at most this many keys are broadcast when joined back to the data.
-BROADCAST_MAX_KEYS = 200_000
-
-
 def ordered_codes(values: DataFrame, column: str, code: str = "code") -> DataFrame:
     """Dense 0-based codes of the distinct non-null values of ``column`` in ascending order.
 
@@ -153,13 +151,10 @@ def ordered_codes(values: DataFrame, column: str, code: str = "code") -> DataFra
             .select(column, (F.col("_off") + F.row_number().over(w) - 1).cast("long").alias(code)))
 
 
-def join_dictionary(df: DataFrame, dictionary: DataFrame, on: str, how: str = "left",
-                    n_keys: int | None = None) -> DataFrame:
-    """Join a (key -> payload) dictionary; broadcast only below ``BROADCAST_MAX_KEYS`` keys."""
-    if n_keys is None:
-        n_keys = dictionary.count()
-    right = F.broadcast(dictionary) if n_keys <= BROADCAST_MAX_KEYS else dictionary
-    return df.join(right, on, how)
+def join_dictionary(df: DataFrame, dictionary: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join a (key -> payload) dictionary.  No hint: the planner broadcasts it by its size in
+    bytes, known at run time, and shuffles both sides otherwise."""
+    return df.join(dictionary, on, how)
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k: int,

@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values -------------------------------------------------------------------------
-# Accented Latin-1 letters and their base letters (Unicode decomposition without the marks).
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 # A token is a run of at least two letters, digits or underscores.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # -------------------------------------------------------------------------------------------
 
 
+@functools.cache
+def accent_map() -> tuple[str, str]:
+    """Every letter of the basic plane that decomposes into one letter and marks, and that
+    letter (built from the Unicode tables); marks standing alone go."""
+    pairs, marks = [], []
+    for point in range(0x80, 0x10000):
+        c = chr(point)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        parts = [x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)]
+        if len(parts) == 1 and parts[0] != c and unicodedata.category(c)[0] == "L":
+            pairs.append((c, parts[0]))
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(base for _, base in pairs)
+
+
 def strip_accents(col: Column) -> Column:
-    return F.translate(col, ACCENTED, UNACCENTED)
+    """Letters without their accents, composed or not."""
+    return F.translate(col, *accent_map())
 
 
 def tokens(col: Column) -> Column:
@@ -36,5 +53,4 @@ def with_bigrams(toks: Column) -> Column:
 
 
 def sql_tokens(expr: str) -> str:
-    return (f"regexp_extract_all(translate(lower(coalesce({expr}, '')), '{ACCENTED}', '{UNACCENTED}'), "
-            f"'{TOKEN_PATTERN}')")
+    return f"regexp_extract_all(strip_accents(lower(coalesce({expr}, ''))), '{TOKEN_PATTERN}')"

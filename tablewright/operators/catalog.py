@@ -299,6 +299,17 @@ def name_overlap(entries: DataFrame, name_col: str, rows_col: str, query: str) -
     return entries.where((F.col(rows_col) >= CATALOG_MIN_ROWS) & overlap)
 
 
+# ---- CAT9: default scores by source ------------------------------------------------------
+
+# fixed values: score of a candidate by the source that found it, before any rescoring
+SOURCE_SCORES = {"semantic": 0.90, "web": 0.72, "kaggle": 0.70, "openml": 0.65, "huggingface": 0.50}
+
+
+def default_score(source: Column) -> Column:
+    """CAT9: the score a candidate starts with; NULL for an unknown source."""
+    return F.element_at(F.create_map(*[x for s, v in SOURCE_SCORES.items() for x in (F.lit(s), F.lit(v))]), F.lower(source))
+
+
 # ---- SET1: union keeping the first occurrence per URL ------------------------------------
 
 def union_first_by_url(sources: list[DataFrame]) -> DataFrame:

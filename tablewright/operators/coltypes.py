@@ -102,14 +102,6 @@ def refine_task(initial: Column, target_unique: Column, has_datetime: Column,
             .otherwise("classification"))
 
 
-def hint_table(spark) -> DataFrame:
-    """The hint list as a frame (hint, rank); first occurrence wins for a repeated hint."""
-    seen: dict[str, int] = {}
-    for i, h in enumerate(TARGET_NAME_HINTS):
-        seen.setdefault(h, i)
-    return spark.createDataFrame(sorted(seen.items(), key=lambda kv: kv[1]), "hint string, hint_rank int")
-
-
 def detect_target(df: DataFrame, task_hint: str = "classification") -> DataFrame:
     """TYP6: one row (target, confidence, candidates).
 
@@ -119,36 +111,24 @@ def detect_target(df: DataFrame, task_hint: str = "classification") -> DataFrame
     4. lowest-cardinality string/boolean column -> low (top-3 as candidates);
     5. lowest-cardinality numeric column -> low; else no target.
     """
-    spark = df.sparkSession
-    cp = column_profile(df, text_stats=False).withColumn("lname", F.lower("column_name"))
-    hints = F.broadcast(hint_table(spark))
-    n_cols = len(df.columns)
-    name_hits = (cp.join(hints, F.col("lname").contains(F.col("hint")))
-                 .select("pos", "column_name", "hint_rank",
-                         (F.col("lname") == F.col("hint")).alias("exact")))
-    exact = name_hits.where("exact").select(
-        F.lit(0).alias("stage"), "hint_rank", "pos", "column_name", F.lit("high").alias("confidence"))
-    partial = name_hits.where(~F.col("exact")).select(
-        F.lit(1).alias("stage"), "hint_rank", "pos", "column_name", F.lit("high").alias("confidence"))
-    last_ok = ((F.lit(task_hint) == "classification") & (F.col("n_unique") <= 20)) | \
-              ((F.lit(task_hint) == "regression") & F.col("base").isin("numeric"))
-    last = cp.where((F.col("pos") == n_cols - 1) & last_ok).select(
-        F.lit(2).alias("stage"), F.lit(0).alias("hint_rank"), "pos", "column_name",
-        F.lit("medium").alias("confidence"))
-    strs = cp.where(F.col("base").isin("string", "boolean"))
-    low_str = strs.select(F.lit(3).alias("stage"), F.col("n_unique").cast("int").alias("hint_rank"),
-                          "pos", "column_name", F.lit("low").alias("confidence"))
-    low_num = cp.where(F.col("base") == "numeric").select(
-        F.lit(4).alias("stage"), F.col("n_unique").cast("int").alias("hint_rank"), "pos", "column_name",
-        F.lit("low").alias("confidence"))
-    allc = exact.unionByName(partial).unionByName(last).unionByName(low_str).unionByName(low_num)
-    best = allc.agg(F.min(F.struct("stage", "hint_rank", "pos", "column_name", "confidence")).alias("b"))
-    w = Window.orderBy("n_unique", "pos")
-    top3 = (strs.withColumn("rk", F.row_number().over(w)).where("rk <= 3")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "column_name"))),
-                                          lambda s: s["column_name"]), ",").alias("candidates")))
-    from .profile import attach
-    return attach(best, top3).select(
-        F.col("b.column_name").alias("target"),
-        F.coalesce(F.col("b.confidence"), F.lit("low")).alias("confidence"),
-        F.when(F.col("b.stage") >= 3, F.col("candidates")).alias("candidates"))
+    def result(target, confidence, candidates=None):
+        return df.sparkSession.createDataFrame([(target, confidence, candidates)],
+                                               "target string, confidence string, candidates string")
+
+    names = [(c.lower(), c) for c in df.columns]
+    for fits in (lambda name, hint: name == hint, lambda name, hint: hint in name):
+        for hint in TARGET_NAME_HINTS:              # the schema alone decides: no data is read
+            if found := next((c for name, c in names if fits(name, hint)), None):
+                return result(found, "high")
+    # one row per column: bounded by the schema
+    columns = sorted(column_profile(df, text_stats=False).select("pos", "column_name", "base", "n_unique").collect())
+    if not columns:
+        return result(None, "low")
+    last = columns[-1]
+    strings = sorted((r for r in columns if r.base in ("string", "boolean")), key=lambda r: (r.n_unique, r.pos))
+    numbers = sorted((r for r in columns if r.base == "numeric"), key=lambda r: (r.n_unique, r.pos))
+    if last.n_unique <= 20 if task_hint == "classification" else (task_hint == "regression" and last.base == "numeric"):
+        return result(last.column_name, "medium")
+    names = ",".join(r.column_name for r in strings[:3])
+    best = strings or numbers
+    return result(best[0].column_name, "low", names) if best else result(None, "low")

@@ -3,7 +3,7 @@
 Fitted values (medians, means, category lists, code dictionaries) are computed from the
 training frame only and applied to any frame.  Category lists for one-hot encoding are
 bounded (at most 50 per column) and become literal expressions; ordinal dictionaries can be
-large, so they stay DataFrames and are joined (broadcast only under a checked key count).
+large, so they stay DataFrames and are joined (broadcast only if the planner finds them small).
 """
 
 from __future__ import annotations
@@ -149,11 +149,10 @@ def fit_ordinal(train: DataFrame, column: str, fill: str | None = None) -> DataF
     return ordered_codes(train.select(v.alias("__v")), "__v", "__code")
 
 
-def ordinal(df: DataFrame, column: str, dictionary: DataFrame, fill: str | None = None,
-            n_keys: int | None = None) -> DataFrame:
+def ordinal(df: DataFrame, column: str, dictionary: DataFrame, fill: str | None = None) -> DataFrame:
     """FEAT6 apply: code of the value, -1 for a value unseen in training."""
     v = F.coalesce(_cat_image(column), F.lit(fill)) if fill is not None else _cat_image(column)
-    j = join_dictionary(df.withColumn("__v", v), dictionary, "__v", n_keys=n_keys)
+    j = join_dictionary(df.withColumn("__v", v), dictionary, "__v")
     return j.withColumn(column, F.coalesce(F.col("__code"), F.lit(-1)).cast("double")).drop("__v", "__code")
 
 

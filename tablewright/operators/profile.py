@@ -1,14 +1,14 @@
 """Table profiling (PROF1-PROF16): shape, missing values, distinct counts, flags, families.
 
-Physical design: a table is profiled by two jobs, whatever its width.
+Physical design: a table is profiled by at most two passes, whatever its width.
 
 * Pass A - one ``agg`` over the table: row count, non-null counts, numeric moments, parse
   rates and word counts for every column at once.  Partial aggregation means each task
   ships one row to the final stage.
-* Pass B - one unpivot of all columns to ``(pos, value)`` followed by
-  ``groupBy(pos, value).count()`` and ``groupBy(pos)``: exact distinct counts and modes for
-  every column.  Hot values are combined map-side by the partial aggregate, so a value
-  holding a third of all rows costs one row per task, not a third of the shuffle.
+* Pass B, only for callers that need distinct counts - one unpivot of the columns to
+  ``(pos, key)`` followed by a distinct and a count.  The key is the value, or its 128-bit
+  hash if it is longer than 32 bytes, so documents never travel.  Hot values are combined
+  map-side, so one holding a third of all rows costs one row per task.
 
 Both results have one row per column (bounded by the schema, not the data), so joining
 them uses a broadcast.  Nothing row-level reaches the driver.
@@ -66,15 +66,25 @@ def _columns(df: DataFrame, columns: list[str] | None) -> list[tuple[int, str, T
     return [(i, c, types[c]) for i, c in enumerate(names)]
 
 
+def distinct_key(c: str, dtype: T.DataType) -> Column:
+    """A short stand-in for a value in distinct counts: its string image, or that image's MD5
+    if it is longer than 32 bytes (so the two forms never meet: an MD5 is marked)."""
+    image = value_as_string(c, dtype)
+    if base_family(dtype) in ("string", "nested", "other"):
+        return F.when(F.octet_length(image) > 32, F.concat(F.lit("md5 of a long value: "), F.md5(image))).otherwise(image)
+    return image
+
+
 def column_profile(df: DataFrame, columns: list[str] | None = None,
-                   text_stats: bool = True) -> DataFrame:
+                   text_stats: bool = True, distinct: bool = True) -> DataFrame:
     """One row per column with everything the reference derives per column.
 
     Columns: pos, column_name, dtype, base, n_rows, n_non_null, n_null, missing_frac, n_unique,
-    mode, mode_count, v_min, v_max, v_mean, skew, n_date, n_numeric_like, avg_words, avg_len.
+    v_min, v_max, v_mean, skew, n_date, n_numeric_like, avg_words, avg_len.
     ``skew`` is bias-corrected (the pandas / DuckDB definition); NULL below 3 values and 0
     for a constant column.  ``text_stats=False`` skips the date/number parse rates and word
-    counts (the costly per-string expressions) when only counts and distincts are needed.
+    counts (the costly per-string expressions); ``distinct=False`` skips pass B and leaves
+    ``n_unique`` NULL.
     """
     cols = _columns(df, columns)
     meta = df.sparkSession.range(1).select(F.inline(F.array(*[
@@ -87,28 +97,28 @@ def column_profile(df: DataFrame, columns: list[str] | None = None,
     one = df.agg(F.count(F.lit(1)).alias("n_rows"), *structs)
     pass_a = one.select("n_rows", F.inline(F.array(*[F.col(f"c{i}") for i, _, _ in cols])))
 
-    # Pass B: unpivot to (pos, value), exact distinct and mode per column.
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("pos"), value_as_string(c, t).alias("v")) for i, c, t in cols
-    ]))).where(F.col("v").isNotNull())
-    per_value = long.groupBy("pos", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    pass_b = per_value.groupBy("pos").agg(
-        F.count(F.lit(1)).alias("n_unique"),
-        # mode: highest count, smallest value on ties
-        F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("v").alias("v"))).alias("m"),
-    ).select("pos", "n_unique", F.col("m.v").alias("mode"), (-F.col("m.neg")).alias("mode_count"))
+    per_column = F.broadcast(meta).join(F.broadcast(pass_a), "pos")
+    if distinct:
+        # Pass B: unpivot to (pos, key), exact distinct count per column.
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("pos"), distinct_key(c, t).alias("v")) for i, c, t in cols
+        ]))).where(F.col("v").isNotNull())
+        pass_b = long.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("n_unique"))
+        per_column = per_column.join(pass_b, "pos", "left")
+    else:
+        per_column = per_column.withColumn("n_unique", F.lit(None).cast("long"))
 
     n = F.col("n_rows")
     nn = F.col("n_non_null")
     skew_n = nn  # skew is over non-null values
     corrected = F.col("skew_pop") * F.sqrt(skew_n * (skew_n - 1)) / (skew_n - 2)
-    return (F.broadcast(meta).join(F.broadcast(pass_a), "pos").join(pass_b, "pos", "left")
+    return (per_column
             .select(
                 "pos", "column_name", "dtype", "base", "n_rows", "n_non_null",
                 (n - nn).alias("n_null"),
                 F.when(n > 0, (n - nn) / n).otherwise(F.lit(0.0)).alias("missing_frac"),
-                F.coalesce(F.col("n_unique"), F.lit(0)).cast("long").alias("n_unique"),
-                "mode", "mode_count", "v_min", "v_max", "v_mean",
+                (F.coalesce(F.col("n_unique"), F.lit(0)) if distinct else F.col("n_unique")).cast("long").alias("n_unique"),
+                "v_min", "v_max", "v_mean",
                 F.when(F.col("base") != "numeric", None)
                  .when(skew_n < 3, None)
                  .when(F.col("var_pop") == 0, F.lit(0.0))
@@ -119,14 +129,20 @@ def column_profile(df: DataFrame, columns: list[str] | None = None,
             ))
 
 
+def row_hash(df: DataFrame) -> list[Column]:
+    """Two independent 64-bit hashes of a whole row; NULL (and NaN) differs from every value
+    and from a NULL in another column."""
+    values = [F.to_json(F.col(f.name)) if base_family(f.dataType) == "nested" else clean_value(f.name, f.dataType)
+              for f in df.schema.fields]
+    gaps = F.concat(*[F.when(v.isNull(), "0").otherwise("1") for v in values])
+    return [F.xxhash64(F.lit(seed), gaps, *values).alias(f"__h{seed}") for seed in (1, 2)]
+
+
 def duplicate_stats(df: DataFrame) -> DataFrame:
-    """One row: n_rows, n_distinct_rows, n_duplicates, duplicate_ratio (NULLs compare equal)."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    norm = df.select(*[clean_value(c, t).alias(c) if base_family(t) != "nested"
-                       else F.to_json(F.col(c)).alias(c) for c, t in types.items()])
-    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    distinct = norm.distinct().agg(F.count(F.lit(1)).alias("n_distinct_rows"))
-    out = attach(total, distinct)
+    """One row: n_rows, n_distinct_rows, n_duplicates, duplicate_ratio (NULLs compare equal).
+    One scan; rows travel as 128-bit hashes, counted map-side first."""
+    seen = df.select(*row_hash(df)).groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n"))
+    out = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct_rows"))
     return out.select("n_rows", "n_distinct_rows",
                       (F.col("n_rows") - F.col("n_distinct_rows")).alias("n_duplicates"),
                       ((F.col("n_rows") - F.col("n_distinct_rows"))
@@ -178,7 +194,7 @@ def _joined(cp: DataFrame, family: str) -> Column:
 
 def dataset_profile(df: DataFrame) -> DataFrame:
     """PROF12: one row with rows, features, column families, ratios and size bucket."""
-    cp = analyzer_family(column_profile(df))
+    cp = analyzer_family(column_profile(df, distinct=False))
     summary = cp.agg(
         F.max("n_rows").alias("num_rows"),
         F.count(F.lit(1)).alias("num_features"),
@@ -207,13 +223,13 @@ def profile_shape(df: DataFrame) -> DataFrame:
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """PROF2: missing percentage per column, rounded half-even to 2 places."""
-    return column_profile(df, text_stats=False).select(
+    return column_profile(df, text_stats=False, distinct=False).select(
         "column_name", F.bround(F.col("missing_frac") * 100, 2).alias("missing_pct"))
 
 
 def missing_ratio(df: DataFrame) -> DataFrame:
     """PROF3: mean of the per-column missing fractions, plus the >0.5 warning flag."""
-    return column_profile(df, text_stats=False).agg(F.avg("missing_frac").alias("r")).select(
+    return column_profile(df, text_stats=False, distinct=False).agg(F.avg("missing_frac").alias("r")).select(
         F.bround("r", 4).alias("missing_value_ratio"), (F.col("r") > 0.5).alias("high_missing"))
 
 
@@ -235,7 +251,7 @@ def constant_columns(df: DataFrame) -> DataFrame:
 
 def skewed_columns(df: DataFrame) -> DataFrame:
     """PROF8: bias-corrected skewness of every numeric column and the |skew| > 2 flag."""
-    return (column_profile(df, text_stats=False).where(F.col("base") == "numeric")
+    return (column_profile(df, text_stats=False, distinct=False).where(F.col("base") == "numeric")
             .select("column_name", "skew", (F.abs(F.col("skew")) > SKEW_LIMIT).alias("skewed")))
 
 

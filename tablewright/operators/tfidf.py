@@ -17,7 +17,6 @@ Two passes over the text, each a map-side-combined aggregation:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,14 +88,12 @@ def tfidf(docs: DataFrame, doc_id: str, text: str, max_features: int = MAX_FEATU
     On one corpus the vocabulary counts of pass 2 serve both the idf and the weights."""
     if fit_on is not None:
         return transform(docs, doc_id, text, fit_vocabulary(fit_on, doc_id, text, max_features))
-    # one tokenisation: exploded terms are persisted (memory, spilling to disk) and feed both
-    # the term totals of pass 1 and the vocabulary-filtered counts of pass 2
-    exploded = _terms(docs, doc_id, text).persist(StorageLevel.MEMORY_AND_DISK)
-    ttf = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("ttf"))
-    terms = _materialise(ttf.orderBy(F.col("ttf").desc(), F.col("term")).limit(max_features).select("term"))
-    counts = (exploded.join(F.broadcast(terms), "term", "left_semi")
-              .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    # two tokenisations: the exploded corpus is never stored, only the counts of the bounded
+    # vocabulary are (read for the idf and for the weights)
+    from ..session import checkpoint_dir
+    checkpoint_dir(docs.sparkSession)
+    terms = _materialise(top_terms(docs, doc_id, text, max_features))
+    counts = vocab_counts(docs, doc_id, text, terms).checkpoint()
     vocab = _idf(counts, terms, docs.agg(F.count(F.lit(1)).alias("n_docs")))
     return _weights(counts, doc_id, vocab)
 

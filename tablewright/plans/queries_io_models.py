@@ -179,7 +179,7 @@ def _profile_rows(spark, d):
     out = None
     for t, target in _STRAT_TABLES:
         df = table(spark, d, t)
-        fam = P.analyzer_family(P.column_profile(df))
+        fam = P.analyzer_family(P.column_profile(df, distinct=False))
         task = TY.detect_task(df, target).select("task_type")
         agg = fam.agg(F.max("n_rows").alias("num_rows"),
                       F.count_if(F.col("family") == "numeric").alias("n_numeric"),

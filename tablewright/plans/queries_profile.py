@@ -111,8 +111,8 @@ def profile_size_bucket(spark, d):
        "\nUNION ALL\nSELECT 'documents' AS table_name, * FROM ("
        + _families_sql("documents", TABLE_COLUMNS["documents"]) + ")")
 def profile_column_families(spark, d):
-    a = P.analyzer_family(P.column_profile(dirty_orders(table(spark, d, "orders"))))
-    b = P.analyzer_family(P.column_profile(table(spark, d, "documents")))
+    a = P.analyzer_family(P.column_profile(dirty_orders(table(spark, d, "orders")), distinct=False))
+    b = P.analyzer_family(P.column_profile(table(spark, d, "documents"), distinct=False))
     return (a.select(F.lit("dirty_orders").alias("table_name"), "column_name", "family")
             .unionByName(b.select(F.lit("documents").alias("table_name"), "column_name", "family")))
 

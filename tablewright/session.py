@@ -9,6 +9,7 @@ which happens in tests and local runs.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,11 +44,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if none is configured."""
+    """Return the shared checkpoint folder.  If none is configured, a local one is made in local
+    mode (tests); on a cluster that is an error, for executors would not share it."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getCheckpointDir()
     if not conf_dir:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         conf_dir = tempfile.mkdtemp(prefix="tablewright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if not spark.sparkContext.getCheckpointDir():
