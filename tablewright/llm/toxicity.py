@@ -5,8 +5,8 @@ Features: lower-case words, pairs of neighbours and pairs with one word between,
 keeps most weights at zero, so the model sent with the scoring task holds the non-zero
 weights only (at most ``1 << BITS``).
 
-Model: fitted on about ``sample`` labelled documents chosen by a hash (a documented bound);
-Spark hashes their words, the driver gets their bucket numbers and runs the sequential fit.
+Model: fitted on at most about ``sample`` labelled documents, half of either class, chosen by
+a hash (a documented bound); Spark hashes their words, the driver gets their bucket numbers and runs the sequential fit.
 
 Results: null and empty texts score as the bias says; without labels every score is 0;
 repeated rows repeat; other columns (a null ``doc_id`` too) are kept, one named ``score`` is
@@ -65,8 +65,10 @@ def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 15, alpha: flo
 
 
 def learn(labelled: DataFrame, sample: int = 6000) -> dict | None:
-    """Model from (doc_id, text, label) rows; rows with a null label teach nothing."""
-    rows = labelled.where("label IS NOT NULL").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    """Model from (doc_id, text, label) rows; rows with a null label teach nothing.  Half of the
+    sample comes from either class, so a rare class is seen as often as the other."""
+    rows = labelled.where("label IN (0, 1)").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    drawn = [bounded_sample(rows.where(F.col("label") == k), sample // 2, "doc_id") for k in (0, 1)]
 
     def hashed(batches):
         for part in slices(batches):
@@ -77,12 +79,11 @@ def learn(labelled: DataFrame, sample: int = 6000) -> dict | None:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(packed, pa.binary())],
                                              ["doc_id", "label", "at"])
 
-    taught = (bounded_sample(rows, sample, "doc_id").mapInArrow(hashed, "doc_id long, label int, at binary")
-              .collect())
+    taught = drawn[0].unionByName(drawn[1]).mapInArrow(hashed, "doc_id long, label int, at binary").collect()
     taught.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.label, r.at))
     if not taught:
         return None
-    weights, bias = ftrl([np.frombuffer(r.at, "<u4").astype(np.int64) for r in taught], [r.label for r in taught])
+    weights, bias = ftrl([np.frombuffer(r.at, "<u4") for r in taught], [r.label for r in taught])
     at = np.flatnonzero(weights)
     return {"at": at.astype(np.int32), "weights": weights[at].astype(np.float32), "bias": float(bias)}
 
