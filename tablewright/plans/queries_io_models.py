@@ -94,6 +94,69 @@ def src_arff(spark, d):
     return R.read_any(spark, path)
 
 
+def _lines(spark, lines, path):
+    """Write (order, value) rows as one text file, in order."""
+    lines.coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+
+
+@query("src_csv_quoted", """
+SELECT n_nationkey AS k, n_name || ', "x"' || chr(10) || 'second line' AS name FROM nation""")
+def src_csv_quoted(spark, d):
+    """A separator inside a quoted header and fields, doubled quotes, line breaks in fields."""
+    nation = table(spark, d, "nation")
+    value = F.concat(F.lit('"'), F.col("n_nationkey").cast("string"), F.lit('";"'), "n_name", F.lit(', ""x""\nsecond line"'))
+    head = nation.limit(1).select(F.lit(-1).cast("long").alias("o"), F.lit('"key, k";"the name"').alias("value"))
+    path = scratch_path(spark, "quoted") + ".csv"
+    _lines(spark, head.unionByName(nation.select(F.col("n_nationkey").cast("long").alias("o"), value.alias("value"))), path)
+    out = R.read_any(spark, path)
+    if out.columns != ["key, k", "the name"]:
+        raise ValueError(f"header was read as {out.columns}")
+    return out.toDF("k", "name")
+
+
+@query("src_csv_other_separator", "SELECT r_regionkey AS key, r_name AS name FROM region")
+def src_csv_other_separator(spark, d):
+    region = table(spark, d, "region")
+    path = scratch_path(spark, "colon") + ".csv"
+    head = region.limit(1).select(F.lit(-1).cast("long").alias("o"), F.lit("key:name").alias("value"))
+    rows = region.select(F.col("r_regionkey").cast("long").alias("o"),
+                         F.concat_ws(":", F.col("r_regionkey").cast("string"), "r_name").alias("value"))
+    _lines(spark, head.unionByName(rows), path)
+    return R.read_any(spark, path)
+
+
+@query("src_data_whitespace", """
+SELECT CAST(s_suppkey AS DOUBLE) AS "0", s_name AS "1", CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey AS DOUBLE) END AS "2"
+FROM supplier""")
+def src_data_whitespace(spark, d):
+    """Ragged rows: every third has no last field."""
+    supplier = table(spark, d, "supplier")
+    line = F.concat(F.lit("  "), F.col("s_suppkey").cast("string"), F.lit("\t "), "s_name",
+                    F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("   "), F.col("s_nationkey").cast("string"))).otherwise(""))
+    path = scratch_path(spark, "ragged") + ".data"
+    supplier.select(line.alias("value")).write.mode("overwrite").text(path)
+    return R.read_any(spark, path)
+
+
+@query("src_arff_sections", """
+SELECT CAST(p_partkey AS DOUBLE) AS "part key", CASE WHEN p_partkey % 5 = 0 THEN '@data ' ELSE '' END || p_name || ', x' AS name,
+       p_brand AS brand FROM part""")
+def src_arff_sections(spark, d):
+    """Free text before '@data', data rows that start with '@', commas in either kind of quotes."""
+    part = table(spark, d, "part")
+    head = ["a free line", "@RELATION parts", "% a comment", "@attribute 'part key' numeric", "@Attribute name string",
+            '@attribute "brand" string', "", "@DATA"]
+    at = F.when(F.col("p_partkey") % 5 == 0, "@data ").otherwise("")
+    quoted = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("'"), at, "p_name", F.lit(", x'"))).otherwise(
+        F.concat(F.lit('"'), at, "p_name", F.lit(', x"')))
+    rows = part.select(F.col("p_partkey").cast("long").alias("o"),
+                       F.concat(F.col("p_partkey").cast("string"), F.lit(" , "), quoted, F.lit(","), "p_brand").alias("value"))
+    lines = part.limit(1).select(F.posexplode(F.array(*map(F.lit, head))).alias("o", "value")).withColumn("o", F.col("o") - 100)
+    path = scratch_path(spark, "sections") + ".arff"
+    _lines(spark, lines.withColumn("o", F.col("o").cast("long")).unionByName(rows), path)
+    return R.read_any(spark, path)
+
+
 @query("sample_exact_n", """
 SELECT o_orderkey FROM orders ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')) LIMIT 1000""")
 def sample_exact_n(spark, d):

@@ -1,113 +1,169 @@
 """Table sources (SRC1-SRC7): one ``read_any`` choosing a Spark reader by content and suffix.
 
-Only a few leading lines ever reach the driver (format and delimiter sniffing, bounded by
-``SNIFF_LINES``); the data itself is parsed by Spark's CSV/JSON/parquet/text readers in the
-executors.  ARFF files are read as text: header lines are recognised by content, data lines
-are split with a CSV-aware expression, and column types are inferred with one aggregation.
+Only the first ``SNIFF_BYTES`` bytes of one file reach the driver (format, header and
+delimiter sniffing); the data itself is parsed by Spark's CSV/JSON/parquet/text readers in
+the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import NUMERIC_PATTERN, strip_ws
 
 # ---- fixed values -------------------------------------------------------------------------
 CSV_SEPARATORS = [",", "\t", ";", "|"]          # tried in this order
+OTHER_SEPARATORS = ":^~ "                       # for the sniffer, if none of those divides the header
 ARFF_NULL_MARKERS = ["?", "NA", "N/A", ""]
 SNIFF_LINES = 10                                # lines inspected for the ARFF signature
+SNIFF_BYTES = 64 << 10
+SPREAD_BYTES = 512 << 10                        # compressed bytes worth a task of their own
 SUPPORTED_SUFFIXES = [".csv", ".tsv", ".json", ".parquet", ".data", ".arff"]
 UNSUPPORTED_SUFFIXES = [".xlsx", ".xls"]        # single-machine spreadsheet readers: not built
+# One ARFF field: in either kind of quotes, or bare up to the next comma.
+ARFF_FIELD = r"""\s*('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,]*?)\s*(?:,|$)"""
+ARFF_NAME = re.compile(r"""@attribute\s+(?:'([^']*)'|"([^"]*)"|(\S+))""", re.I)
 # -------------------------------------------------------------------------------------------
 
 
-def _head_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).limit(n).collect()
-    return [r[0] for r in rows]
+def head_bytes(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
+    """The first bytes of the file, or of the first non-empty data file below a folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    listed, files = fs.listFiles(root, True), []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() and status.getPath().getName()[0] not in "._":
+            files.append(status.getPath().toString())
+    if not files:
+        return b""
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(min(files)))
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def head_text(spark: SparkSession, path: str) -> str:
+    return head_bytes(spark, path).decode("utf-8", "replace").lstrip("\ufeff")
+
+
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").text(path)
 
 
 def is_arff(spark: SparkSession, path: str) -> bool:
     """SRC7 sniff: '@relation' or '@attribute' among the first lines."""
-    for line in _head_lines(spark, path, SNIFF_LINES):
-        low = line.strip().lower()
-        if low.startswith("@relation") or low.startswith("@attribute"):
-            return True
-    return False
-
-
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """SRC2: first separator (',', tab, ';', '|') splitting the header into >= 2 fields."""
-    head = [ln for ln in _head_lines(spark, path, 5) if ln.strip()]
-    if not head:
-        return ","
+    lines = head_text(spark, path).splitlines()[:SNIFF_LINES]
+    return any(line.strip().lower().startswith(("@relation", "@attribute")) for line in lines)
+
+
+def sniff_csv(sample: str) -> tuple[str, bool]:
+    """SRC2: (separator, whether a quoted field holds a line break) of the first bytes.  The
+    first separator that divides the header, quotes respected, wins; one that gives every
+    sampled row the header's width goes before one that doesn't."""
+    def rows(sep):
+        found = list(csv.reader(sample.splitlines(keepends=True), delimiter=sep))
+        return [r for r in found if r][:-1 if len(sample) >= SNIFF_BYTES else None]
+
+    ragged = None
     for sep in CSV_SEPARATORS:
-        if len(head[0].split(sep)) >= 2:
-            return sep
-    return ","
+        found = rows(sep)
+        if found and len(found[0]) >= 2:
+            if len({len(r) for r in found}) == 1:
+                return sep, _breaks(found)
+            ragged = ragged or sep
+    if ragged is None:
+        try:
+            ragged = csv.Sniffer().sniff(sample, OTHER_SEPARATORS).delimiter
+        except csv.Error:
+            ragged = ","
+    return ragged, _breaks(rows(ragged))
+
 
+def _breaks(rows: list[list[str]]) -> bool:
+    return any("\n" in field.rstrip("\r\n") for r in rows for field in r)
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool = True) -> DataFrame:
-    """SRC2/SRC3: CSV with the given or sniffed separator and inferred column types."""
-    sep = sep or sniff_separator(spark, path)
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool = True,
+             multi_line: bool | None = None) -> DataFrame:
+    """SRC2/SRC3: CSV with the given or sniffed separator and inferred column types.
+
+    ``multi_line``: whether quoted fields may hold line breaks.  Such a file cannot be split
+    between tasks, so None decides by the first bytes; set it where breaks come later."""
+    found, breaks = sniff_csv(head_text(spark, path))
     return (spark.read.option("recursiveFileLookup", "true")
-            .csv(path, sep=sep, header=header, inferSchema=True, mode="PERMISSIVE"))
+            .csv(path, sep=sep or found, header=header, inferSchema=True, mode="PERMISSIVE", quote='"', escape='"',
+                 multiLine=breaks if multi_line is None else multi_line))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: a whole-file JSON array of records, or JSON lines."""
-    head = "".join(_head_lines(spark, path, 1)).lstrip()
-    multi = head.startswith("[")
+    """SRC4: a whole-file JSON array of records (read by one task per file), or JSON lines."""
+    multi = head_text(spark, path).lstrip().startswith("[")
     return spark.read.option("recursiveFileLookup", "true").json(path, multiLine=multi)
 
 
+def typed(df: DataFrame) -> DataFrame:
+    """String columns whose values all look numeric become doubles; one aggregate decides."""
+    if not df.columns:
+        return df
+    bad = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & ~F.col(f"`{c}`").rlike(NUMERIC_PATTERN)).alias(str(i))
+                   for i, c in enumerate(df.columns)]).first()
+    return df.select(*[F.col(f"`{c}`").try_cast("double").alias(c) if bad[i] == 0 else F.col(f"`{c}`")
+                       for i, c in enumerate(df.columns)])
+
+
 def read_data_file(spark: SparkSession, path: str) -> DataFrame:
     """SRC6: headerless file; comma-separated with more than one field -> col_0..col_{n-2},
-    class; otherwise whitespace-separated with positional names '0', '1', ..."""
+    class; otherwise whitespace-separated with positional names '0', '1', ... (short rows are
+    filled with NULL)."""
     df = spark.read.option("recursiveFileLookup", "true").csv(path, header=False, inferSchema=True)
     n = len(df.columns)
     if n > 1:
         return df.toDF(*[f"col_{i}" for i in range(n - 1)], "class")
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    parts = F.split(strip_ws(F.col("value")), r"\s+")
-    width = lines.agg(F.max(F.size(parts))).first()[0] or 0
-    return lines.where(strip_ws(F.col("value")) != "").select(
-        *[F.element_at(parts, i + 1).alias(str(i)) for i in range(width)])
+    rows = _text(spark, path).select(strip_ws(F.col("value")).alias("v")).where("v <> ''")
+    parts = rows.select(F.split("v", r"\s+").alias("p"))
+    width = parts.agg(F.max(F.size("p"))).first()[0] or 0
+    return typed(parts.select(*[F.get("p", F.lit(i)).alias(str(i)) for i in range(width)]))
+
+
+def arff_header(spark: SparkSession, path: str) -> list[str]:
+    """Lines up to '@data' of the first file, stripped (from its first bytes)."""
+    lines = [line.strip() for line in head_text(spark, path).splitlines()]
+    ends = [i for i, line in enumerate(lines) if line.lower().startswith("@data")]
+    return lines[:ends[0] + 1] if ends else lines
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7: ARFF - attribute names from '@attribute' lines (quotes stripped), data lines after
-    '@data' parsed as CSV, '%' comments and blank lines skipped, NULL markers ? NA N/A '',
-    quote characters stripped from values, numeric columns typed by one aggregation."""
-    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
-             .select(strip_ws(F.col("value")).alias("v"), F.monotonically_increasing_id().alias("ln")))
-    low = F.lower(F.col("v"))
-    attrs = (lines.where(low.startswith("@attribute")).orderBy("ln")
-             .select(F.regexp_replace(F.element_at(F.split("v", r"\s+", 3), 2), "^['\"]+|['\"]+$", "").alias("a"))
-             .collect())                      # header only: one row per attribute
-    names = [r[0] for r in attrs]
+    """SRC7: ARFF - attribute names from '@attribute' lines (quotes stripped); every line that is
+    not one of the header's lines is data (also one that starts with '@'), but for '%' comments
+    and blank lines; fields in either kind of quotes, NULL markers ? NA N/A '', numeric columns
+    typed by one aggregate."""
+    header = arff_header(spark, path)
+    names = [m[1] or m[2] or m[3] for m in map(ARFF_NAME.match, header) if m]
     if not names:
         raise ValueError(f"no @attribute declarations in {path}")
-    data = lines.where((F.col("v") != "") & ~F.col("v").startswith("%") & ~F.col("v").startswith("@"))
-    schema = ", ".join(f"`c{i}` STRING" for i in range(len(names)))
-    parsed = data.select(F.from_csv("v", schema, {"quote": "'", "ignoreLeadingWhiteSpace": "true",
-                                                  "ignoreTrailingWhiteSpace": "true"}).alias("r")).select("r.*")
-    cleaned = []
-    for i, name in enumerate(names):
-        raw = F.col(f"c{i}")
-        s = strip_ws(F.regexp_replace(raw, "^['\" ]+|['\" ]+$", ""))
-        cleaned.append(F.when(raw.isNull() | F.trim(raw).isin(*ARFF_NULL_MARKERS) | s.isin(*ARFF_NULL_MARKERS), None)
-                       .otherwise(s).alias(name))
-    out = parsed.select(*cleaned)
-    stats = out.agg(*[F.count_if(F.col(n).isNotNull() & ~F.col(n).rlike(NUMERIC_PATTERN)).alias(f"bad{i}")
-                      for i, n in enumerate(names)]).first()
-    return out.select(*[F.col(n).try_cast("double").alias(n) if stats[f"bad{i}"] == 0 else F.col(n)
-                        for i, n in enumerate(names)])
+    lines = _text(spark, path).select(strip_ws(F.col("value")).alias("v"))
+    data = lines.where((F.col("v") != "") & ~F.col("v").startswith("%") & ~F.col("v").isin(*set(header)))
+    fields = data.select(F.regexp_extract_all("v", F.lit(ARFF_FIELD), 1).alias("f"))
+    return typed(fields.select(*[_arff_value(F.get("f", F.lit(i))).alias(name) for i, name in enumerate(names)]))
+
+
+def _arff_value(raw: Column) -> Column:
+    bare = strip_ws(F.regexp_replace(raw, "^['\" ]+|['\" ]+$", ""))
+    return F.when(~F.trim(raw).isin(*ARFF_NULL_MARKERS) & ~bare.isin(*ARFF_NULL_MARKERS), bare)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: ARFF by content first, whatever the suffix; then by suffix; CSV that cannot be
-    parsed falls back to ARFF; unknown suffixes raise ValueError."""
+    """SRC1: parquet by its magic bytes and ARFF by content first, whatever the suffix; then by
+    suffix; unknown suffixes raise ValueError."""
+    if head_bytes(spark, path, 4) == b"PAR1":
+        return spark.read.parquet(path)
     if is_arff(spark, path):
         return read_arff(spark, path)
     low = path.lower().rstrip("/")
@@ -124,21 +180,19 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     if low.endswith(".arff"):
         return read_arff(spark, path)
     if low.endswith(".csv"):
-        try:
-            return read_csv(spark, path)
-        except Exception:  # noqa: BLE001 - parse failure: try ARFF as the reference does
-            return read_arff(spark, path)
+        return read_csv(spark, path)
     raise ValueError(f"unsupported file type: {path}")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has task slots.
+    """Round-robin a scan that yields fewer partitions than its bytes and the task slots ask for.
 
     A parquet file written as one row group cannot be split, so every per-row step after its
-    scan (tokenising, parsing, map-side aggregation) would run in a single task.  One
-    repartition spreads it over all slots; a scan of many files or row groups already has
-    enough partitions and is returned unchanged, so this costs nothing at cluster scale.
-    Round-robin repartitioning sorts rows first, so a retried task gets the same rows.
+    scan would run in a single task.  Tables under ``SPREAD_BYTES`` stay as they are, larger
+    ones get a partition for each such block, at most one for each slot; a scan of many files
+    or row groups has enough already.  Round-robin repartitioning sorts rows first, so a
+    retried task gets the same rows.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+    return df.repartition(wanted) if wanted > 1 and df.rdd.getNumPartitions() < wanted else df

@@ -137,14 +137,15 @@ def test_semantic_match_needs_no_join(spark, capsys):
     assert "Join" not in plan and "Exchange" not in plan
 
 
-def test_spread_only_when_short_of_slots(spark):
+def test_spread_follows_the_bytes_of_a_table(spark):
+    from conftest import SF_ORACLE, SF_SMALL
     from tablewright.sources.readers import spread
-    slots = spark.sparkContext.defaultParallelism
-    few = spark.range(100).coalesce(1)
-    assert spread(few).rdd.getNumPartitions() == slots
-    many = spark.range(100).repartition(slots + 3)
-    assert spread(many).rdd.getNumPartitions() == slots + 3
-    assert sorted(r[0] for r in spread(few).collect()) == list(range(100))
+    small = spark.read.parquet(f"{SF_SMALL}/region.parquet")
+    assert spread(small).rdd.getNumPartitions() == small.rdd.getNumPartitions()
+    large = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").coalesce(1)
+    out = spread(large)
+    assert 1 < out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert out.exceptAll(large).isEmpty() and large.exceptAll(out).isEmpty()
 
 
 def test_missing_decisions_match_profile(spark):
