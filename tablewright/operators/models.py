@@ -362,7 +362,7 @@ def with_params(estimator, params: dict, n_rows: int):
         raise ValueError(f"{type(inner).__name__} has no parameter {unknown}")
     changed = inner.copy({inner.getParam(p): v for p, v in values.items()})
     if isinstance(estimator, OneVsRest):
-        return estimator.copy({estimator.classifier: changed})
+        return estimator.copy().setClassifier(changed)
     return changed
 
 

@@ -78,8 +78,9 @@ def eval_leaderboard(spark, d):
 WITH r AS (SELECT l_extendedprice - l_quantity * 1500 AS residual FROM lineitem),
 mm AS (SELECT min(residual) AS lo, max(residual) AS hi FROM r),
 b AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((residual - lo) / ((hi - lo) / 20)), 19) END AS INTEGER) AS bin, lo, hi FROM r, mm)
-SELECT bin, round(lo + bin * (hi - lo) / 20, 4) AS bin_start, round(lo + (bin + 1) * (hi - lo) / 20, 4) AS bin_end, count(*) AS n
-FROM b GROUP BY bin, lo, hi""")
+SELECT CAST(i AS INTEGER) AS bin, round(lo + i * (hi - lo) / 20, 4) AS bin_start, round(lo + (i + 1) * (hi - lo) / 20, 4) AS bin_end,
+       (SELECT count(*) FROM b WHERE b.bin = i) AS n
+FROM mm, range(20) AS v(i)""")
 def eval_residuals(spark, d):
     li = table(spark, d, "lineitem").withColumn("pred", F.col("l_quantity") * 1500)
     h = EV.residuals(li, "l_extendedprice", "pred")

@@ -16,7 +16,8 @@ from ..sources import sinks as S
 from ..functions.columns import sql_guarded_double, sql_strip_label
 from ..operators.ml_stages import validate_numeric
 from .derived import DIRTY_FEATURES_SQL, dirty_features, table
-from .registry import query
+from . import queries_eval, queries_features, queries_profile
+from .registry import ORACLE, query
 from .sqlgen import TABLE_COLUMNS, families_sql
 
 TS_FMT_SPARK, TS_FMT_SQL = "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"
@@ -165,21 +166,60 @@ def sample_exact_n(spark, d):
 
 # ---- sinks -----------------------------------------------------------------------------------
 
-@query("snk_report")
+_IDEA = "predict the return flag"
+_FILES = {"model_path": "models/best", "pipeline_path": "models/prep"}
+_RANKED = "rank, model, round(f1_score, 4) AS f1_score, round(accuracy, 4) AS accuracy"
+_PROFILE_COLUMNS = ["num_rows", "num_features", "numeric_columns", "categorical_columns", "datetime_columns", "text_columns",
+                    "missing_value_ratio", "duplicate_row_ratio", "size_bucket"]
+
+
+def _report_sql() -> str:
+    parts = [f"SELECT 'idea' AS section, 'text' AS key, '{_IDEA}' AS value"]
+    parts += [f"SELECT 'exported files', '{k}', '{v}'" for k, v in _FILES.items()]
+    parts += [f"SELECT 'dataset profile', '{c}', CAST({c} AS VARCHAR) FROM p" for c in _PROFILE_COLUMNS]
+    parts += [f"SELECT 'leaderboard', rank || '. ' || model || ': {m}', CAST({m} AS VARCHAR) FROM l" for m in ("f1_score", "accuracy")]
+    parts.append("SELECT 'best model', model, CAST(f1_score AS VARCHAR) FROM l WHERE rank = 1")
+    return _run_tables_sql() + "\nUNION ALL ".join(parts)
+
+
+def _run_tables_sql() -> str:
+    return f"WITH p AS ({ORACLE['profile_dataset']}), l AS (SELECT {_RANKED} FROM ({ORACLE['eval_leaderboard']})) "
+
+
+def _run_tables(spark, d):
+    board = queries_eval.eval_leaderboard(spark, d).select(
+        "rank", "model", F.round("f1_score", 4).alias("f1_score"), F.round("accuracy", 4).alias("accuracy"))
+    return queries_profile.profile_dataset(spark, d), board
+
+
+@query("snk_report", _report_sql())
 def snk_report(spark, d):
-    orders = table(spark, d, "orders")
-    rep = S.report_from_frames({"profile": P.dataset_profile(orders),
-                                "quality": Q.quality_report(orders, "o_orderstatus")})
+    profile, board = _run_tables(spark, d)
     path = scratch_path(spark, "report")
-    S.write_report(rep, path)
+    S.write_report(S.training_report(_IDEA, profile, board, _FILES), path)
     return spark.read.json(path)
 
 
+@query("snk_run_record", _run_tables_sql() + f"""
+SELECT model AS best_model_name, to_json({{'f1_score': f1_score, 'accuracy': accuracy}}) AS metrics,
+       (SELECT quality_score FROM ({ORACLE['quality_report']})) AS quality_score, (SELECT num_rows FROM p) AS rows_trained_on,
+       'train' AS mode_used, 'lineitem' AS dataset_used, 'classification' AS task_type, 'l_returnflag' AS target_column,
+       '{_FILES["model_path"]}' AS model_path, '{_FILES["pipeline_path"]}' AS pipeline_path, 'l_quantity' AS feature_columns
+FROM l WHERE rank = 1""")
+def snk_run_record(spark, d):
+    profile, board = _run_tables(spark, d)
+    row = S.run_record(queries_profile.quality_report(spark, d), profile, board, _FILES, "train", "lineitem",
+                       "classification", "l_returnflag", ["l_quantity"])
+    return row.withColumn("feature_columns", F.array_join("feature_columns", ","))
+
+
 # ---- models ----------------------------------------------------------------------------------
 
 def _prepared_orders(spark, d):
     orders = table(spark, d, "orders")
-    split = SP.train_test_split(orders, ["o_orderkey"], label="o_orderstatus").cache()
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    split = SP.train_test_split(orders, ["o_orderkey"], label="o_orderstatus").checkpoint()
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     types = TY.classify_columns(train.drop("split"), "o_orderstatus").collect()
@@ -322,9 +362,8 @@ def _search(spark, d, names):
     from pyspark.ml import Pipeline
     train, test, stages, lab = _prepared_orders(spark, d)
     prep = Pipeline(stages=[lab] + stages).fit(train)
-    ready, held = (M.labelled(prep.transform(x)).select("features", "label").cache() for x in (train, test))
+    ready, held = (M.labelled(prep.transform(x)).select("features", "label").checkpoint() for x in (train, test))
     board, _ = M.search(ready, held, "classification", names)
-    ready.unpersist(), held.unpersist()
     return board
 
 
@@ -377,22 +416,33 @@ def model_strategy_choice(spark, d):
     return out.where(F.col("rule") == "explicit").select("table_name", "models", "use_deep_learning", "use_automl")
 
 
-@query("model_batch_score")
+_TEST_ROWS_SQL = f"(SELECT * FROM ({ORACLE['feat_split_stratified']}) WHERE split = 'test')"
+
+
+@query("model_batch_score", f"SELECT o_orderkey, true AS known_label, true AS sums_to_one, true AS confident FROM {_TEST_ROWS_SQL}")
 def model_batch_score(spark, d):
+    """Facts of the scored rows that hold for any model: the label is one of the classes, the
+    probabilities sum to one, and the confidence is the largest of them."""
     train, test, stages, lab = _prepared_orders(spark, d)
     fitted = M.train_all(train, stages, ["RandomForest"], "classification", lab)
     labels = sorted(r[0] for r in train.select("o_orderstatus").distinct().collect())
     scored = M.batch_score(fitted["RandomForest"], test, labels)
-    return scored.select("o_orderkey", "predicted_label", "confidence", "probabilities")
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    return scored.select("o_orderkey", F.col("predicted_label").isin(*labels).alias("known_label"),
+                         (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+                         (F.col("confidence") == F.array_max("probabilities")).alias("confident"))
 
 
-@query("feat_pipeline_fit_transform")
+@query("feat_pipeline_fit_transform", f"""
+SELECT t.o_orderkey, c.label, true AS has_features FROM {_TEST_ROWS_SQL} t
+JOIN (SELECT o_orderstatus, CAST(row_number() OVER (ORDER BY o_orderstatus) - 1 AS DOUBLE) AS label
+      FROM (SELECT DISTINCT o_orderstatus FROM orders)) c USING (o_orderstatus)""")
 def feat_pipeline_fit_transform(spark, d):
     train, test, stages, lab = _prepared_orders(spark, d)
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     model = Pipeline(stages=[lab] + stages).fit(train)
-    return model.transform(test).select("o_orderkey", "label", F.size(vector_to_array("features")).alias("n_features"))
+    return model.transform(test).select("o_orderkey", "label", (F.size(vector_to_array("features")) > 0).alias("has_features"))
 
 
 def _dirty_sql(rows: str, custkey: str) -> str:
@@ -448,7 +498,7 @@ def feat_inference_dirty(spark, d):
     return _long_features(S.load_pipeline(path), new)
 
 
-@query("snk_pipeline_roundtrip")
+@query("snk_pipeline_roundtrip", f"SELECT o_orderkey, true AS same FROM {_TEST_ROWS_SQL}")
 def snk_pipeline_roundtrip(spark, d):
     train, test, stages, lab = _prepared_orders(spark, d)
     fitted = M.train_all(train, stages, ["LogisticRegression"], "classification", lab)
@@ -458,17 +508,17 @@ def snk_pipeline_roundtrip(spark, d):
     loaded = S.load_pipeline(path)
     a = model.transform(test).select("o_orderkey", F.col("prediction").alias("before"))
     b = loaded.transform(test).select("o_orderkey", F.col("prediction").alias("after"))
-    return a.join(b, "o_orderkey").withColumn("same", F.col("before") == F.col("after"))
+    return a.join(b, "o_orderkey").select("o_orderkey", (F.col("before") == F.col("after")).alias("same"))
 
 
-@query("feat_inference_transform")
+@query("feat_inference_transform", f"SELECT o_orderkey, true AS has_features FROM {_TEST_ROWS_SQL}")
 def feat_inference_transform(spark, d):
+    """The saved and reloaded preparation over rows without the target column."""
     train, test, stages, lab = _prepared_orders(spark, d)
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     prep = Pipeline(stages=[lab] + stages).fit(train)
     path = scratch_path(spark, "prep")
     S.save_pipeline(prep, path)
-    new_rows = test.drop("o_orderstatus", "split").withColumn("o_orderstatus", F.lit(None).cast("string"))
-    out = S.load_pipeline(path).transform(new_rows)
-    return out.select("o_orderkey", F.size(vector_to_array("features")).alias("n_features"))
+    out = S.load_pipeline(path).transform(test.drop("o_orderstatus", "split"))
+    return out.select("o_orderkey", (F.size(vector_to_array("features")) > 0).alias("has_features"))

@@ -193,6 +193,6 @@ def spread(df: DataFrame) -> DataFrame:
     or row groups has enough already.  Round-robin repartitioning sorts rows first, so a
     retried task gets the same rows.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES)
     return df.repartition(wanted) if wanted > 1 and df.rdd.getNumPartitions() < wanted else df

@@ -6,6 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.profile import attach
+
 
 def save_pipeline(model: PipelineModel, path: str) -> str:
     """SNK1: every stage (datetime parts, cleaning, encoders, selector, estimator) is saved."""
@@ -35,6 +37,35 @@ def report_from_frames(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def training_report(idea: str, profile: DataFrame, leaderboard: DataFrame, files: dict[str, str]) -> DataFrame:
+    """SNK2: (section, key, value) rows of a training run: the idea, the one-row profile, the
+    ranked metrics (``rank. model`` with one value per metric), the best model with its first
+    metric, and the exported files.  ``leaderboard``: rank, model, then metric columns."""
+    metrics = [c for c in leaderboard.columns if c not in ("rank", "model")]
+    spark = leaderboard.sparkSession
+    ranked = leaderboard.select(F.concat_ws(". ", F.col("rank").cast("string"), "model").alias("m"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("value")) for c in metrics])))
+    best = leaderboard.where("rank = 1").select(F.lit("best model").alias("section"), F.col("model").alias("key"),
+                                                F.col(metrics[0]).cast("string").alias("value"))
+    return (report_frame(spark, {"idea": {"text": idea}, "exported files": files})
+            .unionByName(report_from_frames({"dataset profile": profile}))
+            .unionByName(ranked.select(F.lit("leaderboard").alias("section"), F.concat_ws(": ", "m", "k").alias("key"), "value"))
+            .unionByName(best))
+
+
+def run_record(quality: DataFrame, profile: DataFrame, leaderboard: DataFrame, files: dict[str, str], mode: str,
+               dataset: str, task: str, target: str, features: list[str]) -> DataFrame:
+    """SNK3: one row that describes a run: best model and its metrics, where the files are,
+    quality score, mode, dataset, task, target, rows trained on and feature columns."""
+    metrics = [c for c in leaderboard.columns if c not in ("rank", "model")]
+    best = leaderboard.where("rank = 1").select(F.col("model").alias("best_model_name"),
+                                                F.to_json(F.struct(*metrics)).alias("metrics"))
+    row = attach(attach(best, quality.select("quality_score")), profile.select(F.col("num_rows").alias("rows_trained_on")))
+    fixed = {"mode_used": mode, "dataset_used": dataset, "task_type": task, "target_column": target, **files}
+    return row.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn(
+        "feature_columns", F.array(*map(F.lit, features)))
+
+
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> str:
     report.write.mode("overwrite").format(fmt).save(path)
     return path
