@@ -70,7 +70,9 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, per_lang: int = 1500, seed: int = 3) -> dict | None:
     """Model from (doc_id, text, lang) rows; rows without text or language teach nothing."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # one row per language, as many as the model has columns: without the hint all texts would
+    # be dealt by language, most of them to one task
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")))
     place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taught = rows.join(sizes, "lang").where(place < F.lit(float(per_lang)) / F.col("n")).select("text", "lang")
 
