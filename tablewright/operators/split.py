@@ -2,15 +2,16 @@
 
 Rows are ordered by ``md5(key | seed)``.  Exact counts never need a global sort:
 
-1. the first three hex digits of the hash give 4096 buckets per group (class);
-2. rows are counted per (group, bucket) - at most groups x 4096 rows;
-3. cumulative counts per group tell, for each bucket, whether it lies wholly inside the
-   quota, wholly outside, or straddles it;
-4. only the straddling bucket of each group (about n/4096 rows) is ranked with
-   ``row_number``; every other row is decided by a broadcast lookup.
-
-A class holding a third of all rows therefore costs one bucket-sized sort, not a third of
-the table in one task.  Per-class quotas follow the largest-remainder allocation of the
+1. rows are counted by the first three hex digits of the hash per group (class) - at most
+   groups x 4096 counts, of which each group's running sum shows the prefix that straddles
+   its quota;
+2. a straddling prefix that holds more than ``EDGE_ROWS`` rows is counted again by three more
+   digits, and so on: however large the table, the last prefix is small;
+3. only its rows are ranked with ``row_number``; every other row compares its hash with its
+   group's prefix, without a join.
+
+A class holding a third of all rows therefore costs a sort of ``EDGE_ROWS`` rows, not of a
+third of the table.  Per-class quotas follow the largest-remainder allocation of the
 training size (ties by class order, where the reference draws at random).
 """
 
@@ -26,7 +27,8 @@ from pyspark.sql.window import Window
 DEFAULT_TEST_SIZE = 0.2
 DEFAULT_SEED = 42
 MAX_STRATIFY_CLASSES = 20
-HASH_BUCKET_DIGITS = 3           # 16**3 = 4096 buckets per group
+HASH_DIGITS = 3                  # 16**3 = 4096 counts per group and round
+EDGE_ROWS = 50_000               # rows ranked in one task
 NULL_GROUP = "\u0000null"
 # -------------------------------------------------------------------------------------------
 
@@ -49,26 +51,41 @@ def largest_remainder(counts: dict, n_draws: int) -> dict:
     return out
 
 
-def _first_n_by_hash(df: DataFrame, group: Column, quotas: DataFrame, h: Column,
-                     flag: str) -> DataFrame:
+def _lookup(values: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), key)
+
+
+def _edges(hashed: DataFrame, quotas: dict) -> tuple[dict, dict]:
+    """Per group the hash prefix in which its quota ends, and the rows it still takes there."""
+    edge, need, size = dict.fromkeys(quotas, ""), dict(quotas), {}
+    todo = [g for g in quotas if quotas[g] > 0]
+    edge.update({g: "!" for g in quotas if quotas[g] <= 0})       # sorts before every hash
+    digits = 0
+    while todo and digits < 32:
+        digits += HASH_DIGITS
+        inside = hashed.where(F.col("_h").startswith(_lookup({g: edge[g] for g in todo}, F.col("_g"))))
+        counts = inside.groupBy("_g", F.substring("_h", 1, digits).alias("_p")).count().collect()
+        for g in todo:
+            edge[g] = "~"                                           # sorts after every hash: all rows fit
+            for prefix, n in sorted((r["_p"], r["count"]) for r in counts if r["_g"] == g):
+                if n >= need[g]:
+                    edge[g], size[g] = prefix, n
+                    break
+                need[g] -= n
+        todo = [g for g in todo if edge[g] != "~" and size[g] > EDGE_ROWS]
+    return edge, need
+
+
+def _first_n_by_hash(df: DataFrame, group: Column, quotas: dict, h: Column, flag: str) -> DataFrame:
     """Mark, per group, the ``quota`` rows with the smallest hash (``flag`` = true)."""
-    hashed = df.withColumn("_g", group).withColumn("_h", h).withColumn(
-        "_b", F.conv(F.substring("_h", 1, HASH_BUCKET_DIGITS), 16, 10).cast("int"))
-    per_bucket = hashed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    status = (per_bucket.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-              .join(F.broadcast(quotas), "_g")
-              .select("_g", "_b",
-                      F.when(F.col("_start") + F.col("_n") <= F.col("_q"), "in")
-                       .when(F.col("_start") >= F.col("_q"), "out").otherwise("edge").alias("_s"),
-                      (F.col("_q") - F.col("_start")).alias("_need")))
-    # status has at most groups x 4096 rows: broadcast is bounded by construction
-    marked = hashed.join(F.broadcast(status), ["_g", "_b"])
-    whole = marked.where(F.col("_s") != "edge").withColumn(flag, F.col("_s") == "in")
-    rk = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", *df.columns))
-    edge = (marked.where(F.col("_s") == "edge")
-            .withColumn(flag, rk <= F.col("_need")))
-    return whole.unionByName(edge).drop("_g", "_h", "_b", "_s", "_need")
+    hashed = df.withColumn("_g", group).withColumn("_h", h)
+    edge, need = _edges(hashed, quotas)
+    prefix = _lookup(edge, F.col("_g"))
+    marked = hashed.withColumn("_e", prefix).withColumn("_p", F.expr("substring(_h, 1, length(_e))"))
+    whole = marked.where("_p <> _e").withColumn(flag, F.col("_p") < F.col("_e"))
+    rk = F.row_number().over(Window.partitionBy("_g").orderBy("_h", *df.columns))
+    last = marked.where("_p = _e").withColumn(flag, rk <= _lookup(need, F.col("_g")))
+    return whole.unionByName(last).drop("_g", "_h", "_e", "_p")
 
 
 def split_plan(df: DataFrame, label: str | None, test_size: float = DEFAULT_TEST_SIZE,
@@ -97,13 +114,11 @@ def train_test_split(df: DataFrame, key_cols: list[str], label: str | None = Non
     quotas, strat = split_plan(df, label, test_size, stratify)
     group = (F.coalesce(F.col(label).cast("string"), F.lit(NULL_GROUP)) if strat
              else F.lit(NULL_GROUP))
-    q = df.sparkSession.createDataFrame(list(quotas.items()), "_g string, _q long")
-    out = _first_n_by_hash(df, group, q, row_hash(key_cols, seed), "_test")
+    out = _first_n_by_hash(df, group, quotas, row_hash(key_cols, seed), "_test")
     return out.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def sample_exact(df: DataFrame, n: int, key_cols: list[str], seed: int = DEFAULT_SEED) -> DataFrame:
     """SRC8: exactly ``min(n, rows)`` rows, uniform by hash order, reproducible by seed."""
-    q = df.sparkSession.createDataFrame([(NULL_GROUP, int(n))], "_g string, _q long")
-    out = _first_n_by_hash(df, F.lit(NULL_GROUP), q, row_hash(key_cols, seed), "_keep")
+    out = _first_n_by_hash(df, F.lit(NULL_GROUP), {NULL_GROUP: int(n)}, row_hash(key_cols, seed), "_keep")
     return out.where("_keep").drop("_keep")

@@ -111,3 +111,14 @@ def test_ordinal_unknown_is_minus_one(spark):
     test = spark.createDataFrame([("b",), ("zz",)], "c string")
     out = [r[0] for r in FE.ordinal(test, "c", FE.fit_ordinal(train, "c")).collect()]
     assert sorted(out) == [-1.0, 1.0]
+
+
+def test_split_narrows_large_edges(spark, monkeypatch):
+    df = spark.range(5000).withColumn("y", F.when(F.col("id") % 10 == 0, "a").otherwise("b"))
+    want = sorted(map(tuple, SP.train_test_split(df, ["id"], label="y").collect()))
+    monkeypatch.setattr(SP, "HASH_DIGITS", 1)
+    monkeypatch.setattr(SP, "EDGE_ROWS", 3)
+    assert sorted(map(tuple, SP.train_test_split(df, ["id"], label="y").collect())) == want
+    assert SP.sample_exact(df, 0, ["id"]).count() == 0 and SP.sample_exact(df, 9999, ["id"]).count() == 5000
+    same = spark.createDataFrame([(1,)] * 40, "k int")          # equal hashes: one prefix to the end
+    assert SP.sample_exact(same, 7, ["k"]).count() == 7
