@@ -458,10 +458,11 @@ RELEVANCE_IDEA = "classify the sentiment of customer review text documents"
 # problem understanding the text rules derive from RELEVANCE_IDEA (checked in the builder)
 RELEVANCE_PU = ("sentiment", "text", ["the", "sentiment", "customer", "review", "text", "documents"])
 _CANDIDATES = ["documents", "conversations", "orders", "lineitem", "customer", "region", "events", "pages",
-               "part", "benchmark", "labels", "supplier", "nation"]
+               "part", "benchmark", "labels", "supplier", "nation", "embeddings"]
 _ALL_COLS = {
     "pages": [("page_id", "numeric"), ("url", "string"), ("html", "string")],
     "benchmark": [("item_id", "numeric"), ("text", "string")],
+    "embeddings": [("vec_id", "numeric"), ("embedding", "nested"), ("label", "numeric")],
 }
 
 
