@@ -3,8 +3,8 @@
 * ``KnownColumns``     - columns known from training that are missing become NULL (imputed)
 * ``NumericCoerce``    - numeric strings to doubles, unparsable and non-finite -> NULL
 * ``ExactScaler``      - exact-median imputation + population-std scaling (std 0 -> 0)
-* ``CategoryEncoder``  - label stripping, mode imputation, sorted categories; one-hot (unknown -> zeros) or
-                         ordinal (unknown -> -1)
+* ``CategoryEncoder``  - label stripping, mode imputation, sorted categories; one-hot (unknown -> zeros)
+* ``OrdinalEncoder``   - the same for columns with many values: the rank of the value (unknown -> -1)
 * ``DatetimeParts``    - year/month/day/hour columns, unparsed -> 0
 * ``QuoteStrip``       - NULL -> '' and quote/space stripping of string columns
 * ``LabelText``        - stripped image of a string target
@@ -12,7 +12,8 @@
 * ``SmoothTfidf``      - corpus-frequency vocabulary, idf = ln((1+n)/(1+df)) + 1, L2 rows
 * ``FScoreSelector``   - keep the k best vector slots by ANOVA F / F-regression
 
-Fitted values live in params (lists), so ``DefaultParamsWritable`` stores them as JSON.
+Small fitted values live in params (lists), so ``DefaultParamsWritable`` stores them as JSON;
+an ordinal dictionary is a DataFrame, saved as Parquet beside the params.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasLabelCol, HasOutputCol, HasOutputCols
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,31 +140,29 @@ class ExactScalerModel(Model, _ScalerParams, _Persist):
 # ---- categories ----------------------------------------------------------------------------
 
 class _CatParams(HasInputCol, HasOutputCol):
-    mode = Param(Params._dummy(), "mode", "onehot or ordinal", TypeConverters.toString)
     labels = Param(Params._dummy(), "labels", "sorted categories", TypeConverters.toListString)
     fill = Param(Params._dummy(), "fill", "imputed value", TypeConverters.toString)
 
 
 class CategoryEncoder(Estimator, _CatParams, _Persist):
+    """One-hot encoder for columns of few categories (see ``MAX_OHE_CATEGORIES``)."""
+
     @keyword_only
-    def __init__(self, inputCol=None, outputCol=None, mode="onehot"):
+    def __init__(self, inputCol=None, outputCol=None):
         super().__init__()
-        self._setDefault(mode="onehot")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "CategoryEncoderModel":
         c = self.getInputCol()
         text = df.select(strip_label(F.col(c).cast("string")).alias(c))
         fill = FE.category_modes(text, [c]).get(c) or ""
-        img = F.coalesce(F.col(c), F.lit(fill))
-        labels = [r[0] for r in text.select(img.alias("v")).distinct().orderBy("v").collect()]
-        return CategoryEncoderModel(inputCol=c, outputCol=self.getOutputCol(), mode=self.getOrDefault(self.mode),
-                                    labels=labels, fill=fill)
+        labels = FE.fit_categories(text.fillna(fill, [c]), [c]).get(c, [])
+        return CategoryEncoderModel(inputCol=c, outputCol=self.getOutputCol(), labels=labels, fill=fill)
 
 
 class CategoryEncoderModel(Model, _CatParams, _Persist):
     @keyword_only
-    def __init__(self, inputCol=None, outputCol=None, mode="onehot", labels=None, fill=None):
+    def __init__(self, inputCol=None, outputCol=None, labels=None, fill=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -171,8 +171,6 @@ class CategoryEncoderModel(Model, _CatParams, _Persist):
         v = F.coalesce(strip_label(F.col(self.getInputCol()).cast("string")), F.lit(self.getOrDefault(self.fill)))
         lab = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
         pos = F.array_position(lab, v)               # 1-based, 0 when unseen
-        if self.getOrDefault(self.mode) == "ordinal":
-            return df.withColumn(self.getOutputCol(), (pos - 1).cast("double"))
         onehot = F.transform(F.sequence(F.lit(1), F.lit(max(len(labels), 1))),
                              lambda i: F.when(i == pos, 1.0).otherwise(0.0))
         if not labels:
@@ -180,6 +178,71 @@ class CategoryEncoderModel(Model, _CatParams, _Persist):
         return df.withColumn(self.getOutputCol(), array_to_vector(onehot))
 
 
+class OrdinalEncoder(Estimator, HasInputCol, HasOutputCol, _Persist):
+    """Rank of a category among the training categories, for columns of any number of values:
+    the dictionary is ranked by Spark, stays a DataFrame and is joined."""
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> "OrdinalEncoderModel":
+        c = self.getInputCol()
+        text = df.select(strip_label(F.col(c).cast("string")).alias(c))
+        fill = FE.category_modes(text, [c]).get(c) or ""
+        model = OrdinalEncoderModel(inputCol=c, outputCol=self.getOutputCol(), fill=fill)
+        model.dictionary = FE.fit_ordinal(text, c, fill).checkpoint()
+        return model
+
+
+class OrdinalEncoderModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable):
+    fill = Param(Params._dummy(), "fill", "imputed value", TypeConverters.toString)
+    dictionary: DataFrame       # (__v, __code)
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, fill=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def copy(self, extra=None):
+        new = super().copy(extra)
+        new.dictionary = self.dictionary
+        return new
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        value = F.coalesce(strip_label(F.col(self.getInputCol()).cast("string")), F.lit(self.getOrDefault(self.fill)))
+        joined = df.withColumn("__v", value).join(self.dictionary, "__v", "left")
+        return joined.withColumn(self.getOutputCol(), F.coalesce(F.col("__code"), F.lit(-1)).cast("double")).drop("__v", "__code")
+
+    def write(self) -> MLWriter:
+        return _DictionaryWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _DictionaryReader()
+
+
+class _DictionaryWriter(MLWriter):
+    def __init__(self, instance: OrdinalEncoderModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.dictionary.write.parquet(f"{path}/dictionary")
+
+
+class _DictionaryReader(MLReader):
+    def load(self, path: str) -> OrdinalEncoderModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = OrdinalEncoderModel()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        model.dictionary = self.sparkSession.read.parquet(f"{path}/dictionary")
+        return model
+
+
 # ---- datetime parts / quote strip ---------------------------------------------------------
 
 class DatetimeParts(Transformer, HasInputCols, _Persist):

@@ -231,7 +231,7 @@ def build_preparation(type_rows: list, target: str, task: str, max_ohe: int = 50
     mode imputation; one-hot <= 50 categories, else ordinal), TF-IDF per text column,
     assembler, non-finite -> 0, optional F-score selector."""
     from .ml_stages import (CategoryEncoder, DatetimeParts, ExactScaler, FiniteVector, FScoreSelector, KnownColumns,
-                            NumericCoerce, QuoteStrip, SmoothTfidf)
+                            NumericCoerce, OrdinalEncoder, QuoteStrip, SmoothTfidf)
     num = [r["column_name"] for r in type_rows if r["col_type"] == "numeric"]
     dts = [r["column_name"] for r in type_rows if r["col_type"] == "datetime"]
     cats = [r for r in type_rows if r["col_type"] == "categorical"]
@@ -251,8 +251,8 @@ def build_preparation(type_rows: list, target: str, task: str, max_ohe: int = 50
         stages.append(QuoteStrip(inputCols=texts))
     for r in cats:
         c = r["column_name"]
-        mode = "onehot" if r["n_unique"] <= max_ohe else "ordinal"
-        stages.append(CategoryEncoder(inputCol=c, outputCol=f"{c}__cat", mode=mode))
+        encoder = CategoryEncoder if r["n_unique"] <= max_ohe else OrdinalEncoder
+        stages.append(encoder(inputCol=c, outputCol=f"{c}__cat"))
         vec_inputs.append(f"{c}__cat")
     for c in texts:
         stages.append(SmoothTfidf(inputCol=c, outputCol=f"{c}__tfidf"))
@@ -269,13 +269,14 @@ def build_preparation(type_rows: list, target: str, task: str, max_ohe: int = 50
 def feature_names(prep: PipelineModel) -> list[str]:
     """FEAT13: a ``branch__column`` name (with the category or term, where there is one) for
     every slot of ``features``, after assembling and selecting."""
-    from .ml_stages import CategoryEncoderModel, FScoreSelectorModel, SmoothTfidfModel
+    from .ml_stages import CategoryEncoderModel, FScoreSelectorModel, OrdinalEncoderModel, SmoothTfidfModel
     slots, names = {}, []
     for stage in prep.stages:
         if isinstance(stage, CategoryEncoderModel):
             c = stage.getInputCol()
-            onehot = stage.getOrDefault(stage.mode) == "onehot"
-            slots[stage.getOutputCol()] = [f"cat__{c}_{v}" for v in stage.getOrDefault(stage.labels)] if onehot else [f"cat__{c}"]
+            slots[stage.getOutputCol()] = [f"cat__{c}_{v}" for v in stage.getOrDefault(stage.labels)]
+        elif isinstance(stage, OrdinalEncoderModel):
+            slots[stage.getOutputCol()] = [f"cat__{stage.getInputCol()}"]
         elif isinstance(stage, SmoothTfidfModel):
             slots[stage.getOutputCol()] = [f"text__{stage.getInputCol()}_{t}" for t in stage.getOrDefault(stage.vocabulary)]
         elif isinstance(stage, VectorAssembler):

@@ -99,3 +99,19 @@ def test_names_decide_the_target_without_a_job(spark):
     from tablewright.operators.coltypes import detect_target
     df = spark.createDataFrame([(1, 2.0, "x")], "a int, price double, label string")
     assert detect_target(df).first()["target"] in ("label", "price")
+
+
+def test_ordinal_dictionary_survives_saving(spark, frame):
+    from pyspark.ml import PipelineModel
+
+    from tablewright.operators.ml_stages import OrdinalEncoder
+    from tablewright.session import scratch_path
+    wide = frame.select("id", F.when(F.col("id") % 10 != 0, F.concat(F.lit(" 'v"), F.lpad(F.col("id").cast("string"), 3, "0"))).alias("v"))
+    model = Pipeline(stages=[OrdinalEncoder(inputCol="v", outputCol="code")]).fit(wide)
+    path = scratch_path(spark, "ordinal")
+    model.save(path)
+    new = wide.unionByName(spark.createDataFrame([(999, "unseen")], "id long, v string"))
+    got = {r["id"]: r["code"] for r in PipelineModel.load(path).transform(new).collect()}
+    values = sorted(i for i in range(120) if i % 10)
+    assert got[999] == -1.0 and all(got[i] == values.index(i) for i in values)
+    assert got[0] == 0.0        # NULL takes the mode; on ties the smallest value
