@@ -20,7 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
+BROADCAST_BYTES = 32 << 20      # of source names; beyond that the join shuffles (AQE splits hot sources)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
@@ -47,8 +50,12 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
              most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The documents with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``."""
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    checkpoint_dir(docs.sparkSession)
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size")).checkpoint()
     targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "of_source")
+    # left to itself the join would deal whole documents by source, a third of them to one task
+    size = sizes.agg(F.coalesce(F.sum(F.octet_length("source") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    targets = F.broadcast(targets) if size <= BROADCAST_BYTES else targets
     added = ["source_size", "target", "rate", "copies", "of_source"]
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
