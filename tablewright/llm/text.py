@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-SLICE_BYTES = 4 << 20
-CACHE_WORDS = 800_000
+SLICE_BYTES = 2 << 20
+CACHE_WORDS = 600_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
