@@ -8,7 +8,6 @@ from ..operators import coltypes as TY
 from ..operators import evaluate as EV
 from ..operators import models as M
 from ..operators import profile as P
-from ..operators import quality as Q
 from ..operators import split as SP
 from ..session import scratch_path
 from ..sources import readers as R
@@ -16,7 +15,7 @@ from ..sources import sinks as S
 from ..functions.columns import sql_guarded_double, sql_strip_label
 from ..operators.ml_stages import validate_numeric
 from .derived import DIRTY_FEATURES_SQL, dirty_features, table
-from . import queries_eval, queries_features, queries_profile
+from . import queries_eval, queries_features, queries_profile  # noqa: F401 (their SQL is reused below)
 from .registry import ORACLE, query
 from .sqlgen import TABLE_COLUMNS, families_sql
 

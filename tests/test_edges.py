@@ -1,6 +1,5 @@
 """Threshold edges on tiny literal frames (SURVEY section 5 (1))."""
 
-import math
 
 import pytest
 from pyspark.sql import functions as F
