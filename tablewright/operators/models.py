@@ -92,6 +92,13 @@ SEARCH_SPACES = {
     "LogisticRegression": {"C": ("log", 1e-4, 1e2)},
     "Ridge": {"regParam": ("log", 1e-4, 1e3)},
 }
+# estimators of the search by task (lrl1: logistic regression with an L1 penalty); the two families
+# without a tuning space of their own take the nearest one's
+AUTOML_FAMILIES = {
+    "classification": ["LightGBM", "XGBoost", "RandomForest", "LRL1", "ExtraTrees"],
+    "regression": ["LightGBM", "XGBoost", "RandomForest", "ExtraTrees"],
+}
+AUTOML_SPACES = SEARCH_SPACES | {"LRL1": SEARCH_SPACES["LogisticRegression"], "ExtraTrees": SEARCH_SPACES["RandomForest"]}
 HIDDEN_LAYERS = (256, 128, 64)
 MLP_ITERATIONS = 100
 SVC_ITERATIONS = 100
@@ -104,7 +111,7 @@ FALLBACK_FAMILY = "LightGBM"
 ESTIMATOR_FOR = {
     "RandomForest": "RandomForest", "ExtraTrees": "RandomForest(extra-trees-like)",
     "XGBoost": "GBT", "LightGBM": "GBT", "CatBoost": "GBT", "LogisticRegression": "LogisticRegression",
-    "SVM": "LinearSVC", "LinearRegression": "LinearRegression", "Ridge": "LinearRegression(ridge)",
+    "LRL1": "LogisticRegression(L1)", "SVM": "LinearSVC", "LinearRegression": "LinearRegression", "Ridge": "LinearRegression(ridge)",
     "MLP": "MultilayerPerceptron",
 }
 
@@ -128,9 +135,10 @@ def make_estimator(name: str, task: str, features: str = "features", label: str
         if fam == "GBT":
             gbt = GBTClassifier(maxIter=trees, seed=SEED, **kw)
             return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **kw)
-        if fam == "LogisticRegression":
+        if fam.startswith("LogisticRegression"):
             return LogisticRegression(maxIter=max_iter or MAX_ITER_LR, regParam=1.0 / n_rows if n_rows else 0.0,
-                                      standardization=False, elasticNetParam=0.0, family="multinomial", **kw)
+                                      standardization=False, elasticNetParam=1.0 if "L1" in fam else 0.0,
+                                      family="multinomial", **kw)
         if fam == "LinearSVC":
             svc = LinearSVC(maxIter=max_iter or SVC_ITERATIONS, **kw)
             return svc if n_classes <= 2 else OneVsRest(classifier=svc, **kw)
@@ -369,7 +377,7 @@ def with_params(estimator, params: dict, n_rows: int):
 
 def search(train: DataFrame, test: DataFrame, task: str, names: list[str], trials: int = TUNE_TRIALS,
            folds: int = CV_FOLDS, seconds: float | None = SEARCH_SECONDS, parallelism: int = 3,
-           **settings) -> tuple[DataFrame, object]:
+           spaces: dict = SEARCH_SPACES, **settings) -> tuple[DataFrame, object]:
     """MOD12/MOD13 over prepared (features, label) frames: up to ``trials`` seeded draws per
     family, each cross-validated; families take turns until ``seconds`` have passed (None: no
     limit; every family gets one trial whatever the time).  The best draw of each family is
@@ -381,7 +389,7 @@ def search(train: DataFrame, test: DataFrame, task: str, names: list[str], trial
     """
     began, measure = time.monotonic(), evaluator(task)
     sizes = _sizes(train, task)
-    state = {name: {"draws": sample_params(SEARCH_SPACES.get(name, {}), trials if name in SEARCH_SPACES else 1),
+    state = {name: {"draws": sample_params(spaces.get(name, {}), trials if name in spaces else 1),
                     "tried": 0, "best": None} for name in names}
     for turn in range(trials):
         for name, of in state.items():

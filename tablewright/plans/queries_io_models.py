@@ -364,23 +364,27 @@ def model_recommend(spark, d):
     return M.recommend(rows).select("table_name", "task_type", "size_bucket", "models")
 
 
-def _search(spark, d, names):
+def _search(spark, d, names, target="o_orderstatus", task="classification", **limits):
     from pyspark.ml import Pipeline
-    train, test, stages, lab = _prepared_orders(spark, d)
+    train, test, stages, lab = _prepared_orders(spark, d, target, task)
     prep = Pipeline(stages=[lab] + stages).fit(train)
     ready, held = (M.labelled(prep.transform(x)).select("features", "label").checkpoint() for x in (train, test))
-    board, _ = M.search(ready, held, "classification", names)
-    return board
+    board, _ = M.search(ready, held, task, names, **limits)
+    return board.select(F.lit(task).alias("task_type"), "*")
 
 
 @query("model_automl_search")
 def model_automl_search(spark, d):
-    return _search(spark, d, ["LogisticRegression", "RandomForest"])
+    """The reference's five classification estimators within its time budget."""
+    return _search(spark, d, M.AUTOML_FAMILIES["classification"], spaces=M.AUTOML_SPACES)
 
 
 @query("model_tune")
 def model_tune(spark, d):
-    return _search(spark, d, ["LogisticRegression"])
+    """All six search spaces: the classifiers' on the order status, Ridge's on the order price."""
+    names = [n for n in M.SEARCH_SPACES if n in M.available_models("classification")]
+    rest = [n for n in M.SEARCH_SPACES if n not in names]
+    return _search(spark, d, names).unionByName(_search(spark, d, rest, "o_totalprice", "regression"))
 
 
 _PAIR_MODELS = list(dict.fromkeys([*M.DEEP_TASKS, *[m for ms in M.INCOMPATIBLE.values() for m in ms], "ExtraTrees"]))

@@ -115,3 +115,46 @@ def test_ordinal_dictionary_survives_saving(spark, frame):
     values = sorted(i for i in range(120) if i % 10)
     assert got[999] == -1.0 and all(got[i] == values.index(i) for i in values)
     assert got[0] == 0.0        # NULL takes the mode; on ties the smallest value
+
+
+SMALL_BOOST = {"maxIter": ("int", 1, 2), "maxDepth": ("int", 1, 2)}
+SMALL_FOREST = {"numTrees": ("int", 2, 3), "maxDepth": ("int", 1, 2)}
+
+
+def test_search_runs_all_families_of_the_reference(prepared):
+    _, ready = prepared
+    spaces = M.AUTOML_SPACES | dict.fromkeys(["XGBoost", "LightGBM"], SMALL_BOOST) | dict.fromkeys(["RandomForest", "ExtraTrees"], SMALL_FOREST)
+    board, _ = M.search(ready, ready, "classification", M.AUTOML_FAMILIES["classification"], trials=2, folds=2,
+                        seconds=None, spaces=spaces, max_iter=5)
+    assert {r["model"]: r["trials"] for r in board.collect()} == dict.fromkeys(
+        ["LightGBM", "XGBoost", "RandomForest", "LRL1", "ExtraTrees"], 2)
+    lasso, plain = (M.with_params(M.make_estimator(n, "classification", n_classes=3, max_iter=20), {"C": 0.05}, 100).fit(ready)
+                    for n in ("LRL1", "LogisticRegression"))
+    assert (lasso.coefficientMatrix.toArray() == 0).sum() > (plain.coefficientMatrix.toArray() == 0).sum()
+
+
+@pytest.fixture
+def searched(spark, monkeypatch):
+    """Runs a registered search without its fits; returns the arguments of each call."""
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+
+    def run(name):
+        calls = []
+
+        def search(train, test, task, names, **limits):
+            calls.append((task, sorted(names), limits))
+            rows = [(n, 0, None, None, "{}", False) for n in names]
+            return spark.createDataFrame(rows, "model string, trials int, cv_metric double, test_metric double, params string, is_best boolean"), None
+        monkeypatch.setattr(M, "search", search)
+        return entry.queries()[name](spark, SF_SMALL).collect(), calls
+    return run
+
+
+def test_registered_searches_leave_no_family_out(searched):
+    rows, calls = searched("model_tune")
+    assert sorted(r["model"] for r in rows) == sorted(M.SEARCH_SPACES)
+    assert [(task, "Ridge" in names) for task, names, _ in calls] == [("classification", False), ("regression", True)]
+    rows, calls = searched("model_automl_search")
+    assert sorted(r["model"] for r in rows) == ["ExtraTrees", "LRL1", "LightGBM", "RandomForest", "XGBoost"]
+    assert all(r["model"] in calls[0][2]["spaces"] for r in rows)
