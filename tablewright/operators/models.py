@@ -379,8 +379,8 @@ def search(train: DataFrame, test: DataFrame, task: str, names: list[str], trial
            folds: int = CV_FOLDS, seconds: float | None = SEARCH_SECONDS, parallelism: int = 3,
            spaces: dict = SEARCH_SPACES, **settings) -> tuple[DataFrame, object]:
     """MOD12/MOD13 over prepared (features, label) frames: up to ``trials`` seeded draws per
-    family, each cross-validated; families take turns until ``seconds`` have passed (None: no
-    limit; every family gets one trial whatever the time).  The best draw of each family is
+    family, each cross-validated; families take turns until ``seconds`` have passed (the search's
+    budget; None, as for tuning: no limit; every family gets one trial whatever the time).  The best draw of each family is
     refitted on the whole training frame and measured on ``test``.
 
     Returns (leaderboard of model, trials, cv_metric, test_metric, params, is_best; best

@@ -381,10 +381,12 @@ def model_automl_search(spark, d):
 
 @query("model_tune")
 def model_tune(spark, d):
-    """All six search spaces: the classifiers' on the order status, Ridge's on the order price."""
+    """All six search spaces: the classifiers' on the order status, Ridge's on the order price;
+    every draw runs, however long it takes, so a seed gives the same trials at any size."""
     names = [n for n in M.SEARCH_SPACES if n in M.available_models("classification")]
     rest = [n for n in M.SEARCH_SPACES if n not in names]
-    return _search(spark, d, names).unionByName(_search(spark, d, rest, "o_totalprice", "regression"))
+    return _search(spark, d, names, seconds=None).unionByName(
+        _search(spark, d, rest, "o_totalprice", "regression", seconds=None))
 
 
 _PAIR_MODELS = list(dict.fromkeys([*M.DEEP_TASKS, *[m for ms in M.INCOMPATIBLE.values() for m in ms], "ExtraTrees"]))

@@ -158,3 +158,10 @@ def test_registered_searches_leave_no_family_out(searched):
     rows, calls = searched("model_automl_search")
     assert sorted(r["model"] for r in rows) == ["ExtraTrees", "LRL1", "LightGBM", "RandomForest", "XGBoost"]
     assert all(r["model"] in calls[0][2]["spaces"] for r in rows)
+
+
+def test_only_the_search_has_a_time_limit(searched):
+    _, calls = searched("model_tune")
+    assert calls and all(limits["seconds"] is None for _, _, limits in calls)
+    _, calls = searched("model_automl_search")
+    assert calls[0][2].get("seconds", M.SEARCH_SECONDS) == M.SEARCH_SECONDS == 120
