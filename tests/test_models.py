@@ -165,3 +165,25 @@ def test_only_the_search_has_a_time_limit(searched):
     assert calls and all(limits["seconds"] is None for _, _, limits in calls)
     _, calls = searched("model_automl_search")
     assert calls[0][2].get("seconds", M.SEARCH_SECONDS) == M.SEARCH_SECONDS == 120
+
+
+def test_all_classifiers_and_multiclass_boosting_are_registered(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    make, kinds = M.make_estimator, []
+
+    def small(name, task, **sizes):
+        made = make(name, task, **sizes, trees=2, max_iter=3, hidden=(4,))
+        kinds.append((name, task, type(made).__name__))
+        return made
+    monkeypatch.setattr(M, "make_estimator", small)
+    board = entry.queries()["model_train_all"](spark, SF_SMALL).collect()
+    assert {r["model"] for r in board} == {"RandomForest", "XGBoost", "LogisticRegression", "ExtraTrees", "SVM", "MLP"}
+    assert ("XGBoost", "classification", "OneVsRest") in kinds and all(0 <= r["f1_score"] <= 1 for r in board)
+    boosted = entry.queries()["model_gbt"](spark, SF_SMALL)
+    assert {"o_orderstatus", "prediction"} <= set(boosted.columns)
+    assert kinds[-1] == ("XGBoost", "classification", "OneVsRest")
+    kinds.clear()
+    assert "r2" in entry.queries()["model_train_all_regression"](spark, SF_SMALL).columns
+    assert "model_gbt_regression" in entry.queries()
+    assert {(n, t) for n, t, _ in kinds} == {(n, "regression") for n in ("RandomForest", "XGBoost", "LinearRegression", "Ridge", "ExtraTrees")}
