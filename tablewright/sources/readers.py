@@ -1,12 +1,13 @@
 """Table sources (SRC1-SRC7): one ``read_any`` choosing a Spark reader by content and suffix.
 
 Only the first ``SNIFF_BYTES`` bytes of one file reach the driver (format, header and
-delimiter sniffing); the data itself is parsed by Spark's CSV/JSON/parquet/text readers in
+delimiter sniffing), and an ARFF file's lines before '@data'; the data itself is parsed by Spark's CSV/JSON/parquet/text readers in
 the executors.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import re
 
@@ -21,6 +22,7 @@ OTHER_SEPARATORS = ":^~ "                       # for the sniffer, if none of th
 ARFF_NULL_MARKERS = ["?", "NA", "N/A", ""]
 SNIFF_LINES = 10                                # lines inspected for the ARFF signature
 SNIFF_BYTES = 64 << 10
+TYPED_COLUMNS = 200                             # columns typed by one aggregate
 SPREAD_BYTES = 512 << 10                        # compressed bytes worth a task of their own
 SUPPORTED_SUFFIXES = [".csv", ".tsv", ".json", ".parquet", ".data", ".arff"]
 UNSUPPORTED_SUFFIXES = [".xlsx", ".xls"]        # single-machine spreadsheet readers: not built
@@ -30,8 +32,8 @@ ARFF_NAME = re.compile(r"""@attribute\s+(?:'([^']*)'|"([^"]*)"|(\S+))""", re.I)
 # -------------------------------------------------------------------------------------------
 
 
-def head_bytes(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
-    """The first bytes of the file, or of the first non-empty data file below a folder."""
+def _open_first(spark: SparkSession, path: str):
+    """An input stream of the file, or of the first non-empty data file below a folder; or None."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
@@ -40,9 +42,14 @@ def head_bytes(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
         status = listed.next()
         if status.getLen() and status.getPath().getName()[0] not in "._":
             files.append(status.getPath().toString())
-    if not files:
+    return fs.open(jvm.org.apache.hadoop.fs.Path(min(files))) if files else None
+
+
+def head_bytes(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
+    """The first bytes of the file, or of the first non-empty data file below a folder."""
+    stream = _open_first(spark, path)
+    if stream is None:
         return b""
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(min(files)))
     try:
         return bytes(stream.readNBytes(n))
     finally:
@@ -109,11 +116,12 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def typed(df: DataFrame) -> DataFrame:
-    """String columns whose values all look numeric become doubles; one aggregate decides."""
-    if not df.columns:
-        return df
-    bad = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & ~F.col(f"`{c}`").rlike(NUMERIC_PATTERN)).alias(str(i))
-                   for i, c in enumerate(df.columns)]).first()
+    """String columns whose values all look numeric become doubles; one aggregate decides, or for
+    wide tables one for each ``TYPED_COLUMNS`` columns (generated code has a size limit)."""
+    bad = []
+    for at in range(0, len(df.columns), TYPED_COLUMNS):
+        bad += df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & ~F.col(f"`{c}`").rlike(NUMERIC_PATTERN)).alias(str(i))
+                        for i, c in enumerate(df.columns[at:at + TYPED_COLUMNS])]).first()
     return df.select(*[F.col(f"`{c}`").try_cast("double").alias(c) if bad[i] == 0 else F.col(f"`{c}`")
                        for i, c in enumerate(df.columns)])
 
@@ -133,10 +141,26 @@ def read_data_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def arff_header(spark: SparkSession, path: str) -> list[str]:
-    """Lines up to '@data' of the first file, stripped (from its first bytes)."""
-    lines = [line.strip() for line in head_text(spark, path).splitlines()]
-    ends = [i for i, line in enumerate(lines) if line.lower().startswith("@data")]
-    return lines[:ends[0] + 1] if ends else lines
+    """Lines up to '@data' of the first file, stripped, without blank lines and comments; read
+    on block by block until '@data' comes.  A file without it has no data and raises."""
+    stream, lines, rest = _open_first(spark, path), [], ""
+    if stream is None:
+        raise ValueError(f"{path} is empty")
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    try:
+        while True:
+            block = bytes(stream.readNBytes(SNIFF_BYTES))
+            *whole, rest = re.split(r"\r\n|\r|\n", rest + decoder.decode(block, not block))
+            for line in whole if block else [*whole, rest]:
+                line = line.strip().lstrip("\ufeff")
+                if line and not line.startswith("%"):
+                    lines.append(line)
+                if line.lower().startswith("@data"):
+                    return lines
+            if not block:
+                raise ValueError(f"no @data section in {path}")
+    finally:
+        stream.close()
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:

@@ -37,6 +37,25 @@ def test_arff_by_content_with_csv_suffix(spark):
     assert [r["a"] for r in rows] == [1.0, None, 3.0] and [r["b"] for r in rows] == ["x", "y", None]
 
 
+def test_arff_header_longer_than_the_sniffed_bytes(spark):
+    import pytest
+    d, n = _tmp(), 400
+    p = os.path.join(d, "wide.arff")
+    with open(p, "w") as f:
+        f.write("@relation wide\n" + "% a long preamble, \u00e4\n" * 6000)
+        f.write("".join(f"@attribute 'attribute number {i}' numeric\n" for i in range(n)))
+        assert f.tell() > 2 * R.SNIFF_BYTES
+        f.write("@data\n" + "\n".join(",".join(str(i + r) for i in range(n)) for r in range(3)) + "\n")
+    df = R.read_any(spark, p)
+    assert df.columns == [f"attribute number {i}" for i in range(n)]
+    assert sorted((r[0], r[n - 1]) for r in df.collect()) == [(float(r), float(r + n - 1)) for r in range(3)]
+    p = os.path.join(d, "cut.arff")
+    with open(p, "w") as f:
+        f.write("@relation cut\n@attribute a numeric\n")
+    with pytest.raises(ValueError, match="@data"):
+        R.read_any(spark, p)
+
+
 def test_headerless_whitespace_data(spark):
     d = _tmp()
     p = os.path.join(d, "w.data")
