@@ -102,11 +102,20 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
     """SRC2/SRC3: CSV with the given or sniffed separator and inferred column types.
 
     ``multi_line``: whether quoted fields may hold line breaks.  Such a file cannot be split
-    between tasks, so None decides by the first bytes; set it where breaks come later."""
+    between tasks; None decides by the first bytes and, where they show no break, by all lines."""
     found, breaks = sniff_csv(head_text(spark, path))
+    if multi_line is None:
+        multi_line = breaks or _open_quotes(spark, path)
     return (spark.read.option("recursiveFileLookup", "true")
             .csv(path, sep=sep or found, header=header, inferSchema=True, mode="PERMISSIVE", quote='"', escape='"',
-                 multiLine=breaks if multi_line is None else multi_line))
+                 multiLine=multi_line))
+
+
+def _open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line of any file holds an odd number of quotes, as one does whose quoted field
+    goes on in the next."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not _text(spark, path).where(quotes % 2 == 1).isEmpty()
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -25,6 +25,24 @@ def test_csv_separators_and_json_array(spark):
     assert sorted(r["a"] for r in R.read_any(spark, p).collect()) == [1, 2]
 
 
+def test_csv_line_break_past_the_sniffed_bytes(spark):
+    d, n = _tmp(), 6000
+    p = os.path.join(d, "late.csv")
+    with open(p, "w") as f:
+        f.write("k,name,v\n" + "".join(f'{i},"a ""plain"", row",{i}\n' for i in range(n)))
+        assert f.tell() > R.SNIFF_BYTES
+        f.write(f'{n},"first ""x""\nsecond, line",{n}\n{n + 1},last,{n + 1}\n')
+    df = R.read_any(spark, p)
+    rows = {r["k"]: r for r in df.collect()}
+    assert df.count() == len(rows) == n + 2 and dict(df.dtypes)["k"] == "int"
+    assert rows[n]["name"] == 'first "x"\nsecond, line' and all(r["v"] == k for k, r in rows.items())
+    os.makedirs(os.path.join(d, "parts.csv"))
+    for name, text in (("a", "k,name\n1,x\n"), ("b", 'k,name\n2,"y\nz"\n')):
+        with open(os.path.join(d, "parts.csv", name + ".csv"), "w") as f:
+            f.write(text)
+    assert sorted(map(tuple, R.read_any(spark, os.path.join(d, "parts.csv")).collect())) == [(1, "x"), (2, "y\nz")]
+
+
 def test_arff_by_content_with_csv_suffix(spark):
     d = _tmp()
     p = os.path.join(d, "weka.csv")
