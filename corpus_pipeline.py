@@ -5,8 +5,8 @@ the last return the columns of ``documents``.  ``run`` writes each stage's resul
 the session's shared folder and reads it again, so a lost executor repeats one stage at most.
 
 Null and empty texts have no letter and go in the first stage; the other cases are those of
-the operators.  A document without ``doc_id`` cannot be named as the one that stays and goes in
-the near-duplicate stage, and of rows with one ``doc_id`` one stays.
+the operators.  The near-duplicate stage groups fingerprints, not ids: one row of each group
+stays whatever its ``doc_id``, a null one only where the group has no other.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import langid, mixture, packing, quality, simhash
+from tablewright.llm.components import connected_components
 from tablewright.llm.queries import labelled, load, vocabulary
 from tablewright.llm.text import held_out
-from tablewright.session import scratch_path
+from tablewright.session import checkpoint_dir, scratch_path
 
 LEAST_LANGUAGE = 0.5    # share of letters in the document's language
 LEAST_QUALITY = 0.3
@@ -37,10 +38,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
-    kept = (simhash.simhash_duplicates(docs, words=3, max_distance=3)
-            .where("doc_id = component_id").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keep one row of each group of near duplicates: the smallest id (null last), of rows that
+    share it the smallest hash of text and row."""
+    checkpoint_dir(spark)
+    keyed = docs.withColumns({"text_hash": F.md5(F.coalesce("text", F.lit("")).cast("binary")),
+                              "row_hash": F.xxhash64(F.col("doc_id").isNull(), *docs.columns)})
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_hash")
+    first = (simhash.fingerprints(keyed.select("doc_id", "text", "text_hash", "row_hash"), words=3)
+             .groupBy("code").agg(F.min(order).alias("first")).checkpoint())
+    groups = connected_components(simhash.near_codes(first.select(F.col("code").alias("id"), "code"), max_distance=3))
+    kept = (first.join(groups.withColumnRenamed("id", "code"), "code", "left")
+            .groupBy(F.coalesce("component_id", "code").alias("component")).agg(F.min("first").alias("first"))
+            .select("first.text_hash", "first.row_hash"))
+    keys = ["text_hash", "row_hash"]
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

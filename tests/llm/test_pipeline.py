@@ -58,3 +58,18 @@ def test_thresholds_of_the_filters(spark):
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, SF_SMALL).collect()}
     assert {r.doc_id for r in found if r.score >= 0.55} <= kept
     assert quality.BINS == 8
+
+
+def test_near_duplicates_keep_a_row_of_each_group_whatever_its_ids(spark):
+    schema = load(spark, SF_SMALL, "documents").schema
+    words = [" ".join(f"{w}{i}" for i in range(30)) for w in ("apple", "birch", "cedar", "daisy")]
+    texts = [(5, words[0]), (7, words[0]),          # copies
+             (5, words[1]),                         # another text under the same id
+             (None, words[2]), (None, words[2]),    # copies without an id
+             (None, words[3]), (9, words[3])]       # a null id gives way
+    fixed = {"doc_id": 0, "text": 1}
+    rows = [tuple(t[fixed[f.name]] if f.name in fixed else None for f in schema) for t in texts]
+    want = Counter([(5, words[0]), (5, words[1]), (None, words[2]), (9, words[3])])
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(order, schema), SF_SMALL)
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
