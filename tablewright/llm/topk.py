@@ -18,7 +18,10 @@ k * LISTS rows per task and query.
 Results: vectors that are null, hold null or non-finite components, or have another length
 than most take no part, nor do null ids; rows with a query's own id are no candidates for it;
 repeated candidates count each, repeated queries once (the row first in order of its
-components); equal scores rank by smaller id; fewer candidates than k give fewer rows.
+components); equal scores rank by smaller id; fewer candidates than k give fewer rows.  Scores
+are exact longs: where doubles could round, components are multiplied in two parts.  Only if
+length * (largest component)^2 passes the long range is there a ValueError: the ``score``
+column could not hold such a score.
 """
 
 from __future__ import annotations
@@ -34,26 +37,38 @@ from ..session import scratch_path
 
 LISTS = 4
 ROWS = 2048     # candidates worked at once: the score matrix is ROWS x block
+PART = 1 << 16  # of a component of a wide score: the low part
+NONE = np.iinfo(np.int64).min
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _partials(queries: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    """Partial scores (query x row) of each list.  Doubles hold them exactly; the caller has
-    checked that no score passes 2 ** 53."""
+def _product(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
+    """``a @ b.T`` of whole numbers, as exact longs.  Doubles hold it up to 2 ** 53; a wide one is
+    put together from products of high and low parts, each within that."""
+    if not wide:
+        return (a @ b.T).astype(np.int64)
+    (ah, al), (bh, bl) = ((h := np.floor(x / PART), x - h * PART) for x in (a, b))
+    exact = [(x @ y.T).astype(np.int64) for x, y in ((ah, bh), (ah, bl), (al, bh), (al, bl))]
+    return exact[0] * PART ** 2 + (exact[1] + exact[2]) * PART + exact[3]
+
+
+def _partials(queries: np.ndarray, rows: np.ndarray, wide: bool) -> list[np.ndarray]:
+    """Partial scores (query x row) of each list.  The caller has checked that no score passes
+    the long range, or 2 ** 53 unless ``wide``."""
     cuts = np.linspace(0, queries.shape[1], LISTS + 1).astype(int)
-    return [queries[:, a:b] @ rows[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:])]
+    return [_product(queries[:, a:b], rows[:, a:b], wide) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k highest finite scores of one row, ties to smaller ids."""
+    """Columns of the k highest scores above ``NONE`` of one row, ties to smaller ids."""
     if len(scores) > 4 * k:
         at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
     else:
         at = np.arange(len(scores))
-    at = at[np.isfinite(scores[at])]
+    at = at[scores[at] > NONE]
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
@@ -83,8 +98,9 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, block: int = 2048) ->
     dim, count = (facts["dim"], facts["queries"]) if facts else (0, 0)
     if not dim or not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if dim * facts["top"] ** 2 >= 2.0 ** 53:
-        raise ValueError("components are too large for exact scores in doubles")
+    most = dim * int(facts["top"]) ** 2
+    if most >= 2 ** 63:
+        raise ValueError("components are too large for scores within the long range")
     rows = rows.where(F.size("vec") == dim)
     blocks = math.ceil(count / block)
     queries = (rows.where(is_query).withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("vec")))
@@ -92,16 +108,18 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, block: int = 2048) ->
     for b in range(blocks):
         mine = queries.where(F.col("b") == b).select("vec_id", "vec").sort("vec_id").collect()
         if mine:
-            _block(rows, mine, dim, k).write.mode("append").parquet(path)
+            _block(rows, mine, dim, k, most).write.mode("append").parquet(path)
     every = spark.read.parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))
 
 
-def _block(rows: DataFrame, mine: list, dim: int, k: int) -> DataFrame:
+def _block(rows: DataFrame, mine: list, dim: int, k: int, most_score: int) -> DataFrame:
     """Entries of one block of queries that hold all answers: at most k per task and query."""
     context = rows.sparkSession.sparkContext
+    wide = most_score >= 2 ** 53
+    slack = max(0.5, most_score / 2.0 ** 48)      # more than what doubles round off the bounds
     ids = np.array([r.vec_id for r in mine], np.int64)
     matrix = np.array([r.vec for r in mine], np.float64).reshape(len(mine), dim)
     sent = context.broadcast((ids, matrix))
@@ -111,12 +129,12 @@ def _block(rows: DataFrame, mine: list, dim: int, k: int) -> DataFrame:
     def gather(batches):
         ids, matrix = sent.value
         for names, part in _parts(batches, dim):
-            partials = _partials(matrix, part)
+            partials = _partials(matrix, part, wide)
             total = sum(partials)
             lists = []
             for q in range(len(ids)):
                 own = names == ids[q]
-                at = np.unique(np.concatenate([_best(np.where(own, -np.inf, p[q]), names, k) for p in partials]))
+                at = np.unique(np.concatenate([_best(np.where(own, NONE, p[q]), names, k) for p in partials]))
                 lists.append([np.full(len(at), ids[q]), names[at], total[q, at]])
             yield _out(schema, lists)
 
@@ -125,26 +143,27 @@ def _block(rows: DataFrame, mine: list, dim: int, k: int) -> DataFrame:
               .where(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
               .where(F.col("n") == k).collect())
     known = {r.query_id: r.bound for r in bounds}
-    cutoff = context.broadcast(np.array([known.get(i, -np.inf) for i in ids.tolist()], np.float64))
+    cutoff = context.broadcast(np.array([known.get(i, NONE) for i in ids.tolist()], np.int64))
 
     def resolve(batches):
         ids, matrix = sent.value
-        bound = cutoff.value
-        cuts = np.linspace(0, dim, LISTS + 1).astype(int)
+        cut = cutoff.value
+        bound = np.where(cut == NONE, -np.inf, cut.astype(np.float64))
         for names, part in _parts(batches, dim):
-            partials = _partials(matrix, part)
+            longs = _partials(matrix, part, wide)
+            partials = [p.astype(np.float64) for p in longs]
             # shifts: no partial of this part lies below its list's bound
             shift = [p.min(1, keepdims=True) for p in partials]
             share = (bound[:, None] - sum(shift)) / LISTS
-            seen = [p - s >= share for p, s in zip(partials, shift)]
+            seen = [p - s >= share - slack for p, s in zip(partials, shift)]
             collected = np.logical_or.reduce(seen)
             most = sum(np.where(s, p - low, share) for s, p, low in zip(seen, partials, shift))
-            collected &= most >= bound[:, None] - sum(shift) - 0.5
+            collected &= most >= bound[:, None] - sum(shift) - slack * (LISTS + 1)
             lists = []
             for q in np.flatnonzero(collected.any(1)):
                 at = np.flatnonzero(collected[q] & (names != ids[q]))
-                exact = sum(part[at, a:b] @ matrix[q, a:b] for a, b in zip(cuts[:-1], cuts[1:]))
-                keep = exact >= bound[q]
+                exact = sum(p[q, at] for p in longs)
+                keep = exact >= cut[q]
                 at, exact = at[keep], exact[keep]
                 top = _best(exact, names[at], k)
                 lists.append([np.full(len(top), ids[q]), names[at[top]], exact[top]])

@@ -106,3 +106,22 @@ def test_top_k_few_candidates(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 10, -3), (10, 1, 0, -3)]
     assert topk.exact_top_k(df.where("1 = 0"), F.col("vec_id") % 10 == 0).count() == 0
     assert topk.exact_top_k(df.where("vec_id = 0"), F.col("vec_id") % 10 == 0).count() == 0
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_top_k_of_components_beyond_exact_doubles(spark, block):
+    rng = np.random.default_rng(4)
+    big = rng.integers(-10 ** 9, 10 ** 9, 6)
+    rows = [(i, (big + rng.integers(-2, 3, 6) if i % 3 else rng.integers(-10 ** 9, 10 ** 9, 6)).astype(float).tolist())
+            for i in range(90)]
+    exact = {i: [int(x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 90, 10):
+        scored = sorted((-sum(x * y for x, y in zip(exact[q], v)), i) for i, v in exact.items() if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:5], 1)]
+    assert max(abs(r[3]) for r in want) > 2 ** 53
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>")
+    got = topk.exact_top_k(df, F.col("vec_id") % 10 == 0, k=5, block=block).collect()
+    assert sorted(map(tuple, got)) == want
+    with pytest.raises(ValueError, match="long range"):
+        topk.exact_top_k(df.unionByName(spark.createDataFrame([(999, [3e9] * 6)], df.schema)), F.col("vec_id") % 10 == 0)
