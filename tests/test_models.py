@@ -187,3 +187,9 @@ def test_all_classifiers_and_multiclass_boosting_are_registered(spark, monkeypat
     assert "r2" in entry.queries()["model_train_all_regression"](spark, SF_SMALL).columns
     assert "model_gbt_regression" in entry.queries()
     assert {(n, t) for n, t, _ in kinds} == {(n, "regression") for n in ("RandomForest", "XGBoost", "LinearRegression", "Ridge", "ExtraTrees")}
+
+
+def test_the_bench_times_model_fits():
+    import __spark_entry__ as entry
+    import bench
+    assert {"model_logistic", "model_train_all"} <= set(bench.HEADLINE) <= set(entry.queries())
