@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Builder
 from ..session import scratch_path
-from . import itq_dedup, langid, mixture, packing, quality, simhash, token_count, token_store, topk, toxicity
+from . import bpe_rounds, conversation_repair, hard_negatives, itq_dedup, langid, mixture, packing, quality, simhash, token_count, token_store, topk, toxicity
 from .text import held_out
 
 QUERIES: dict[str, Builder] = {}
@@ -161,3 +161,72 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage: by crc32 of ``conv_id:turn`` a row is dropped, emptied, stripped of
+    its closing marks, repeated or given to the user.  Nulls are one space."""
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    kind = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    copies = F.when(kind == 0, F.array().cast("array<int>")).when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(copies).alias("copy")).drop("copy")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    left = damaged(rows)
+    path = scratch_path(spark, "repair-plans")
+    conversation_repair.plan_repairs(left).write.parquet(path)
+    plans = spark.read.parquet(path)
+    digests = conversation_repair.conversation_digests(conversation_repair.apply_repairs(left, plans))
+    same = [F.col(f"a.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) for b in ("p", "d")]
+    out = (rows.select("conv_id").distinct().alias("a").join(plans.alias("p"), same[0], "left")
+           .join(digests.alias("d"), same[1], "left"))
+    counts = [F.coalesce(F.col(f"p.{c}"), F.lit(0).cast("long")).alias(c)
+              for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("a.conv_id", *counts, F.coalesce("p.audit", F.lit("")).alias("audit"),
+                      F.coalesce("d.sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query
+def op13_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    both = bpe_rounds.decode_documents(bpe_rounds.encode_documents(texts(spark, sf_dir), path), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = load(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long"), label.alias("label"),
+        F.transform(F.col("embedding").cast("array<double>"), _scaled).alias("vec"))
+    return hard_negatives.mine_hard_negatives(scaled, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op12_hard_negatives"] = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, a.vec_id = c.vec_id AS own,
+           CAST(list_dot_product(a.x, c.x) AS BIGINT) AS score
+    FROM v a CROSS JOIN v c WHERE a.vec_id % 100 = 0),
+p AS (
+    SELECT anchor_id, vec_id, score FROM s WHERE same AND NOT own
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+     AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10"""
