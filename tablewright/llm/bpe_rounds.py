@@ -10,8 +10,8 @@ of them only the leftmost place is merged in a round.
 
 The vocabulary file gives normalizer, word pattern, special tokens, merges and ids; the library
 ``tokenizers`` is used for the first two alone.  The word pattern never joins what white space
-divides, so texts are cut into words first and each distinct word is encoded once per task
-(its ids are kept while the kept words take under ``CACHE_BYTES``).
+divides, so texts are cut into words first and each distinct word is encoded once in a worker
+(``text.WordCache``, bounded in bytes).
 
 Results: a null text is an empty one; special strings in a text become their ids, as is the
 library's default; without a decoder in the file, a decoded text is the ids' strings joined by
@@ -34,10 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .text import add_columns, spans, split_words
+from .text import WordCache, add_columns
 
-CACHE_BYTES = 96 << 20      # of the kept words, WORD_COST bytes of bookkeeping each included
-WORD_COST = 160
 DECODE_IDS = 1 << 20        # ids decoded at once
 NO_RANK = np.iinfo(np.int32).max
 
@@ -74,11 +72,9 @@ class MergeTable:
         self.inner = np.array([vocab[c] for c in characters], np.int64)
         self.last = np.array([vocab[c + ending] for c in characters], np.int64)
 
-        names = dict(vocab) | self.special
-        self.names = np.full(max(names.values()) + 1, None, object)
-        for name, i in names.items():
-            self.names[i] = name
-        self.symbols = len(self.names)
+        of_id = {i: name for name, i in (vocab | self.special).items()}
+        self.symbols = max(of_id) + 1
+        self.strings = pa.array([of_id.get(i) for i in range(self.symbols)], pa.large_string())
 
         pairs = {tuple(m.split(" ") if isinstance(m, str) else m): rank for rank, m in enumerate(model["merges"])}
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
@@ -177,9 +173,6 @@ class MergeTable:
         first = np.r_[True, word[pick[1:]] != word[pick[:-1]]]
         return pick[((np.arange(len(pick)) - run) % 2 == 0) & (self.safe[rank[pick]] | first)]
 
-    def strings(self) -> pa.Array:
-        return pa.array(self.names, pa.large_string())
-
 
 _BYTE_OF_POINT = np.zeros(512, np.int64)
 _BYTE_OF_POINT[[ord(c) for c in byte_characters()]] = np.arange(256)
@@ -190,50 +183,16 @@ def _bytes(points: np.ndarray) -> np.ndarray:
     return _BYTE_OF_POINT[points]
 
 
-class WordStore:
-    """Ids of the words met so far in this worker; emptied when it passes ``CACHE_BYTES``."""
-
-    def __init__(self, table: MergeTable):
-        self.table = table
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
-        self.size = 0
-
-    def _look_up(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.codes]
-        cost = sum(map(len, new)) * 2 + WORD_COST * len(new)
-        if self.size + cost > CACHE_BYTES and self.codes:
-            self._clear()
-            new, cost = words, sum(map(len, words)) * 2 + WORD_COST * len(words)
-        if new:
-            sizes, ids = self.table.encode_words(new)
-            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.lengths = np.concatenate([self.lengths, sizes])
-            self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
-            self.size += cost
-        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids one after the other)."""
-        spaced = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
-        counts, words, order = split_words(pc.replace_substring_regex(spaced, "([a-zA-Z])([,.;:!?])", r"\1 \2"))
-        codes = self._look_up(words)[order]
-        lengths = self.lengths[codes]
-        of_text = np.repeat(np.arange(len(counts)), counts)
-        sums = np.bincount(of_text, lengths, len(counts)).astype(np.int64)
-        return sums, self.pool[spans(self.starts[codes], lengths)]
+@functools.lru_cache(maxsize=2)
+def merge_table(path: str) -> MergeTable:
+    """One table in each Python worker."""
+    return MergeTable(path)
 
 
 @functools.lru_cache(maxsize=2)
-def word_store(path: str) -> WordStore:
-    """One table and its words in each Python worker."""
-    return WordStore(MergeTable(path))
+def word_cache(path: str) -> WordCache:
+    """The words met so far in each Python worker."""
+    return WordCache(merge_table(path).encode_words, np.dtype(np.int32))
 
 
 def _lists(counts: np.ndarray, ids: np.ndarray) -> pa.Array:
@@ -242,7 +201,17 @@ def _lists(counts: np.ndarray, ids: np.ndarray) -> pa.Array:
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Every row of ``docs`` with ``ids`` (array<int>): the token ids of its whole ``text``."""
-    return add_columns(docs, "ids array<int>", lambda texts: [_lists(*word_store(path).encode(texts))])
+    return add_columns(docs, "ids array<int>", lambda texts: [_lists(*word_cache(path).encode(texts))])
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """Every row of ``docs`` with ``ids`` and ``decoded``, the text that the ids decode to, in
+    one pass over the texts."""
+    def both(texts):
+        ids = _lists(*word_cache(path).encode(texts))
+        return [ids, decode_lists(ids, merge_table(path).strings)]
+
+    return add_columns(docs, "ids array<int>, decoded string", both)
 
 
 def decode_documents(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
@@ -251,7 +220,7 @@ def decode_documents(encoded: DataFrame, path: str, column: str = "decoded") ->
     kept = encoded.drop(column).withColumn("ids", F.col("ids").cast("array<int>"))
 
     def run(batches):
-        names = word_store(path).table.strings()
+        names = merge_table(path).strings
         for batch in batches:
             lengths = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
             ends, at = np.cumsum(lengths.astype(np.int64)), 0

@@ -26,6 +26,7 @@ from .chains import viterbi
 from .text import add_columns, row_sums, slices, split_words
 
 BUCKETS = 1 << 16
+MAX_LANGUAGES = 250     # of the model's dense table: BUCKETS doubles for each
 UNKNOWN = "und"
 # ---- fixed values: first code point, last code point, script -------------------------------
 SCRIPT_RANGES = [
@@ -46,11 +47,9 @@ def letter_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     spaced = pc.utf8_trim(pc.replace_substring_regex(low, r"[^\p{L}\p{M}]+", " "), " ")
     counts, words, order = split_words(spaced)
-    none = pc.equal(pc.binary_length(spaced), 0).to_numpy(zero_copy_only=False)
-    if none.any():                      # an empty text splits into one empty word
-        first = (np.cumsum(counts) - counts)[none]
-        order, counts = np.delete(order, first), np.where(none, 0, counts)
-    return counts, words, order
+    # no words: what an empty text splits into, and marks without a letter
+    lettered = pc.match_substring_regex(pa.array(words, pa.large_string()), r"\p{L}").to_numpy(zero_copy_only=False)[order]
+    return row_sums(lettered.astype(np.int64), counts), words, order[lettered]
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,9 +69,11 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, per_lang: int = 1500, seed: int = 3) -> dict | None:
     """Model from (doc_id, text, lang) rows; rows without text or language teach nothing."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    # one row per language, as many as the model has columns: without the hint all texts would
-    # be dealt by language, most of them to one task
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages: the model would not fit a worker")
+    # at most MAX_LANGUAGES rows: without the hint all texts would be dealt by language, most to one task
+    sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in found], "lang string, n long"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taught = rows.join(sizes, "lang").where(place < F.lit(float(per_lang)) / F.col("n")).select("text", "lang")
 

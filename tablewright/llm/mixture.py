@@ -12,7 +12,8 @@ others get level * weight, so a running sum over the sources finds it without it
 
 Results: a null or empty text has size 0 and is emitted like any other; null ``source`` is a
 source of its own, last in order; rows with one ``doc_id`` (a null one included) share one
-draw; columns named like the added ones are replaced; empty tables give empty results.
+draw; columns named like the added ones are replaced; empty tables give empty results; a very
+long text is one row of a large size.
 """
 
 from __future__ import annotations

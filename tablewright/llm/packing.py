@@ -1,6 +1,6 @@
 """Packing of token sequences: first-fit decreasing within randomised groups of documents.
 
-A hash of ``doc_id`` deals the documents into groups of about ``group_docs``.  In each group a
+A hash of ``doc_id`` and ids deals the documents into groups of about ``group_docs``.  In each group a
 document gives whole sequences of ``seq_len`` ids and one rest; the rests go, longest first,
 into the first bin with room, found in a tournament tree of the bins' free places.  Documents
 may be cut freely, so the emptiest bins are then taken apart to fill the places left in the
@@ -10,7 +10,8 @@ A group is closed early at ``4 * group_docs`` documents or ``GROUP_IDS`` ids, so
 a bounded part even if one id repeats without end; the rest of the key is a further group.
 
 Results: null and empty texts are the end id alone; repeated rows are packed each; a null
-``doc_id`` is kept; other columns are ignored; an empty table gives no pieces.
+``doc_id`` is kept; other columns are ignored; an empty table gives no pieces; a very long text
+is cut into whole sequences and a rest, and closes its group.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, seq_len: in
             yield from closed()
 
     tokens = rows.mapInArrow(encode, "doc_id long, ids binary")
-    dealt = tokens.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
+    dealt = tokens.withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids", F.lit(seed)), F.lit(groups)))
     return (dealt.repartition("grp").sortWithinPartitions("grp", "doc_id", F.xxhash64("ids"))
             .mapInArrow(_typed(pack), PIECES))
 

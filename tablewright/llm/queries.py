@@ -194,8 +194,7 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("word_bpe_49k.json")
-    both = bpe_rounds.decode_documents(bpe_rounds.encode_documents(texts(spark, sf_dir), path), path)
+    both = bpe_rounds.round_trip(texts(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -12,7 +12,7 @@ distance, one of the two segments must lie that near, so no link is lost.
 Results: null text is an empty text; fingerprint zero links like any other; a null ``doc_id``
 gets a fingerprint and its component but links nothing by itself (null component if nothing
 else has its fingerprint); repeated rows are repeated; other columns are ignored; an empty
-table gives an empty result.
+table gives an empty result; a very long text is a slice of its own.
 """
 
 from __future__ import annotations

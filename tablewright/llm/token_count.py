@@ -11,7 +11,8 @@ is loaded): texts are cut there, and each distinct chunk is merged once.
 
 Results: null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated results;
 other columns (a null ``doc_id`` too) are kept, ones named
-like the added are replaced; an empty table gives an empty result.
+like the added are replaced; an empty table gives an empty result; a very long text is a slice
+of its own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .text import CACHE_WORDS, add_columns, row_sums, split_words
+from .text import CACHE_BYTES, WORD_COST, add_columns, row_sums, split_words
 
 MARK = "\u2581"
 
@@ -52,6 +53,7 @@ class MergeCounter:
         self.ends = "".join(c for c in ",.;:!?" if not any(
             p[i].isalpha() and p[i + 1] == c for p in self.rank for i in range(len(p) - 1)))
         self.known: dict[str, int] = {}
+        self.size = 0
 
     def merge_count(self, chunk: str) -> int:
         """Initial symbols minus merges of one chunk."""
@@ -94,11 +96,13 @@ class MergeCounter:
         if self.ends:
             cut = pc.replace_substring_regex(cut, f"([a-zA-Z])([{self.ends}])", "\\1\n\\2")
         pieces, chunks, order = split_words(cut, "\n")
-        if len(self.known) + len(chunks) > CACHE_WORDS:
+        if self.size > CACHE_BYTES:
             self.known.clear()
+            self.size = 0
         for c in chunks:
             if c not in self.known:
                 self.known[c] = self.merge_count(c.replace(" ", MARK))
+                self.size += WORD_COST + 2 * len(c)
         each = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         return np.where(empty, 0, row_sums(each[order], pieces) + lines)
 

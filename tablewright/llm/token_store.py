@@ -15,7 +15,7 @@ store that pyarrow's file systems reach from every executor.
 
 Results: rows are written in ascending (doc_id, text hash) order, nulls first; null and empty
 texts hold the end id alone; repeated rows are kept; other columns are ignored; an empty table
-gives a store without files.
+gives a store without files; a very long text is a slice and a frame of its own.
 """
 
 from __future__ import annotations

@@ -1,15 +1,18 @@
 """Exact top-k by inner product: the three-phase uniform threshold algorithm.
 
 A score is the sum of ``LISTS`` partial scores, one for each run of components.  For every
-query, with the partial scores shifted by a bound so that none is negative:
+query:
 
 1. each task gathers the ``k`` best entries of each of its local lists and their scores; the
    k-th best score of all that was gathered is a bound no answer lies below;
 2. that bound is broadcast; an answer has at least one partial score of the uniform share
-   bound / LISTS, so each task collects the entries that reach it, and drops those whose
-   known partials cannot reach the bound;
-3. the missing partials of the rest are resolved, and entries under the bound or beyond the
-   task's k best fall away; the driver never sees scores.
+   bound / LISTS.  Each task goes through the first list again and collects the entries that
+   reach the share, or still can reach the bound: the rest of a score is at most the product of
+   the lengths of the rests of both vectors;
+3. the missing partials of the collected entries alone are resolved, list by list; whatever can
+   no longer reach the bound is dropped before the next list, and entries that reached the share
+   in no list, fall below the bound or behind the task's k best are not passed on; the driver
+   never sees scores.
 
 Queries are worked in blocks of at most about ``block`` rows, dealt by a hash; a block and its
 bounds are all that is broadcast.  Each block reads the vectors once and shuffles at most
@@ -83,6 +86,37 @@ def _out(schema: pa.Schema, lists: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*lists), schema)], schema=schema)
 
 
+def resolved(ids: np.ndarray, matrix: np.ndarray, cut: np.ndarray, names: np.ndarray, part: np.ndarray, k: int,
+             wide: bool) -> tuple[list[list[np.ndarray]], int]:
+    """Phases 2 and 3 over a part of the candidates: the entries of each query that reach its
+    cutoff, at most ``k``, and the number of partial scores computed."""
+    cuts = np.linspace(0, matrix.shape[1], LISTS + 1).astype(int)
+    rest_q, rest_c = ([np.sqrt((x[:, c:] ** 2).sum(1)) * (1 + 1e-9) for c in cuts[1:-1]] for x in (matrix, part))
+    bound = np.where(cut == NONE, -np.inf, cut.astype(np.float64))
+    bound -= 1 + np.abs(np.where(cut == NONE, 0, bound)) * 1e-12     # what doubles round off
+    share = bound / LISTS
+    first = _product(matrix[:, :cuts[1]], part[:, :cuts[1]], wide)
+    collected = first + rest_q[0][:, None] * rest_c[0][None, :] >= bound[:, None]
+    done, lists = first.size, []
+    for q in np.flatnonzero(collected.any(1)):
+        at = np.flatnonzero(collected[q] & (names != ids[q]))
+        total, reached = first[q, at], first[q, at] >= share[q]
+        for j in range(1, LISTS):
+            run = slice(cuts[j], cuts[j + 1])
+            more = _product(matrix[q:q + 1, run], part[at, run], wide)[0]
+            done += len(at)
+            total, reached = total + more, reached | (more >= share[q])
+            if j + 1 < LISTS:
+                keep = total + rest_q[j][q] * rest_c[j][at] >= bound[q]
+                at, total, reached = at[keep], total[keep], reached[keep]
+        keep = reached & (total >= cut[q])
+        at, total = at[keep], total[keep]
+        top = _best(total, names[at], k)
+        if len(top):
+            lists.append([np.full(len(top), ids[q]), names[at[top]], total[top]])
+    return lists, done
+
+
 def exact_top_k(vectors: DataFrame, is_query, k: int = 5, block: int = 2048) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's k best candidates.
     ``vectors`` has vec_id and vec (array<double> of whole numbers); ``is_query`` is a
@@ -101,15 +135,17 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, block: int = 2048) ->
     most = dim * int(facts["top"]) ** 2
     if most >= 2 ** 63:
         raise ValueError("components are too large for scores within the long range")
-    rows = rows.where(F.size("vec") == dim)
+    # written once as they are scored: every block reads them twice
+    rows.where(F.size("vec") == dim).select("vec_id", "vec").write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
     blocks = math.ceil(count / block)
     queries = (rows.where(is_query).withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("vec")))
                .where("r = 1").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
     for b in range(blocks):
         mine = queries.where(F.col("b") == b).select("vec_id", "vec").sort("vec_id").collect()
         if mine:
-            _block(rows, mine, dim, k, most).write.mode("append").parquet(path)
-    every = spark.read.parquet(path)
+            _block(rows, mine, dim, k, most).write.mode("append").parquet(f"{path}/found")
+    every = spark.read.parquet(f"{path}/found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))
@@ -119,7 +155,6 @@ def _block(rows: DataFrame, mine: list, dim: int, k: int, most_score: int) -> Da
     """Entries of one block of queries that hold all answers: at most k per task and query."""
     context = rows.sparkSession.sparkContext
     wide = most_score >= 2 ** 53
-    slack = max(0.5, most_score / 2.0 ** 48)      # more than what doubles round off the bounds
     ids = np.array([r.vec_id for r in mine], np.int64)
     matrix = np.array([r.vec for r in mine], np.float64).reshape(len(mine), dim)
     sent = context.broadcast((ids, matrix))
@@ -147,26 +182,8 @@ def _block(rows: DataFrame, mine: list, dim: int, k: int, most_score: int) -> Da
 
     def resolve(batches):
         ids, matrix = sent.value
-        cut = cutoff.value
-        bound = np.where(cut == NONE, -np.inf, cut.astype(np.float64))
         for names, part in _parts(batches, dim):
-            longs = _partials(matrix, part, wide)
-            partials = [p.astype(np.float64) for p in longs]
-            # shifts: no partial of this part lies below its list's bound
-            shift = [p.min(1, keepdims=True) for p in partials]
-            share = (bound[:, None] - sum(shift)) / LISTS
-            seen = [p - s >= share - slack for p, s in zip(partials, shift)]
-            collected = np.logical_or.reduce(seen)
-            most = sum(np.where(s, p - low, share) for s, p, low in zip(seen, partials, shift))
-            collected &= most >= bound[:, None] - sum(shift) - slack * (LISTS + 1)
-            lists = []
-            for q in np.flatnonzero(collected.any(1)):
-                at = np.flatnonzero(collected[q] & (names != ids[q]))
-                exact = sum(p[q, at] for p in longs)
-                keep = exact >= cut[q]
-                at, exact = at[keep], exact[keep]
-                top = _best(exact, names[at], k)
-                lists.append([np.full(len(top), ids[q]), names[at[top]], exact[top]])
+            lists, _ = resolved(ids, matrix, cutoff.value, names, part, k, wide)
             if lists:
                 yield _out(schema, lists)
 

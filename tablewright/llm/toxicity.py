@@ -10,7 +10,7 @@ a hash (a documented bound); Spark hashes their words, the driver gets their buc
 
 Results: null and empty texts score as the bias says; without labels every score is 0;
 repeated rows repeat; other columns (a null ``doc_id`` too) are kept, one named ``score`` is
-replaced.
+replaced; an empty table gives an empty one; a very long text is a slice of its own.
 """
 
 from __future__ import annotations

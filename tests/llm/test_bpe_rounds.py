@@ -11,6 +11,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from tablewright.llm import bpe_rounds as B
 from tablewright.llm import queries as Q
+from tablewright.llm import text
+from tablewright.llm.text import WordCache
 
 
 @pytest.fixture(scope="module")
@@ -42,23 +44,25 @@ def noise(n):
 def test_ids_and_decoded_texts_equal_the_library(path, library):
     texts = EDGES + noise(3000)
     table = B.MergeTable(path)
-    counts, ids = B.WordStore(table).encode(pa.array(texts))
-    decoded = B.decode_lists(B._lists(counts, ids), table.strings()).to_pylist()
+    counts, ids = WordCache(table.encode_words, np.dtype(np.int32)).encode(pa.array(texts))
+    decoded = B.decode_lists(B._lists(counts, ids), table.strings).to_pylist()
     ends = np.cumsum(counts)
     for k, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
         assert ids[ends[k] - counts[k]:ends[k]].tolist() == e.ids, repr(texts[k])
         assert decoded[k] == library.decode(e.ids, skip_special_tokens=False)
 
 
-def test_cache_that_is_emptied_changes_nothing(path, monkeypatch):
-    texts = pa.array(noise(300))
+@pytest.mark.parametrize("limit", [2000, 100_000])
+def test_cache_that_is_cut_changes_nothing(path, library, monkeypatch, limit):
+    texts = pa.array(noise(300) + ["the same words in every slice"] * 40)
     table = B.MergeTable(path)
-    want = B.WordStore(table).encode(texts)
-    monkeypatch.setattr(B, "CACHE_BYTES", 2000)
-    small = B.WordStore(table)
-    parts = [small.encode(texts.slice(k, 20)) for k in range(0, len(texts), 20)]
-    assert np.array_equal(np.concatenate([c for c, _ in parts]), want[0])
-    assert np.array_equal(np.concatenate([i for _, i in parts]), want[1])
+    want = WordCache(table.encode_words, np.dtype(np.int32)).encode(texts)
+    monkeypatch.setattr(text, "CACHE_BYTES", limit)
+    for small in (WordCache(table.encode_words, np.dtype(np.int32)), text.WordIds(path)):
+        parts = [small.encode(texts.slice(k, 20)) for k in range(0, len(texts), 20)]
+        assert np.array_equal(np.concatenate([c for c, _ in parts]), want[0])
+        assert np.array_equal(np.concatenate([i for _, i in parts]), want[1])
+        assert small.size <= limit or limit == 2000      # a slice alone may pass a small limit
 
 
 def plain_merge(symbols, pairs):
@@ -101,8 +105,9 @@ def test_documents_nulls_clashing_columns_and_empty_table(spark, path, library):
     df = spark.createDataFrame([(1, None, "x", 1), (2, "", "x", 1), (None, "The cat", "x", 1), (2, "The cat", None, None),
                                 (3, "long " * 300000, None, None)], schema)
     got = B.decode_documents(B.encode_documents(df, path), path).collect()
-    assert len(got) == 5
-    for r in got:
+    once = B.round_trip(df, path).collect()
+    assert len(got) == len(once) == 5
+    for r in got + once:
         e = library.encode(r.text or "", add_special_tokens=False)
         assert r.ids == e.ids and r.decoded == library.decode(e.ids, skip_special_tokens=False)
     assert B.decode_documents(B.encode_documents(df.where("false"), path), path).collect() == []

@@ -127,3 +127,62 @@ def test_line_measures_see_only_their_line():
         assert np.allclose(whole[1][k], quality.line_measures(pa.array([line]))[1][0])
     repeats = whole[1][:, quality.MEASURES.index("repeats")]
     assert np.isclose(repeats[3], 2 / 6) and np.isclose(repeats[2], 0.5)
+
+
+def plain_features(text):
+    """Distinct buckets of words, neighbour pairs and skip pairs, in plain loops."""
+    import regex
+    import xxhash
+    words = [xxhash.xxh64_intdigest(w.encode()) for w in regex.sub(r"[^\p{L}\p{N}']+", " ", text.lower()).split(" ") if w]
+    keys = list(words)
+    for gap, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
+        keys += [(a * factor % 2 ** 64) ^ b for a, b in zip(words, words[gap:])]
+    return sorted({(key * 0xD6E8FEB86659FD93 % 2 ** 64) >> (64 - toxicity.BITS) for key in keys})
+
+
+def test_toxicity_features_and_fit_equal_plain_loops():
+    import math
+    import pyarrow as pa
+    texts = ["A b, c! a b", "", None, "d", "You're  so-so  it's\n42", "x y z x y z " * 50]
+    row, bucket = toxicity.features(pa.array(texts))
+    got = [sorted(set(bucket[row == k].tolist())) for k in range(len(texts))]
+    assert got == [plain_features(t or "") for t in texts]
+
+    draw = np.random.default_rng(4)
+    rows = [np.unique(draw.integers(0, 30, 6)) for _ in range(60)]
+    labels = [int(0 in r or 1 in r) for r in rows]
+    weights, bias = toxicity.ftrl(rows, labels, epochs=3, l1=0.3)
+    z, n, b, bn = {}, {}, 0.0, 0.0
+    for epoch in range(3):
+        for k in np.random.default_rng(1 + epoch).permutation(60):
+            w = {}
+            for i in rows[k]:
+                zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+                w[i] = 0.0 if abs(zi) <= 0.3 else -(zi - math.copysign(0.3, zi)) / (1 + math.sqrt(ni))
+            g = 1 / (1 + math.exp(-(b + sum(w.values())))) - labels[k]
+            for i in rows[k]:
+                ni = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(ni + g * g) - math.sqrt(ni)) * w[i]
+                n[i] = ni + g * g
+            bn += g * g
+            b -= g / (1 + math.sqrt(bn))
+    assert math.isclose(b, bias, rel_tol=1e-9)
+    for i in range(30):
+        zi = z.get(i, 0.0)
+        want = 0.0 if abs(zi) <= 0.3 else -(zi - math.copysign(0.3, zi)) / (1 + math.sqrt(n[i]))
+        assert math.isclose(weights[i], want, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_marks_without_a_letter_are_und(spark):
+    from tablewright.llm import langid
+    taught = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(
+        [("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)], "doc_id long, text string, lang string")
+    model = langid.learn(taught)
+    rows = spark.createDataFrame([(1, "\u0301 \u0301\u0300"), (2, "the dog \u0301"), (3, "1 2"), (4, "the cat " * 400000)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(rows, model).collect()}
+    assert got[1] == got[3] == ("und", 0.0) and got[2][0] == got[4][0] == "en"
+    assert langid.identify(rows.where("false"), model).collect() == []
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.learn(many)

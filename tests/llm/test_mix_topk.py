@@ -125,3 +125,19 @@ def test_top_k_of_components_beyond_exact_doubles(spark, block):
     assert sorted(map(tuple, got)) == want
     with pytest.raises(ValueError, match="long range"):
         topk.exact_top_k(df.unionByName(spark.createDataFrame([(999, [3e9] * 6)], df.schema)), F.col("vec_id") % 10 == 0)
+
+
+def test_top_k_resolves_fewer_partial_scores_than_all():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 32)) * 200
+    rows = np.floor(centres[rng.integers(0, 12, 3000)] + 10 * rng.normal(size=(3000, 32)))
+    queries, ids, names = rows[:40], np.arange(40), np.arange(3000)
+    exact = (queries @ rows.T).astype(np.int64)
+    exact[np.arange(40), np.arange(40)] = topk.NONE
+    cut = np.sort(exact, 1)[:, -5]
+    lists, done = topk.resolved(ids, queries, cut, names, rows, 5, False)
+    got = {(q, i, s) for a in lists for q, i, s in zip(*(x.tolist() for x in a))}
+    want = {(q, int(i), int(exact[q, i])) for q in range(40) for i in topk._best(exact[q], names, 5)}
+    assert got == want
+    # the first phase computes all partial scores once; both together stay well below twice that
+    assert done < 0.5 * topk.LISTS * exact.size
