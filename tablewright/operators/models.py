@@ -7,23 +7,29 @@ rules are column expressions over profile rows, so many tables are decided in on
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import logging
 import math
 import random
+import threading
 import time
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest,
+from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+from .boosting import GradientBoosting
+
 log = logging.getLogger(__name__)
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -79,19 +85,32 @@ DEEP_MODELS = ["LSTM", "GRU", "MLP", "BERT", "DistilBERT", "RoBERTa", "ResNet18"
                "MobileNet", "ARIMA", "Prophet"]
 NO_CHOICE = ["auto", "all", ""]
 
-# random-search bounds: family -> MLlib param -> (kind, low, high[, step])
+# random-search bounds: family -> parameter -> (kind, low, high[, step])
 SEARCH_SPACES = {
     "RandomForest": {"numTrees": ("int_step", 50, 500, 50), "maxDepth": ("int", 3, 30),
-                     "minInstancesPerNode": ("int", 1, 10),
+                     "minInstancesPerSplit": ("int", 2, 20), "minInstancesPerNode": ("int", 1, 10),
                      "featureSubsetStrategy": ("choice", ["sqrt", "log2", "all"])},
     "XGBoost": {"maxIter": ("int_step", 50, 500, 50), "stepSize": ("log", 1e-3, 0.3), "maxDepth": ("int", 3, 12),
-                "subsamplingRate": ("float", 0.5, 1.0)},
-    "LightGBM": {"maxIter": ("int_step", 50, 500, 50), "stepSize": ("log", 1e-3, 0.3), "maxDepth": ("int", 3, 15),
-                 "minInstancesPerNode": ("int", 5, 100), "subsamplingRate": ("float", 0.5, 1.0)},
-    "CatBoost": {"maxIter": ("int_step", 50, 500, 50), "stepSize": ("log", 1e-3, 0.3), "maxDepth": ("int", 3, 10)},
+                "subsamplingRate": ("float", 0.5, 1.0), "colsample": ("float", 0.5, 1.0),
+                "regAlpha": ("log", 1e-8, 10.0), "regLambda": ("log", 1e-8, 10.0)},
+    "LightGBM": {"maxIter": ("int_step", 50, 500, 50), "stepSize": ("log", 1e-3, 0.3), "numLeaves": ("int", 20, 300),
+                 "maxDepth": ("int", 3, 15), "minInstancesPerNode": ("int", 5, 100),
+                 "subsamplingRate": ("float", 0.5, 1.0), "colsample": ("float", 0.5, 1.0)},
+    "CatBoost": {"maxIter": ("int_step", 50, 500, 50), "stepSize": ("log", 1e-3, 0.3), "maxDepth": ("int", 3, 10),
+                 "regLambda": ("log", 1e-3, 10.0)},
     "LogisticRegression": {"C": ("log", 1e-4, 1e2)},
-    "Ridge": {"regParam": ("log", 1e-4, 1e3)},
+    "Ridge": {"alpha": ("log", 1e-4, 1e3)},
+}
+# defaults of the three boosting libraries that the reference leaves as they are
+BOOSTING_DEFAULTS = {
+    "XGBoost": {"stepSize": 0.3, "maxDepth": 6, "regLambda": 1.0, "minChildWeight": 1.0},
+    "LightGBM": {"stepSize": 0.1, "maxDepth": 15, "numLeaves": 31, "minInstancesPerNode": 20, "regLambda": 0.0},
+    "CatBoost": {"stepSize": 0.03, "maxDepth": 6, "regLambda": 3.0},
 }
+# levels of a forest's trees unless told otherwise: the reference has no limit and MLlib's is 30, but
+# a forest's nodes, up to 2 ** depth a tree, live in the driver
+FOREST_DEPTH = 12
+DEEP_FITS_AT_ONCE = 2   # of forests beyond that depth
 # estimators of the search by task (lrl1: logistic regression with an L1 penalty); the two families
 # without a tuning space of their own take the nearest one's
 AUTOML_FAMILIES = {
@@ -103,45 +122,51 @@ HIDDEN_LAYERS = (256, 128, 64)
 MLP_ITERATIONS = 100
 SVC_ITERATIONS = 100
 SEARCH_SECONDS = 120
+FIT_PARTITION_BYTES = 16 << 20
+LEAST_PARTITION_BYTES = 128 << 10
+FITS_AT_ONCE = 8
 FALLBACK_FAMILY = "LightGBM"
 # -------------------------------------------------------------------------------------------
 
-# Spark-native estimator used for each family name (boosting libraries -> MLlib GBT;
-# extra trees -> random forest with random feature subsets; SVM -> linear SVC).
+# Spark-native estimator used for each family name (boosting libraries -> histogram boosting with
+# each library's defaults; extra trees -> random forest with random feature subsets; SVM -> linear SVC).
 ESTIMATOR_FOR = {
     "RandomForest": "RandomForest", "ExtraTrees": "RandomForest(extra-trees-like)",
-    "XGBoost": "GBT", "LightGBM": "GBT", "CatBoost": "GBT", "LogisticRegression": "LogisticRegression",
-    "LRL1": "LogisticRegression(L1)", "SVM": "LinearSVC", "LinearRegression": "LinearRegression", "Ridge": "LinearRegression(ridge)",
-    "MLP": "MultilayerPerceptron",
+    "XGBoost": "GradientBoosting", "LightGBM": "GradientBoosting", "CatBoost": "GradientBoosting",
+    "LogisticRegression": "LogisticRegression", "LRL1": "LogisticRegression(L1)", "SVM": "LinearSVC",
+    "LinearRegression": "LinearRegression", "Ridge": "LinearRegression(ridge)", "MLP": "MultilayerPerceptron",
 }
 
 
 def make_estimator(name: str, task: str, features: str = "features", label: str = "label",
                    n_classes: int = 2, n_features: int | None = None, n_rows: int | None = None,
-                   trees: int = N_TREES, max_iter: int | None = None, hidden: tuple[int, ...] = HIDDEN_LAYERS):
+                   label_std: float | None = None, trees: int = N_TREES, max_iter: int | None = None,
+                   forest_depth: int = FOREST_DEPTH, hidden: tuple[int, ...] = HIDDEN_LAYERS):
     """MOD1-MOD7: estimator for a family name.
 
-    ``trees``: trees or boosting rounds (200); ``max_iter``: iterations of the linear and
-    neural families (their own defaults if None); ``hidden``: hidden layer sizes of the MLP.
-    The logistic regression's penalty is C = 1, which MLlib states as 1 / rows (``n_rows``).
+    ``trees``: trees or boosting rounds (200); ``forest_depth``: most levels of a forest's trees;
+    ``max_iter``: iterations of the linear and neural families (their own defaults if None);
+    ``hidden``: hidden layer sizes of the MLP.  MLlib divides a loss by the rows, so the penalty
+    C = 1 of the logistic regression and of the SVM is 1 / ``n_rows``; it also divides a
+    regression's penalty by the label's deviation, so alpha = 1 of the ridge is
+    ``label_std`` / ``n_rows``.  Forests of a regression see all features at a split.
     """
     kw = dict(featuresCol=features, labelCol=label)
     fam = ESTIMATOR_FOR.get(name, name)
+    if fam == "GradientBoosting" and task in ("classification", "regression"):
+        return GradientBoosting(task=task, maxIter=trees, seed=SEED, **BOOSTING_DEFAULTS.get(name, {}), **kw)
     if task == "classification":
         if fam.startswith("RandomForest"):
-            strat = "onethird" if "extra" in fam else "auto"
-            return RandomForestClassifier(numTrees=trees, seed=SEED, featureSubsetStrategy=strat,
-                                          maxBins=16 if "extra" in fam else 32, **kw)
-        if fam == "GBT":
-            gbt = GBTClassifier(maxIter=trees, seed=SEED, **kw)
-            return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **kw)
+            return RandomForestClassifier(numTrees=trees, seed=SEED, maxDepth=forest_depth, cacheNodeIds=True,
+                                          featureSubsetStrategy="sqrt", maxBins=16 if "extra" in fam else 32, **kw)
         if fam.startswith("LogisticRegression"):
             return LogisticRegression(maxIter=max_iter or MAX_ITER_LR, regParam=1.0 / n_rows if n_rows else 0.0,
                                       standardization=False, elasticNetParam=1.0 if "L1" in fam else 0.0,
                                       family="multinomial", **kw)
         if fam == "LinearSVC":
-            svc = LinearSVC(maxIter=max_iter or SVC_ITERATIONS, **kw)
-            return svc if n_classes <= 2 else OneVsRest(classifier=svc, **kw)
+            svc = LinearSVC(maxIter=max_iter or SVC_ITERATIONS, regParam=1.0 / n_rows if n_rows else 0.0,
+                            standardization=False, **kw)
+            return svc if n_classes <= 2 else OneVsRest(classifier=svc, parallelism=n_classes, **kw)
         if fam == "MultilayerPerceptron":
             if n_features is None:
                 raise ValueError("MLP needs n_features")
@@ -149,17 +174,21 @@ def make_estimator(name: str, task: str, features: str = "features", label: str
                                                   maxIter=max_iter or MLP_ITERATIONS, **kw)
     if task == "regression":
         if fam.startswith("RandomForest"):
-            return RandomForestRegressor(numTrees=trees, seed=SEED,
-                                         featureSubsetStrategy="onethird" if "extra" in fam else "auto", **kw)
-        if fam == "GBT":
-            return GBTRegressor(maxIter=trees, seed=SEED, **kw)
+            return RandomForestRegressor(numTrees=trees, seed=SEED, maxDepth=forest_depth, cacheNodeIds=True,
+                                         featureSubsetStrategy="all", maxBins=16 if "extra" in fam else 32, **kw)
         if fam == "LinearRegression":
             return LinearRegression(solver="normal", regParam=0.0, **kw)
         if fam == "LinearRegression(ridge)":
-            return LinearRegression(solver="normal", regParam=1.0, elasticNetParam=0.0, **kw)
+            return LinearRegression(solver="normal", regParam=ridge_penalty(1.0, n_rows, label_std), elasticNetParam=0.0,
+                                    standardization=False, **kw)
     raise ValueError(f"model {name!r} not available for task {task!r}")
 
 
+def ridge_penalty(alpha: float, n_rows: int | None, label_std: float | None) -> float:
+    """MLlib's regParam for the penalty alpha * |w|^2 on the sum of squared errors."""
+    return alpha * label_std / n_rows if n_rows and label_std else 0.0
+
+
 def available_models(task: str) -> list[str]:
     if task == "classification":
         return ["RandomForest", "XGBoost", "LightGBM", "CatBoost", "LogisticRegression", "ExtraTrees", "SVM"]
@@ -315,31 +344,55 @@ def labelled(prepared: DataFrame) -> DataFrame:
 
 def _sizes(prepared: DataFrame, task: str) -> dict:
     """Arguments of ``make_estimator`` that depend on the training frame."""
-    row = prepared.agg(F.max("label"), F.count("*")).first()
+    row = prepared.agg(F.max("label"), F.count("*"), F.stddev_pop("label")).first()
     first = prepared.select("features").first()
     return {"n_classes": int(row[0] or 0) + 1 if task == "classification" else 0, "n_rows": row[1],
-            "n_features": len(first["features"]) if first else 0}
+            "n_features": len(first["features"]) if first else 0, "label_std": row[2]}
+
+
+def packed_frame(prepared: DataFrame, sizes: dict, fits: int) -> DataFrame:
+    """The frame that many fits read: checkpointed once, in as many partitions as its bytes ask
+    for or as ``fits`` fits at a time need to use all task slots - a fit is hundreds of short
+    jobs, and an empty task costs as much as a full one."""
+    checkpoint_dir(prepared.sparkSession)
+    slots = -(-2 * prepared.sparkSession.sparkContext.defaultParallelism // max(1, fits))
+    size = sizes["n_rows"] * sizes["n_features"] * 8
+    parts = max(1, size // FIT_PARTITION_BYTES, min(slots, size // LEAST_PARTITION_BYTES))
+    return prepared.repartition(parts).checkpoint()
 
 
 # ---- MOD9: train every candidate ------------------------------------------------------------
 
-def train_all(train: DataFrame, prep_stages: list, names: list[str], task: str, label_st, **settings) -> dict:
-    """Fit one pipeline per candidate on the (cached) training frame; a family that fails is
-    logged and skipped.  ``settings`` go to ``make_estimator``.  Returns name -> fitted
-    PipelineModel."""
+def train_all(train: DataFrame, prep_stages: list, names: list[str], task: str, label_st,
+              at_once: int = FITS_AT_ONCE, errors: dict | None = None, **settings) -> dict:
+    """Fit one pipeline per candidate on the frame prepared once, several at a time.  A family
+    that fails does not stop the others; its message goes to ``errors``.  ``settings`` go to
+    ``make_estimator``.  Returns name -> fitted PipelineModel, in the order of ``names``."""
     prep = Pipeline(stages=[label_st] + prep_stages).fit(train)
-    prepared = labelled(prep.transform(train)).select("features", "label").cache()
+    prepared = labelled(prep.transform(train)).select("features", "label")
     sizes = _sizes(prepared, task)
+    ready = packed_frame(prepared, sizes, min(at_once, len(names)))
+
+    def fit(name):
+        return PipelineModel(stages=[prep, make_estimator(name, task, **sizes, **settings).fit(ready)])
+
     fitted = {}
-    for name in names:
-        try:
-            fitted[name] = PipelineModel(stages=[prep, make_estimator(name, task, **sizes, **settings).fit(prepared)])
-        except Exception as e:  # noqa: BLE001 - one family failing must not stop the rest
-            log.warning("training %s failed: %s", name, e)
-    prepared.unpersist()
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        running = {name: pool.submit(inheritable_thread_target(train.sparkSession)(fit), name) for name in names}
+        for name, future in running.items():
+            try:
+                fitted[name] = future.result()
+            except Exception as e:  # noqa: BLE001 - one family failing must not stop the rest
+                log.warning("training %s failed: %s", name, e)
+                if errors is not None:
+                    errors[name] = _message(e)
     return fitted
 
 
+def _message(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300]
+
+
 # ---- MOD12 / MOD13: search ----------------------------------------------------------------
 
 def evaluator(task: str):
@@ -361,10 +414,19 @@ def sample_params(space: dict, n: int, seed: int = SEED) -> list[dict]:
     return [{name: kinds[kind](*bounds) for name, (kind, *bounds) in space.items()} for _ in range(n)]
 
 
-def with_params(estimator, params: dict, n_rows: int):
+def with_params(estimator, params: dict, n_rows: int, label_std: float | None = None):
     """A copy of the estimator with the drawn parameters, set on the inner classifier of a
-    one-vs-rest estimator; ``C`` is 1 / (rows * regParam)."""
-    values = {"regParam" if p == "C" else p: 1.0 / (v * n_rows) if p == "C" else v for p, v in params.items()}
+    one-vs-rest estimator; ``C`` is 1 / (rows * regParam), ``alpha`` the ridge's penalty, and a
+    node of ``minInstancesPerSplit`` rows is split if each half keeps half of them or
+    ``minInstancesPerNode``, whichever is more (MLlib bounds children only)."""
+    values = dict(params)
+    if "C" in values:
+        values["regParam"] = 1.0 / (values.pop("C") * n_rows)
+    if "alpha" in values:
+        values["regParam"] = ridge_penalty(values.pop("alpha"), n_rows, label_std)
+    if "minInstancesPerSplit" in values:
+        least = values.pop("minInstancesPerSplit") // 2
+        values["minInstancesPerNode"] = max(values.get("minInstancesPerNode", 1), least)
     inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
     unknown = [p for p in values if not inner.hasParam(p)]
     if unknown:
@@ -375,52 +437,137 @@ def with_params(estimator, params: dict, n_rows: int):
     return changed
 
 
+def draw_cost(params: dict) -> float:
+    """How long a draw's fit takes compared with others of its family: trees times levels."""
+    return params.get("numTrees", params.get("maxIter", 1)) * params.get("maxDepth", 1)
+
+
+class _Trials:
+    """The fits of a search: draws of each family, each over all folds, run by a bounded pool."""
+
+    def __init__(self, frame: DataFrame, task: str, sizes: dict, folds: int, fits: int, settings: dict):
+        self.spark, self.task, self.sizes, self.settings = frame.sparkSession, task, sizes, settings
+        self.measure = evaluator(task)
+        checkpoint_dir(self.spark)
+        place = F.pmod(F.xxhash64("features", "label", F.lit(SEED)), F.lit(folds))
+        # drawn once: every fit reads the same folds
+        whole = packed_frame(frame.select("features", "label").withColumn("fold", place), sizes, fits)
+        self.folds = [(whole.where(F.col("fold") != k), whole.where(F.col("fold") == k)) for k in range(folds)]
+        self.names = itertools.count()
+        self.groups: set[str] = set()
+        self.lock, self.over = threading.Lock(), False
+        self.deep = threading.Semaphore(DEEP_FITS_AT_ONCE)
+
+    def metric(self, name: str, params: dict, fold: int, may_stop: bool) -> float:
+        """Fit a draw without one fold and measure it there, as one job group; fits that
+        ``may_stop`` are cancelled with the budget."""
+        context, group = self.spark.sparkContext, f"search-{id(self)}-{next(self.names)}"
+        with self.lock:
+            if may_stop and self.over:
+                raise TimeoutError("budget reached")
+            if may_stop:
+                self.groups.add(group)
+        context.setJobGroup(group, f"{name} {params} without fold {fold}", interruptOnCancel=True)
+        try:
+            train, test = self.folds[fold]
+            estimator = with_params(make_estimator(name, self.task, **self.sizes, **self.settings), params,
+                                    self.sizes["n_rows"], self.sizes["label_std"])
+            deep = "numTrees" in params and params.get("maxDepth", 0) > FOREST_DEPTH
+            with self.deep if deep else contextlib.nullcontext():
+                return float(self.measure.evaluate(estimator.fit(train).transform(test)))
+        finally:
+            with self.lock:
+                self.groups.discard(group)
+
+    def stop(self) -> None:
+        """End the running fits that may be stopped, and start no more of them."""
+        with self.lock:
+            self.over, running = True, list(self.groups)
+        for group in running:
+            self.spark.sparkContext.cancelJobGroup(group)
+
+
 def search(train: DataFrame, test: DataFrame, task: str, names: list[str], trials: int = TUNE_TRIALS,
-           folds: int = CV_FOLDS, seconds: float | None = SEARCH_SECONDS, parallelism: int = 3,
+           folds: int = CV_FOLDS, seconds: float | None = SEARCH_SECONDS, parallelism: int = FITS_AT_ONCE,
            spaces: dict = SEARCH_SPACES, **settings) -> tuple[DataFrame, object]:
     """MOD12/MOD13 over prepared (features, label) frames: up to ``trials`` seeded draws per
-    family, each cross-validated; families take turns until ``seconds`` have passed (the search's
-    budget; None, as for tuning: no limit; every family gets one trial whatever the time).  The best draw of each family is
-    refitted on the whole training frame and measured on ``test``.
-
-    Returns (leaderboard of model, trials, cv_metric, test_metric, params, is_best; best
-    fitted model by cross-validation).  If every family fails, the fallback family is fitted
-    with its defaults and has no cv_metric.
+    family, cross-validated over folds that are drawn once; ``parallelism`` fits run at a time.
+
+    ``seconds`` is the search's budget.  Draws then go from the cheapest to the dearest, families
+    take turns, and when the time is up the running fits are cancelled; only the first draw of
+    each family always ends, so that none is left out, and the best draw of all is refitted.  How
+    many draws end depends on the machine: ``budget_reached`` and ``trials`` say it.  With None,
+    as for tuning, all draws run and the best of every family is refitted.
+
+    Returns (leaderboard of model, trials, failed, budget_reached, cv_metric, test_metric, params,
+    is_best, error; best fitted model by cross-validation).  A family all of whose draws fail is
+    a row with its error.  If every family fails, the fallback family is fitted with its defaults
+    and has no cv_metric.
     """
-    began, measure = time.monotonic(), evaluator(task)
+    began = time.monotonic()
     sizes = _sizes(train, task)
-    state = {name: {"draws": sample_params(spaces.get(name, {}), trials if name in spaces else 1),
-                    "tried": 0, "best": None} for name in names}
-    for turn in range(trials):
-        for name, of in state.items():
+    run = _Trials(train, task, sizes, folds, 2 * parallelism, settings)
+    draws = {name: sample_params(spaces.get(name, {}), trials if name in spaces else 1) for name in names}
+    if seconds is not None:
+        draws = {name: sorted(of, key=draw_cost) for name, of in draws.items()}
+    waiting = [(turn, name, fold) for turn in range(trials) for name in names if turn < len(draws[name]) for fold in range(folds)]
+    got: dict[tuple[str, int], list[float]] = {}
+    failed: dict[tuple[str, int], str] = {}
+    cut = False
+    def threaded(fn):
+        # for each call anew: the threads of one wrapper would share one set of local properties
+        return inheritable_thread_target(run.spark)(fn)
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        running: dict = {}
+        while waiting or running:
             late = seconds is not None and time.monotonic() - began > seconds
-            if turn >= len(of["draws"]) or (turn and late):
-                continue
-            try:
-                estimator = with_params(make_estimator(name, task, **sizes, **settings), of["draws"][turn], sizes["n_rows"])
-                cv = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=measure, numFolds=folds,
-                                    seed=SEED, parallelism=parallelism)
-                metric = cv.fit(train).avgMetrics[0]
-            except Exception as e:  # noqa: BLE001 - one family failing must not stop the rest
-                log.warning("trial %d of %s failed: %s", turn, name, e)
-                continue
-            of["tried"] += 1
-            if of["best"] is None or metric > of["best"][0]:
-                of["best"] = (metric, of["draws"][turn], estimator)
-    rows, models = [], {}
-    for name, of in state.items():
-        if of["best"]:
-            metric, params, estimator = of["best"]
-            models[name] = estimator.fit(train)
-            rows.append([name, of["tried"], float(metric), float(measure.evaluate(models[name].transform(test))), str(params)])
-    if not rows:
-        models[FALLBACK_FAMILY] = make_estimator(FALLBACK_FAMILY, task, **sizes, **settings).fit(train)
-        rows.append([FALLBACK_FAMILY, 0, None, float(measure.evaluate(models[FALLBACK_FAMILY].transform(test))), "{}"])
-    best = max(rows, key=lambda r: r[2] if r[2] is not None else float("-inf"))[0]
+            if late and not run.over:
+                run.stop()
+                cut = any(turn for turn, *_ in [*waiting, *running.values()])
+                waiting = [w for w in waiting if not w[0]]
+            while waiting and len(running) < parallelism:
+                turn, name, fold = waiting.pop(0)
+                if (name, turn) not in failed:
+                    running[pool.submit(threaded(run.metric), name, draws[name][turn], fold, turn > 0)] = (turn, name, fold)
+            left = None if seconds is None or run.over else max(0.05, seconds - (time.monotonic() - began))
+            done, _ = wait(running, timeout=left, return_when=FIRST_COMPLETED)
+            for future in done:
+                turn, name, fold = running.pop(future)
+                try:
+                    got.setdefault((name, turn), []).append(future.result())
+                except Exception as e:  # noqa: BLE001 - one family failing must not stop the rest
+                    if not (run.over and turn):
+                        log.warning("trial %d of %s failed: %s", turn, name, e)
+                        failed[name, turn] = _message(e)
+    # a draw counts when all its folds are measured; ties go to the draw first tried
+    score = {key: sum(m) / folds for key, m in got.items() if len(m) == folds}
+    best = {name: max(((m, -turn) for (n, turn), m in score.items() if n == name), default=None) for name in names}
+    found = [name for name in names if best[name]]
+    winner = max(found, key=lambda name: best[name][0]) if found else FALLBACK_FAMILY
+
+    def refit(name):
+        estimator = make_estimator(name, task, **sizes, **settings)
+        if best.get(name):
+            estimator = with_params(estimator, draws[name][-best[name][1]], sizes["n_rows"], sizes["label_std"])
+        model = estimator.fit(train)
+        return model, float(run.measure.evaluate(model.transform(test)))
+
+    refitted = (found or [winner]) if seconds is None else [winner]
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        fits = {name: pool.submit(threaded(refit), name) for name in refitted}
+        models = {name: future.result() for name, future in fits.items()}
+    rows = []
+    for name in [*names, *([] if found else [winner])]:
+        of = best.get(name)
+        errors = [m for (n, _), m in sorted(failed.items()) if n == name]
+        rows.append((name, sum(n == name for n, _ in score), len(errors), cut, of[0] if of else None,
+                     models[name][1] if name in models else None, str(draws[name][-of[1]]) if of else "{}",
+                     name == winner, errors[0] if errors else None))
     board = train.sparkSession.createDataFrame(
-        [(*r, r[0] == best) for r in rows],
-        "model string, trials int, cv_metric double, test_metric double, params string, is_best boolean")
-    return board, models[best]
+        rows, "model string, trials int, failed int, budget_reached boolean, cv_metric double, test_metric double, "
+              "params string, is_best boolean, error string")
+    return board, models[winner][0]
 
 
 # ---- MOD14: batch scoring -------------------------------------------------------------------

@@ -258,15 +258,28 @@ def model_linear_regression(spark, d):
                                  F.round(F.lit(float(m.intercept)), 4).alias("intercept"))
 
 
-def _leaderboard(fitted, test, task):
-    """Metrics of each fitted model on the test rows, ranked."""
+def _train_board(spark, d, names, target="o_orderstatus", task="classification"):
+    """Metrics of each family's model on the test rows, ranked; a family that failed is a row
+    with its error."""
+    from pyspark.ml import PipelineModel
+    train, test, stages, lab = _prepared_orders(spark, d, target, task)
+    errors = {}
+    fitted = M.train_all(train, stages, names, task, lab, errors=errors)
     measure, by = (EV.classification_metrics, "f1_score") if task == "classification" else (EV.regression_metrics, "r2")
+    # the preparation is the same for all: the test rows pass it once
+    held = None
     res = None
     for i, (name, model) in enumerate(fitted.items()):
-        pred = M.labelled(model.transform(test))
-        m = measure(pred, "label", "prediction").select(F.lit(name).alias("model"), F.lit(i).alias("model_order"), "*")
+        if held is None:
+            held = M.labelled(model.stages[0].transform(test)).select("features", "label").checkpoint()
+        m = measure(PipelineModel(stages=model.stages[1:]).transform(held), "label", "prediction").select(
+            F.lit(name).alias("model"), F.lit(i).alias("model_order"), "*")
         res = m if res is None else res.unionByName(m)
-    return EV.leaderboard(res, by)
+    if res is None:
+        raise ValueError(f"no family could be trained: {errors}")
+    board = EV.leaderboard(res, by).withColumn("error", F.lit(None).cast("string"))
+    lost = spark.createDataFrame(list(errors.items()), "model string, error string")
+    return board.unionByName(lost, allowMissingColumns=True)
 
 
 @query("model_gbt_regression")
@@ -280,17 +293,14 @@ def model_gbt_regression(spark, d):
 @query("model_train_all")
 def model_train_all(spark, d):
     """Every distinct classification estimator (the three boosting names share one), ranked."""
-    train, test, stages, lab = _prepared_orders(spark, d)
-    names = ["RandomForest", "XGBoost", "LogisticRegression", "ExtraTrees", "SVM", "MLP"]
-    return _leaderboard(M.train_all(train, stages, names, "classification", lab), test, "classification")
+    return _train_board(spark, d, ["RandomForest", "XGBoost", "LogisticRegression", "ExtraTrees", "SVM", "MLP"])
 
 
 @query("model_train_all_regression")
 def model_train_all_regression(spark, d):
     """Every distinct regression estimator (the three boosting names share one), ranked."""
-    train, test, stages, lab = _prepared_orders(spark, d, "o_totalprice", "regression")
     names = ["RandomForest", "XGBoost", "LinearRegression", "Ridge", "ExtraTrees"]
-    return _leaderboard(M.train_all(train, stages, names, "regression", lab), test, "regression")
+    return _train_board(spark, d, names, "o_totalprice", "regression")
 
 
 _STRAT_TABLES = [("orders", "o_orderstatus"), ("lineitem", "l_extendedprice"), ("documents", "lang"),

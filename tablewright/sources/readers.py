@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import NUMERIC_PATTERN, strip_ws
+from . import csv_records
 
 # ---- fixed values -------------------------------------------------------------------------
 CSV_SEPARATORS = [",", "\t", ";", "|"]          # tried in this order
@@ -101,21 +102,19 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
              multi_line: bool | None = None) -> DataFrame:
     """SRC2/SRC3: CSV with the given or sniffed separator and inferred column types.
 
-    ``multi_line``: whether quoted fields may hold line breaks.  Such a file cannot be split
-    between tasks; None decides by the first bytes and, where they show no break, by all lines."""
+    ``multi_line``: whether quoted fields may hold line breaks.  None decides by the lines of all
+    files, in one pass: a dataset with such breaks is read record by record, split by split
+    (``csv_records``).  True leaves that to Spark's reader, one task a file, as is needed for files
+    that end lines with CR alone."""
     found, breaks = sniff_csv(head_text(spark, path))
-    if multi_line is None:
-        multi_line = breaks or _open_quotes(spark, path)
+    sep = sep or found
+    if multi_line is None and len(sep) == 1:
+        inside, open_ = csv_records.inside_splits(csv_records.lines_of(spark, path), sep)
+        if open_:
+            return csv_records.read_records(spark, path, sep, header, inside)
     return (spark.read.option("recursiveFileLookup", "true")
-            .csv(path, sep=sep or found, header=header, inferSchema=True, mode="PERMISSIVE", quote='"', escape='"',
-                 multiLine=multi_line))
-
-
-def _open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether a line of any file holds an odd number of quotes, as one does whose quoted field
-    goes on in the next."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not _text(spark, path).where(quotes % 2 == 1).isEmpty()
+            .csv(path, sep=sep, header=header, inferSchema=True, mode="PERMISSIVE", quote='"', escape='"',
+                 multiLine=bool(multi_line)))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -48,23 +50,57 @@ def test_new_rows_may_lack_and_add_columns(frame, prepared):
     assert out.count() == frame.count() and "more" in out.columns
 
 
-def test_boosting_trials_reach_the_inner_classifier(prepared):
+def test_boosting_trials_reach_the_estimator(prepared):
     _, ready = prepared
     base = M.make_estimator("XGBoost", "classification", n_classes=3, trees=2)
     depths = []
     for depth in (1, 4):
-        model = M.with_params(base, {"maxDepth": depth, "stepSize": 0.2}, 100).fit(ready)
-        depths.append([max(t.depth for t in m.trees) for m in model.models])
-    assert all(d <= 1 for d in depths[0]) and max(depths[1]) > 1
+        model = M.with_params(base, {"maxDepth": depth, "stepSize": 0.2, "regAlpha": 0.0, "colsample": 1.0}, 100).fit(ready)
+        depths.append(max(len(t.feature) for round_ in model.trees() for t in round_))
+        assert len(model.trees()) == 2 and all(len(round_) == 3 for round_ in model.trees())
+    assert depths[0] == 3 and depths[1] > 3
     with pytest.raises(ValueError):
         M.with_params(base, {"numTrees": 3}, 100)
 
 
+def test_spaces_and_defaults_fit_the_estimators():
+    sizes = dict(n_classes=3, n_features=4, n_rows=100, label_std=2.0)
+    for name, space in M.SEARCH_SPACES.items():
+        task = "regression" if name == "Ridge" else "classification"
+        for draw in M.sample_params(space, 5):
+            M.with_params(M.make_estimator(name, task, **sizes), draw, 100, 2.0)
+    boosted = {n: M.make_estimator(n, "regression", **sizes).settings() for n in ("XGBoost", "LightGBM", "CatBoost")}
+    assert len({(p["stepSize"], p["numLeaves"], p["regLambda"]) for p in boosted.values()}) == 3
+    forest = M.make_estimator("RandomForest", "regression", **sizes)
+    assert (forest.getFeatureSubsetStrategy(), forest.getMaxDepth()) == ("all", M.FOREST_DEPTH)
+    assert M.make_estimator("ExtraTrees", "regression", forest_depth=30, **sizes).getMaxDepth() == 30
+    assert M.make_estimator("SVM", "classification", n_classes=2, n_rows=50).getRegParam() == 0.02
+
+
+def test_forest_grows_below_depth_five_and_ridge_equals_the_closed_form(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1000, 3)) * [1.0, 2.0, 3.0]
+    y = x @ [30.0, -20.0, 10.0] + rng.normal(size=1000) * 5 + 100
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(
+        spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, label double"))
+    for alpha in (1.0, 50.0):
+        sizes = M._sizes(df, "regression")
+        ridge = M.with_params(M.make_estimator("Ridge", "regression", **sizes), {"alpha": alpha}, 1000, sizes["label_std"])
+        centred = x - x.mean(0)
+        want = np.linalg.solve(centred.T @ centred + alpha * np.eye(3), centred.T @ (y - y.mean()))
+        assert np.allclose(ridge.fit(df).coefficients, want, rtol=1e-5)
+    forest = M.make_estimator("RandomForest", "regression", trees=3, **sizes).fit(df)
+    assert max(t.depth for t in forest.trees) > 5
+
+
 def test_search_refits_and_measures_the_best(prepared):
     _, ready = prepared
     board, model = M.search(ready, ready, "classification", ["LogisticRegression", "Unknown"], trials=3, folds=2, seconds=None)
     rows = board.collect()
-    assert [(r["model"], r["trials"], r["is_best"]) for r in rows] == [("LogisticRegression", 3, True)]
+    assert [(r["model"], r["trials"], r["failed"], r["is_best"]) for r in rows] == [
+        ("LogisticRegression", 3, 0, True), ("Unknown", 0, 1, False)]
+    assert "Unknown" in rows[1]["error"] and rows[1]["cv_metric"] is None and not rows[0]["budget_reached"]
     assert 0 <= rows[0]["test_metric"] <= 1
     assert model.transform(ready).select("prediction").count() == ready.count()
 
@@ -73,7 +109,8 @@ def test_search_falls_back(prepared, monkeypatch):
     _, ready = prepared
     monkeypatch.setattr(M, "FALLBACK_FAMILY", "RandomForest")
     board, model = M.search(ready, ready, "classification", ["Unknown"], trials=1, folds=2, trees=3)
-    row = board.first()
+    lost, row = board.collect()
+    assert lost["model"] == "Unknown" and lost["error"] and not lost["is_best"]
     assert (row["model"], row["trials"], row["cv_metric"], row["is_best"]) == ("RandomForest", 0, None, True)
 
 
@@ -82,6 +119,43 @@ def test_perceptron_and_search_time_limit(prepared):
     board, _ = M.search(ready, ready, "classification", ["MLP", "LogisticRegression"], trials=5, folds=2, seconds=0,
                         hidden=(4,), max_iter=5)
     assert {r["model"]: r["trials"] for r in board.collect()} == {"MLP": 1, "LogisticRegression": 1}
+    assert all(r["budget_reached"] for r in board.collect())
+
+
+def test_search_ends_running_fits_with_its_budget(prepared, monkeypatch):
+    import time
+
+    from pyspark.sql.functions import udf
+    _, ready = prepared
+
+    class Slow(LogisticRegression):
+        """One job that would take minutes, but for the first draw."""
+
+        def _fit(self, dataset):
+            if self.getRegParam() > 0:
+                dataset.select(udf(lambda _: time.sleep(2))("label")).collect()
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(M, "make_estimator", lambda *a, **k: Slow(maxIter=2))
+    spaces = {"Slow": {"regParam": ("choice", [0.5]), "maxIter": ("choice", [3])}}
+    draws = M.sample_params(spaces["Slow"], 4)
+    draws[0]["regParam"] = 0.0
+    monkeypatch.setattr(M, "sample_params", lambda *a, **k: draws)
+    began = time.monotonic()
+    board, _ = M.search(ready, ready, "classification", ["Slow"], trials=4, folds=2, seconds=15, spaces=spaces)
+    row = board.first()
+    assert time.monotonic() - began < 60
+    assert (row["trials"], row["failed"], row["budget_reached"], row["is_best"]) == (1, 0, True, True)
+
+
+def test_search_folds_equal_plain_cross_validation(prepared):
+    _, ready = prepared
+    board, _ = M.search(ready, ready, "classification", ["LogisticRegression"], trials=1, folds=3, seconds=None, spaces={})
+    sizes = M._sizes(ready, "classification")
+    fold = F.pmod(F.xxhash64("features", "label", F.lit(M.SEED)), F.lit(3))
+    est, measure = M.make_estimator("LogisticRegression", "classification", **sizes), M.evaluator("classification")
+    got = [measure.evaluate(est.fit(ready.where(fold != k)).transform(ready.where(fold == k))) for k in range(3)]
+    assert abs(board.first()["cv_metric"] - sum(got) / 3) < 1e-6
 
 
 def test_numeric_validation(frame):
@@ -179,10 +253,10 @@ def test_all_classifiers_and_multiclass_boosting_are_registered(spark, monkeypat
     monkeypatch.setattr(M, "make_estimator", small)
     board = entry.queries()["model_train_all"](spark, SF_SMALL).collect()
     assert {r["model"] for r in board} == {"RandomForest", "XGBoost", "LogisticRegression", "ExtraTrees", "SVM", "MLP"}
-    assert ("XGBoost", "classification", "OneVsRest") in kinds and all(0 <= r["f1_score"] <= 1 for r in board)
+    assert ("XGBoost", "classification", "GradientBoosting") in kinds and all(0 <= r["f1_score"] <= 1 for r in board)
     boosted = entry.queries()["model_gbt"](spark, SF_SMALL)
     assert {"o_orderstatus", "prediction"} <= set(boosted.columns)
-    assert kinds[-1] == ("XGBoost", "classification", "OneVsRest")
+    assert kinds[-1] == ("XGBoost", "classification", "GradientBoosting")
     kinds.clear()
     assert "r2" in entry.queries()["model_train_all_regression"](spark, SF_SMALL).columns
     assert "model_gbt_regression" in entry.queries()
