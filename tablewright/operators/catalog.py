@@ -157,8 +157,8 @@ def source_label(url: Column, title: Column) -> Column:
 def rank_diverse(scored: DataFrame, top_n: int = 5, per_owner: int = 2,
                  group_cols: list[str] | None = None) -> DataFrame:
     """Top ``top_n`` results per group by score (ties by ``pos``), at most ``per_owner`` per
-    repository owner, refilled from the remaining results when too few; junk removed unless
-    everything is junk.  Adds owner, source and rank.
+    repository owner, refilled from the remaining results when too few; junk removed from every
+    group that holds anything else.  Adds owner, source and rank.
     """
     groups = group_cols or []
     url = F.lower(F.coalesce("url", F.lit("")))
@@ -172,8 +172,15 @@ def rank_diverse(scored: DataFrame, top_n: int = 5, per_owner: int = 2,
                F.least("score", F.lit(KNOWN_CAP))).otherwise(F.col("score")).alias("score"),
         repo_owner(F.col("url")).alias("owner"), _any(url, RANKER_JUNK_SIGNALS).alias("_junk")
     ).checkpoint(eager=True)
-    clean = prepared.where(~F.col("_junk"))
-    pool = (prepared if clean.isEmpty() else clean).drop("_junk")
+    pool = prepared.where(~F.col("_junk"))
+    if groups:
+        # the junk of the groups that have no clean result; one row per group with one
+        with_clean = pool.groupBy(*[F.col(g).alias(f"_{i}") for i, g in enumerate(groups)]).agg(F.lit(True).alias("_clean"))
+        same = [F.col(g).eqNullSafe(F.col(f"_{i}")) for i, g in enumerate(groups)]
+        pool = pool.unionByName(prepared.where("_junk").join(with_clean, same, "left_anti"))
+    elif pool.isEmpty():
+        pool = prepared
+    pool = pool.drop("_junk")
     order = [F.col("score").desc(), F.col("pos")]
     # an owner's results beyond its own places and all places of the group cannot appear, so
     # both windows filter on a row number that Spark also applies before the shuffle

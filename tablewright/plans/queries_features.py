@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import sql_parse_datetime, sql_strip_label
 from ..functions.text import sql_tokens
 from ..operators import features as FE
+from ..operators import leakage as LK
 from ..operators import select as SEL
 from ..operators import split as SP
+from ..operators import target_stats as TS
 from ..operators import tfidf as TF
 from .derived import DIRTY_ORDERS_SQL, dirty_orders, table
 from .registry import query
@@ -236,3 +238,52 @@ def feat_sequence_windows(spark, d):
     return seq.select("user_id", "position", F.size("seq").alias("n"),
                       F.element_at(vals, 1).alias("first_value"), F.element_at(vals, -1).alias("last_value"),
                       F.round(F.aggregate(vals, F.lit(0.0), lambda a, b: a + b), 6).alias("sum_value"), "target")
+
+
+# ---- leakage (§2.4) and ordered target statistics (MOD3) -----------------------------------
+
+_SIDES_SQL = "(SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_orderkey % 5 = 0 AS test FROM lineitem)"
+_FEATURES = ["l_partkey", "l_quantity", "l_returnflag"]
+
+
+def _sides(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_FEATURES)
+    return rows.where("l_orderkey % 5 <> 0"), rows.where("l_orderkey % 5 = 0")
+
+
+@query("feat_split_leakage", f"""
+SELECT l_orderkey, l_linenumber, EXISTS (
+    SELECT 1 FROM {_SIDES_SQL} t WHERE NOT t.test AND t.l_quantity IS NOT DISTINCT FROM s.l_quantity
+    AND t.l_returnflag IS NOT DISTINCT FROM s.l_returnflag AND t.l_partkey IS NOT DISTINCT FROM s.l_partkey) AS in_train
+FROM {_SIDES_SQL} s WHERE test""")
+def feat_split_leakage(spark, d):
+    """Test rows whose features a training row has too."""
+    train, test = _sides(spark, d)
+    return LK.leaked_rows(train, test, _FEATURES).select("l_orderkey", "l_linenumber", "in_train")
+
+
+@query("feat_unseen_categories", """
+WITH v AS (SELECT o_orderkey % 5 = 0 AS test, unnest(['o_custkey', 'o_orderpriority']) AS column_name,
+                  unnest([CAST(o_custkey AS VARCHAR), CAST(o_orderpriority AS VARCHAR)]) AS value FROM orders)
+SELECT column_name, value, count(*) AS n FROM v t WHERE test AND value IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM v s WHERE NOT s.test AND s.column_name = t.column_name AND s.value = t.value)
+GROUP BY column_name, value""")
+def feat_unseen_categories(spark, d):
+    """Categories of the test rows that training has not seen."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return LK.unseen_categories(orders.where("o_orderkey % 5 <> 0"), orders.where("o_orderkey % 5 = 0"),
+                                ["o_custkey", "o_orderpriority"])
+
+
+@query("feat_ordered_target_stats", """
+SELECT l_orderkey, l_linenumber,
+       (coalesce(sum(CAST(l_quantity AS DOUBLE)) OVER w, 0) + CAST(25.0 AS DOUBLE)) / (count(l_quantity) OVER w + CAST(1.0 AS DOUBLE)) AS target_stat
+FROM lineitem WINDOW w AS (
+    PARTITION BY l_returnflag
+    ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), '42')), CAST(l_quantity AS DOUBLE)
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def feat_ordered_target_stats(spark, d):
+    """The return flag as the mean quantity of the rows before each in a seeded permutation."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return TS.ordered_target_stats(lines, "l_returnflag", "l_quantity", ["l_orderkey", "l_linenumber"], prior=25.0).select(
+        "l_orderkey", "l_linenumber", "target_stat")

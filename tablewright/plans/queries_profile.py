@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import quality as Q
+from ..operators import sketches as SK
+from ..session import scratch_path
 from .derived import DIRTY_ORDERS_COLUMNS, DIRTY_ORDERS_SQL, TABLES, dirty_orders, table
 from .registry import query
 from .sqlgen import TABLE_COLUMNS, column_profile_sql, families_sql as _families_sql, per_column
@@ -279,3 +281,25 @@ def quality_class_imbalance(spark, d):
     a = Q.class_imbalance(table(spark, d, "labels"), "toxic").select(F.lit("toxic").alias("target"), "*")
     b = Q.class_imbalance(table(spark, d, "conversations"), "role").select(F.lit("role").alias("target"), "*")
     return a.unionByName(b).withColumn("class_imbalance_ratio", F.round("class_imbalance_ratio", 9))
+
+
+_SKETCHED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+
+
+@query("profile_distinct_sketches", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, true AS within_bound, true AS union_within_bound FROM orders HAVING count(DISTINCT {c}) > 0"
+    for c in _SKETCHED))
+def profile_distinct_sketches(spark, d):
+    """PROF5 by sketches: one a column and year, stored and united, against the exact counts."""
+    orders = table(spark, d, "orders").select(*_SKETCHED, F.year("o_orderdate").alias("year"))
+    path = scratch_path(spark, "sketches")
+    SK.distinct_sketches(orders, _SKETCHED, by=["year"]).write.parquet(path)
+    joined = SK.estimates(SK.united(spark.read.parquet(path))).withColumnRenamed("n_distinct", "joined")
+    whole = SK.estimates(SK.distinct_sketches(orders, _SKETCHED))
+    exact = P.column_profile(orders.select(*_SKETCHED)).select("column_name", F.col("n_unique").alias("exact"))
+
+    def near(c):
+        return F.abs(F.col(c) - F.col("exact")) <= F.col("exact") * SK.error_bound()
+
+    return (whole.join(joined, "column_name").join(exact, "column_name")
+            .select("column_name", near("n_distinct").alias("within_bound"), near("joined").alias("union_within_bound")))

@@ -190,7 +190,7 @@ def _rank_sql() -> str:
     return f"""
 WITH s AS (SELECT *, {_LANG_SQL} AS lang FROM {scored}),
 p AS (SELECT * FROM s WHERE NOT {junk}
-      UNION ALL SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s WHERE NOT {junk})),
+      UNION ALL SELECT * FROM s WHERE lang NOT IN (SELECT lang FROM s WHERE NOT {junk})),
 o AS (SELECT *, {_OWNER_SQL} AS owner FROM p),
 e AS (SELECT *, row_number() OVER (PARTITION BY lang, owner ORDER BY score DESC, pos) <= 2 AS eligible FROM o),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY eligible DESC, score DESC, pos) AS rank FROM e)

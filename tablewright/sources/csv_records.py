@@ -77,7 +77,7 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
             .select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")))
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array]]:
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array]]:
     """Consecutive lines of one split: (file, start, lines)."""
     file, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("file", "start"))
     cuts = np.flatnonzero((np.diff(file) != 0) | (np.diff(start) != 0)) + 1
@@ -94,7 +94,7 @@ def inside_splits(lines: DataFrame, sep: str) -> tuple[np.ndarray, bool]:
         key, ends, open_ = None, (0, 1), False
         for batch in batches:
             out = []
-            for file, start, part in _runs(batch):
+            for file, start, part in runs(batch):
                 if key is not None and key != (file, start):
                     out.append((*key, *ends, open_))
                     ends, open_ = (0, 1), False
@@ -182,7 +182,7 @@ def records(spark: SparkSession, path: str, sep: str, inside: np.ndarray | None
         joiner = None
         for batch in batches:
             out = []
-            for (file, start, part), key in zip(_runs(batch), _ids(batch)):
+            for (file, start, part), key in zip(runs(batch), _ids(batch)):
                 if joiner is None or (joiner.file, joiner.start) != (file, start):
                     out += joiner.rest() if joiner else []
                     begins = np.searchsorted(sent.value, key)

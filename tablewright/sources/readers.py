@@ -11,6 +11,8 @@ import codecs
 import csv
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ OTHER_SEPARATORS = ":^~ "                       # for the sniffer, if none of th
 ARFF_NULL_MARKERS = ["?", "NA", "N/A", ""]
 SNIFF_LINES = 10                                # lines inspected for the ARFF signature
 SNIFF_BYTES = 64 << 10
+MAX_FILES = 100_000                             # ARFF files with a header each: one number a file is sent
 TYPED_COLUMNS = 200                             # columns typed by one aggregate
 SPREAD_BYTES = 512 << 10                        # compressed bytes worth a task of their own
 SUPPORTED_SUFFIXES = [".csv", ".tsv", ".json", ".parquet", ".data", ".arff"]
@@ -172,20 +175,48 @@ def arff_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7: ARFF - attribute names from '@attribute' lines (quotes stripped); every line that is
-    not one of the header's lines is data (also one that starts with '@'), but for '%' comments
-    and blank lines; fields in either kind of quotes, NULL markers ? NA N/A '', numeric columns
-    typed by one aggregate."""
+    """SRC7: ARFF - attribute names from '@attribute' lines (quotes stripped); every line after
+    '@data' is data (also one that starts with '@' or repeats a line of the header), but for '%'
+    comments and blank lines, and so is every line of a file without a header of its own; fields
+    in either kind of quotes, NULL markers ? NA N/A '', numeric columns typed by one aggregate."""
     header = arff_header(spark, path)
     names = [m[1] or m[2] or m[3] for m in map(ARFF_NAME.match, header) if m]
     if not names:
         raise ValueError(f"no @attribute declarations in {path}")
-    lines = _text(spark, path).select(strip_ws(F.col("value")).alias("v"))
-    data = lines.where((F.col("v") != "") & ~F.col("v").startswith("%") & ~F.col("v").isin(*set(header)))
+    data = _after_header(spark, path).where((F.col("v") != "") & ~F.col("v").startswith("%"))
     fields = data.select(F.regexp_extract_all("v", F.lit(ARFF_FIELD), 1).alias("f"))
     return typed(fields.select(*[_arff_value(F.get("f", F.lit(i))).alias(name) for i, name in enumerate(names)]))
 
 
+def _after_header(spark: SparkSession, path: str) -> DataFrame:
+    """(v): the stripped lines behind each file's first '@data' line, told by their place."""
+    low = F.lower(strip_ws(F.col("value")))
+    lines = csv_records.lines_of(spark, path)
+    marks = (lines.where(low.startswith("@data") | low.startswith("@attribute")).groupBy("file")
+             .agg(F.min(F.when(low.startswith("@data"), F.col("start"))).alias("data"),
+                  F.min(F.when(low.startswith("@attribute"), F.col("start"))).alias("attribute"))
+             .where("attribute <= data").select("file", "data").limit(MAX_FILES + 1).collect())
+    if len(marks) > MAX_FILES:
+        raise ValueError(f"over {MAX_FILES} files with a header below {path}")
+    header_ends = {m["file"]: m["data"] for m in marks}     # file -> the split that '@data' begins in
+
+    def behind(batches):
+        split, passed = None, True
+        for batch in batches:
+            for file, start, part in csv_records.runs(batch):
+                if split != (file, start):
+                    split, passed = (file, start), start > header_ends.get(file, -1)
+                if not passed and start == header_ends[file]:
+                    starts = pc.starts_with(pc.utf8_lower(pc.utf8_ltrim(part, " \t\r\n\f\v\ufeff")), "@data")
+                    at = pc.index(starts, True).as_py()
+                    passed, part = at >= 0, part.slice(at + 1) if at >= 0 else part.slice(0, 0)
+                    yield pa.RecordBatch.from_arrays([part], ["value"])
+                elif passed:
+                    yield pa.RecordBatch.from_arrays([part], ["value"])
+
+    return lines.mapInArrow(behind, "value string").select(strip_ws(F.col("value")).alias("v"))
+
+
 def _arff_value(raw: Column) -> Column:
     bare = strip_ws(F.regexp_replace(raw, "^['\" ]+|['\" ]+$", ""))
     return F.when(~F.trim(raw).isin(*ARFF_NULL_MARKERS) & ~bare.isin(*ARFF_NULL_MARKERS), bare)
