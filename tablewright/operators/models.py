@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .boosting import GradientBoosting
+from .kernel import LinearSVR, RandomFourier
+from .random_trees import ExtraTrees
 
 log = logging.getLogger(__name__)
 
@@ -121,6 +123,7 @@ AUTOML_SPACES = SEARCH_SPACES | {"LRL1": SEARCH_SPACES["LogisticRegression"], "E
 HIDDEN_LAYERS = (256, 128, 64)
 MLP_ITERATIONS = 100
 SVC_ITERATIONS = 100
+SVR_ITERATIONS = 200
 SEARCH_SECONDS = 120
 FIT_PARTITION_BYTES = 16 << 20
 LEAST_PARTITION_BYTES = 128 << 10
@@ -129,11 +132,12 @@ FALLBACK_FAMILY = "LightGBM"
 # -------------------------------------------------------------------------------------------
 
 # Spark-native estimator used for each family name (boosting libraries -> histogram boosting with
-# each library's defaults; extra trees -> random forest with random feature subsets; SVM -> linear SVC).
+# each library's defaults; SVM and SVR -> random Fourier features of the RBF kernel and a linear machine).
 ESTIMATOR_FOR = {
-    "RandomForest": "RandomForest", "ExtraTrees": "RandomForest(extra-trees-like)",
+    "RandomForest": "RandomForest", "ExtraTrees": "ExtraTrees",
     "XGBoost": "GradientBoosting", "LightGBM": "GradientBoosting", "CatBoost": "GradientBoosting",
-    "LogisticRegression": "LogisticRegression", "LRL1": "LogisticRegression(L1)", "SVM": "LinearSVC",
+    "LogisticRegression": "LogisticRegression", "LRL1": "LogisticRegression(L1)",
+    "SVM": "RandomFourier+LinearSVC", "LinearSVC": "LinearSVC", "SVR": "RandomFourier+LinearSVR",
     "LinearRegression": "LinearRegression", "Ridge": "LinearRegression(ridge)", "MLP": "MultilayerPerceptron",
 }
 
@@ -155,27 +159,37 @@ def make_estimator(name: str, task: str, features: str = "features", label: str
     fam = ESTIMATOR_FOR.get(name, name)
     if fam == "GradientBoosting" and task in ("classification", "regression"):
         return GradientBoosting(task=task, maxIter=trees, seed=SEED, **BOOSTING_DEFAULTS.get(name, {}), **kw)
+    if fam == "ExtraTrees" and task in ("classification", "regression"):
+        return ExtraTrees(task=task, numTrees=trees, seed=SEED, maxDepth=forest_depth,
+                          featureSubsetStrategy="sqrt" if task == "classification" else "all", **kw)
     if task == "classification":
-        if fam.startswith("RandomForest"):
+        if fam == "RandomForest":
             return RandomForestClassifier(numTrees=trees, seed=SEED, maxDepth=forest_depth, cacheNodeIds=True,
-                                          featureSubsetStrategy="sqrt", maxBins=16 if "extra" in fam else 32, **kw)
+                                          featureSubsetStrategy="sqrt", **kw)
         if fam.startswith("LogisticRegression"):
             return LogisticRegression(maxIter=max_iter or MAX_ITER_LR, regParam=1.0 / n_rows if n_rows else 0.0,
                                       standardization=False, elasticNetParam=1.0 if "L1" in fam else 0.0,
                                       family="multinomial", **kw)
-        if fam == "LinearSVC":
+        if fam in ("LinearSVC", "RandomFourier+LinearSVC"):
+            kernel = [RandomFourier(inputCol=features, outputCol="fourier", seed=SEED)] if fam != "LinearSVC" else []
+            on = dict(featuresCol="fourier" if kernel else features, labelCol=label)
             svc = LinearSVC(maxIter=max_iter or SVC_ITERATIONS, regParam=1.0 / n_rows if n_rows else 0.0,
-                            standardization=False, **kw)
-            return svc if n_classes <= 2 else OneVsRest(classifier=svc, parallelism=n_classes, **kw)
+                            standardization=False, **on)
+            if n_classes > 2:
+                svc = OneVsRest(classifier=svc, parallelism=n_classes, **on)
+            return Pipeline(stages=[*kernel, svc]) if kernel else svc
         if fam == "MultilayerPerceptron":
             if n_features is None:
                 raise ValueError("MLP needs n_features")
             return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], seed=SEED,
                                                   maxIter=max_iter or MLP_ITERATIONS, **kw)
     if task == "regression":
-        if fam.startswith("RandomForest"):
+        if fam == "RandomForest":
             return RandomForestRegressor(numTrees=trees, seed=SEED, maxDepth=forest_depth, cacheNodeIds=True,
-                                         featureSubsetStrategy="all", maxBins=16 if "extra" in fam else 32, **kw)
+                                         featureSubsetStrategy="all", **kw)
+        if fam == "RandomFourier+LinearSVR":
+            return Pipeline(stages=[RandomFourier(inputCol=features, outputCol="fourier", seed=SEED),
+                                    LinearSVR(featuresCol="fourier", labelCol=label, maxIter=max_iter or SVR_ITERATIONS)])
         if fam == "LinearRegression":
             return LinearRegression(solver="normal", regParam=0.0, **kw)
         if fam == "LinearRegression(ridge)":
@@ -193,7 +207,7 @@ def available_models(task: str) -> list[str]:
     if task == "classification":
         return ["RandomForest", "XGBoost", "LightGBM", "CatBoost", "LogisticRegression", "ExtraTrees", "SVM"]
     if task == "regression":
-        return ["RandomForest", "XGBoost", "LightGBM", "CatBoost", "LinearRegression", "Ridge", "ExtraTrees"]
+        return ["RandomForest", "XGBoost", "LightGBM", "CatBoost", "LinearRegression", "Ridge", "ExtraTrees", "SVR"]
     raise ValueError(f"unsupported task {task!r}")
 
 

@@ -74,7 +74,7 @@ def test_spaces_and_defaults_fit_the_estimators():
     forest = M.make_estimator("RandomForest", "regression", **sizes)
     assert (forest.getFeatureSubsetStrategy(), forest.getMaxDepth()) == ("all", M.FOREST_DEPTH)
     assert M.make_estimator("ExtraTrees", "regression", forest_depth=30, **sizes).getMaxDepth() == 30
-    assert M.make_estimator("SVM", "classification", n_classes=2, n_rows=50).getRegParam() == 0.02
+    assert M.make_estimator("LinearSVC", "classification", n_classes=2, n_rows=50).getRegParam() == 0.02
 
 
 def test_forest_grows_below_depth_five_and_ridge_equals_the_closed_form(spark):
