@@ -19,8 +19,10 @@ an ordinal dictionary is a DataFrame, saved as Parquet beside the params.
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml import Estimator, Model, PipelineModel, Transformer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasLabelCol, HasOutputCol, HasOutputCols
 from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
@@ -300,12 +302,6 @@ class SmoothTfidf(Estimator, _TfidfParams, _Persist):
                                 vocabulary=[r["term"] for r in vocab], idf=[float(r["idf"]) for r in vocab])
 
 
-def _equals(term: str):
-    """A one-argument predicate for ``filter`` (a default argument would make PySpark pass the
-    element index as the second lambda argument)."""
-    return lambda x: x == F.lit(term)
-
-
 class SmoothTfidfModel(Model, _TfidfParams, _Persist):
     @keyword_only
     def __init__(self, inputCol=None, outputCol=None, vocabulary=None, idf=None, maxFeatures=200):
@@ -315,19 +311,14 @@ class SmoothTfidfModel(Model, _TfidfParams, _Persist):
     def _transform(self, df: DataFrame) -> DataFrame:
         vocab = self.getOrDefault(self.vocabulary)
         idf = self.getOrDefault(self.idf)
-        terms = with_bigrams(tokens(F.col(self.getInputCol())))
         if not vocab:
             return df.withColumn(self.getOutputCol(), array_to_vector(F.array(F.lit(0.0))))
-        # Staged columns: the terms, the weighted counts and their norm are each computed once
-        # per row.  Each is referenced more than once by the next projection, so the optimizer
-        # keeps them as columns instead of inlining them into the per-element lambdas (where
-        # the tokenising regex would otherwise run once per vocabulary term).
-        staged = df.withColumn("__terms", terms)
-        staged = staged.withColumn("__vec", F.array(*[
-            F.size(F.filter("__terms", _equals(t))) * F.lit(w) for t, w in zip(vocab, idf)]))
-        staged = staged.withColumn("__norm", F.sqrt(F.aggregate("__vec", F.lit(0.0), lambda a, x: a + x * x)))
-        scaled = F.transform("__vec", lambda x: F.when(F.col("__norm") > 0, x / F.col("__norm")).otherwise(0.0))
-        return staged.withColumn(self.getOutputCol(), array_to_vector(scaled)).drop("__terms", "__vec", "__norm")
+        # one look-up per term of a row, whatever the size of the vocabulary
+        terms = F.coalesce(with_bigrams(tokens(F.col(self.getInputCol()))), F.array().cast("array<string>"))
+        stages = [CountVectorizerModel.from_vocabulary(vocab, inputCol="__terms", outputCol="__counts"),
+                  ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__counts", outputCol="__weights"),
+                  Normalizer(p=2.0, inputCol="__weights", outputCol=self.getOutputCol())]
+        return PipelineModel(stages=stages).transform(df.withColumn("__terms", terms)).drop("__terms", "__counts", "__weights")
 
 
 # ---- F-score selection ---------------------------------------------------------------------

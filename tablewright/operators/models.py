@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from .boosting import GradientBoosting
 from .kernel import LinearSVR, RandomFourier
+from .neural import BatchNormMlp
 from .random_trees import ExtraTrees
 
 log = logging.getLogger(__name__)
@@ -122,6 +123,7 @@ AUTOML_FAMILIES = {
 AUTOML_SPACES = SEARCH_SPACES | {"LRL1": SEARCH_SPACES["LogisticRegression"], "ExtraTrees": SEARCH_SPACES["RandomForest"]}
 HIDDEN_LAYERS = (256, 128, 64)
 MLP_ITERATIONS = 100
+MLP_EPOCHS = 50
 SVC_ITERATIONS = 100
 SVR_ITERATIONS = 200
 SEARCH_SECONDS = 120
@@ -184,6 +186,8 @@ def make_estimator(name: str, task: str, features: str = "features", label: str
             return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], seed=SEED,
                                                   maxIter=max_iter or MLP_ITERATIONS, **kw)
     if task == "regression":
+        if fam == "MultilayerPerceptron":
+            return BatchNormMlp(task=task, hidden=list(hidden), seed=SEED, epochs=max_iter or MLP_EPOCHS, **kw)
         if fam == "RandomForest":
             return RandomForestRegressor(numTrees=trees, seed=SEED, maxDepth=forest_depth, cacheNodeIds=True,
                                          featureSubsetStrategy="all", **kw)

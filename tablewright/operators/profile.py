@@ -30,6 +30,7 @@ MEDIUM_DATASET_ROWS = 500_000    # fewer rows -> "medium", else "large"
 TEXT_MEAN_WORDS = 5              # analyzer: mean words above this -> text column
 DATETIME_PARSE_SHARE = 0.8       # analyzer: share of all rows parsing as dates
 HIGH_CARDINALITY_RATIO = 0.95    # feature flags: distinct / rows above this
+PREFIX = 32                      # characters that find the first values of a column
 SKEW_LIMIT = 2.0                 # feature flags: |bias-corrected skew| above this
 # -------------------------------------------------------------------------------------------
 
@@ -274,21 +275,38 @@ def feature_flags(df: DataFrame) -> DataFrame:
     return cp.select("pos", "column_name", flags.alias("flags"))
 
 
+def _first_values(df: DataFrame, cols: list, n: int, prefix: int | None, bounds: dict | None = None) -> list[tuple]:
+    """The ``n`` least distinct values of each column as (position, value): their first ``prefix``
+    characters where given, only values that begin no later than the column's bound where given."""
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pos"),
+                 (F.when(F.left(v, F.lit(PREFIX)) <= F.lit(bounds[i]), v) if bounds else
+                  F.left(v, F.lit(prefix)) if prefix else v).alias("v"))
+        for i, v in ((i, value_as_string(c, t)) for i, c, t in cols)]))).where(F.col("v").isNotNull()).distinct()
+    w = F.row_number().over(Window.partitionBy("pos").orderBy("v"))
+    return [tuple(r) for r in long.withColumn("rk", w).where(F.col("rk") <= n).select("pos", "v").collect()]
+
+
 def value_summary(df: DataFrame, columns: list[str] | None = None, max_options: int = 10,
                   n_examples: int = 5) -> DataFrame:
     """PROF14: per column min/max/mean (numeric, rounded to 2) and either all options
     (at most ``max_options`` distinct values) or ``n_examples`` example values.
 
-    Values come from the per-(column, value) aggregate, so only bounded arrays are built:
-    each column contributes at most ``max_options + 1`` values to its list.
+    The first values are found by their first ``PREFIX`` characters, which order as the values do;
+    only columns where one of these is cut need a second pass, over the values whose beginning is
+    no larger than the last of them.  Whole long texts beyond that are never shuffled.
     """
     cols = _columns(df, columns)
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("pos"), value_as_string(c, t).alias("v")) for i, c, t in cols
-    ]))).where(F.col("v").isNotNull()).distinct()
-    w = F.row_number().over(Window.partitionBy("pos").orderBy("v"))
-    firsts = (long.withColumn("rk", w).where(F.col("rk") <= max_options + 1)
-              .groupBy("pos").agg(F.array_sort(F.collect_list("v")).alias("vals")))
+    first = _first_values(df, cols, max_options + 1, PREFIX)
+    cut = {}
+    for pos, v in first:
+        if len(v) >= PREFIX:
+            cut[pos] = max(v for p, v in first if p == pos)
+    if cut:
+        first = [(pos, v) for pos, v in first if pos not in cut]
+        first += _first_values(df, [c for c in cols if c[0] in cut], max_options + 1, None, cut)
+    firsts = df.sparkSession.createDataFrame(first, "pos int, v string").groupBy("pos").agg(
+        F.array_sort(F.collect_list("v")).alias("vals"))
     cp = column_profile(df, [c for _, c, _ in cols], text_stats=False)
     return (cp.join(firsts, "pos", "left").select(
         "column_name",

@@ -7,7 +7,7 @@ A node stays a leaf when it is pure, constant in all features, as deep as ``maxD
 would have fewer than ``minInstancesPerNode`` rows.
 
 All trees grow together.  A level takes two ``treeAggregate`` jobs over the stored blocks for each
-``JOB_CELLS`` numbers summed: least and largest value per (node, feature), then the label sums left
+``JOB_CELLS`` numbers summed, ``JOBS_AT_ONCE`` at a time: least and largest value per (node, feature), then the label sums left
 of each drawn cut.  Only these sums reach the driver, where the splits are chosen; nothing is
 shuffled but sums.  The fitted nodes live in the driver, at most ``2 ** maxDepth`` leaves a tree.
 
@@ -18,11 +18,14 @@ teach nothing; an empty frame is a ValueError; a constant label gives trees of o
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from .row_blocks import as_array, stored_blocks, training_rows
 
 JOB_CELLS = 1 << 20     # numbers summed by one job
+JOBS_AT_ONCE = 8
 
 
 class _Settings(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol):
@@ -99,8 +103,8 @@ def label_sums(y: np.ndarray, outputs: int) -> np.ndarray:
 class _Blocks:
     """The sums of a level over stored blocks."""
 
-    def __init__(self, blocks, outputs: int):
-        self.blocks, self.outputs = blocks, outputs
+    def __init__(self, blocks, outputs: int, on_thread):
+        self.blocks, self.outputs, self.on_thread = blocks, outputs, on_thread
 
     @staticmethod
     def _rows(x, tree, nodes):
@@ -192,40 +196,43 @@ def drawn_cuts(rng, low: np.ndarray, high: np.ndarray, count: int) -> tuple[np.n
 
 
 def grow(data, total: np.ndarray, width: int, p: dict) -> list[CutTree]:
-    """All trees.  ``data`` gives ``ranges`` and ``left_sums`` of open nodes; ``total`` is the label
-    sum of all rows."""
+    """All trees.  ``data`` gives ``ranges`` and ``left_sums`` of open nodes and wraps what its
+    jobs are started from on other threads (``on_thread``); ``total`` is the label sum of all rows."""
     outputs, least = data.outputs, p["minInstancesPerNode"]
     count = {"sqrt": int(np.sqrt(width)), "log2": int(np.log2(max(width, 2))), "all": width}[p["featureSubsetStrategy"]]
     count = max(1, count)
-    rng = np.random.default_rng(p["seed"])
     trees = [CutTree(total) for _ in range(p["numTrees"])]
     open_ = [(t, 0) for t in range(len(trees))] if mixed_labels(total, outputs) else []
     per_job = max(1, JOB_CELLS // max(2 * width, count * (outputs or 3)))
-    for _ in range(p["maxDepth"]):
-        if not open_:
-            break
-        children = []
-        for at in range(0, len(open_), per_job):
-            part = open_[at:at + per_job]
-            which = sorted({t for t, _ in part})
-            nodes = _by_tree(part, which)
-            arrays = [trees[t].arrays() for t in which]
-            low, high = data.ranges(arrays, nodes)
-            features, cuts, usable = drawn_cuts(rng, low, high, count)
-            left = data.left_sums(arrays, nodes, features, cuts)
-            all_ = np.stack([trees[t].total[n] for t, n in part])
-            right = all_[:, None] - left
-            ok = usable & (np.minimum(_counts(left, outputs), _counts(right, outputs)) >= least)
-            score = np.where(ok, _purity(left, outputs) + _purity(right, outputs), -np.inf)
-            best = score.argmax(1)
-            for i, (t, node) in enumerate(part):
-                c = best[i]
-                if score[i, c] == -np.inf:
-                    continue
-                for child in trees[t].split(node, int(features[i, c]), float(cuts[i, c]), left[i, c]):
-                    if _counts(trees[t].total[child], outputs) >= 2 * least and mixed_labels(trees[t].total[child], outputs):
+
+    def choose(depth, at):
+        """(feature, cut, label sums left of it) for the open nodes from ``at``; None for a leaf."""
+        part = open_[at:at + per_job]
+        which = sorted({t for t, _ in part})
+        nodes, arrays = _by_tree(part, which), [trees[t].arrays() for t in which]
+        low, high = data.ranges(arrays, nodes)
+        features, cuts, usable = drawn_cuts(np.random.default_rng([p["seed"], depth, at]), low, high, count)
+        left = data.left_sums(arrays, nodes, features, cuts)
+        right = np.stack([trees[t].total[n] for t, n in part])[:, None] - left
+        ok = usable & (np.minimum(_counts(left, outputs), _counts(right, outputs)) >= least)
+        score = np.where(ok, _purity(left, outputs) + _purity(right, outputs), -np.inf)
+        best = score.argmax(1)
+        return [(int(features[i, c]), float(cuts[i, c]), left[i, c]) if score[i, c] > -np.inf else None
+                for i, c in enumerate(best)]
+
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        for depth in range(p["maxDepth"]):
+            starts = range(0, len(open_), per_job)
+            chosen = list(pool.map(data.on_thread(choose), [depth] * len(starts), starts))
+            children = []
+            for (t, node), split in zip(open_, itertools.chain.from_iterable(chosen)):
+                for child in trees[t].split(node, *split) if split else ():
+                    sums = trees[t].total[child]
+                    if _counts(sums, outputs) >= 2 * least and mixed_labels(sums, outputs):
                         children.append((t, child))
-        open_ = sorted(children)
+            open_ = sorted(children)
+            if not open_:
+                break
     return trees
 
 
@@ -258,7 +265,7 @@ class ExtraTrees(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWrita
         outputs = int(found["top"]) + 1 if p["task"] == "classification" else 0
         blocks = stored_blocks(rows, found["width"], found["n"])
         total = blocks.map(lambda b: label_sums(b[1], outputs).sum(0)).treeReduce(lambda a, b: a + b)
-        trees = grow(_Blocks(blocks, outputs), total, found["width"], p)
+        trees = grow(_Blocks(blocks, outputs, inheritable_thread_target(dataset.sparkSession)), total, found["width"], p)
         state = [{"feature": t.feature, "cut": t.cut, "left": t.left, "value": leaf_values(t, outputs)} for t in trees]
         return self._copyValues(ExtraTreesModel(json.dumps(state)))
 

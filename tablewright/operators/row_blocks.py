@@ -1,6 +1,6 @@
 """Training rows as stored blocks of numbers, for fits that sum over all rows many times.
 
-A block is ``(features, labels)`` - two numpy arrays of at most ``BLOCK_ROWS`` rows.  Blocks are
+A block is ``(features, labels)`` - two numpy arrays of at most ``BLOCK_BYTES`` of numbers.  Blocks are
 checkpointed: a fit is a loop of ``treeAggregate`` jobs over them, and a lost executor's tasks read
 them again.  Rows whose features or label are null are left out; no rows at all is a ValueError.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-BLOCK_ROWS = 4096
+BLOCK_BYTES = 1 << 20
 PARTITION_BYTES = 16 << 20
 
 
@@ -40,15 +40,14 @@ def training_rows(df: DataFrame, features: str, label: str) -> tuple[DataFrame,
     return rows, found
 
 
-def stored_blocks(rows: DataFrame, width: int, count: int, block_rows: int = BLOCK_ROWS, mixed: int | None = None):
-    """RDD of blocks.  ``mixed`` is a seed: rows are dealt round-robin and shuffled in each
-    partition, so that a block of a sorted table is no stretch of it."""
-    parts = max(1, count * (width + 1) * 8 // PARTITION_BYTES)
-    if mixed is not None:
-        spread = max(parts, min(rows.sparkSession.sparkContext.defaultParallelism, count // block_rows))
-        rows = rows.repartition(spread).sortWithinPartitions(F.rand(mixed))
-    else:
-        rows = rows.coalesce(max(parts, min(rows.sparkSession.sparkContext.defaultParallelism, count // block_rows)))
+def stored_blocks(rows: DataFrame, width: int, count: int, block_rows: int | None = None, mixed: int | None = None):
+    """RDD of blocks, of ``block_rows`` rows where given.  ``mixed`` is a seed: rows are dealt
+    round-robin and shuffled in each partition, so that a block of a sorted table is no stretch of it."""
+    row_bytes = (width + 1) * 8
+    block_rows = block_rows or max(1, BLOCK_BYTES // row_bytes)
+    parts = max(1, count * row_bytes // PARTITION_BYTES,
+                min(rows.sparkSession.sparkContext.defaultParallelism, count // block_rows))
+    rows = rows.coalesce(parts) if mixed is None else rows.repartition(parts).sortWithinPartitions(F.rand(mixed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

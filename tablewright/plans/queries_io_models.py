@@ -298,6 +298,14 @@ def model_svr(spark, d):
     return fitted["SVR"].transform(test).select("o_orderkey", "label", "prediction")
 
 
+@query("model_mlp_regression")
+def model_mlp_regression(spark, d):
+    """Perceptron with batch normalisation and GELU on the order price."""
+    train, test, stages, lab = _prepared_orders(spark, d, "o_totalprice", "regression")
+    fitted = M.train_all(train, stages, ["MLP"], "regression", lab)
+    return fitted["MLP"].transform(test).select("o_orderkey", "label", "prediction")
+
+
 @query("model_train_all")
 def model_train_all(spark, d):
     """Every distinct classification estimator (the three boosting names share one), ranked."""

@@ -124,3 +124,15 @@ def test_junk_schema_rejects_catalog_file(spark):
                                "columns array<string>")
     flags = [r["is_junk"] for r in junk_schema(df).collect()]
     assert flags == [True, False]
+
+
+def test_value_summary_orders_whole_values_that_share_a_long_beginning(spark):
+    from tablewright.operators.profile import value_summary
+    long = ["x" * 40 + f"{i:02d}" for i in range(14)]
+    rows = [(v, f"s{i % 3}", None) for i, v in enumerate(long * 2)] + [("a", "s0", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "t string, s string, n string").repartition(4)
+    got = {r["column_name"]: r for r in value_summary(df).collect()}
+    assert got["t"]["options"] is None and got["t"]["examples"] == "|".join(["a", *long[:4]])
+    assert got["s"]["options"] == "s0|s1|s2" and not got["n"]["options"] and got["n"]["examples"] is None
+    few = {r["column_name"]: r for r in value_summary(df.where("t is null or t < 'xx' or t like '%05'")).collect()}
+    assert few["t"]["options"] == "a|" + long[5]

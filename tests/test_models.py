@@ -260,7 +260,7 @@ def test_all_classifiers_and_multiclass_boosting_are_registered(spark, monkeypat
     kinds.clear()
     assert "r2" in entry.queries()["model_train_all_regression"](spark, SF_SMALL).columns
     assert "model_gbt_regression" in entry.queries()
-    assert {(n, t) for n, t, _ in kinds} == {(n, "regression") for n in ("RandomForest", "XGBoost", "LinearRegression", "Ridge", "ExtraTrees")}
+    assert {(n, t) for n, t, _ in kinds} == {(n, "regression") for n in ("RandomForest", "XGBoost", "LinearRegression", "Ridge", "ExtraTrees", "SVR")}
 
 
 def test_the_bench_times_model_fits():

@@ -23,6 +23,10 @@ class PlainLoops:
     def __init__(self, x, y, outputs):
         self.x, self.y, self.outputs = x, y, outputs
 
+    @staticmethod
+    def on_thread(run):
+        return run
+
     def node(self, tree, row):
         feature, cut, left = tree
         at = 0
