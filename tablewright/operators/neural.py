@@ -26,7 +26,6 @@ there is no holdout and all epochs are run.  Reruns on the same partitions agree
 from __future__ import annotations
 
 import base64
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -40,7 +39,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .row_blocks import as_array, stored, stored_blocks, training_rows
+from .row_blocks import as_array, merge_depth, stored, stored_blocks, training_rows
 
 NORM_EPSILON = 1e-5
 NORM_MOMENTUM = 0.1     # share of a step's batch statistics in the running ones
@@ -253,7 +252,7 @@ class MlpFit:
                     total = _added(total, (len(x), loss, flat(grads), seen))
             return [total]
 
-        found = self.blocks.mapPartitionsWithIndex(parts).treeReduce(_added)
+        found = self.blocks.mapPartitionsWithIndex(parts).treeReduce(_added, merge_depth(self.blocks))
         sent.destroy()
         return found
 
@@ -263,12 +262,13 @@ class MlpFit:
 
         def parts(blocks):
             total = None
-            # numbers ascend in a partition: reading stops at the first block that is learnt from
-            for _, x, y in itertools.takewhile(lambda b: b[0] < held, blocks):
-                total = _added(total, (len(x), loss_of(forward(unflat(weights, shapes), x, stats), y, task)[0]))
+            # read to the end: a task that leaves rows unread loses its Python worker
+            for number, x, y in blocks:
+                if number < held:
+                    total = _added(total, (len(x), loss_of(forward(unflat(weights, shapes), x, stats), y, task)[0]))
             return [total]
 
-        rows, loss = self.blocks.mapPartitions(parts).treeReduce(_added)
+        rows, loss = self.blocks.mapPartitions(parts).treeReduce(_added, merge_depth(self.blocks))
         return loss / rows
 
     def run(self) -> tuple[np.ndarray, np.ndarray]:

@@ -20,6 +20,7 @@ from ..session import checkpoint_dir
 
 BLOCK_BYTES = 1 << 20
 PARTITION_BYTES = 16 << 20
+FLAT_PARTS = 32         # partial sums that the driver adds without a stage between
 
 
 def as_array(df: DataFrame, features: str) -> Column:
@@ -69,6 +70,11 @@ def stored(blocks):
     return blocks
 
 
+def merge_depth(blocks) -> int:
+    """Levels of a tree of sums: one job of one stage where the partitions are few."""
+    return 1 if blocks.getNumPartitions() <= FLAT_PARTS else 2
+
+
 def summed(blocks, part):
     """The sum of ``part(block)`` - a numpy array or a tuple of them - over all blocks; None of none."""
     def both(a, b):
@@ -76,4 +82,4 @@ def summed(blocks, part):
             return b if a is None else a
         return tuple(p + q for p, q in zip(a, b)) if isinstance(a, tuple) else a + b
 
-    return blocks.treeAggregate(None, lambda total, block: both(total, part(block)), both)
+    return blocks.treeAggregate(None, lambda total, block: both(total, part(block)), both, merge_depth(blocks))
