@@ -10,8 +10,9 @@ Rows are dealt round-robin, shuffled and stored as blocks of ``batchSize`` rows.
 normalised by its own statistics, as each replica of a data-parallel fit does, and its gradient is
 added to the task's.  The driver takes the sum for a step of Adam with decoupled weight decay, a
 clipped gradient and a cosine step size.  Where there are ``PARTS_PER_STEP`` partitions for each
-step of an epoch, whole partitions are dealt, so that an epoch reads the rows once; with fewer -
-then the blocks are few - each step passes over the blocks of the others.  A ``holdout`` share of
+step of an epoch, whole partitions are dealt and a step runs tasks on its own only, so that an epoch
+reads the rows once; with fewer - then the blocks are few - each step passes over the blocks of the
+others.  A ``holdout`` share of
 the blocks is never learnt from; its loss - with the running statistics - ends the fit after
 ``patience`` epochs without an improvement, and the best epoch's weights are kept.
 
@@ -39,7 +40,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .row_blocks import as_array, merge_depth, stored, stored_blocks, training_rows
+from .row_blocks import as_array, merge_depth, pruned, stored, stored_blocks, training_rows
 
 NORM_EPSILON = 1e-5
 NORM_MOMENTUM = 0.1     # share of a step's batch statistics in the running ones
@@ -204,6 +205,11 @@ def dealt(block: int, epoch: int, seed: int, steps: int) -> int:
     return int(np.random.default_rng([seed, epoch, block]).integers(steps))
 
 
+def dealt_partitions(count: int, epoch: int, seed: int, steps: int) -> np.ndarray:
+    """The steps of an epoch that learn from each of ``count`` partitions."""
+    return np.random.default_rng([seed, epoch]).integers(steps, size=count)
+
+
 def _added(a, b):
     if a is None or b is None:
         return b if a is None else a
@@ -234,16 +240,20 @@ class MlpFit:
 
     def gradient(self, epoch: int, step: int, steps: int):
         """(rows, loss, gradient, statistics times rows) of the blocks dealt to a step."""
-        context = self.blocks.context
-        sent = context.broadcast(self.weights)
         shapes, held, p = self.shapes, self.held, self.p
 
-        whole = self.blocks.getNumPartitions() >= PARTS_PER_STEP * steps
+        parts_held = self.blocks.getNumPartitions()
+        whole = parts_held >= PARTS_PER_STEP * steps
+        blocks_read = self.blocks
+        if whole:
+            wanted = np.flatnonzero(dealt_partitions(parts_held, epoch, p["seed"], steps) == step).tolist()
+            if not wanted:
+                return None
+            blocks_read = pruned(self.blocks, wanted)
+        sent = self.blocks.context.broadcast(self.weights)
 
-        def parts(index, blocks):
+        def parts(blocks):
             total = None
-            if whole and dealt(index, epoch, p["seed"], steps) != step:
-                return [total]      # nothing of the partition is read
             for number, x, y in blocks:
                 if number >= held and (whole or dealt(number, epoch, p["seed"], steps) == step):
                     weights = unflat(sent.value, shapes)
@@ -252,7 +262,7 @@ class MlpFit:
                     total = _added(total, (len(x), loss, flat(grads), seen))
             return [total]
 
-        found = self.blocks.mapPartitionsWithIndex(parts).treeReduce(_added, merge_depth(self.blocks))
+        found = blocks_read.mapPartitions(parts).treeReduce(_added, merge_depth(blocks_read))
         sent.destroy()
         return found
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,15 @@ def stored(blocks):
     return blocks
 
 
+def pruned(blocks, wanted: list[int]):
+    """The RDD of some partitions of a stored one.  Tasks run on these only: one that runs and reads
+    nothing of its partition loses its Python worker, and the next task waits for a new one."""
+    jvm = blocks.context._jvm
+    kept = jvm.org.apache.spark.rdd.PartitionPruningRDD.create(
+        blocks._jrdd.rdd(), jvm.org.apache.spark.api.python.PythonUtils.toSeq(wanted).toSet())
+    return RDD(kept.toJavaRDD(), blocks.context, blocks._jrdd_deserializer)
+
+
 def merge_depth(blocks) -> int:
     """Levels of a tree of sums: one job of one stage where the partitions are few."""
     return 1 if blocks.getNumPartitions() <= FLAT_PARTS else 2

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import models as M
 from tablewright.operators import neural as N
+from tablewright.operators.row_blocks import pruned
 
 
 def frame(spark, x, y):
@@ -64,7 +65,8 @@ def test_a_step_sums_its_blocks(spark, monkeypatch, whole):
     assert fit.held == 1
     seen = 0
     for step in range(2):
-        mine = [b for b in blocks[1:] if N.dealt(b[0], 0, 5, 2) == step]
+        deals = N.dealt_partitions(4, 0, 5, 2) if whole else [N.dealt(i, 0, 5, 2) for i in range(4)]
+        mine = [b for b in blocks[1:] if deals[b[0]] == step]
         found = fit.gradient(0, step, 2)
         seen += len(mine)
         if not mine:
@@ -76,6 +78,13 @@ def test_a_step_sums_its_blocks(spark, monkeypatch, whole):
     assert seen == 3        # each block outside the holdout is in one step
 
 
+def test_pruned_partitions_are_those_asked_for(spark):
+    blocks = spark.sparkContext.parallelize(range(12), 6).map(lambda v: (v, np.full(2, v)))
+    kept = pruned(blocks, [1, 4])
+    assert kept.getNumPartitions() == 2 and [v for v, _ in kept.collect()] == [2, 3, 8, 9]
+    assert kept.map(lambda b: float(b[1].sum())).collect() == [4.0, 6.0, 16.0, 18.0]
+
+
 def test_learns_a_curve_and_persists(spark, tmp_path):
     rng = np.random.default_rng(3)
     x = rng.uniform(-2, 2, (800, 2))
