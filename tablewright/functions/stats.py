@@ -8,12 +8,15 @@ helpers avoid it:
   and exact range counts until the candidate slice holding the middle rank has at most
   ``CANDIDATE_LIMIT`` distinct values, then ranks that slice exactly.  Each round is one
   scan of pre-aggregated ``(value, count)`` rows; no round holds more than the limit.
-* ``column_modes`` counts ``(column, value)`` pairs with a shuffle (hot values are combined
-  map-side) and keeps the highest count, smallest value on ties.
+* ``column_modes`` counts short keys of ``(column, value)`` with a shuffle (hot values are
+  combined map-side) and keeps the highest count, smallest value on ties.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,7 @@ from pyspark.sql.window import Window
 from .columns import clean_value
 
 CANDIDATE_LIMIT = 50_000
+HEAD = 64               # characters of a value that its key shows
 _PROBES = 64
 
 
@@ -117,16 +121,33 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: most frequent non-null value (as string), smallest value on ties.
 
-    Returns (column_name, mode, mode_count); a column with no values is absent.
+    Returns (column_name, mode, mode_count); a column with no values is absent.  Values are counted
+    by their first ``HEAD`` characters, which order as the values do, and the MD5 of longer ones, so
+    whole texts are not shuffled.  Only where a longer value wins a second pass reads the values that
+    begin like it and have its count, and takes the least.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), clean_value(c, types[c]).cast("string").alias("v"))
         for c in columns]))).where(F.col("v").isNotNull())
-    counts = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    keyed = long.select("column_name", F.left("v", F.lit(HEAD)).alias("head"),
+                        F.when(F.length("v") > HEAD, F.md5("v")).alias("digest"), "v")
+    counts = keyed.groupBy("column_name", "head", "digest").agg(F.count(F.lit(1)).alias("cnt"))
     best = counts.groupBy("column_name").agg(
-        F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("v").alias("v"))).alias("m"))
-    return best.select("column_name", F.col("m.v").alias("mode"), (-F.col("m.neg")).alias("mode_count"))
+        F.min(F.struct((-F.col("cnt")).alias("neg"), "head", "digest")).alias("m")).select("column_name", "m.*").collect()
+    modes = {r["column_name"]: r["head"] for r in best}
+    cut = {r["column_name"]: (r["head"], -r["neg"]) for r in best if r["digest"] is not None}
+    if cut:
+        def of(c):
+            return (F.col("column_name") == c) & (F.col("head") == cut[c][0]) & F.col("digest").isNotNull()
+
+        like_best = reduce(or_, [of(c) for c in cut])
+        tied = counts.where(reduce(or_, [of(c) & (F.col("cnt") == cut[c][1]) for c in cut]))
+        least = (keyed.where(like_best).join(tied.select("column_name", "digest"), ["column_name", "digest"], "left_semi")
+                 .agg(*[F.min(F.when(F.col("column_name") == c, F.col("v"))).alias(str(i)) for i, c in enumerate(cut)]).first())
+        modes.update(zip(cut, least))
+    return df.sparkSession.createDataFrame(
+        [(r["column_name"], modes[r["column_name"]], -r["neg"]) for r in best], "column_name string, mode string, mode_count long")
 
 
 def ordered_codes(values: DataFrame, column: str, code: str = "code") -> DataFrame:

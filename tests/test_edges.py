@@ -1,9 +1,13 @@
 """Threshold edges on tiny literal frames (SURVEY section 5 (1))."""
 
+from collections import Counter
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tablewright.functions import stats as ST
 from tablewright.operators import clean as C
 from tablewright.operators import coltypes as TY
 from tablewright.operators import profile as P
@@ -136,3 +140,37 @@ def test_value_summary_orders_whole_values_that_share_a_long_beginning(spark):
     assert got["s"]["options"] == "s0|s1|s2" and not got["n"]["options"] and got["n"]["examples"] is None
     few = {r["column_name"]: r for r in value_summary(df.where("t is null or t < 'xx' or t like '%05'")).collect()}
     assert few["t"]["options"] == "a|" + long[5]
+
+
+def _modes_by_loop(rows, columns):
+    out = {}
+    for i, c in enumerate(columns):
+        counts = Counter(r[i] for r in rows if r[i] is not None)
+        if counts:
+            out[c] = min(counts.items(), key=lambda e: (-e[1], e[0].encode()))
+    return out
+
+
+def test_modes_of_long_values(spark):
+    same = "x" * ST.HEAD                                # a beginning that many values share
+    rows = [(same + f"{i:03}" * 50, same + "b" if i % 3 else same + "a" * 300, same, None, f"{i % 4}") for i in range(60)]
+    rows += [(None, same + "a" * 300, same[:-1], None, None)] * 25
+    rows += [("\u00e9" * 200, "", same + "!", None, "\U0001f600" * ST.HEAD)] * 1
+    columns = ["ties", "long_wins", "exactly_head", "nothing", "short"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns)).repartition(4)
+    got = {r["column_name"]: (r["mode"], r["mode_count"]) for r in ST.column_modes(df, columns).collect()}
+    assert got == _modes_by_loop(rows, columns)
+    assert got["ties"] == (same + "000" * 50, 1) and got["long_wins"][0] == same + "a" * 300 and "nothing" not in got
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(*[st.one_of(st.none(), st.text("ab", max_size=5))] * 2), max_size=25))
+def test_modes_equal_a_loop(spark, rows):
+    tried, head = [(r[0] and r[0] * 2, r[1]) for r in rows], ST.HEAD
+    ST.HEAD = 2                                         # most values are longer than their key
+    try:
+        df = spark.createDataFrame(tried, "a string, b string")
+        got = {r["column_name"]: (r["mode"], r["mode_count"]) for r in ST.column_modes(df, ["a", "b"]).collect()}
+    finally:
+        ST.HEAD = head
+    assert got == _modes_by_loop(tried, ["a", "b"])
