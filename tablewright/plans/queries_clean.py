@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (NUMERIC_PATTERN, sql_guarded_double, sql_parse_datetime,
                                  sql_strip_quotes, sql_strip_quotes_fill, sql_word_count)
+from ..functions.stats import column_modes
 from ..operators import clean as C
 from ..operators import coltypes as TY
 from ..operators import profile as P
@@ -242,6 +243,24 @@ def clean_fill_mode(spark, d):
     return C.fill_mode(df, ["o_orderpriority", "rare_priority", "all_null"])
 
 
+def _mode_sql(t, c):
+    return f"""(SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS mode, count(*) AS mode_count
+  FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"""
+
+
+_MODE_COLUMNS = {"documents": ["text", "lang", "source"], "pages": ["url", "html"], "orders": ["o_orderpriority", "o_orderdate"]}
+
+
+@query("clean_mode_values", "\nUNION ALL\n".join(_mode_sql(t, c) for t, cs in _MODE_COLUMNS.items() for c in cs))
+def clean_mode_values(spark, d):
+    """CLN8's most frequent values by themselves, whole documents and pages included."""
+    out = None
+    for t, columns in _MODE_COLUMNS.items():
+        found = column_modes(table(spark, d, t), columns).select(F.lit(t).alias("table_name"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _nonfinite_events(ev):
     k = F.col("event_id")
     return ev.select("event_id", F.when(k % 11 == 0, F.lit(float("nan")))
