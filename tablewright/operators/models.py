@@ -15,6 +15,7 @@ import random
 import threading
 import time
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from contextlib import nullcontext
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -130,6 +131,7 @@ SEARCH_SECONDS = 120
 FIT_PARTITION_BYTES = 16 << 20
 LEAST_PARTITION_BYTES = 128 << 10
 FITS_AT_ONCE = 8
+LARGE_FITS = ("RandomForest", "ExtraTrees", "SVM", "SVR")    # hold trees or images of all rows: one after another
 FALLBACK_FAMILY = "LightGBM"
 # -------------------------------------------------------------------------------------------
 
@@ -383,16 +385,20 @@ def packed_frame(prepared: DataFrame, sizes: dict, fits: int) -> DataFrame:
 
 def train_all(train: DataFrame, prep_stages: list, names: list[str], task: str, label_st,
               at_once: int = FITS_AT_ONCE, errors: dict | None = None, **settings) -> dict:
-    """Fit one pipeline per candidate on the frame prepared once, several at a time.  A family
-    that fails does not stop the others; its message goes to ``errors``.  ``settings`` go to
-    ``make_estimator``.  Returns name -> fitted PipelineModel, in the order of ``names``."""
+    """Fit one pipeline per candidate on the frame prepared once, several at a time, but one of
+    ``LARGE_FITS`` at a time: together they pass a heap that each fits into.  A family that fails
+    does not stop the others; its message goes to ``errors``.  ``settings`` go to ``make_estimator``.  Returns name -> fitted PipelineModel, in the order of ``names``."""
     prep = Pipeline(stages=[label_st] + prep_stages).fit(train)
     prepared = labelled(prep.transform(train)).select("features", "label")
     sizes = _sizes(prepared, task)
     ready = packed_frame(prepared, sizes, min(at_once, len(names)))
 
+    large = threading.Lock()
+
     def fit(name):
-        return PipelineModel(stages=[prep, make_estimator(name, task, **sizes, **settings).fit(ready)])
+        estimator = make_estimator(name, task, **sizes, **settings)
+        with large if name in LARGE_FITS else nullcontext():
+            return PipelineModel(stages=[prep, estimator.fit(ready)])
 
     fitted = {}
     with ThreadPoolExecutor(max(1, at_once)) as pool:
