@@ -1,5 +1,6 @@
 """Threshold edges on tiny literal frames (SURVEY section 5 (1))."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -174,3 +175,25 @@ def test_modes_equal_a_loop(spark, rows):
     finally:
         ST.HEAD = head
     assert got == _modes_by_loop(tried, ["a", "b"])
+
+
+def test_medians_count_a_slice_around_the_middle_only(spark, monkeypatch):
+    """Every distinct value of a column was shuffled and kept before."""
+    import statistics
+
+    from tablewright.functions import stats as ST
+    rng = random.Random(7)
+    values = [(rng.gauss(0, 1), float(rng.randint(0, 3)), None if i % 3 else rng.random(), None, float("nan") if i % 2 else float(i))
+              for i in range(20_000)]
+    df = spark.createDataFrame(values, "a double, b double, c double, d double, e double")
+    want = [statistics.median(x for x in column if x is not None and x == x) if any(x is not None for x in column) else None
+            for column in zip(*values)]
+    seen, plain = [], ST._medians_around
+    monkeypatch.setattr(ST, "_medians_around", lambda df, x, rows, around, out: seen.append(around) or plain(df, x, rows, around, out))
+    assert list(ST.exact_medians(df, df.columns).values()) == want
+    lo, hi = seen[0]["a"]
+    assert sum(lo <= v[0] <= hi for v in values) < 200 and not seen[1]
+    monkeypatch.setattr(ST, "CANDIDATE_LIMIT", 5)
+    assert list(ST.exact_medians(df, df.columns).values()) == want
+    monkeypatch.setattr(ST, "MIDDLE", (0.8, 0.9))       # a range that misses the middle
+    assert list(ST.exact_medians(df, df.columns).values()) == want and "a" in seen[-1]
