@@ -5,8 +5,9 @@ that come *before* it in a seeded permutation, so no row's own target, nor a lat
 its feature: (sum before + smoothing * prior) / (rows before + smoothing).
 
 The rows are range-partitioned by (category, place in the permutation): a hot category spreads
-over many partitions.  Sums run within a partition, and each partition's part of a category gets
-the sum of the parts before it as an offset - one row for each (partition, category).
+over many partitions, of about ``PART_ROWS`` rows however large the table.  Sums run within a
+partition, and each partition's part of a category gets the sum of the parts before it as an
+offset - one row for each (partition, category), which travels with the part's rows as its first.
 
 Results: NULL categories are one category; NULL targets add nothing but take a place; repeated
 ids are ordered by the target; an empty table gives an empty one.  ``category_means`` are the
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
+PART_ROWS = 250_000     # rows that one task sorts
+
 
 def place(ids: list[str], seed: int) -> Column:
     """The order key of a row in the permutation of ``seed``."""
@@ -32,19 +35,23 @@ def ordered_target_stats(df: DataFrame, category: str, target: str, ids: list[st
     checkpoint_dir(df.sparkSession)
     y = F.col(f"`{target}`").cast("double")
     keyed = df.withColumn("__place", place(ids, seed)).withColumn("__c", F.col(f"`{category}`").cast("string"))
+    parts_wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // PART_ROWS + 1)
     # the partition of a row must not change between its readers: written once
-    ranged = (keyed.repartitionByRange("__c", "__place", y).withColumn("__part", F.spark_partition_id()).checkpoint())
+    ranged = (keyed.repartitionByRange(parts_wanted, "__c", "__place", y).withColumn("__part", F.spark_partition_id())
+              .checkpoint())
     parts = ranged.groupBy("__c", "__part").agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
     before = Window.partitionBy("__c").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(F.col("__c").alias("__oc"), F.col("__part").alias("__op"),
-                           F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__os"),
-                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__on"))
-    within = Window.partitionBy("__part", "__c").orderBy("__place", y).rowsBetween(Window.unboundedPreceding, -1)
-    local = (ranged.withColumn("__ls", F.coalesce(F.sum(y).over(within), F.lit(0.0)))
-             .withColumn("__ln", F.coalesce(F.count(y).over(within), F.lit(0))))
-    joined = local.join(offsets, F.col("__c").eqNullSafe(F.col("__oc")) & (F.col("__part") == F.col("__op")))
-    stat = (F.col("__ls") + F.col("__os") + F.lit(smoothing * prior)) / (F.col("__ln") + F.col("__on") + F.lit(smoothing))
-    return joined.select(*df.columns, stat.alias(out))
+    offsets = parts.select("__c", "__part", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__os"),
+                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__on"), F.lit(0).alias("__kind"))
+    # __kind puts a part's offset before its rows
+    rows = ranged.withColumn("__kind", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
+    within = (Window.partitionBy("__part", "__c").orderBy("__kind", "__place", y)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    local = (rows.repartition(parts_wanted, "__part", "__c")
+             .withColumn("__ls", F.coalesce(F.sum(y).over(within), F.lit(0.0))).withColumn("__ln", F.count(y).over(within))
+             .withColumn("__so", F.first("__os").over(within)).withColumn("__no", F.first("__on").over(within)))
+    stat = (F.col("__ls") + F.col("__so") + F.lit(smoothing * prior)) / (F.col("__ln") + F.col("__no") + F.lit(smoothing))
+    return local.where(F.col("__kind") == 1).select(*df.columns, stat.alias(out))
 
 
 def category_means(train: DataFrame, category: str, target: str, prior: float, smoothing: float = 1.0,

@@ -197,3 +197,17 @@ def test_medians_count_a_slice_around_the_middle_only(spark, monkeypatch):
     assert list(ST.exact_medians(df, df.columns).values()) == want
     monkeypatch.setattr(ST, "MIDDLE", (0.8, 0.9))       # a range that misses the middle
     assert list(ST.exact_medians(df, df.columns).values()) == want and "a" in seen[-1]
+
+
+def test_target_stats_parts_grow_in_number_with_the_rows(spark, monkeypatch):
+    from tablewright.operators import target_stats as TS
+    monkeypatch.setattr(TS, "PART_ROWS", 20)
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None]), None if i % 5 == 0 else float(i % 13)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, c string, y double")
+    out = TS.ordered_target_stats(df, "c", "y", ["id"], prior=2.0)
+    assert out.rdd.getNumPartitions() >= 400 // 20
+    order = {r.id: r.p for r in df.select("id", TS.place(["id"], 42).alias("p")).collect()}
+    for id_, c, _, got in out.collect():
+        past = [y for i, k, y in rows if k == c and order[i] < order[id_] and y is not None]
+        assert abs(got - (sum(past) + 2.0) / (len(past) + 1)) < 1e-9
