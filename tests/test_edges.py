@@ -211,3 +211,27 @@ def test_target_stats_parts_grow_in_number_with_the_rows(spark, monkeypatch):
     for id_, c, _, got in out.collect():
         past = [y for i, k, y in rows if k == c and order[i] < order[id_] and y is not None]
         assert abs(got - (sum(past) + 2.0) / (len(past) + 1)) < 1e-9
+
+
+def test_tfidf_counts_bigrams_of_frequent_words_only(spark, monkeypatch):
+    from tablewright.functions.text import bigrams_of, tokens, with_bigrams
+    from tablewright.operators import tfidf as TF
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=40)) for _ in range(80)] + [None, "", "w1 w1 w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    toks = tokens(F.col("t"))
+    got = docs.select(bigrams_of(toks, ["w0", "w1"]).alias("b"), with_bigrams(toks).alias("all")).collect()
+    for r in got:
+        assert r.b == [x for x in r["all"] if " " in x and set(x.split()) <= {"w0", "w1"}]
+    totals = {}
+    for r in got:
+        for x in r["all"]:
+            totals[x] = totals.get(x, 0) + 1
+    for k in (1, 20, 60, 5000):
+        want = sorted(totals, key=lambda x: (-totals[x], x))[:k]
+        assert sorted(r.term for r in TF.top_terms(docs, "id", "t", k).collect()) == sorted(want)
+    asked = []
+    monkeypatch.setattr(TF, "bigrams_of", lambda toks, of: asked.append(len(of)) or bigrams_of(toks, of))
+    TF.tfidf(docs, "id", "t", 20).collect()
+    assert asked and max(asked) < 40
