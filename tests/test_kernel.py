@@ -109,3 +109,42 @@ def test_odd_frames(spark):
     assert constant.getOrDefault("gamma") == 1.0
     got = constant.transform(frame(spark, [[1.0], None], [0, 0])).orderBy("id").collect()
     assert len(got[0].fourier) == 4 and got[1].fourier is None
+
+
+def test_machines_on_images_store_the_rows_as_they_came(spark, monkeypatch):
+    """Images of all rows, copied for each class, passed the executors' memory."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0)
+    widths, plain = [], K.stored_blocks
+    monkeypatch.setattr(K, "stored_blocks", lambda rows, width, *a: widths.append(width) or plain(rows, width, *a))
+    for name, task in (("SVM", "classification"), ("SVR", "regression")):
+        df = frame(spark, [*x, None], [*y, 0])
+        out = M.make_estimator(name, task, n_classes=3, n_rows=300, max_iter=30).fit(df).transform(df).orderBy("id")
+        assert "fourier" not in out.columns
+        got = [r.prediction for r in out.collect()]
+        assert got[-1] is None and np.mean(np.abs(np.array(got[:-1]) - y)) < 0.3
+    assert widths == [3, 3]
+
+
+def test_kernel_svc_reaches_the_loss_of_one_machine_a_class(spark):
+    from pyspark.ml.classification import LinearSVC
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = np.digitize(x[:, 0] * x[:, 1], [-0.3, 0.3])
+    df = frame(spark, x, y)
+    model = K.KernelSVC(numFeatures=32, maxIter=300, tol=1e-9).fit(df)
+    at = np.array(model.getOrDefault("coefficients")).reshape(33, 3)
+    z = K.images(x, *model.directions())
+    images = frame(spark, z, y)
+    for k in range(3):
+        side = np.where(y == k, 1, -1)
+
+        def exact(w, b):
+            return w @ w / 2 + np.maximum(1 - side * (z @ w + b), 0).sum()
+
+        one = LinearSVC(regParam=1 / 400, standardization=False, maxIter=300).fit(
+            images.withColumn("label", (F.col("label") == k).cast("double")))
+        assert exact(at[:-1, k], at[-1, k]) <= exact(one.coefficients.toArray(), one.intercept) * 1.01
+    got = [r.prediction for r in model.transform(df).orderBy("id").collect()]
+    assert (np.array(got) == (z @ at[:-1] + at[-1]).argmax(1)).mean() > 0.99
