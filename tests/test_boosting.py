@@ -139,3 +139,35 @@ def test_odd_frames(spark):
     assert model.transform(df.where("false")).collect() == []
     with pytest.raises(ValueError):
         B.GradientBoosting().fit(df.where("false"))
+
+
+class Nodes(Counting):
+    """Also the nodes that were summed."""
+
+    def sums(self, trees, growing, nodes, p):
+        self.nodes = getattr(self, "nodes", 0) + len(nodes)
+        return super().sums(trees, growing, nodes, p)
+
+
+def test_one_of_two_siblings_is_summed(monkeypatch):
+    rng = np.random.default_rng(7)
+    bins, label = rng.integers(0, 16, (600, 4)).astype(np.uint8), rng.integers(0, 3, 600).astype(float)
+    p = B.GradientBoosting(maxIter=1, maxDepth=5, minChildWeight=0.0, minInstancesPerNode=3).settings()
+    raw = rng.normal(size=(600, 3))     # no two gains are equal
+    halved = Nodes(bins, label, 3, 16)
+    halved.raw = raw
+    trees = B.grow(halved, 3, p)
+    monkeypatch.setattr(B, "KEPT_CELLS", 0)     # no parent is kept: both children are summed
+    both = Nodes(bins, label, 3, 16)
+    both.raw = raw
+    again = B.grow(both, 3, p)
+    assert 0.5 * both.nodes <= halved.nodes < 0.6 * both.nodes
+    for a, b in zip(trees[0], again[0]):
+        assert (a.feature, a.bin, a.left) == (b.feature, b.bin, b.left) and np.allclose(a.value, b.value)
+
+
+def test_partitions_follow_the_slots():
+    assert B.partitions(1000, 8) == 1
+    assert B.partitions(3 << 20, 8) == 3
+    assert B.partitions(250 << 20, 12) == 12
+    assert B.partitions(3 << 30, 12) == 48
