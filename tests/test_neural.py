@@ -78,6 +78,47 @@ def test_a_step_sums_its_blocks(spark, monkeypatch, whole):
     assert seen == 3        # each block outside the holdout is in one step
 
 
+def test_a_turn_is_the_mean_of_the_partitions_steps(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(50, 2)), rng.normal(size=50)
+    blocks = [(i, x[i * 10:i * 10 + 10], y[i * 10:i * 10 + 10]) for i in range(5)]
+    p = {"task": "regression", "hidden": [3], "seed": 5, "dropout": 0.2, "holdout": 0.2}
+    fit = N.MlpFit(spark.sparkContext.parallelize(blocks, 2), 5, 2, 1, p)
+    none = np.zeros(len(fit.weights))
+    state = start = [fit.weights, fit.running, none, none, np.zeros(1)]
+    seen = 0
+    for turn in range(2):
+        sums, rows = 0, 0
+        for part in (blocks[:2], blocks[2:]):
+            at, mine = state, 0
+            for i, bx, by in part:
+                if i >= fit.held and N.dealt(i, 1, 5, 2) == turn:
+                    single = [v.astype(np.float32) for v in (at[0], bx, by)]
+                    _, grads, stats = N.gradient(N.unflat(single[0], fit.shapes), *single[1:], "regression", 0.2, [5, 1, i])
+                    grad, stat = N.flat(grads).astype(float) / 10, N.flat([a for pair in stats for a in pair]).astype(float)
+                    at = N.learnt(at, grad, stat, 0.01)
+                    mine, seen = mine + 10, seen + 1
+            sums, rows = sums + N.flat(at) * mine, rows + mine
+        state = fit.turn(1, turn, 2, state, 0.01)
+        assert not rows or np.allclose(N.flat(state), sums / rows)
+    assert seen == 4 and not np.allclose(state[0], start[0])     # each block outside the holdout, once
+
+
+def test_jobs_of_an_epoch_do_not_grow_with_its_steps(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(-2, 2, (4000, 1))
+    y = np.sin(2 * x[:, 0])
+    jobs = []
+    turn = N.MlpFit.turn
+    monkeypatch.setattr(N.MlpFit, "turn", lambda self, epoch, *a: jobs.append(epoch) or turn(self, epoch, *a))
+    monkeypatch.setattr(N.MlpFit, "gradient", lambda *a: pytest.fail("a job a step"))
+    df = frame(spark, x, y)
+    model = N.BatchNormMlp(hidden=[16], epochs=6, batchSize=8, stepSize=0.02, dropout=0.0).fit(df)      # 56 steps an epoch
+    assert sorted(set(jobs)) == list(range(6)) and len(jobs) == 6
+    rows = model.transform(df).select("label", "prediction").collect()
+    assert np.mean([(r.label - r.prediction) ** 2 for r in rows]) < 0.2 * y.var()
+
+
 def test_pruned_partitions_are_those_asked_for(spark):
     blocks = spark.sparkContext.parallelize(range(12), 6).map(lambda v: (v, np.full(2, v)))
     kept = pruned(blocks, [1, 4])
