@@ -136,3 +136,33 @@ def test_odd_frames(spark):
     assert got[0].prediction == 1.0 and got[1].prediction is None and got[1].probability is None
     same = R.ExtraTrees(numTrees=2).fit(frame(spark, [[1.0]] * 4, [0.0, 1.0, 1.0, 1.0]))     # no feature differs
     assert same.transform(frame(spark, [[1.0]], [None])).first().probability.toArray().tolist() == [0.25, 0.75]
+
+
+def test_sums_of_a_level_are_those_of_the_rows(spark):
+    """Leaves at several depths, an open node without rows, a label that is no class."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(60, 3)), rng.integers(0, 3, 60).astype(float)
+    y[5] = 7.0
+    tree = R.CutTree(np.ones(3))
+    a, b = tree.split(0, 1, 0.2, np.ones(3))
+    c, d = tree.split(a, 2, -0.1, np.ones(3))
+    e, f = tree.split(b, 0, 99.0, np.ones(3))       # no row is above the cut
+    trees, nodes = [tree.arrays(), R.CutTree(np.ones(3)).arrays()], [np.array([c, d, f]), np.array([0])]
+    plain = PlainLoops(x, y, 3)
+    assert R.places(trees[0], x).tolist() == [plain.node(trees[0], row) for row in x]
+    data = R._Blocks(spark.sparkContext.parallelize([(x[:25], y[:25]), (x[25:], y[25:])], 2), 3, lambda run: run)
+    features, cuts = np.array([[0, 2], [1, 0], [2, 1], [1, 2]]), rng.normal(size=(4, 2)) / 2
+    known = PlainLoops(x[y < 3], y[y < 3], 3)
+    assert (data.left_sums(trees, nodes, features, cuts) == known.left_sums(trees, nodes, features, cuts)).all()
+    low, high = data.ranges(trees, nodes)
+    assert np.isinf(low[2]).all() and np.isinf(high[2]).all()
+    want = plain.ranges([trees[0], trees[1]], [np.array([c, d]), np.array([0])])
+    assert (low[[0, 1, 3]] == want[0]).all() and (high[[0, 1, 3]] == want[1]).all()
+
+
+def test_class_sums_sort_no_rows(spark, monkeypatch):
+    x, y = np.arange(40.0).reshape(20, 2), np.arange(20.0) % 2
+    data = R._Blocks(spark.sparkContext.parallelize([(x, y)], 1), 2, lambda run: run)
+    monkeypatch.setattr(R._Blocks, "_rows", lambda *a: 1 / 0)      # a level sorts for its ranges only
+    got = data.left_sums([R.CutTree(np.ones(2)).arrays()], [np.array([0])], np.array([[0]]), np.array([[10.0]]))
+    assert got.tolist() == [[[3.0, 3.0]]]
