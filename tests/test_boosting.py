@@ -171,3 +171,20 @@ def test_partitions_follow_the_slots():
     assert B.partitions(3 << 20, 8) == 3
     assert B.partitions(250 << 20, 12) == 12
     assert B.partitions(3 << 30, 12) == 48
+
+
+def test_hessians_of_one_are_counted():
+    rng = np.random.default_rng(2)
+    bins, g, used = rng.integers(0, 4, (50, 2)).astype(np.uint8), rng.normal(size=(50, 1)), np.arange(50) % 5 > 0
+    args = [np.zeros(50, int)], [(0, 0)], 4
+    want = B.histograms(bins, g, np.ones((50, 1)), used, *args)
+    assert (B.histograms(bins, g, None, used, *args) == want).all() and want[..., 2].sum() == 2 * used.sum()
+
+
+def test_probabilities_of_several_classes():
+    raw = np.array([[1.0, 2.0, 0.5], [800.0, -800.0, 799.0]])
+    e = np.exp(raw - raw.max(1, keepdims=True))
+    p = B.probabilities(raw)
+    assert (p == e / e.sum(1, keepdims=True)).all()
+    g, h = B.gradients(raw, np.array([1.0, 2.0]), "classification")
+    assert (g == p - np.array([[0, 1, 0], [0, 0, 1]])).all() and (h == p * (1 - p)).all()

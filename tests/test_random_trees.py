@@ -166,3 +166,24 @@ def test_class_sums_sort_no_rows(spark, monkeypatch):
     monkeypatch.setattr(R._Blocks, "_rows", lambda *a: 1 / 0)      # a level sorts for its ranges only
     got = data.left_sums([R.CutTree(np.ones(2)).arrays()], [np.array([0])], np.array([[0]]), np.array([[10.0]]))
     assert got.tolist() == [[[3.0, 3.0]]]
+
+
+def test_label_sums_of_many_rows_sort_none(spark, monkeypatch):
+    """Beyond ``SORTED_ROWS`` a regression adds its labels as they come, whether all features are drawn or some."""
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=60)
+    tree = R.CutTree(np.ones(3))
+    a, b = tree.split(0, 1, 0.2, np.ones(3))
+    c, d = tree.split(a, 2, -0.1, np.ones(3))
+    trees, nodes = [tree.arrays(), R.CutTree(np.ones(3)).arrays()], [np.array([c, d]), np.array([0])]
+    blocks = spark.sparkContext.parallelize([(x[:25], y[:25]), (x[25:], y[25:])], 2)
+    data = R._Blocks(blocks, 0, lambda run: run, R.SORTED_ROWS + 1)
+    sorted_ = R._Blocks(blocks, 0, lambda run: run, R.SORTED_ROWS)
+    for features in np.array([[0, 2, 1], [1, 0, 2], [2, 1, 0]]), np.array([[0, 2], [1, 0], [2, 1]]):
+        cuts = rng.normal(size=features.shape) / 2
+        want = PlainLoops(x, y, 0).left_sums(trees, nodes, features, cuts)
+        assert np.allclose(sorted_.left_sums(trees, nodes, features, cuts), want)
+        with monkeypatch.context() as m:
+            m.setattr(R._Blocks, "_rows", lambda *a: 1 / 0)
+            got = data.left_sums(trees, nodes, features, cuts)
+        assert np.allclose(got, want) and want[..., 0].any()
