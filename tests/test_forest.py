@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tablewright.operators import forest as FO
@@ -99,3 +100,70 @@ def test_odd_frames(spark):
     rows = spark.createDataFrame([([1.0], 0.0), ([2.0], 0.0), (None, 1.0), ([3.0], None)], schema)
     out = FO.HistogramForest(numTrees=2).fit(rows).transform(rows)
     assert [r[0] for r in out.orderBy(F.col("features")[0].asc_nulls_first()).select("prediction").collect()] == [None, 0.0, 0.0, 0.0]
+
+
+def test_many_rows_of_a_regression_take_the_histogram_forest(spark):
+    made = [M.make_estimator("RandomForest", "regression", n_rows=n, trees=3, forest_depth=4)
+            for n in (M.FOREST_ROWS, M.FOREST_ROWS + 1)]
+    assert isinstance(made[0], RandomForestRegressor) and isinstance(made[1], FO.HistogramForest)
+    assert [(m.getNumTrees(), m.getMaxDepth(), m.getFeatureSubsetStrategy() if m is made[0] else m.getOrDefault(m.featureSubsetStrategy))
+            for m in made] == [(3, 4, "all")] * 2
+
+
+@pytest.mark.parametrize("cells, drawn", [(1 << 24, "all"), (400, "all"), (1 << 24, "log2")])
+def test_every_split_of_a_regression_is_the_best_of_its_node(spark, monkeypatch, cells, drawn):
+    monkeypatch.setattr(FO, "JOB_CELLS", cells)
+    monkeypatch.setattr(FO, "CACHED_ROWS", 7)
+    monkeypatch.setattr(FO, "CUT_CELLS", 100)
+    rows = _frame(spark).withColumn("label", F.col("label") + F.col("features")[0] * 3 + 1000)
+    p = {"numTrees": 2, "maxDepth": 3, "minInstancesPerNode": 2, "featureSubsetStrategy": drawn, "seed": 5}
+    _, found = FO.training_rows(rows, "features", "label")
+    edges = FO.bin_edges(rows, 3)
+    starts = FO.bin_starts(edges)
+    assert starts.tolist() == [0, 32, 36, 39]
+    blocks = FO.label_blocks(rows, edges, found)
+    trees = FO.RegressionFit(blocks, 600, edges, p).run()
+    held = blocks.mapPartitionsWithIndex(lambda k, bs: [(k, i, x, y) for i, (x, y) in enumerate(bs)]).collect()
+    bins, y = np.concatenate([x.T - starts[:-1] for _, _, x, _ in held]), np.concatenate([y for *_, y in held])
+    assert abs(y.mean()) < 1e-9 and y.std() == pytest.approx(1)
+    for t, tree in enumerate(trees):
+        weight = np.concatenate([FO.row_weights(5, t, (k, i), len(c)) for k, i, _, c in held]).astype(int)
+        inside = {0: np.ones(600, bool)}
+
+        def error(m):
+            return (weight[m] * (y[m] - np.average(y[m], weights=weight[m])) ** 2).sum()
+
+        assert (tree.feature >= 0).sum() > 3
+        for node in range(len(tree.feature)):
+            mine = inside[node]
+            assert tree.total[node] == pytest.approx([weight[mine].sum(), weight[mine] @ y[mine]], abs=1e-8)
+            if tree.feature[node] < 0:
+                continue
+            found = {}
+            for f in range(3):
+                for b in range(len(edges[f])):
+                    low = mine & (bins[:, f] <= b)
+                    if min(weight[low].sum(), weight[mine & ~low].sum()) >= 2:
+                        found[f, b] = error(low) + error(mine & ~low)
+            here = found[tree.feature[node], tree.bin[node]]
+            assert here < error(mine)
+            if drawn == "all":
+                assert here == pytest.approx(min(found.values()))
+            low = bins[:, tree.feature[node]] <= tree.bin[node]
+            inside[tree.left[node]], inside[tree.left[node] + 1] = mine & low, mine & ~low
+
+
+def test_regression_learns_and_persists(spark, tmp_path):
+    rows = _frame(spark).withColumn("label", F.col("features")[0] * 3 + 1000).withColumn("features", array_to_vector("features"))
+    model = FO.HistogramForest(task="regression", numTrees=8, maxDepth=6, featureSubsetStrategy="all").fit(rows)
+    scored = model.transform(rows)
+    assert "probability" not in scored.columns
+    assert scored.agg(F.sum((F.col("label") - F.col("prediction")) ** 2) / F.count("*") / F.var_pop("label")).first()[0] < 0.05
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = FO.HistogramForestModel.load(str(tmp_path / "m")).transform(rows)
+    assert again.select("prediction").collect() == scored.select("prediction").collect()
+    odd = spark.createDataFrame([([1.0], 7.0), ([2.0], 7.0), (None, 1.0), ([3.0], None)], "features array<double>, label double")
+    constant = FO.HistogramForest(task="regression", numTrees=4, featureSubsetStrategy="all").fit(odd).transform(odd)
+    assert [r[0] for r in constant.orderBy(F.col("features")[0].asc_nulls_first()).select("prediction").collect()] == [None, 7.0, 7.0, 7.0]
+    with pytest.raises(ValueError):
+        FO.HistogramForest(task="regression", numTrees=2).fit(odd.where("label > 8"))
